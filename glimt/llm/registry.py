@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimt.llm import language_id, quality_rules
+from glimt.llm import decontaminate, language_id, mixing, quality_rules, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": url_filter.op1_url_filter,
+        "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_mixing": mixing.op5_mixing,
+        "op6_sharding": sharding.op6_sharding,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_language_id": language_id.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(url_filter.ORACLE)
