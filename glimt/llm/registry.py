@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimt.llm import decontaminate, language_id, mixing, quality_rules, sharding, url_filter
+from glimt.llm import decontaminate, html_extract, language_id, mixing, quality_rules, sharding, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+        "op3_html_extraction": html_extract.op3_html_extraction,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_mixing": mixing.op5_mixing,
         "op6_sharding": sharding.op6_sharding,
+        "op8_simhash": simhash.op8_simhash,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_language_id": language_id.op10_language_id,
     }

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimt.llm.common import stable, table
+from glimt.llm.common import row_hash, stable, table
 from glimt.llm.components import components
 from glimt.llm.textbuf import NOT_SPACE, TextBuffer, chunks
 
@@ -183,30 +183,37 @@ def fingerprint_rows(docs: DataFrame, text_col: str = "text", keep: list[str] |
     return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)), "_fp")
 
 
+def classes(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(_id, _row: content hash, _fp) of each row, and (_fp, _class, component_id) of each fingerprint."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), row_hash(id_col, text_col).alias("_row"))
+    prints = stable(fingerprint_rows(rows, "_text", ["_id", "_row"]))
+    roots = components(link(prints.select(F.col("_fp").alias("fp")), threshold))
+    found = prints.groupBy("_fp").agg(F.min("_id").alias("_least"))
+    found = found.join(roots, F.col("_fp") == F.col("node"), "left").withColumn("_class", F.coalesce("root", "_fp"))
+    least = found.groupBy("_class").agg(F.min("_least").alias("component_id"))
+    return prints, found.select("_fp", "_class").join(least, "_class").select("_fp", "_class", "component_id")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fingerprint (16 hex digits) and component_id, the smallest id that its links reach.
 
     Texts without words (null, empty, blank) have fingerprint zero and are linked like any other; null ids are never smallest;
     repeated rows give repeated results; other columns are left out.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    prints = stable(fingerprint_rows(rows, "_text", ["_id"]))
-    roots = components(link(prints.select(F.col("_fp").alias("fp")), threshold))
-    classes = prints.groupBy("_fp").agg(F.min("_id").alias("_least"))
-    classes = classes.join(roots, F.col("_fp") == F.col("node"), "left").withColumn("_class", F.coalesce("root", "_fp"))
-    least = classes.groupBy("_class").agg(F.min("_least").alias("component_id"))
-    named = classes.select("_fp", "_class").join(least, "_class").select("_fp", "component_id")
+    prints, named = classes(docs, threshold, id_col, text_col)
     return prints.join(named, "_fp").select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all columns, of which one stays of each group of near-duplicates: the one of the smallest id."""
-    named = near_duplicates(docs, threshold, id_col, text_col)
-    stay = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    # ids that occur more often stay once: among equal ids the row of the smallest content hash
-    rows = docs.withColumn("_row", F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (id_col, text_col))))
-    kept = rows.join(stay, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "_row"]).select(*docs.columns)
+    """The rows, with all columns, of which one stays of each group of near-duplicates: the one of the smallest id (null last).
+
+    Rows of one id fall by content hash; of rows that agree in both one stays.
+    """
+    prints, named = classes(docs, threshold, id_col, text_col)
+    first = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")
+    stay = prints.join(named, "_fp").groupBy("_class").agg(F.min(first).alias("_stay")).select("_stay._row").distinct()
+    rows = docs.withColumn("_row", row_hash(id_col, text_col))
+    return rows.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
