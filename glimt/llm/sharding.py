@@ -8,6 +8,8 @@ functions are used.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,22 +52,20 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     unit = F.pmod(F.xxhash64(text), F.lit(units)).cast("int")
     rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), unit.alias("_unit"), F.xxhash64(row_hash(id_col), F.lit("slot")).alias("_draw"))
     by_unit = rows.groupBy("_unit").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    line = by_unit.agg(F.array_sort(F.collect_list(F.struct("_unit", "_bytes", "_rows"))).alias("_line"))
-    sizes = F.transform("_line", lambda u: u["_bytes"])
-    line = line.where(F.size("_line") > 0).select("_line", minimax_capacity(sizes, shards).alias("_capacity"))
-    # walk the line once more with the capacity found, and note each unit's shard
-    state = lambda shard, load, cuts: F.named_struct(F.lit("shard"), shard, F.lit("load"), load, F.lit("cuts"), cuts)
+    line = by_unit.agg(F.array_sort(F.collect_list(F.struct("_unit", "_bytes"))).alias("_line")).where(F.size("_line") > 0)
+    # walk the line once more with the capacity found; the driver sees the units where a new shard begins, shards - 1 at most
+    state = lambda load, cuts, most: F.named_struct(F.lit("load"), load, F.lit("cuts"), cuts, F.lit("most"), most)
 
     def place(a: Column, u: Column) -> Column:
-        over = a["load"] + u["_bytes"] > F.col("_capacity")
-        return F.when(over, state(a["shard"] + 1, u["_bytes"], F.array_append(a["cuts"], u["_unit"]))).otherwise(state(a["shard"], a["load"] + u["_bytes"], a["cuts"]))
+        over = a["load"] + u["_bytes"] > a["most"]
+        return F.when(over, state(u["_bytes"], F.array_append(a["cuts"], u["_unit"]), a["most"])).otherwise(state(a["load"] + u["_bytes"], a["cuts"], a["most"]))
 
-    start = state(F.lit(0), F.lit(0).cast("long"), F.array().cast("array<int>"))
-    cuts = line.select(F.aggregate("_line", start, place, lambda a: a["cuts"]).alias("_cuts"), F.explode("_line").alias("_u"))
-    placed = cuts.select("_u._unit", "_u._rows", F.size(F.filter("_cuts", lambda c: c <= F.col("_u._unit"))).alias("shard"))
+    start = state(F.lit(0).cast("long"), F.array().cast("array<int>"), minimax_capacity(F.transform("_line", lambda u: u["_bytes"]), shards))
+    found = line.select(F.aggregate("_line", start, place, lambda a: a["cuts"]).alias("cuts")).first()
+    number = reduce(lambda n, cut: n + (F.col("_unit") >= cut).cast("int"), found["cuts"] if found else [], F.lit(0))
     # large units are dealt by the id's hash; each part is numbered alone, and parts follow each other within their shard
-    placed = placed.withColumn("_parts", F.ceil(F.col("_rows") / F.lit(SLOT_ROWS)).cast("int"))
-    rows = rows.join(placed.select("_unit", "shard", "_parts"), "_unit").withColumn("_part", F.pmod("_draw", F.col("_parts")).cast("int"))
+    dealt = by_unit.select("_unit", F.ceil(F.col("_rows") / F.lit(SLOT_ROWS)).cast("int").alias("_parts"))
+    rows = rows.join(dealt, "_unit").withColumns({"shard": number, "_part": F.pmod("_draw", F.col("_parts")).cast("int")})
     parts = rows.groupBy("shard", "_unit", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_unit", "_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_unit", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
