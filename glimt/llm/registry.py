@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimt.llm import decontaminate, html_extract, language_id, mixing, quality_rules, sharding, simhash, suffix_dedup, url_filter
+from glimt.llm import decontaminate, html_extract, language_id, mixing, quality_rules, secret_scan, sharding, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_mixing": mixing.op5_mixing,
         "op6_sharding": sharding.op6_sharding,
+        "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_simhash": simhash.op8_simhash,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_language_id": language_id.op10_language_id,
