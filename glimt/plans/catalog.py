@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glimt.plans import q_search
+
+_MODULES = (q_search,)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q_search.red_operations(spark, sf_dir)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for module in _MODULES for name, text in module.ORACLE.items()}
