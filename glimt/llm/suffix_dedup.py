@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimt.llm.common import table
+from glimt.llm.common import stable, table
 from glimt.llm.textbuf import TextBuffer, chunks, mix
 
 LENGTH = 400
@@ -275,8 +275,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             yield pa.RecordBatch.from_pydict({"anchor": h.view(np.int64), "_t1": piece.column("_t1").to_numpy()[own], "_t2": piece.column("_t2").to_numpy()[own], "pos": pos - buf.offsets[own]})
 
     found = rows.where(F.octet_length("_text") >= length).select("_text", "_t1", "_t2").mapInArrow(anchor_rows, "anchor long, _t1 long, _t2 long, pos long")
+    # both sides of the join below are plain tables, so that Spark can split a hot anchor's rows
+    found = stable(found)
     place = F.struct("_t1", "_t2", "pos")
     twice = found.groupBy("anchor").agg(F.min(place).alias("_a"), F.max(place).alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b").select("anchor", (F.col("_n") > HOT).alias("hot"))
+    twice = stable(twice)
     at = found.join(twice, "anchor").groupBy("_t1", "_t2").agg(F.collect_set(F.struct("pos", "hot")).alias("_at"))
     at = at.join(alike, ["_t1", "_t2"]).where("_copies = 1 or _at is not null").select(*keys, "_at")
     dealt = rows.select("_id", "_text", *keys)
