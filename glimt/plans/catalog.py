@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimt.plans import q_search
+from glimt.plans import q_metrics, q_search
 
-_MODULES = (q_search,)
+_MODULES = (q_search, q_metrics)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
