@@ -10,13 +10,14 @@ from glimt.functions.terms import host_pin
 from glimt.operators import metrics
 
 CPU, MEMORY, DISK, GPU = "system.cpu.utilization", "system.memory.utilization", "system.filesystem.utilization", "system.gpu.utilization"
-#: Resource -> metric and the attribute it is broken down by.
+#: Resource -> metric and the attribute it is broken down by.
 RESOURCES = {
-    "cpu": (CPU, "cpu"), "memory": (MEMORY, "state"), "disk": (DISK, "system.filesystem.mountpoint"), "network": ("system.network.io", "direction"), "gpu": (GPU, "gpu.index"),
-    "gpu_memory": ("system.gpu.memory.utilization", "gpu.index"), "gpu_temp": ("system.gpu.temperature", "gpu.index"), "gpu_power": ("system.gpu.power", "gpu.index"), "load": ("system.cpu.load_average.1m", None),
+    "cpu": (CPU, "cpu"), "memory": (MEMORY, "host.name"), "disk": (DISK, "mountpoint"), "network": ("system.network.io", "direction"), "gpu": (GPU, "gpu"),
+    "gpu_memory": ("system.gpu.memory.utilization", "gpu"), "gpu_temp": ("system.gpu.temperature", "gpu"), "gpu_power": ("system.gpu.power", "gpu"), "load": ("system.cpu.load_average.1m", "host.name"),
 }
 #: Of a process: measure -> (conventional name, factor), (own name, factor).
-PROCESS = {"cpu_pct": (("process.cpu.utilization", 100.0), ("app.cpu.percent", 1.0)), "memory": (("process.memory.usage", 1.0), ("app.memory.bytes", 1.0)), "fds": (("process.open_file_descriptor.count", 1.0), ("app.fds", 1.0)), "threads": (("process.thread.count", 1.0), ("app.threads", 1.0)), "restarts": (("process.restarts", 1.0), ("app.restarts", 1.0))}
+PROCESS = {"cpu_pct": (("process.cpu.utilization", 100.0), ("process.cpu.percent", 1.0)), "memory": (("process.memory.usage", 1.0), ("process.memory.rss", 1.0)), "fds": (("process.unix.file_descriptor.count", 1.0), ("process.open_fds", 1.0)), "threads": (("process.thread.count", 1.0), ("process.threads", 1.0))}
+RESTARTS = "process.restarts"
 ERROR_AT, WARNING_AT = 90.0, 80.0
 
 
@@ -26,7 +27,7 @@ def _host(points: DataFrame, where: Column) -> DataFrame:
 
 def host_list(points: DataFrame, where: Column) -> DataFrame:
     """Hosts that report CPU: average CPU and memory, last seen, and over each host's disks and GPUs the worst and mean average and their number."""
-    group = F.when(F.col("metric_name") == DISK, F.col("attributes").getItem("system.filesystem.mountpoint")).when(F.col("metric_name") == GPU, F.col("attributes").getItem("gpu.index"))
+    group = F.when(F.col("metric_name") == DISK, F.col("attributes").getItem("mountpoint")).when(F.col("metric_name") == GPU, F.col("attributes").getItem("gpu"))
     rows = _host(points, where & F.col("metric_name").isin(CPU, MEMORY, DISK, GPU)).withColumn("grp", group).where(~F.col("metric_name").isin(DISK, GPU) | F.col("grp").isNotNull())
     per = rows.groupBy("host", "metric_name", "grp").agg(F.avg("value").alias("a"), F.max("timestamp_nanos").alias("t"))
     of = lambda m, c="a": F.when(F.col("metric_name") == m, F.col(c))
@@ -48,12 +49,13 @@ def host_detail(points: DataFrame, where: Column, host: str) -> DataFrame:
 def host_processes(points: DataFrame, where: Column, host: str, limit: int = 200) -> DataFrame:
     """Per service of a host: CPU in percent, memory, file descriptors and threads on average, most restarts; by the names the host uses."""
     names = {n: (measure, scheme, factor) for measure, pair in PROCESS.items() for scheme, (n, factor) in enumerate(pair)}
-    rows = _host(points, where & F.col("metric_name").isin(list(names))).where((F.col("host") == host) & quoted("service.name").isNotNull())
+    rows = _host(points, where & F.col("metric_name").isin([*names, RESTARTS])).where((F.col("host") == host) & quoted("service.name").isNotNull())
+    names[RESTARTS] = ("restarts", 2, 1.0)
     lookup = lambda k: F.element_at(F.create_map(*(F.lit(x) for n, t in names.items() for x in (n, t[k]))), F.col("metric_name"))
     per = rows.groupBy(quoted("service.name").alias("service"), lookup(0).alias("measure"), lookup(1).alias("scheme"), lookup(2).alias("factor")).agg(F.avg("value").alias("a"), F.max("value").alias("m"))
     semconv = F.max(F.when((F.col("scheme") == 0) & (F.col("measure") == "cpu_pct"), 1).otherwise(0)).over(Window.partitionBy(F.lit(0)))
-    own = per.withColumn("_semconv", semconv).where(F.col("scheme") == 1 - F.col("_semconv"))
-    out = own.groupBy("service").agg(*(F.max(F.when(F.col("measure") == k, (F.col("m") if k == "restarts" else F.col("a")) * F.col("factor"))).alias(k) for k in PROCESS))
+    own = per.withColumn("_semconv", semconv).where((F.col("scheme") == 1 - F.col("_semconv")) | (F.col("measure") == "restarts"))
+    out = own.groupBy("service").agg(*(F.max(F.when(F.col("measure") == k, F.col("a") * F.col("factor"))).alias(k) for k in PROCESS), F.max(F.when(F.col("measure") == "restarts", F.col("m"))).alias("restarts"))
     return out.orderBy(F.desc_nulls_last("cpu_pct"), "service").limit(limit)
 
 

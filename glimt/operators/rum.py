@@ -11,12 +11,12 @@ from glimt.functions.buckets import bucket_index, bucket_label, fill
 from glimt.functions.fields import quoted, resolve
 from glimt.operators.apm import percentiles
 
-#: Upper ends of `good` and of `needs improvement`.
+#: Upper ends of `good` and of `needs improvement`, names of metrics and attributes.
 THRESHOLDS = {"lcp": (2500.0, 4000.0), "inp": (200.0, 500.0), "cls": (0.1, 0.25), "fcp": (1800.0, 3000.0), "ttfb": (800.0, 1800.0), "route_change": (1000.0, 3000.0)}
 CORE = ("lcp", "inp", "cls")
-SUBPARTS = ("ttfb", "load_delay", "load_time", "render_delay")
+SUBPARTS = ("ttfb", "resource_load_delay", "resource_load_time", "element_render_delay")
 PREFIX = "web_vitals."
-ERROR_FACETS = ("error.type", "browser.route", "device.type", "browser.name", "session.id", "error.fingerprint")
+ERROR_FACETS = ("exception.type", "error.kind", "browser.route", "browser.name", "device.type", "network.connection")
 
 
 def _bound(metric: Column, which: int) -> Column:
@@ -56,8 +56,8 @@ def pages(points: DataFrame, where: Column, by_app: bool = False, exact: bool =
 
 def lcp_attribution(points: DataFrame, where: Column) -> DataFrame:
     """One row: averages of the four parts of LCP and its most common element."""
-    parts = points.where(where).where(F.col("metric_name").isin([f"{PREFIX}lcp_{p}" for p in SUBPARTS]))
-    average = parts.agg(*(F.avg(F.when(F.col("metric_name") == f"{PREFIX}lcp_{p}", F.col("value"))).alias(p) for p in SUBPARTS)).withColumn("_one", F.lit(1))
+    parts = points.where(where).where(F.col("metric_name").isin([f"{PREFIX}lcp.{p}" for p in SUBPARTS]))
+    average = parts.agg(*(F.avg(F.when(F.col("metric_name") == f"{PREFIX}lcp.{p}", F.col("value"))).alias(p) for p in SUBPARTS)).withColumn("_one", F.lit(1))
     elements = points.where(where).where(F.col("metric_name") == PREFIX + "lcp").select(F.col("attributes").getItem("lcp.element").alias("e")).where("e is not null").groupBy("e").agg(F.count(F.lit(1)).alias("n"))
     top = elements.agg(F.min_by("e", F.struct(-F.col("n"), "e")).alias("element")).withColumn("_one", F.lit(1))
     return average.join(F.broadcast(top), "_one").drop("_one")  # one row each
@@ -80,7 +80,7 @@ def page_detail(points: DataFrame, errors: DataFrame, where: Column, error_where
 
 def _errors(errors: DataFrame, where: Column) -> DataFrame:
     get = lambda name: resolve(errors, "logs", name)
-    return errors.where(where).where(F.col("severity_number").between(17, 24)).withColumns({"fingerprint": get("error.fingerprint"), "_type": get("error.type"), "_session": get("session.id"), "_stack": get("error.stack"), "app": quoted("service.name")}).where("fingerprint is not null")
+    return errors.where(where).where(F.col("severity_number").between(17, 24)).withColumns({"fingerprint": get("rum.error.fingerprint"), "_type": get("exception.type"), "_session": get("session.id"), "_stack": get("exception.stacktrace"), "app": quoted("service.name")}).where("fingerprint is not null")
 
 
 def issues(errors: DataFrame, where: Column, route: str | None = None, by_app: bool = False) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimt.plans import q_metrics, q_search
+from glimt.plans import q_metrics, q_search, q_state
 
-_MODULES = (q_search, q_metrics)
+_MODULES = (q_search, q_metrics, q_state)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,7 +258,7 @@ def r4(spark, d):
     return rum.page_detail(v.vitals(spark, d), v.browser_errors(spark, d), in_window("metrics", S, E), in_window("logs", S, E), "/cart", exact=True)
 
 
-_PARTS = ", ".join(f"avg(value) FILTER (metric_name = 'web_vitals.lcp_{p}') AS {p}" for p in rum.SUBPARTS)
+_PARTS = ", ".join(f"avg(value) FILTER (metric_name = 'web_vitals.lcp.{p}') AS {p}" for p in rum.SUBPARTS)
 
 
 @query("r5_lcp_attribution", v.sql(f"SELECT {_PARTS}, (SELECT element FROM vitals WHERE metric_name = 'web_vitals.lcp' GROUP BY 1 ORDER BY count(*) DESC, element LIMIT 1) AS element FROM vitals", vitals=_VIT))
@@ -286,7 +286,7 @@ def r7c(spark, d):
     return rum.newest_events(v.browser_errors(spark, d), in_window("logs", S, E), "fp3")
 
 
-_FACETS = {"error.type": "type", "browser.route": "route", "device.type": "device", "browser.name": "browser", "session.id": "session", "error.fingerprint": "fingerprint"}
+_FACETS = {"exception.type": "type", "error.kind": "kind", "browser.route": "route", "browser.name": "browser", "device.type": "device", "network.connection": "connection"}
 
 
 @query("r8_error_facets", v.sql("SELECT field, value, count FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY count DESC, value) AS r FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {c} AS value, count(*) AS count FROM errors GROUP BY 2" for f, c in _FACETS.items()) + ")) WHERE r <= 20", errors=v.ERRORS))
@@ -326,7 +326,7 @@ def r12b(spark, d):
     return rum.slowest_routes(_pages(spark, d))
 
 
-@query("r13_lcp_shares", v.sql("SELECT part, average, round(average * 100 / sum(average) OVER (), 6) AS share_pct, average = max(average) OVER () AS dominant FROM (SELECT substr(metric_name, 16) AS part, avg(value) AS average FROM vitals WHERE metric_name LIKE 'web_vitals.lcp_%' GROUP BY 1)", vitals=_VIT))
+@query("r13_lcp_shares", v.sql("SELECT part, average, round(average * 100 / sum(average) OVER (), 6) AS share_pct, average = max(average) OVER () AS dominant FROM (SELECT substr(metric_name, 16) AS part, avg(value) AS average FROM vitals WHERE metric_name LIKE 'web_vitals.lcp.%' GROUP BY 1)", vitals=_VIT))
 def r13(spark, d):
     return rum.lcp_shares(v.vitals(spark, d), in_window("metrics", S, E)).withColumn("share_pct", F.round("share_pct", 6))
 
@@ -361,13 +361,13 @@ _DISK = f"SELECT mount, {_B} AS b, avg(value) AS v FROM hosts WHERE host = 'host
 
 @query("i4_host_series", _series(_DISK, "mount", view="hosts", body=v.HOSTS))
 def i4(spark, d):
-    return infra.host_series(v.hosts(spark, d), "disk", "host-3", S, E, N).withColumnRenamed("system.filesystem.mountpoint", "mount")
+    return infra.host_series(v.hosts(spark, d), "disk", "host-3", S, E, N).withColumnRenamed("mountpoint", "mount")
 
 
 @query("i5_host_status", v.sql("SELECT max(l) AS worst, round(avg(l), 6) AS mean, count(*) AS groups, CASE WHEN max(l) >= 90 THEN 'error' WHEN max(l) >= 80 THEN 'warning' ELSE 'ok' END AS status FROM (SELECT mount, arg_max(v, b) AS l FROM x GROUP BY 1)", hosts=v.HOSTS, x=_DISK))
 def i5(spark, d):
     found = infra.host_series(v.hosts(spark, d), "disk", "host-3", S, E, N)
-    return infra.latest_rollup(found, "system.filesystem.mountpoint").withColumn("mean", F.round("mean", 6))
+    return infra.latest_rollup(found, "mountpoint").withColumn("mean", F.round("mean", 6))
 
 
 @query("i6_host_kpis", v.sql(f"SELECT count(*) AS hosts, count(*) FILTER (w >= 80 AND w < 90) AS warning, count(*) FILTER (w >= 90) AS critical, round(avg(cpu), 6) AS mean_cpu, count(*) FILTER (gpus > 0) AS gpu_hosts FROM (SELECT *, greatest(coalesce(cpu, 0), coalesce(memory, 0), coalesce(disk_max, 0)) AS w FROM ({_HOSTLIST}))", hosts=v.HOSTS))

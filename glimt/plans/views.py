@@ -125,7 +125,7 @@ def vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Browser vitals: click is INP, view LCP, purchase FCP, signup TTFB, error CLS, from the events' values."""
     kind, user, cents = F.col("event_type"), F.col("user_id"), F.round(F.col("value") * 100).cast("long")
     name = F.concat(F.lit("web_vitals."), F.element_at(F.create_map(*(F.lit(x) for pair in (("click", "inp"), ("view", "lcp"), ("purchase", "fcp"), ("signup", "ttfb"), ("error", "cls")) for x in pair)), kind))
-    part = F.concat(F.lit("web_vitals.lcp_"), F.element_at(F.array(*map(F.lit, ("ttfb", "load_delay", "load_time", "render_delay"))), (F.col("event_id") % 4 + 1).cast("int")))
+    part = F.concat(F.lit("web_vitals.lcp."), F.element_at(F.array(*map(F.lit, ("ttfb", "resource_load_delay", "resource_load_time", "element_render_delay"))), (F.col("event_id") % 4 + 1).cast("int")))
     value = F.when(kind == "error", cents / 10_000.0).otherwise(cents.cast("double"))
     rows = read(spark, sf_dir, "events").select("*", F.explode(F.array_compact(F.array(F.struct(name.alias("n"), value.alias("v")), F.when(kind == "view", F.struct(part.alias("n"), cents.cast("double").alias("v")))))).alias("m"))
     return rows.select(
@@ -136,7 +136,7 @@ def vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROUTE = "CASE user_id % 4 WHEN 0 THEN '/' WHEN 1 THEN '/cart' WHEN 2 THEN '/pay' ELSE '/help' END"
 VITALS = f"""SELECT 'web_vitals.' || CASE event_type WHEN 'click' THEN 'inp' WHEN 'view' THEN 'lcp' WHEN 'purchase' THEN 'fcp' WHEN 'signup' THEN 'ttfb' ELSE 'cls' END AS metric_name, epoch_us(ts) * 1000 AS timestamp_nanos,
  CASE WHEN event_type = 'error' THEN round(value * 100) / 10000.0 ELSE round(value * 100) END AS value, 'app' || (user_id % 3) AS app, {_ROUTE} AS route, CASE WHEN user_id % 2 = 0 THEN 'mobile' ELSE 'desktop' END AS device, CASE WHEN event_type = 'view' THEN 'img#' || (user_id % 5) END AS element FROM events
- UNION ALL SELECT 'web_vitals.lcp_' || CASE event_id % 4 WHEN 0 THEN 'ttfb' WHEN 1 THEN 'load_delay' WHEN 2 THEN 'load_time' ELSE 'render_delay' END, epoch_us(ts) * 1000, round(value * 100), 'app' || (user_id % 3), {_ROUTE}, CASE WHEN user_id % 2 = 0 THEN 'mobile' ELSE 'desktop' END, 'img#' || (user_id % 5) FROM events WHERE event_type = 'view'"""
+ UNION ALL SELECT 'web_vitals.lcp.' || CASE event_id % 4 WHEN 0 THEN 'ttfb' WHEN 1 THEN 'resource_load_delay' WHEN 2 THEN 'resource_load_time' ELSE 'element_render_delay' END, epoch_us(ts) * 1000, round(value * 100), 'app' || (user_id % 3), {_ROUTE}, CASE WHEN user_id % 2 = 0 THEN 'mobile' ELSE 'desktop' END, 'img#' || (user_id % 5) FROM events WHERE event_type = 'view'"""
 
 
 def browser_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,11 +145,11 @@ def browser_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.regexp_extract("props", r"(\d+)", 1)
     return read(spark, sf_dir, "events").where("event_type = 'error'").select(
         nanos("ts").alias("timestamp_nanos"), F.lit(17).alias("severity_number"), F.concat(F.lit("fail "), k).alias("body"), F.col("event_id").cast("string").alias("trace_id"), F.concat(F.lit("app"), user % 3).alias("service.name"),
-        attributes(error__fingerprint=F.concat(F.lit("fp"), k.cast("int") % 12), error__type=F.concat(F.lit("E"), k.cast("int") % 4), session__id=user % 40, browser__route=F.element_at(F.array(*map(F.lit, ROUTES)), (user % 4 + 1).cast("int")), device__type=F.when(user % 2 == 0, "mobile").otherwise("desktop"), browser__name=F.concat(F.lit("b"), user % 3), error__stack=F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("at line "), k))).alias("attributes"))
+        attributes(rum__error__fingerprint=F.concat(F.lit("fp"), k.cast("int") % 12), exception__type=F.concat(F.lit("E"), k.cast("int") % 4), session__id=user % 40, error__kind=F.concat(F.lit("k"), user % 2), network__connection=F.concat(F.lit("n"), user % 5), browser__route=F.element_at(F.array(*map(F.lit, ROUTES)), (user % 4 + 1).cast("int")), device__type=F.when(user % 2 == 0, "mobile").otherwise("desktop"), browser__name=F.concat(F.lit("b"), user % 3), exception__stacktrace=F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("at line "), k))).alias("attributes"))
 
 
 ERRORS = rf"""SELECT epoch_us(ts) * 1000 AS timestamp_nanos, 'fail ' || kk AS body, CAST(event_id AS VARCHAR) AS trace_id, 'app' || (user_id % 3) AS app, 'fp' || (CAST(kk AS INT) % 12) AS fingerprint, 'E' || (CAST(kk AS INT) % 4) AS type,
- CAST(user_id % 40 AS VARCHAR) AS session, {_ROUTE} AS route, CASE WHEN user_id % 2 = 0 THEN 'mobile' ELSE 'desktop' END AS device, 'b' || (user_id % 3) AS browser FROM (SELECT *, regexp_extract(props, '(\d+)', 1) AS kk FROM events WHERE event_type = 'error')"""
+ CAST(user_id % 40 AS VARCHAR) AS session, {_ROUTE} AS route, CASE WHEN user_id % 2 = 0 THEN 'mobile' ELSE 'desktop' END AS device, 'b' || (user_id % 3) AS browser, 'k' || (user_id % 2) AS kind, 'n' || (user_id % 5) AS connection FROM (SELECT *, regexp_extract(props, '(\d+)', 1) AS kk FROM events WHERE event_type = 'error')"""
 
 HOST_METRICS = {"view": "system.cpu.utilization", "click": "system.memory.utilization", "purchase": "system.filesystem.utilization", "signup": "system.gpu.utilization", "error": "process.cpu.utilization"}
 
@@ -161,7 +161,7 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = F.concat(F.lit("d"), user % 3)
     return read(spark, sf_dir, "events").select(
         name.alias("metric_name"), F.lit(0).alias("metric_type"), nanos("ts").alias("timestamp_nanos"), (F.round(F.col("value") * 100).cast("long") % 101).cast("double").alias("value"), F.concat(F.lit("svc-"), user % 10).alias("service.name"), F.concat(F.lit("host-"), user % 7).alias("host.name"),
-        attributes(system__filesystem__mountpoint=F.when(kind == "purchase", group), gpu__index=F.when((kind == "signup") & (user % 7 < 4), group), gpu__name=F.when((kind == "signup") & (user % 7 < 4), F.concat(F.lit("G"), user % 2)), os__type=F.when(user % 2 == 0, "linux").otherwise("bsd")).alias("attributes"))
+        attributes(mountpoint=F.when(kind == "purchase", group), gpu=F.when((kind == "signup") & (user % 7 < 4), group), gpu__name=F.when((kind == "signup") & (user % 7 < 4), F.concat(F.lit("G"), user % 2)), os__type=F.when(user % 2 == 0, "linux").otherwise("bsd")).alias("attributes"))
 
 
 HOSTS = """SELECT CASE event_type WHEN 'view' THEN 'system.cpu.utilization' WHEN 'click' THEN 'system.memory.utilization' WHEN 'purchase' THEN 'system.filesystem.utilization' WHEN 'signup' THEN 'system.gpu.utilization' ELSE 'process.cpu.utilization' END AS metric_name,
