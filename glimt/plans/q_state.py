@@ -209,7 +209,7 @@ def usage_samples(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(ms.alias("ts_ms"), "signal", (F.col("event_id") * 7).alias("hot_bytes"), (F.col("event_id") * 100).alias("durable_bytes"), F.col("event_id").alias("total_rows"), (nth % 500 * 10).alias("ingest_rows"))
 
 
-_USAGE = "SELECT epoch_ms(ts) AS ts_ms, CASE event_id % 3 WHEN 0 THEN 'logs' WHEN 1 THEN 'spans' ELSE 'metrics' END AS signal, event_id * 7 AS hot_bytes, event_id * 100 AS durable_bytes, event_id AS total_rows, (row_number() OVER (PARTITION BY event_id % 3 ORDER BY ts, event_id) - 1) % 500 * 10 AS ingest_rows FROM events"
+_USAGE = "SELECT epoch_us(ts) // 1000 AS ts_ms, CASE event_id % 3 WHEN 0 THEN 'logs' WHEN 1 THEN 'spans' ELSE 'metrics' END AS signal, event_id * 7 AS hot_bytes, event_id * 100 AS durable_bytes, event_id AS total_rows, (row_number() OVER (PARTITION BY event_id % 3 ORDER BY ts, event_id) - 1) % 500 * 10 AS ingest_rows FROM events"
 _SMS, _EMS = S // 1_000_000, E // 1_000_000
 _USERIES = f"""SELECT signal, CAST(b AS INT) AS bucket, hot_bytes, durable_bytes, total_rows, CASE WHEN ingest_rows >= lag(ingest_rows) OVER w THEN ingest_rows - lag(ingest_rows) OVER w END AS ingested, {_SMS} + (b + 1) * {(_EMS - _SMS) // N} AS ts FROM
  (SELECT signal, {index_sql('ts_ms', _SMS, _EMS, N)} AS b, arg_max(hot_bytes, ts_ms) AS hot_bytes, arg_max(durable_bytes, ts_ms) AS durable_bytes, arg_max(total_rows, ts_ms) AS total_rows, arg_max(ingest_rows, ts_ms) AS ingest_rows FROM usage GROUP BY 1, 2) WINDOW w AS (PARTITION BY signal ORDER BY b)"""
@@ -306,7 +306,7 @@ def s5(spark, d):
     return out.select("metric_name", "metric_type", "temporality", "is_monotonic", "timestamp_nanos", "value", quoted("service.name").alias("service"))
 
 
-@query("s6_remote_write", "SELECT 'events_total' AS metric_name, 1 AS metric_type, 2 AS temporality, true AS is_monotonic, epoch_ms(ts) * 1000000 AS timestamp_nanos, CAST(event_id AS DOUBLE) AS value, 'svc-' || (user_id % 10) AS service, event_type AS kind FROM events WHERE event_type <> 'view'")
+@query("s6_remote_write", "SELECT 'events_total' AS metric_name, 1 AS metric_type, 2 AS temporality, true AS is_monotonic, epoch_us(ts) // 1000 * 1000000 AS timestamp_nanos, CAST(event_id AS DOUBLE) AS value, 'svc-' || (user_id % 10) AS service, event_type AS kind FROM events WHERE event_type <> 'view'")
 def s6(spark, d):
     name = F.when(F.col("event_type") != "view", "events_total")
     labels = F.map_filter(F.create_map(F.lit("__name__"), name, F.lit("job"), F.concat(F.lit("svc-"), F.col("user_id") % 10), F.lit("kind"), F.col("event_type")), lambda _, x: x.isNotNull())
