@@ -64,8 +64,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     found = line.select(F.aggregate("_line", start, place, lambda a: a["cuts"]).alias("cuts")).first()
     number = reduce(lambda n, cut: n + (F.col("_unit") >= cut).cast("int"), found["cuts"] if found else [], F.lit(0))
     # large units are dealt by the id's hash; each part is numbered alone, and parts follow each other within their shard
+    # (a table of UNITS rows at most)
     dealt = by_unit.select("_unit", F.ceil(F.col("_rows") / F.lit(SLOT_ROWS)).cast("int").alias("_parts"))
-    rows = rows.join(dealt, "_unit").withColumns({"shard": number, "_part": F.pmod("_draw", F.col("_parts")).cast("int")})
+    rows = rows.join(F.broadcast(dealt), "_unit").withColumns({"shard": number, "_part": F.pmod("_draw", F.col("_parts")).cast("int")})
     parts = rows.groupBy("shard", "_unit", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_unit", "_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_unit", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
