@@ -45,3 +45,12 @@ def bounded(df: DataFrame, key: Column, bound: int, by: str | None = None) -> Da
     for value, rate in rates.items():
         keep = keep | (F.col(by).eqNullSafe(F.lit(value)) & (draw < F.lit(rate)))
     return df.where(keep)
+
+
+def join_checked(left: DataFrame, small: DataFrame, on: str, draw: Column, limit: int = 100_000, salts: int = 64, how: str = "inner") -> DataFrame:
+    """Join with a table that is usually small. It is broadcast only if it has ``limit`` rows or fewer; beyond that its rows are
+    repeated for each of ``salts`` parts of ``left`` (dealt by the hash ``draw``), so that no hot key's rows meet in one task."""
+    if small.limit(limit + 1).count() <= limit:
+        return left.join(F.broadcast(small), on, how)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", F.pmod(draw, F.lit(salts)).cast("int")).join(salted, [on, "_salt"], how).drop("_salt")

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glimt.llm.common import stable, table
+from glimt.llm.common import join_checked, stable, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words of the mix, as a share of all words.
@@ -78,7 +78,7 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     height = F.greatest(F.lit(float(BLOCK_ROWS)), F.sqrt("rows") * 2)
     plan = targets(sources, weights, budget, repeats).withColumns({"_blocks": F.ceil(F.col("rows") / height).cast("long"), "_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "_base": base})
     plan = plan.withColumn("_rest", F.greatest(F.col("target") - F.col("_base") * F.col("source_size"), F.lit(0.0)))
-    rows = rows.join(plan.drop("source", "rows"), "_key").withColumn("block", F.pmod("_perm", F.col("_blocks")))
+    rows = join_checked(rows, plan.drop("source", "rows"), "_key", F.col("_perm")).withColumn("block", F.pmod("_perm", F.col("_blocks")))
     blocks = rows.groupBy("_key", "block").agg(F.sum("_all").alias("_size"), F.first("_rest").alias("_rest"))
     ahead = Window.partitionBy("_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_ahead", F.coalesce(F.sum("_size").over(ahead), F.lit(0)))
