@@ -253,9 +253,16 @@ def r3(spark, d):
 _ISSUES = "SELECT app, fingerprint, count(*) AS count, count(DISTINCT session) AS sessions, min(type) AS type, min(body) AS message, min(trace_id) AS trace_id FROM errors GROUP BY 1, 2"
 
 
-@query("r4_page_detail")
+_DETAIL = f"""SELECT 'page' AS section, route AS key, pageviews AS n FROM (SELECT route, max(n) AS pageviews FROM (SELECT route, metric_name, count(*) AS n FROM here WHERE substr(metric_name, 12) IN ('lcp', 'inp', 'cls') GROUP BY 1, 2) GROUP BY 1)
+ UNION ALL SELECT 'device', device, max(n) FROM (SELECT device, metric_name, count(*) AS n FROM here WHERE substr(metric_name, 12) IN ('lcp', 'inp', 'cls') GROUP BY 1, 2) GROUP BY 2
+ UNION ALL SELECT 'issue', fingerprint, count(*) FROM errors WHERE route = '/cart' GROUP BY 2 UNION ALL SELECT DISTINCT 'lcp', substr(metric_name, 16), NULL FROM here WHERE metric_name LIKE 'web_vitals.lcp.%'"""
+
+
+@query("r4_page_detail", v.sql(_DETAIL, vitals=_VIT, errors=v.ERRORS, here="SELECT * FROM vitals WHERE route = '/cart'"))
 def r4(spark, d):
-    return rum.page_detail(v.vitals(spark, d), v.browser_errors(spark, d), in_window("metrics", S, E), in_window("logs", S, E), "/cart", exact=True)
+    found = rum.page_detail(v.vitals(spark, d), v.browser_errors(spark, d), in_window("metrics", S, E), in_window("logs", S, E), "/cart", exact=True)
+    n = F.coalesce(F.get_json_object("measures", "$.pageviews"), F.get_json_object("measures", "$.count")).cast("long")
+    return found.select("section", "key", n.alias("n"))
 
 
 _PARTS = ", ".join(f"avg(value) FILTER (metric_name = 'web_vitals.lcp.{p}') AS {p}" for p in rum.SUBPARTS)
