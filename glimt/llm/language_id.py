@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimt.llm.common import bounded, table
+from glimt.llm.common import bounded, stable, table
 from glimt.llm.hashtable import HashTable
 from glimt.llm.textbuf import chunks
 
@@ -28,6 +28,8 @@ SLACK = 2.0
 MARGIN = 0.3
 #: Cross-entropy differences are sharpened by this many characters to give a score.
 SHARPNESS = 40.0
+#: Bytes of text scored at once.
+PIECE = 1 << 20
 UNKNOWN = "und"
 _TOP = 0x33480  # code points from here on count as no letters
 
@@ -173,10 +175,10 @@ def kneser_ney(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]
 def fit(training: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on about ``rows`` whole texts a language; None if there is nothing to learn from."""
     known = training.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_lang is not null and _text is not null")
-    sample = bounded(known, F.col("_id"), rows, by="_lang").select("_text", "_lang")
+    sample = stable(bounded(known, F.col("_id"), rows, by="_lang").select("_text", "_lang"))  # read twice
 
     def count(batches):
-        for piece in chunks(batches, "_text"):
+        for piece in chunks(batches, "_text", PIECE):
             langs = piece.column("_lang").to_numpy(zero_copy_only=False)
             for lang in sorted(set(langs)):
                 symbols, _, size = characters(piece.column("_text").filter(pa.array(langs == lang)))
@@ -194,7 +196,7 @@ def fit(training: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", tex
     shared = training.sparkSession.sparkContext.broadcast(model)
 
     def calibrate(batches):
-        for piece in chunks(batches, "_text"):
+        for piece in chunks(batches, "_text", PIECE):
             ce, size = shared.value.cross_entropy(piece.column("_text"))
             own = np.array([languages.index(x) if x in languages else -1 for x in piece.column("_lang").to_pylist()])
             use = (own >= 0) & (size > 0)
@@ -225,7 +227,7 @@ def apply(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for piece in chunks(batches, "_text"):
+        for piece in chunks(batches, "_text", PIECE):
             best, score, rejected = judged(shared.value, piece.column("_text"))
             yield pa.RecordBatch.from_pydict({id_col: piece.column("_id"), "lang_pred": best, "score": score, "rejected": rejected})
 
@@ -244,7 +246,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for piece in chunks(batches, text_col):
+        for piece in chunks(batches, text_col, PIECE):
             yield piece.filter(pa.array(~judged(shared.value, piece.column(text_col))[2]))
 
     return docs.mapInArrow(run, docs.schema)
