@@ -82,20 +82,16 @@ _BREACH = "coalesce(CASE op WHEN 'gt' THEN value > threshold WHEN 'lte' THEN val
 def samples(spark: SparkSession, d: str) -> DataFrame:
     """Hourly evaluations of both rules: each user's largest value of the hour; users without an event have none."""
     at = F.call_function("div", F.col("timestamp_nanos"), F.lit(v.HOUR)) * (v.HOUR // 1_000_000)
-    rows = v.points(spark, d).where("metric_name = 'queue.depth'").groupBy(F.concat(F.lit("user="), F.col("attributes").getItem("user") % 20).alias("series_key"), at.alias("at")).agg(F.max("value").alias("value"))
+    rows = v.points(spark, d).where("metric_name = 'queue.depth'").groupBy(F.concat(F.lit("user="), F.col("attributes").getItem("user").cast("int") % 20).alias("series_key"), at.alias("at")).agg(F.max("value").alias("value"))
     return rows.select(F.explode(F.array(F.lit("high"), F.lit("low"))).alias("rule_id"), "series_key", "at", "value")
 
 
 _SAMPLES = f"SELECT rule_id, series_key, \"at\", value FROM (SELECT 'user=' || CAST(CAST(\"user\" AS INT) % 20 AS VARCHAR) AS series_key, timestamp_nanos // {v.HOUR} * {v.HOUR // 1_000_000} AS \"at\", max(value) AS value FROM points WHERE metric_name = 'queue.depth' GROUP BY 1, 2) CROSS JOIN (VALUES ('high'), ('low')) x(rule_id)"
 
 
-def _fixed_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("series_key", F.regexp_replace("series_key", r"\.0$", ""))
-
-
 @query("e5_threshold_preview", v.sql(f"SELECT rule_id, series_key, \"at\", value, {_BREACH} AS breaching FROM s JOIN r USING (rule_id)", points=v.POINTS, s=_SAMPLES, r=_RULES))
 def e5(spark, d):
-    return alerts.preview(_fixed_key(samples(spark, d)), rules(spark)).select("rule_id", "series_key", "at", "value", "breaching")
+    return alerts.preview(samples(spark, d), rules(spark)).select("rule_id", "series_key", "at", "value", "breaching")
 
 
 _MACHINE = f"""SELECT *, CASE WHEN state = 'triggered' AND p <> 'triggered' THEN 'triggered' WHEN state = 'ok' AND p = 'triggered' THEN 'resolved' WHEN state = 'pending' AND p = 'ok' THEN 'pending' END AS transition FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY rule_id, series_key ORDER BY "at"), 'ok') AS p FROM
@@ -105,7 +101,7 @@ _MACHINE = f"""SELECT *, CASE WHEN state = 'triggered' AND p <> 'triggered' THEN
 
 
 def machine(spark: SparkSession, d: str) -> DataFrame:
-    rows = _fixed_key(samples(spark, d))
+    rows = samples(spark, d)
     return alerts.state_machine(rows, rows.select("rule_id", "at").distinct(), rules(spark))
 
 
@@ -461,7 +457,7 @@ def w4(spark, d):
 
 @query("w4_streaming_alerts", v.sql(f"SELECT rule_id, series_key, \"at\", transition FROM ({_MACHINE}) WHERE transition IS NOT NULL", points=v.POINTS, s=_SAMPLES, r=_RULES))
 def w4b(spark, d):
-    rows = _fixed_key(samples(spark, d))
+    rows = samples(spark, d)
     seen = rows.groupBy("rule_id", "series_key").agg(F.min("at").alias("_first"))
     gone = rows.select("rule_id", "at").distinct().join(seen, "rule_id").where("at >= _first").join(rows, ["rule_id", "series_key", "at"], "left").select("rule_id", "series_key", "at", "value")
     return _all(spark, live.alert_transitions(_in_order(spark, gone), rules(spark))).select("rule_id", "series_key", "at", "transition")
