@@ -18,7 +18,7 @@ from glimt.llm.common import row_hash, table
 #: Atomic units; equal texts share one. A shard is off the mean by one unit at most, save where a single unit is larger.
 UNITS = 8_192
 #: Rows of a unit that one task numbers; larger units are dealt over more tasks.
-SLOT_ROWS = 20_000
+SLOT_ROWS = 1_000
 
 
 def _greedy(sizes: Column, capacity: Column) -> Column:
