@@ -146,4 +146,5 @@ def namespaces(rows: DataFrame, search: str = "") -> DataFrame:
 def legend(found: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Per series: last, min, avg and max of its points, and the largest max of all series."""
     out = found.where("v is not null").groupBy(*(quoted(x).alias(x) for x in labels)).agg(F.max_by("v", "t").alias("last"), F.min("v").alias("min"), F.avg("v").alias("avg"), F.max("v").alias("max"))
-    return out.withColumn("worst_max", F.max("max").over(Window.partitionBy(F.lit(0))))
+    worst = out.agg(F.max("max").alias("worst_max")).withColumn("_one", F.lit(1))
+    return out.withColumn("_one", F.lit(1)).join(F.broadcast(worst), "_one").drop("_one")  # one row
