@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from glimt.llm import decontaminate, html_extract, language_id, mixing, quality_rules, secret_scan, sharding, simhash, suffix_dedup, url_filter  # noqa: E402
+from glimt.llm import decontaminate, html_extract, language_id, mixing, near_copies, quality_rules, secret_scan, sharding, simhash, suffix_dedup, url_filter  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, shard string, _text string, spans int"
 LONG = " ".join(f"w{i % 977}x" for i in range(60_000))
@@ -241,6 +241,41 @@ def test_simhash(spark, edge, nothing, monkeypatch):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
+def near_copy_groups(texts):
+    """The smallest place in each text's group, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        words = brute.WORD.findall((t or "").translate(brute.LOWER))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_near_copies(spark, edge, nothing, monkeypatch, few):
+    rng = random.Random(12)
+    monkeypatch.setattr(near_copies, "BROADCAST_KEYS", few)
+    base = [[f"w{rng.randint(0, 40)}" for _ in range(rng.choice([3, 6, 30, 90, 200]))] for _ in range(25)]
+    footer = [f"f{k}" for k in range(30)]
+    texts = []
+    for _ in range(260):
+        rate = rng.choice([0, 0.005, 0.02, 0.05])
+        texts.append(" ".join([w if rng.random() >= rate else rng.choice(["", "zz", "Zz yy"]) for w in rng.choice(base)] + footer * rng.randint(0, 1)))
+    want = near_copy_groups(texts)
+    prints = [brute.simhash(t) for t in texts]
+    far = [i for i, r in enumerate(want) if r != i and not any((prints[i] ^ p).bit_count() <= 3 for p in prints[:i])]
+    assert far  # near-copies that three bits do not reach
+    for data, ids in ((table(spark, texts), want), (edge, near_copy_groups(EDGE[:-1]))):
+        kept = near_copies.keep_one(data)
+        assert kept.columns == data.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(ids))
+    assert near_copies.keep_one(nothing).count() == 0
+
+
 # ---- 9 ---------------------------------------------------------------------------------------------------------
 
 
