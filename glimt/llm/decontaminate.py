@@ -190,13 +190,17 @@ def matchers(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
     return [Matcher(sorted((r["name"], r["text"]) for r in rows.where(part == k).collect()), window) for k in range(blocks)]
 
 
-def find(docs: DataFrame, found: list[Matcher], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_words, n_hit, items (names in order) and spans (first word, end word) of the maximal hit runs.
+_FOUND = "n_words long, items array<string>, spans array<struct<first:long,end:long>>"
 
-    A null or empty text has no words. Repeated rows give repeated results; other columns are left out.
+
+def passes(rows: DataFrame, found: list[Matcher]) -> DataFrame:
+    """The rows, of columns ``_text`` and others, with n_words, items (names in order) and spans of the maximal hit runs over all passes.
+
+    Every pass looks at the whole text and adds to what the passes before it found.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    kind, context = dict(rows.dtypes)["_id"], docs.sparkSession.sparkContext
+    context = rows.sparkSession.sparkContext
+    kept = [c for c, _ in rows.dtypes]
+    schema = "".join(f"{c} {kind}, " for c, kind in rows.dtypes) + _FOUND
     rows = rows.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<first:long,end:long>>").alias("spans"))
 
     def one_pass(shared):
@@ -216,12 +220,22 @@ def find(docs: DataFrame, found: list[Matcher], id_col: str = "doc_id", text_col
                     own = np.concatenate([[False], hit[first_word[i] : first_word[i + 1]], [False]])
                     edge = np.flatnonzero(own[1:] != own[:-1])
                     spans[i] = [{"first": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column("_id"), piece.column("_text"), pa.array(np.diff(first_word)), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))], names=["_id", "_text", "n_words", "items", "spans"])
+                arrays = [pa.array(np.diff(first_word)), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), *arrays], names=[*kept, "n_words", "items", "spans"])
 
         return run
 
     for m in found:
-        rows = rows.mapInArrow(one_pass(context.broadcast(m)), f"_id {kind}, _text string, n_words long, items array<string>, spans array<struct<first:long,end:long>>")
+        rows = rows.mapInArrow(one_pass(context.broadcast(m)), schema)
+    return rows
+
+
+def find(docs: DataFrame, found: list[Matcher], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_words, n_hit, items (names in order) and spans (first word, end word) of the maximal hit runs.
+
+    A null or empty text has no words. Repeated rows give repeated results; other columns are left out.
+    """
+    rows = passes(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), found)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     return rows.select(F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), "items", "spans")
 
@@ -230,41 +244,35 @@ def clean(docs: DataFrame, found: list[Matcher], max_coverage: float = MAX_COVER
     """The rows with all their columns, hit runs cut out of their texts; rows hit over ``max_coverage`` or more are dropped.
 
     A hit run goes from its first word's first byte to its last word's last; a column ``n_chars`` follows the new text.
+    Coverage is judged and runs are cut once, after all passes.
     """
-    context = docs.sparkSession.sparkContext
-
-    def one_pass(shared):
-        def run(batches):
-            for piece in chunks(batches, text_col):
-                column = piece.column(text_col)
+    names = ["_text" if c == text_col else f"_{i}" for i, c in enumerate(docs.columns)]
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
+
+    def cut(batches):
+        for piece in chunks(batches, "_text"):
+            column, spans = piece.column("_text"), piece.column("spans").to_pylist()
+            marked = [i for i, s in enumerate(spans) if s]
+            texts, keep = column.to_pylist(), np.ones(piece.num_rows, bool)
+            if marked:
                 buf = TextBuffer(column)
                 raw = buf.data
-                starts, ends, owner, hashes = words(buf)
-                hit, _ = shared.value.hits(owner, hashes)
-                marked = np.unique(owner[hit])
-                if not len(marked):
-                    yield piece
-                    continue
-                texts, keep = column.to_pylist(), np.ones(buf.n, bool)
+                starts, ends, owner, _ = words(buf)
                 first_word = np.searchsorted(owner, np.arange(buf.n + 1))
-                for i in marked:
-                    own = hit[first_word[i] : first_word[i + 1]]
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
-                    keep[i] = own.mean() < max_coverage
-                    cut, parts = int(buf.offsets[i]), []
-                    for a, b in zip(edge[::2], edge[1::2], strict=True):
-                        parts.append(raw[cut : starts[first_word[i] + a]])
-                        cut = int(ends[first_word[i] + b - 1])
-                    parts.append(raw[cut : buf.offsets[i + 1]])
-                    texts[i] = np.concatenate(parts).tobytes().decode("utf-8")
-                arrays = [pa.array(texts, column.type) if n == text_col else piece.column(n) for n in piece.schema.names]
-                yield pa.RecordBatch.from_arrays(arrays, names=piece.schema.names).filter(pa.array(keep))
-
-        return run
-
-    out = docs
-    for m in found:
-        out = out.mapInArrow(one_pass(context.broadcast(m)), docs.schema)
+            for i in marked:
+                n_hit = sum(s["end"] - s["first"] for s in spans[i])
+                keep[i] = n_hit / (first_word[i + 1] - first_word[i]) < max_coverage
+                at, parts = int(buf.offsets[i]), []
+                for s in spans[i]:
+                    parts.append(raw[at : starts[first_word[i] + s["first"]]])
+                    at = int(ends[first_word[i] + s["end"] - 1])
+                parts.append(raw[at : buf.offsets[i + 1]])
+                texts[i] = np.concatenate(parts).tobytes().decode("utf-8")
+            arrays = [pa.array(texts, column.type) if n == "_text" else piece.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep))
+
+    out = passes(rows, found).select(*names, "spans").mapInArrow(cut, rows.schema)
+    out = out.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
     return out

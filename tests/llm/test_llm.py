@@ -140,6 +140,23 @@ def test_decontamination_edges(spark, edge, nothing):
     assert {r["text"] for r in kept.collect()} == {"keep, ! these words stay here and more and more words too", None} and kept.columns == edge.columns
 
 
+def test_clean_over_several_passes(spark):
+    rng = random.Random(21)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(6)] + [(6, "i0w5 i0w6 i0w7 i0w8 i0w9 i0w10 i0w11 tail0 tail1 tail2")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["x0 x1 x2 x3 x4 " + items[0][1] + " x5 x6 x7 x8 x9 " + items[1][1] + " xa xb xc xd xe xf"]  # 30 % each, 43 % of what one leaves
+    texts += [" ".join(f"y{k}" for k in range(40)) + " " + items[0][1] + " tail0 tail1 tail2 end"]  # windows that overlap
+    texts += ["z " * 60 + items[2][1][:35] + " " + items[3][1] + " " + items[2][1][35:]]  # no window across a cut
+    texts += [" ".join(x for _ in range(9) for x in (" ".join(f"q{rng.randint(0, 99)}" for _ in range(rng.randint(2, 30))), rng.choice(items)[1])) for _ in range(20)] + [None]
+    df = table(spark, texts)
+    one, many = (decontaminate.matchers(bench, limit=limit) for limit in (1 << 24, 40))
+    assert len(one) == 1 and len(many) > 5
+    want = by_id(decontaminate.clean(df, one), "text", "n_chars")
+    assert by_id(decontaminate.clean(df, many), "text", "n_chars") == want
+    kept = {i: t for i, t, _ in want}
+    assert 0 not in kept and kept[1].endswith("y39  end")
+
+
 # ---- 5 ---------------------------------------------------------------------------------------------------------
 
 
