@@ -112,6 +112,19 @@ def test_html(spark, nothing):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_unbalanced_pages(spark):
+    whole = PAGE.replace("{aside}", "")
+    pages = [(i, f"http://h{i % 2}.org/{i}", whole) for i in range(12)] + [(12, "http://lone.org/", whole)]
+    pages += [(20, "http://h0.org/cut", whole[: whole.index("<p>4")]), (21, "http://h1.org/stray", whole.replace("<form>", "<article><form>"))]
+    pages += [(30 + i, "http://all-cut.org/", whole[: whole.index("<p>4")]) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "A & B\nOne two\nThé ree\n4 < 5" for i in (*range(13), 21))
+    assert all(got[i] == "A & B\nOne two\nThé ree" for i in (20, *range(30, 34)))
+    menu = "<html><body><nav><p>menu</p></nav><aside><article><p>side</p></article></aside>{}</body></html>"
+    only = html_extract.extract(spark.createDataFrame([(i, "http://m.org/", menu.format("plain")) for i in range(4)], "page_id long, url string, html string"))
+    assert {r["text"] for r in only.collect()} == {"plain"}
+
+
 # ---- 4 ---------------------------------------------------------------------------------------------------------
 
 
