@@ -37,5 +37,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components not settled in {rounds} rounds")
     own = pairs.groupBy("u").agg(F.min("v").alias("root"))
     return own.select(F.col("u").alias("node"), "root").unionByName(own.select(F.col("root").alias("node"), "root").distinct())

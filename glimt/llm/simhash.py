@@ -23,6 +23,8 @@ from glimt.llm.components import components
 from glimt.llm.textbuf import NOT_SPACE, TextBuffer, chunks
 
 THRESHOLD = 3
+#: The most bits at which the anchors lose no link.
+REACH = 3
 SHINGLE = 3
 #: Fingerprints of an anchor compared at once.
 _BLOCK = 2048
@@ -163,7 +165,9 @@ def compare_at_anchors(threshold: int):
 
 
 def link(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b) with bits as longs: links that connect what is connected, of distinct ``fp``s."""
+    """(a, b) with bits as longs: links that connect what is connected, of distinct ``fp``s. The anchors are exact up to REACH bits."""
+    if threshold > REACH:
+        raise ValueError(f"anchors of two halves lose links at more than {REACH} bits: {threshold}")
     met = prints.select("fp").distinct().mapInArrow(meeting_points, "anchor long, fp long, home boolean")
     dealt = met.repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(compare_at_anchors(threshold), "a long, b long")

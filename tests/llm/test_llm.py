@@ -15,6 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 from glimt.llm import decontaminate, html_extract, language_id, mixing, near_copies, quality_rules, secret_scan, sharding, simhash, suffix_dedup, url_filter  # noqa: E402
+from glimt.llm.components import components  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, shard string, _text string, spans int"
 LONG = " ".join(f"w{i % 977}x" for i in range(60_000))
@@ -271,6 +272,15 @@ def test_simhash(spark, edge, nothing, monkeypatch):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
+def test_simhash_limits(spark, edge):
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(edge, threshold=4)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1)
+    assert {r["root"] for r in components(chain).collect()} == {0} and components(chain.limit(0)).count() == 0
+
+
 def near_copy_groups(texts):
     """The smallest place in each text's group, by comparing all pairs."""
     sets = []
