@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,17 +16,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Cut the lineage: rows are kept in the shared folder of ``spark.checkpoint.dir``, so lost executors lose nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """What ``spark.checkpoint.dir`` names. Only a session on one machine may go without; it gets a temporary folder."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or tempfile.mkdtemp(prefix="spark-checkpoint-")).rstrip("/")
 
-    Only where that setting is absent (tests on one machine) a temporary folder is used instead.
-    """
+
+def stable(df: DataFrame) -> DataFrame:
+    """Cut the lineage: rows are kept in the shared folder of ``spark.checkpoint.dir``, so lost executors lose nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read again; unlike ``stable``, columns that are not asked for are not read."""
+    folder = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each behind as many underscores as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_keys(*columns: str) -> list[Column]:
+    """128 bits of the columns' values in two longs; rows that agree in them can stand for each other."""
+    values = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in columns]
+    return [F.xxhash64(*values), F.xxhash64(F.lit("row"), *values)]
+
+
 def row_hash(*columns: str) -> Column:
     """Tells rows of the same id apart by their content; rows that agree in both can stand for each other."""
     return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns))

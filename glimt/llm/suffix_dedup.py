@@ -19,38 +19,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimt.llm.common import stable, table
-from glimt.llm.textbuf import TextBuffer, chunks, mix
+from glimt.llm.common import stable, table, written
+from glimt.llm.textbuf import TextBuffer, chunks
 
 LENGTH = 400
 GRAM = 64
-#: An anchor found more often than this is dealt by larger pieces of text around it, PIECES for each occurrence.
-HOT, PIECES = 4_000, 8
+#: Anchors found more often than this are hot: their contexts are first counted, then those of MOST different ones or fewer are
+#: sorted like any other group, and wider groups are settled by counting the strings themselves, in PIECES for each context.
+HOT, MOST, PIECES = 4_000, 4_000, 8
 #: Contexts sorted at once, about; a group is never split.
 _BATCH = 4_096
+#: Bytes in which anchors are picked at once.
+_SLICE = 1 << 27
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def pick_anchors(buf: TextBuffer, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the grams that are the smallest (of equals the last) in any window of ``length`` bytes of a text."""
-    n = len(buf.data)
-    window = length - gram + 1
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(n - gram + 1)
-    h = buf.hashes(at, at + gram)
+    h, chosen = buf.grams(gram), [np.zeros(0, np.int64)]
+    for a in range(0, len(buf.data) - length + 1, _SLICE):
+        b = min(a + _SLICE, len(buf.data) - length + 1)  # windows that start in [a, b)
+        start = np.arange(a, b)
+        whole = start + length <= buf.offsets[1:][buf.owner(start)]
+        chosen.append(a + _smallest(h[a : b + length - gram], length - gram + 1, whole))
+    chosen = np.unique(np.concatenate(chosen))
+    return chosen, h[chosen]
+
+
+def _smallest(h: np.ndarray, window: int, use: np.ndarray) -> np.ndarray:
+    """Places of the smallest values in those windows that are in use."""
     low = np.uint64((1 << 28) - 1)
-    key = (h & ~low) | (low - at.astype(np.uint64))
-    width, best = 1, key
+    best = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
+    width = 1
     while width * 2 <= window:
         best = np.minimum(best[: len(best) - width], best[width:])
         width *= 2
     if rest := window - width:
         best = np.minimum(best[: len(best) - rest], best[rest:])
-    start = np.arange(len(best))
-    whole = start + length <= buf.offsets[1:][buf.owner(start)]
-    chosen = np.unique((low - (best & low))[whole].astype(np.int64))
-    return chosen, h[chosen]
+    return np.unique((low - (best & low))[use].astype(np.int64))
 
 
 class Suffixes:
@@ -163,81 +169,54 @@ def repeated_starts(rows: list[bytes], left: np.ndarray, group: np.ndarray, many
 
 _PLACE = pa.struct([("t1", pa.int64()), ("t2", pa.int64()), ("pos", pa.int64())])
 _CONTEXT = "anchor long, lead int, bytes binary, places array<struct<t1:long,t2:long,pos:long>>"
+_RUN = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SPANS_SQL = "array<struct<start:long,end:long>>"
+
+
+def _hash(data: bytes, *key: int) -> tuple[int, int]:
+    """128 bits of a byte string and the numbers that go with it."""
+    digest = hashlib.blake2b(data, digest_size=16, key=b"".join(k.to_bytes(8, "big", signed=True) for k in key)).digest()
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
+def _around(piece: pa.RecordBatch, reach: int, length: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(t1, t2, place, anchor, bytes before it, its context) for rows (_t1, _t2, _text, _at: places and anchors)."""
+    texts = piece.column("_text").cast(pa.binary())
+    for i, (t1, t2, at) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("_t1", "_t2", "_at")), strict=True)):
+        text = texts[i].as_py()
+        for p in at:
+            lead = min(p["pos"], reach)
+            yield t1, t2, p["pos"], p["anchor"], lead, text[p["pos"] - lead : p["pos"] + length]
 
 
 def contexts(length: int, gram: int):
-    """For rows (_t1, _t2, _text, _at: places of repeated anchors and whether they are hot): the bytes around each, equal ones once."""
+    """The bytes around each place, equal ones of a batch once, with the places that they stand for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = length - gram
-        step = -(-(reach + 1) // PIECES)
         for piece in chunks(batches, "_text"):
             found: dict[tuple[int, int, bytes], list[dict]] = {}
-            texts = piece.column("_text").cast(pa.binary())
-            buf = TextBuffer(piece.column("_text"))
-            for i, (t1, t2, at) in enumerate(zip(piece.column("_t1").to_pylist(), piece.column("_t2").to_pylist(), piece.column("_at").to_pylist(), strict=True)):
-                text = texts[i].as_py()
-                pos = np.array([p["pos"] for p in at], np.int64)
-                anchors = buf.hashes(buf.offsets[i] + pos, buf.offsets[i] + pos + gram).view(np.int64)
-                for p, anchor, hot in zip(pos.tolist(), anchors.tolist(), (p["hot"] for p in at), strict=True):
-                    if not hot:
-                        lead = min(p, reach)
-                        found.setdefault((anchor, lead, text[p - lead : p + length]), []).append({"t1": t1, "t2": t2, "pos": p})
-                        continue
-                    for near in range(0, reach + 1, step):  # strings that begin near .. far bytes before the anchor share the bytes between
-                        far, pivot = min(near + step - 1, reach), p - near
-                        if pivot < 0 or p + length - far > len(text):
-                            continue
-                        core = int.from_bytes(hashlib.blake2b(text[pivot : p + length - far], digest_size=8, key=near.to_bytes(4, "big")).digest(), "big", signed=True)
-                        lead = min(pivot, far - near)
-                        found.setdefault((core, lead, text[pivot - lead : pivot + length]), []).append({"t1": t1, "t2": t2, "pos": pivot})
+            for t1, t2, pos, *key in _around(piece, length - gram, length):
+                found.setdefault(tuple(key), []).append({"t1": t1, "t2": t2, "pos": pos})
             if found:
-                keys = list(found)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.binary()), pa.array(list(found.values()), pa.list_(_PLACE))], names=["anchor", "lead", "bytes", "places"])
+                anchor, lead, data = zip(*found, strict=True)
+                arrays = [pa.array(anchor, pa.int64()), pa.array(lead, pa.int32()), pa.array(data, pa.binary()), pa.array(list(found.values()), pa.list_(_PLACE))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "lead", "bytes", "places"])
 
     return run
 
 
-def covered(length: int):
-    """For contexts sorted by anchor: (t1, t2, start, end) of the runs of bytes that repeated strings cover."""
-
-    def work(anchor: list[int], lead: list[int], data: list[bytes], places: list[list[dict]]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int, bytes], int] = {}
-        kept: list[int] = []
-        joint: list[list[dict]] = []
-        for i, key in enumerate(zip(anchor, lead, data, strict=True)):
-            if key in seen:
-                joint[seen[key]].extend(places[i])
-            else:
-                seen[key] = len(kept)
-                kept.append(i)
-                joint.append(list(places[i]))
-        group = np.array([anchor[i] for i in kept])
-        many = np.array([len(p) for p in joint])
-        size = np.unique(group, return_counts=True)
-        useful = np.flatnonzero((size[1][np.searchsorted(size[0], group)] > 1) | (many > 1))
-        if not len(useful):
-            return
-        repeat = repeated_starts([data[kept[i]] for i in useful], np.array([lead[kept[i]] for i in useful]), group[useful], many[useful], length)
-        edge = np.diff(np.pad(repeat, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, first = np.nonzero(edge == 1)
-        _, last = np.nonzero(edge == -1)
-        out: dict[str, list[int]] = {"t1": [], "t2": [], "start": [], "end": []}
-        for i, a, b in zip(row.tolist(), first.tolist(), (last - 1).tolist(), strict=True):
-            for p in joint[useful[i]]:
-                out["t1"].append(p["t1"])
-                out["t2"].append(p["t2"])
-                out["start"].append(p["pos"] - b)
-                out["end"].append(p["pos"] - a + length)
-        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+def in_groups(names: tuple[str, ...], work):
+    """For rows sorted by the first of ``names``: ``work`` on lists of whole groups, about _BATCH rows at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[list, ...] = ([], [], [], [])
+        rest: tuple[list, ...] = tuple([] for _ in names)
         for batch in batches:
-            for mine, name in zip(rest, ("anchor", "lead", "bytes", "places"), strict=True):
+            for mine, name in zip(rest, names, strict=True):
                 mine.extend(batch.column(name).to_pylist())
             while len(rest[0]) > _BATCH:
-                cut = next((i for i in range(_BATCH, 0, -1) if rest[0][i] != rest[0][i - 1]), 0) or next((i for i in range(_BATCH, len(rest[0])) if rest[0][i] != rest[0][i - 1]), 0)
+                edge = lambda i: rest[0][i] != rest[0][i - 1]  # noqa: B023, E731
+                cut = next(filter(edge, range(_BATCH, 0, -1)), 0) or next(filter(edge, range(_BATCH, len(rest[0]))), 0)
                 if not cut:
                     break
                 yield from work(*(x[:cut] for x in rest))
@@ -248,6 +227,155 @@ def covered(length: int):
     return run
 
 
+def _runs(data: list[bytes], lead: list[int], group: list[int], many: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+    """(row, a, b): the strings from a to b bytes before the row's anchor on repeat. Rows of a group are different and lie together."""
+    group, many = np.array(group), np.array(many)
+    size = np.unique(group, return_counts=True)
+    useful = np.flatnonzero((size[1][np.searchsorted(size[0], group)] > 1) | (many > 1))
+    if len(useful):
+        repeat = repeated_starts([data[i] for i in useful], np.array([lead[i] for i in useful]), group[useful], many[useful], length)
+        edge = np.diff(np.pad(repeat, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, first = np.nonzero(edge == 1)
+        _, last = np.nonzero(edge == -1)
+        yield from zip(useful[row].tolist(), first.tolist(), (last - 1).tolist(), strict=True)
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans in order, those that meet as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def covered(length: int):
+    """Work on contexts by anchor: a row (t1, t2, spans) for each text, of the runs of bytes that repeated strings cover."""
+
+    def work(anchor: list[int], lead: list[int], data: list[bytes], places: list[list[dict]]) -> Iterator[pa.RecordBatch]:
+        joint: dict[tuple[int, int, bytes], list[dict]] = {}
+        for key, own in zip(zip(anchor, lead, data, strict=True), places, strict=True):
+            joint.setdefault(key, []).extend(own)
+        group, left, rows = zip(*joint, strict=True)
+        at = list(joint.values())
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for i, a, b in _runs(list(rows), list(left), list(group), [len(p) for p in at], length):
+            for p in at[i]:
+                spans.setdefault((p["t1"], p["t2"]), []).append((p["pos"] - b, p["pos"] - a + length))
+        if spans:
+            t1, t2 = zip(*spans, strict=True)
+            runs = [[{"start": a, "end": b} for a, b in _joined(x)] for x in spans.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(runs, _SPANS)], names=["t1", "t2", "spans"])
+
+    return in_groups(("anchor", "lead", "bytes", "places"), work)
+
+
+def hot_contexts(length: int, gram: int):
+    """The bytes around each place of a hot anchor, equal ones of a text once: (anchor, c1, c2: of the context, lead, bytes, n, t1, t2, at)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in chunks(batches, "_text"):
+            found: dict[tuple, list[int]] = {}
+            for t1, t2, pos, *key in _around(piece, length - gram, length):
+                found.setdefault((t1, t2, *key), []).append(pos)
+            rows = [(anchor, *_hash(data, anchor, lead), lead, data, len(at), t1, t2, at) for (t1, t2, anchor, lead, data), at in found.items()]
+            if rows:
+                yield _batch(rows, _HOT_SCHEMA)
+
+    return run
+
+
+_HOT_SCHEMA = pa.schema([*((c, pa.int64()) for c in ("anchor", "c1", "c2", "lead")), ("bytes", pa.binary()), *((c, pa.int64()) for c in ("n", "t1", "t2")), ("at", pa.list_(pa.int64()))])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def sorted_contexts(length: int):
+    """Work on different contexts by anchor: (c1, c2, runs) of those with strings that repeat."""
+
+    def work(anchor: list[int], c1: list[int], c2: list[int], lead: list[int], data: list[bytes], n: list[int]) -> Iterator[pa.RecordBatch]:
+        runs: dict[int, list[dict]] = {}
+        for i, a, b in _runs(data, lead, anchor, n, length):
+            runs.setdefault(i, []).append({"a": a, "b": b})
+        if runs:
+            yield pa.RecordBatch.from_arrays([pa.array([c1[i] for i in runs], pa.int64()), pa.array([c2[i] for i in runs], pa.int64()), pa.array(list(runs.values()), _RUN)], names=["c1", "c2", "runs"])
+
+    return in_groups(("anchor", "c1", "c2", "lead", "bytes", "n"), work)
+
+
+_PIECE_NAMES = ("c1", "c2", "n", "near", "far", "lo", "hi", "k1", "k2", "e1", "e2")
+
+
+def pieces(length: int, gram: int):
+    """Of contexts: their strings in PIECES by where they start. Strings that begin near .. far bytes before the anchor share the core
+    (k1, k2) between; the piece (e1, e2) is the core with all that they reach. Those that begin lo .. hi bytes before it lie in the text."""
+    reach = length - gram
+    step = -(-(reach + 1) // PIECES)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for c1, c2, n, lead, data in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "n", "lead", "bytes")), strict=True):
+                for near in range(0, reach + 1, step):
+                    far = min(near + step - 1, reach)
+                    lo, hi = max(near, length - (len(data) - lead)), min(far, lead)
+                    if lo > hi:
+                        continue
+                    core = _hash(data[lead - near : lead + length - far], near)
+                    rows.append((c1, c2, n, near, far, lo, hi, *core, *_hash(data[lead - hi : lead + length - lo], near, lo, hi)))
+            if rows:
+                yield _batch(rows, pa.schema([(c, pa.int64()) for c in _PIECE_NAMES]))
+
+    return run
+
+
+def single_strings(length: int):
+    """Of pieces with the bytes of their context: each string (e1, e2, j: bytes before the anchor, w1, w2: of the string, n)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for e1, e2, n, lo, hi, lead, data in zip(*(batch.column(c).to_pylist() for c in ("e1", "e2", "n", "lo", "hi", "lead", "bytes")), strict=True):
+                rows += [(e1, e2, j, *_hash(data[lead - j : lead - j + length], j), n) for j in range(lo, hi + 1)]
+            if rows:
+                yield _batch(rows, pa.schema([(c, pa.int64()) for c in ("e1", "e2", "j", "w1", "w2", "n")]))
+
+    return run
+
+
+def hot_spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(t1, t2, spans) for rows (_t1, _t2, _text, _at) of hot anchors. No group is whole in one task beyond MOST different contexts."""
+    longs = lambda *names: ", ".join(f"{c} long" for c in names)
+    all_at = written(texts.mapInArrow(hot_contexts(length, gram), f"{longs('anchor', 'c1', 'c2', 'lead')}, bytes binary, {longs('n', 't1', 't2')}, at array<long>"))
+    each = written(all_at.groupBy("anchor", "c1", "c2").agg(F.first("lead").alias("lead"), F.first("bytes").alias("bytes"), F.sum("n").alias("n")))
+    wide = stable(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > MOST).select("anchor"))
+    narrow = each.join(wide, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+    run_type = "array<struct<a:long,b:long>>"
+    runs = narrow.mapInArrow(sorted_contexts(length), f"c1 long, c2 long, runs {run_type}")
+    if wide.limit(1).count():
+        wide_each = each.join(wide, "anchor", "left_semi")
+        parts = written(wide_each.select("c1", "c2", "n", "lead", "bytes").mapInArrow(pieces(length, gram), longs(*_PIECE_NAMES)))
+        kinds = parts.groupBy("k1", "k2", "e1", "e2").agg(F.sum("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min(F.struct("c1", "c2")).alias("_one"))
+        kinds = stable(kinds)
+        mixed = kinds.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("k1", "k2")
+        whole = kinds.where("n > 1").select("e1", "e2", F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("runs"))
+        open_ = kinds.join(mixed, ["k1", "k2"], "left_semi").select("e1", "e2", "n", "lo", "hi", "_one.c1", "_one.c2")
+        strings = open_.join(each.select("c1", "c2", "lead", "bytes"), ["c1", "c2"]).mapInArrow(single_strings(length), longs("e1", "e2", "j", "w1", "w2", "n"))
+        strings = written(strings)
+        twice = strings.groupBy("w1", "w2").agg(F.sum("n").alias("_n")).where("_n > 1").select("w1", "w2")
+        single = strings.join(twice, ["w1", "w2"]).groupBy("e1", "e2").agg(F.collect_set(F.struct(F.col("j").alias("a"), F.col("j").alias("b"))).alias("runs"))
+        of_piece = whole.unionByName(single).groupBy("e1", "e2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        of_wide = parts.join(of_piece, ["e1", "e2"]).groupBy("c1", "c2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        runs = runs.unionByName(of_wide)
+    at = all_at.select("c1", "c2", "t1", "t2", "at").join(stable(runs), ["c1", "c2"])
+    span = lambda p, r: F.struct((p - r["b"]).alias("start"), (p - r["a"] + length).alias("end"))
+    return at.select("t1", "t2", F.flatten(F.transform("at", lambda p: F.transform("runs", lambda r: span(p, r)))).alias("spans"))
+
+
 def _keys(id_col: str, text_col: str) -> list[Column]:
     """128 bits of the text, and 128 bits of the row."""
     text, own = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit("\x00"))
@@ -280,12 +408,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     place = F.struct("_t1", "_t2", "pos")
     twice = found.groupBy("anchor").agg(F.min(place).alias("_a"), F.max(place).alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b").select("anchor", (F.col("_n") > HOT).alias("hot"))
     twice = stable(twice)
-    at = found.join(twice, "anchor").groupBy("_t1", "_t2").agg(F.collect_set(F.struct("pos", "hot")).alias("_at"))
-    at = at.join(alike, ["_t1", "_t2"]).where("_copies = 1 or _at is not null").select(*keys, "_at")
     dealt = rows.select("_id", "_text", *keys)
-    around = dealt.join(at, keys).select("_id", "_text", "_t1", "_t2", "_at").mapInArrow(contexts(length, gram), _CONTEXT)
-    spans = around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(covered(length), "t1 long, t2 long, start long, end long")
-    spans = spans.groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+
+    def texts_of(anchors: DataFrame) -> DataFrame:
+        at = found.join(anchors, "anchor").groupBy("_t1", "_t2").agg(F.collect_set(F.struct("pos", "anchor")).alias("_at"))
+        return dealt.join(at.join(alike, ["_t1", "_t2"]).select(*keys, "_at"), keys).select("_id", "_text", "_t1", "_t2", "_at")
+
+    around = texts_of(twice.where("not hot")).mapInArrow(contexts(length, gram), _CONTEXT)
+    spans = around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(covered(length), f"t1 long, t2 long, spans {_SPANS_SQL}")
+    hot = twice.where("hot").select("anchor")
+    if hot.limit(1).count():
+        spans = spans.unionByName(hot_spans(texts_of(hot), length, gram))
+    spans = spans.groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
     known = alike.join(spans, ["_t1", "_t2"], "left")
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,15 +427,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             names = ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
             out: dict[str, list] = {k: [] for k in names[1:]}
             for text, copies, cuts in zip(piece.column("_text").cast(pa.binary()).to_pylist(), piece.column("_copies").to_pylist(), piece.column("_spans").to_pylist(), strict=True):
-                runs: list[list[int]] = []
                 if copies != 1:  # a copy of a whole text; rows that stand for no text find no count
                     runs = [[0, len(text)]] if len(text) >= length else []
                 else:
-                    for s in sorted((c["start"], c["end"]) for c in cuts or ()):
-                        if runs and s[0] <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], s[1])
-                        else:
-                            runs.append(list(s))
+                    runs = _joined([(c["start"], c["end"]) for c in cuts or ()])
                 edges = [0, *(x for r in runs for x in r), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else text
                 for name, value in zip(names[1:], (len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in runs], kept), strict=True):

@@ -14,20 +14,21 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
 CHUNK = 2 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+_BASE = 0x9E3779B97F4A7C15 | 1
+#: Primes below 2^31 and a base for each. Modulo 2^64 some strings collide for every base (Thue-Morse); modulo a prime none do.
+_PRIMES = ((2147483647, 1289706101), (2147483629, 1807369081))
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B^0..B^(n-1) and their inverses modulo 2^64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK + 1024)
-        for name, base in (("up", _BASE), ("down", _INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"][:n], _powers["down"][:n]
+def powers(n: int, base: int, modulus: int) -> np.ndarray:
+    """base^0 .. base^(n-1); a modulus of 0 stands for 2^64."""
+    if len(_powers.get((base, modulus), ())) < n:
+        size, p = max(n, CHUNK + 1024), np.ones(1, np.uint64)
+        while len(p) < size:  # the powers known, times the next one
+            step = np.uint64(pow(base, len(p), modulus or 1 << 64))
+            p = np.concatenate([p, p * step % np.uint64(modulus) if modulus else p * step])
+        _powers[base, modulus] = p[:size]
+    return _powers[base, modulus][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -65,7 +66,7 @@ class TextBuffer:
         self.data = raw[off[0] : off[-1]]
         self.offsets = off - off[0]
         self.n = n
-        self._sums: np.ndarray | None = None
+        self._sums: list[np.ndarray] = []
 
     def text_of(self, i: int) -> str:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().decode("utf-8")
@@ -73,7 +74,7 @@ class TextBuffer:
     def lower_ascii(self) -> "TextBuffer":
         """The same with A-Z as a-z."""
         self.data = LOWER[self.data]
-        self._sums = None
+        self._sums = []
         return self
 
     def spans(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,12 +94,27 @@ class TextBuffer:
         return np.searchsorted(self.offsets, positions, "right") - 1
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte string data[start:end], from prefix sums of a polynomial."""
-        if self._sums is None:
-            up, _ = powers(max(1, len(self.data)))
-            self._sums = np.concatenate([[np.uint64(0)], np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)])])
-        _, down = powers(len(self.data) + 1)
-        return mix((self._sums[ends] - self._sums[starts]) * down[starts])
+        """A 64-bit hash of each byte string data[start:end], from prefix sums of a polynomial modulo two primes."""
+        n = len(self.data)
+        if not self._sums:
+            for prime, base in _PRIMES:
+                terms = (self.data.astype(np.uint64) + np.uint64(1)) * powers(max(1, n), base, prime)[:n]
+                if n >= 1 << 24:  # sums of more terms could pass 2^64
+                    terms %= np.uint64(prime)
+                self._sums.append(np.concatenate([[np.uint64(0)], np.cumsum(terms)]))
+        out = (ends - starts).astype(np.uint64)
+        for (prime, base), sums in zip(_PRIMES, self._sums, strict=True):
+            down = powers(n + 1, pow(base, -1, prime), prime)
+            own = (sums[ends] - sums[starts]) % np.uint64(prime) * down[starts] % np.uint64(prime)
+            out = mix(out ^ own << np.uint64(20))
+        return out
+
+    def grams(self, size: int) -> np.ndarray:
+        """A quick 64-bit hash of the ``size`` bytes from each position on; equal hashes need not mean equal bytes."""
+        n = len(self.data)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(max(1, n), _BASE, 0)[:n])])
+        count = max(0, n - size + 1)
+        return mix((sums[size : size + count] - sums[:count]) * powers(count, pow(_BASE, -1, 1 << 64), 0)[:count])
 
     def counts(self, owner: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         """Per text: how many, or the sum of integer weights."""
