@@ -57,9 +57,17 @@ def row_keys(*columns: str) -> list[Column]:
     return [F.xxhash64(*values), F.xxhash64(F.lit("row"), *values)]
 
 
-def row_hash(*columns: str) -> Column:
-    """Tells rows of the same id apart by their content; rows that agree in both can stand for each other."""
-    return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns))
+def keep_rows(docs: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``docs`` whose ``row_keys`` of the columns are among those of ``keys`` (_k1, _k2); one of rows that agree in them."""
+    a, b = fresh(docs, "_k1", "_k2")
+    k1, k2 = row_keys(*columns)
+    named = keys.select(F.col("_k1").alias(a), F.col("_k2").alias(b)).distinct()
+    return docs.withColumns({a: k1, b: k2}).join(named, [a, b], "left_semi").dropDuplicates([a, b]).select(*map(quoted, docs.columns))
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def bounded(df: DataFrame, key: Column, bound: int, by: str | None = None) -> DataFrame:

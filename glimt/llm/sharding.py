@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glimt.llm.common import row_hash, table
+from glimt.llm.common import row_keys, table
 
 #: Atomic units; equal texts share one. A shard is off the mean by one unit at most, save where a single unit is larger.
 UNITS = 8_192
@@ -50,7 +50,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     unit = F.pmod(F.xxhash64(text), F.lit(units)).cast("int")
-    rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), unit.alias("_unit"), F.xxhash64(row_hash(id_col), F.lit("slot")).alias("_draw"))
+    rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), unit.alias("_unit"), F.xxhash64(*row_keys(id_col)).alias("_draw"))
     by_unit = rows.groupBy("_unit").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
     line = by_unit.agg(F.array_sort(F.collect_list(F.struct("_unit", "_bytes"))).alias("_line")).where(F.size("_line") > 0)
     # walk the line once more with the capacity found; the driver sees the units where a new shard begins, shards - 1 at most

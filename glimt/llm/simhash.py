@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimt.llm.common import row_hash, stable, table
+from glimt.llm.common import keep_rows, row_keys, stable, table
 from glimt.llm.components import components
 from glimt.llm.textbuf import NOT_SPACE, TextBuffer, chunks
 
@@ -188,9 +188,10 @@ def fingerprint_rows(docs: DataFrame, text_col: str = "text", keep: list[str] |
 
 
 def classes(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(_id, _row: content hash, _fp) of each row, and (_fp, _class, component_id) of each fingerprint."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), row_hash(id_col, text_col).alias("_row"))
-    prints = stable(fingerprint_rows(rows, "_text", ["_id", "_row"]))
+    """(_id, _k1, _k2: content hash, _fp) of each row, and (_fp, _class, component_id) of each fingerprint."""
+    k1, k2 = row_keys(id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), k1.alias("_k1"), k2.alias("_k2"))
+    prints = stable(fingerprint_rows(rows, "_text", ["_id", "_k1", "_k2"]))
     roots = components(link(prints.select(F.col("_fp").alias("fp")), threshold))
     found = prints.groupBy("_fp").agg(F.min("_id").alias("_least"))
     found = found.join(roots, F.col("_fp") == F.col("node"), "left").withColumn("_class", F.coalesce("root", "_fp"))
@@ -211,13 +212,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all columns, of which one stays of each group of near-duplicates: the one of the smallest id (null last).
 
-    Rows of one id fall by content hash; of rows that agree in both one stays.
+    Rows of one id fall by 128 bits of their content; of rows that agree in both one stays. Columns of any name pass through.
     """
     prints, named = classes(docs, threshold, id_col, text_col)
-    first = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")
-    stay = prints.join(named, "_fp").groupBy("_class").agg(F.min(first).alias("_stay")).select("_stay._row").distinct()
-    rows = docs.withColumn("_row", row_hash(id_col, text_col))
-    return rows.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    first = F.struct(F.col("_id").isNull().alias("none"), "_id", "_k1", "_k2")
+    stay = prints.join(named, "_fp").groupBy("_class").agg(F.min(first).alias("_stay")).select("_stay._k1", "_stay._k2")
+    return keep_rows(docs, stay, id_col, text_col)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
