@@ -70,6 +70,15 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def each_copy(rows: DataFrame, count: str, name: str, keys: list[str], at_once: int = 1_000) -> DataFrame:
+    """``count`` rows for each row, numbered from 0 in ``name``. Those with very many are dealt over the tasks before they are made."""
+    few, many = rows.where(F.col(count) <= at_once), rows.where(F.col(count) > at_once)
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / at_once).cast("long")))
+    many = many.withColumn("_deal", first).repartition(*keys, "_deal").withColumn("_from", F.col("_deal") * at_once)
+    last = F.least(F.col("_from") + at_once, F.col(count)) - 1
+    return few.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))).unionByName(many.withColumn(name, F.explode(F.sequence("_from", last))).drop("_deal", "_from"))
+
+
 def bounded(df: DataFrame, key: Column, bound: int, by: str | None = None) -> DataFrame:
     """About ``bound`` rows (of each value of ``by``) with the lowest hashes of ``key``: the same rows in every run.
 

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glimt.llm.common import join_checked, stable, table
+from glimt.llm.common import each_copy, fresh, join_checked, quoted, stable, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words of the mix, as a share of all words.
@@ -56,49 +56,51 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, budget: floa
     return ranked.select("source", "source_size", "rows", target.alias("target"))
 
 
-def identity(id_col: str, text_col: str, source_col: str) -> list[Column]:
-    """128 bits of a row's id, text and source; rows that agree in all three are taken alike."""
-    content = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (id_col, text_col, source_col)]
-    return [F.xxhash64(*content).alias("_row"), F.xxhash64(F.lit("mix"), *content).alias("_row2")]
+def identity(docs: DataFrame, first: str, second: str) -> list[Column]:
+    """128 bits of a row's whole content; rows that agree in them are copies of each other."""
+    plain = lambda c, kind: F.to_json(F.struct(quoted(c))) if "map<" in kind or "variant" in kind else quoted(c)
+    values = [x for c, kind in docs.dtypes for x in (plain(c, kind), quoted(c).isNull())]
+    return [F.xxhash64(*values).alias(first), F.xxhash64(F.lit("mix"), *values).alias(second)]
 
 
 def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, seed: int = 0) -> DataFrame:
-    """(_row, _row2, _id, _n, source, size, source_size, target, _key, block, copies) for each different row; _n of them are alike.
+    """(_row, _row2, _i, _id, source, size, source_size, target, _key, block, copies) for each row; rows that are alike differ in _i, from 0 on.
 
     All rows are taken floor(target / source size) times; the rest comes from the source's blocks in the order of the permutation.
     The block that the rest ends in is cut at a row, and the row that comes closest to closing the gap is added.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), *identity(id_col, text_col, source_col))
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(source_col).cast("string").alias("source"), size_of(quoted(text_col)).alias("size"), *identity(docs, "_row", "_row2"))
     # words are counted once; these few bytes a row are read several times
     rows = stable(rows.groupBy("_row", "_row2").agg(F.first("_id").alias("_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count(F.lit(1)).alias("_n")))
-    rows = rows.withColumns({"_all": F.col("size") * F.col("_n"), "_perm": F.xxhash64("_row", "_row2", F.lit(seed)), "_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))})
-    sources = rows.groupBy("source").agg(F.sum("_all").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    rows = each_copy(rows, "_n", "_i", ["_row", "_row2"]).drop("_n")
+    rows = rows.withColumns({"_perm": F.xxhash64("_row", "_row2", "_i", F.lit(seed)), "_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))})
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     base = F.least(F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), F.lit(repeats)).cast("int")
     # blocks hold BLOCK_ROWS rows, and more where a source has very many, so that neither blocks nor rows of a block get out of hand
     height = F.greatest(F.lit(float(BLOCK_ROWS)), F.sqrt("rows") * 2)
     plan = targets(sources, weights, budget, repeats).withColumns({"_blocks": F.ceil(F.col("rows") / height).cast("long"), "_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "_base": base})
     plan = plan.withColumn("_rest", F.greatest(F.col("target") - F.col("_base") * F.col("source_size"), F.lit(0.0)))
     rows = join_checked(rows, plan.drop("source", "rows"), "_key", F.col("_perm")).withColumn("block", F.pmod("_perm", F.col("_blocks")))
-    blocks = rows.groupBy("_key", "block").agg(F.sum("_all").alias("_size"), F.first("_rest").alias("_rest"))
+    blocks = rows.groupBy("_key", "block").agg(F.sum("size").alias("_size"), F.first("_rest").alias("_rest"))
     ahead = Window.partitionBy("_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_ahead", F.coalesce(F.sum("_size").over(ahead), F.lit(0)))
     state = F.when(F.col("_ahead") + F.col("_size") <= F.col("_rest"), 2).when(F.col("_ahead") < F.col("_rest"), 1).otherwise(0)
     blocks = blocks.select("_key", "block", state.alias("_state"), (F.col("_rest") - F.col("_ahead")).alias("_gap"))
     # the one cut block of each source, row by row
-    edge = rows.join(blocks.where("_state = 1").select("_key", "block", "_gap"), ["_key", "block"]).select("_key", "_row", "_row2", "_perm", "_all", "_gap")
+    edge = rows.join(blocks.where("_state = 1").select("_key", "block", "_gap"), ["_key", "block"]).select("_key", "_row", "_row2", "_i", "_perm", F.col("size").alias("_all"), "_gap")
     whole = Window.partitionBy("_key")
     edge = edge.withColumns({"_take": F.lit(False), "_left": F.col("_gap")})
     for _ in range(ROUNDS):  # large rows first; those too large for what is left are passed over
         fits = ~F.col("_take") & (F.col("_all") <= F.col("_left"))
-        upto = F.sum(F.when(fits, F.col("_all")).otherwise(0)).over(whole.orderBy(F.col("_all") * 16 <= F.col("_gap"), "_perm", "_row", "_row2").rowsBetween(Window.unboundedPreceding, 0))
+        upto = F.sum(F.when(fits, F.col("_all")).otherwise(0)).over(whole.orderBy(F.col("_all") * 16 <= F.col("_gap"), "_perm", "_row", "_row2", "_i").rowsBetween(Window.unboundedPreceding, 0))
         edge = edge.withColumn("_take", F.col("_take") | (fits & (upto <= F.col("_left"))))
         edge = edge.withColumn("_left", F.col("_gap") - F.coalesce(F.sum(F.when(F.col("_take"), F.col("_all"))).over(whole), F.lit(0)))
     edge = edge.withColumn("_off", F.abs(F.col("_all") - F.col("_left")))
-    edge = edge.withColumn("_nearest", F.row_number().over(whole.orderBy("_take", "_off", "_perm", "_row", "_row2")) == 1)
-    extra = edge.where(F.col("_take") | (F.col("_nearest") & ~F.col("_take") & (F.col("_off") < F.col("_left")))).select("_row", "_row2", F.lit(1).alias("_extra"))
-    rows = rows.join(blocks.select("_key", "block", "_state"), ["_key", "block"]).join(extra, ["_row", "_row2"], "left")
+    edge = edge.withColumn("_nearest", F.row_number().over(whole.orderBy("_take", "_off", "_perm", "_row", "_row2", "_i")) == 1)
+    extra = edge.where(F.col("_take") | (F.col("_nearest") & ~F.col("_take") & (F.col("_off") < F.col("_left")))).select("_row", "_row2", "_i", F.lit(1).alias("_extra"))
+    rows = rows.join(blocks.select("_key", "block", "_state"), ["_key", "block"]).join(extra, ["_row", "_row2", "_i"], "left")
     copies = F.col("_base") + F.when(F.col("_state") == 2, 1).otherwise(F.coalesce("_extra", F.lit(0)))
-    return rows.select("_row", "_row2", "_id", "_n", "source", "size", "source_size", "target", "_key", "block", copies.alias("copies"))
+    return rows.select("_row", "_row2", "_i", "_id", "source", "size", "source_size", "target", "_key", "block", copies.alias("copies"))
 
 
 def split(drawn: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
@@ -117,16 +119,19 @@ def split(drawn: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
     """The mix itself: rows of ``docs``, all columns, once for each taken copy, with ``mix_shard`` and ``mix_order`` (random in the shard).
 
-    Null and empty texts have size 0; repeated rows are taken alike; no rows give no result. Texts are shuffled once.
+    Null and empty texts have size 0; of repeated rows each is dealt alone; no rows give no result; columns of ``docs`` that have the two
+    new names are replaced. Texts are shuffled once.
     """
     placed = split(draw(docs, id_col, text_col, source_col, seed=seed, **options), shards, seed)
-    placed = placed.where("copies > 0").select("_row", "_row2", F.posexplode("shards").alias("_copy", "mix_shard"))
-    named = docs.select("*", *identity(id_col, text_col, source_col))
-    order = F.xxhash64("_row", "_row2", "_copy", F.lit(seed), F.lit("order"))
-    return named.join(placed, ["_row", "_row2"]).select(*docs.columns, "mix_shard", order.alias("mix_order"))
+    a, b, mine, order = fresh(docs, "_row", "_row2", "_mix_shard", "_mix_order")
+    placed = placed.where("copies > 0").select(F.col("_row").alias(a), F.col("_row2").alias(b), "_i", F.posexplode("shards").alias("_copy", mine))
+    placed = placed.select(a, b, mine, F.xxhash64(a, b, "_i", "_copy", F.lit(seed), F.lit("order")).alias(order))
+    # of rows that are alike one stands for all that are taken
+    named = docs.select("*", *identity(docs, a, b)).dropDuplicates([a, b]).join(placed, [a, b])
+    kept = [quoted(c) for c in docs.columns if c.lower() not in ("mix_shard", "mix_order")]
+    return named.select(*kept, F.col(mine).alias("mix_shard"), F.col(order).alias("mix_order"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = split(draw(table(spark, sf_dir, "documents")))
-    each = placed.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    return each.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies", "shards")
+    return placed.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies", "shards")

@@ -8,6 +8,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,19 +181,26 @@ def test_mixing(spark, nothing):
     texts = [" ".join("w" * rng.randint(1, 60)).strip() if rng.random() < 0.97 else None for _ in range(900)]
     rows = [(i, t, None if i % 10 == 0 else f"s{int(i**0.5) % 5}") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows + rows[5:7], "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
-    run = lambda: mixing.split(mixing.draw(df)).select("_id", "source", "size", "source_size", "target", "copies", "shards", "_n").orderBy("_id").collect()
+    run = lambda: mixing.split(mixing.draw(df)).select("_id", "source", "size", "source_size", "target", "copies", "shards", "_i").orderBy("_id", "_i").collect()
     got = run()
     sizes = {}
     for _, t, s in rows + rows[5:7]:
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
     want = brute.mix_targets(sizes)
-    taken = {s: sum(r["size"] * r["copies"] * r["_n"] for r in got if r["source"] == s) for s in sizes}
+    taken = {s: sum(r["size"] * r["copies"] for r in got if r["source"] == s) for s in sizes}
     for r in got:
         assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6 and 0 <= r["copies"] <= 2 and len(r["shards"]) == r["copies"] and all(0 <= x < 8 for x in r["shards"])
     assert all(abs(taken[s] - want[s]) <= 30 for s in sizes), (taken, want)
     assert run() == got
     mixed = mixing.mix(df)
-    assert mixed.count() == sum(r["copies"] * r["_n"] for r in got) and mixed.columns[:4] == df.columns
+    assert mixed.count() == sum(r["copies"] for r in got) and mixed.columns[:4] == df.columns
+    same = spark.createDataFrame([(1, "one two three", "a")] * 4000 + [(2, "word " * 9, "b"), (None, None, None)] * 3, "doc_id long, text string, source string")
+    taken = {r["_key"]: r["t"] for r in mixing.draw(same).groupBy("_key").agg(F.sum(F.col("size") * F.col("copies")).alias("t")).collect()}
+    want = brute.mix_targets({"a": 12000, "b": 27, None: 0})
+    assert abs(taken["=a"] - want["a"]) <= 3 and abs(taken["=b"] - want["b"]) <= 9 and mixing.mix(same).where("doc_id = 1").count() == taken["=a"] / 3
+    clash = df.withColumns({"_row": F.lit(1), "_row2": F.lit(2), "mix_shard": F.lit("x"), "_i": F.lit(7), "_copy": F.lit(0)})
+    clashed = mixing.mix(clash).collect()
+    assert abs(len(clashed) / mixed.count() - 1) < 0.1 and all((r["_row"], r["_row2"], r["_i"]) == (1, 2, 7) and 0 <= r["mix_shard"] < 8 for r in clashed)
     assert mixing.mix(nothing).count() == 0 and mixing.split(mixing.draw(nothing)).count() == 0
 
 
@@ -213,6 +221,8 @@ def test_sharding(spark, edge, nothing, monkeypatch):
     units = df.groupBy(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(64)).alias("u")).agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("b")).orderBy("u").collect()
     loads = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)]
     assert max(loads) <= brute.smallest_capacity([u["b"] for u in units], 8)
+    same = sharding.shard(spark.createDataFrame([(None, "t")] * 2500 + [(1, "u")] * 1700 + [(k, "v") for k in range(300)], "doc_id long, text string")).collect()
+    assert sorted((r["shard"], r["slot"]) for r in same) == sorted((s, k) for s in {r["shard"] for r in same} for k in range(sum(r["shard"] == s for r in same)))
     assert sharding.shard(edge).count() == edge.count() and sharding.shard(nothing).count() == 0
 
 
@@ -357,6 +367,41 @@ def test_quality(spark, edge, nothing):
     assert quality_rules.apply(nothing, model).count() == 0
 
 
+def test_hashes_do_not_collide():
+    """Thue-Morse words and their complements are alike modulo 2^64, whatever the base."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    text = f"{word}\n{other}\n" + f"{word} {other} p q r s {other} {word} p q r t"
+    stats = quality_rules.document_statistics(quality_rules.TextBuffer(pa.array([text])))
+    assert tuple(int(stats[k][0]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute.statistics(text)
+    buf = quality_rules.TextBuffer(pa.array(["x" * 17_000_000 + " ab ab", "ab"]))
+    at = np.array([17_000_001, 17_000_004, 17_000_006, 0])
+    assert [int(h) == int(buf.hashes(at, at + 2)[0]) for h in buf.hashes(at, at + 2)] == [True, True, True, False]
+
+
+def test_verdict_of_the_trees(spark):
+    """``kept`` by a walk through the nodes, row by row."""
+    rng = random.Random(31)
+    good = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "epsilon,"], k=rng.randint(20, 60))) for _ in range(150)]
+    bad = ["".join(rng.choice("#$|*&") if rng.random() < 0.3 else c for c in t.upper()) for t in good[:75]]
+    df = table(spark, good + bad)
+    model = quality_rules.fit(df, spark.createDataFrame([(i, int(i < 150)) for i in range(225)], "doc_id long, quality int"))
+    got = {r["doc_id"]: r for r in quality_rules.apply(df, model).collect()}
+    for i, text in enumerate(good + bad):
+        x = quality_rules.document_statistics(quality_rules.TextBuffer(pa.array([text])))["features"][0]
+        total = model.base
+        for t in range(len(model.feature)):
+            node = 0
+            while model.left[t][node] != node:
+                node = (model.left if x[model.feature[t][node]] <= model.cut[t][node] else model.right)[t][node]
+            total += model.value[t][node]
+        score = 1 / (1 + np.exp(-total))
+        assert abs(got[i]["score"] - score) < 1e-9 and got[i]["kept"] == (not got[i]["base_failed"] and score >= model.threshold)
+    assert sum(not got[i]["kept"] for i in range(150, 225)) >= 70 and len(model.feature)
+
+
 def test_trees_are_monotonic():
     rng = np.random.default_rng(5)
     x = rng.random((1500, 3))
@@ -394,7 +439,7 @@ def test_language_id(spark, edge, nothing):
 
 
 def test_probabilities_sum_to_one():
-    model = language_id.kneser_ney(["x"], [tuple(np.unique(language_id.grams(language_id.characters(__import__("pyarrow").array(["abracadabra banana bandana cab"]))[0], 4), return_counts=True))])
+    model = language_id.kneser_ney(["x"], [tuple(np.unique(language_id.grams(language_id.characters(pa.array(["abracadabra banana bandana cab"]))[0], 4), return_counts=True))])
     symbols = sorted({int(k) for k in "abrcdn".encode()} | {32})
     for context in ([32, 97, 98], [97, 110, 97], [113, 113, 97]):
         p = [float(np.exp(model.log_p(np.array([*context, s], np.uint64))[0, 0])) for s in symbols]
