@@ -121,3 +121,24 @@ def smallest_capacity(sizes, shards):
     while need(cap) > shards:
         cap += 1
     return cap
+
+
+def cut_slots(pages, slots):
+    """Host (None: all) -> paths to cut, from (host, slots of a page) with vectors written out in full."""
+    seen = {}
+    for nth, (host, html) in enumerate(pages):
+        for h in (host, None):
+            for path, token, n, chars, linked, text in slots(html):
+                s = seen.setdefault((h, path), {}).setdefault(token, {"vector": [], "chars": 0, "linked": 0, "pages": set(), "texts": set()})
+                s["vector"].append((nth, n))
+                s["chars"] += chars
+                s["linked"] += linked
+                s["pages"].add(html)
+                s["texts"].add(text)
+    out = {}
+    for (host, path), tokens in seen.items():
+        tag = tokens[0]
+        fixed = sum(s["chars"] for token, s in tokens.items() if token and s["vector"] == tag["vector"])
+        if tag["chars"] and len(tag["pages"]) >= 3 and (2 * fixed >= tag["chars"] or 2 * tag["linked"] >= tag["chars"] or 2 * len(tag["texts"]) < len(tag["pages"])):
+            out.setdefault(host, set()).add(path)
+    return out

@@ -4,6 +4,7 @@ texts, ties, repeated rows, empty tables, and extra columns with clashing names.
 import hashlib
 import random
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -128,6 +129,59 @@ def test_html_unbalanced_pages(spark):
     assert {r["text"] for r in only.collect()} == {"plain"}
 
 
+def body(i, rng):
+    """A page whose class names say nothing: links, a fixed line, a line from a small pool, and the text between them."""
+    text = " ".join(rng.choices(["ka", "lo", "mi", "ta", "ru", "se"], k=rng.randint(8, 30)))
+    more = f"<div class=q8>Send this page on {i % 7}</div>" if i % 3 else ""
+    return f"<html><body><div class=q1><a href=/>Start</a> <a href=/x>{text[:5]}</a></div><div class=q2>Write to us at any time</div><div class=q3><p>{text}</p>{more}<p>end {i}</p></div><div class=q4>{['Buy one', 'Get two'][i % 2]}</div></body></html>", f"{text}\nend {i}"
+
+
+def test_html_template_decides(spark):
+    rng = random.Random(17)
+    made = [body(i, rng) for i in range(40)]
+    hosts = ["a.org"] * 18 + ["b.org"] * 17 + [f"lone{i}.org" for i in range(5)]
+    rows = [(i, f"http://{h}/{i}", page, "clash", 1, "x") for i, (h, (page, _)) in enumerate(zip(hosts, made, strict=True))]
+    rows += rows[:6]  # repeated rows
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, cut int, `te.xt` string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == {i: t for i, (_, t) in enumerate(made)}
+    got = {r["host"]: set(r["cut"]) for r in html_extract.templates(df.select(html_extract.host_of(F.col("url")).alias("host"), "html")).collect()}
+    want = brute.cut_slots([(u.split("/")[2], h) for _, u, h, *_ in rows], lambda h: list(html_extract.slots(html_extract.parse(h))))
+    assert got == want and len(want) > 2
+    # without their host's other pages the names say nothing
+    alone = html_extract.extract(df.where("page_id = 0")).first()["text"]
+    assert alone != made[0][1] and made[0][1].split("\n")[0] in alone
+
+
+def test_html_against_plain_templates(spark):
+    rng = random.Random(23)
+    word = lambda: rng.choice(["ka", "lo", "mi", "ta", "ru"])
+    tag = lambda: rng.choice(["div", "div class=u1", "section", "ul", "div id=v2", "article"])
+
+    def block(depth):
+        name = tag()
+        inner = " ".join(f"<a>{word()}</a>" if rng.random() < 0.2 else word() if rng.random() < 0.7 or depth > 2 else block(depth + 1) for _ in range(rng.randint(0, 5)))
+        return f"<{name}>{inner}" + f"</{name.split()[0]}>" * (rng.random() < 0.95)
+
+    pages = [(rng.choice(["a.org", "b.org", "c.org", ""]), "<body>" + "".join(block(0) for _ in range(rng.randint(0, 4)))) for _ in range(120)]
+    df = spark.createDataFrame(pages, "host string, html string").repartition(5)
+    got = {r["host"]: set(r["cut"]) for r in html_extract.templates(df).collect()}
+    assert got == brute.cut_slots(pages, lambda h: list(html_extract.slots(html_extract.parse(h))))
+
+
+def test_html_loses_no_text():
+    text = lambda page: html_extract.main_text(html_extract.parse(page), frozenset())
+    assert text("<article class=x>one</article><p>no</p><article class=y>two</article>") == "one\ntwo"
+    assert text("<body>a<button>b<p>c") == "a b\nc".replace(" ", "") and text("<p>a<svg><p>b<object>c") == "a\nbc"
+    assert text("<div class=ad>open<p>still text</div></div>") == "" and text("<div class=ad>open<p>still text") == "open\nstill text"
+    assert text("<p>x<script>never closed <p>y") == "x" and text("a<style>b</style>c<SCRIPT>d</script >e") == "ace"
+    assert text("<div><nav><div>menu</nav>text</div>") == "text" and text("<main>m<article>only</article></main>") == "only"
+    for page in ('<a "' * 150_000, "<div>" * 90_000 + "x" + "</nav>" * 90_000, "<!" * 400_000, "<a '<b \"" * 100_000, "<svg>" * 200_000, "<i>" * 300_000 + "é" * 100_000):
+        began = time.time()
+        text(page)
+        list(html_extract.slots(html_extract.parse(page)))
+        assert time.time() - began < 5
+
+
 # ---- 4 ---------------------------------------------------------------------------------------------------------
 
 
