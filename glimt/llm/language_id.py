@@ -15,15 +15,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimt.llm.common import bounded, stable, table
+from glimt.llm.common import bounded, quoted, stable, table
 from glimt.llm.hashtable import HashTable
 from glimt.llm.textbuf import chunks
 
 ORDER = 4
 #: Training rows per language, at most about this many (whole texts).
 TRAIN_ROWS = 1_500
-#: Rejected: further above the usual cross-entropy than this many times the worst training row is (by its length) ...
-SLACK = 2.0
+#: Of the sampled rows, one in so many is left out of the counts to calibrate on.
+CALIBRATE = 4
+#: Rejected: further above the usual cross-entropy than SLACK times this quantile of the rows left out (by their length) ...
+QUANTILE, SLACK = 0.99, 1.5
 #: ... and this share of the way from there to what a blind guess costs.
 MARGIN = 0.3
 #: Cross-entropy differences are sharpened by this many characters to give a score.
@@ -97,7 +99,8 @@ class Model:
         if len(miss):
             where = miss if at is None else at[miss]
             if n == 1:
-                out[miss] = self.unseen
+                # no language has the symbol: what each one's smallest model leaves, evenly
+                out[miss] = self.unseen + self.gammas[0].values[self.gammas[0].find(np.zeros(1, np.uint64))[0]] if len(self.gammas[0].keys) else self.unseen
                 return out
             lower = self.log_p(symbols, n - 1, where)
             context = self.gammas[n - 1].find(key[miss] >> np.uint64(16))
@@ -175,7 +178,11 @@ def kneser_ney(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]
 def fit(training: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on about ``rows`` whole texts a language; None if there is nothing to learn from."""
     known = training.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_lang is not null and _text is not null")
-    sample = stable(bounded(known, F.col("_id"), rows, by="_lang").select("_text", "_lang"))  # read twice
+    aside = (F.pmod(F.xxhash64("_id", "_text", F.lit("calibrate")), F.lit(CALIBRATE)) == 0).alias("_aside")
+    sample = stable(bounded(known, F.col("_id"), rows, by="_lang").select("_text", "_lang", aside))  # read twice
+    # a language with too few rows to leave any out is calibrated on what it was counted on
+    few = [r["_lang"] for r in sample.groupBy("_lang").agg(F.count_if("_aside").alias("n")).where("n < 20").collect()]
+    counted, tried = sample.where(~F.col("_aside") | F.col("_lang").isin(few)), sample.where(F.col("_aside") | F.col("_lang").isin(few))
 
     def count(batches):
         for piece in chunks(batches, "_text", PIECE):
@@ -187,7 +194,7 @@ def fit(training: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", tex
                     found, n = found[found & np.uint64(0xFFFF) != 0], n[found & np.uint64(0xFFFF) != 0]
                     yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "gram": found.view(np.int64), "n": n})
 
-    found = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = counted.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if found.empty:
         return None
     found = found.assign(gram=found["gram"].to_numpy(np.int64).view(np.uint64)).sort_values(["lang", "gram"])
@@ -202,13 +209,13 @@ def fit(training: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", tex
             use = (own >= 0) & (size > 0)
             yield pa.RecordBatch.from_pydict({"own": own[use], "ce": ce[np.flatnonzero(use), own[use]], "size": size[use]})
 
-    fits = sample.mapInArrow(calibrate, "own long, ce double, size long").toPandas()
+    fits = tried.mapInArrow(calibrate, "own long, ce double, size long").toPandas()
     model.usual, model.limit = np.zeros(len(languages)), np.full(len(languages), np.inf)
     for i in range(len(languages)):
         own = fits[fits["own"] == i]
-        model.usual[i] = np.average(own["ce"], weights=own["size"])
+        model.usual[i] = np.average(own["ce"], weights=own["size"]) if len(own) else -model.unseen
         away = (own["ce"] - model.usual[i]) * np.sqrt(own["size"])
-        model.limit[i] = SLACK * max(float(away.max()), 3 * float(away.std(ddof=0)))
+        model.limit[i] = SLACK * max(float(np.quantile(away, QUANTILE)), 3 * float(away.std(ddof=0))) if len(own) else np.inf
     return model
 
 
@@ -242,14 +249,17 @@ def judged(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray,
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that are not rejected."""
+    """The rows, with all their columns (of any name), that are not rejected: null and letterless texts go, repeated rows go or stay alike."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["_text" if c == text_col else f"_{i}" for i, c in enumerate(docs.columns)]
+    rows = docs.select(*(quoted(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
 
     def run(batches):
-        for piece in chunks(batches, text_col, PIECE):
-            yield piece.filter(pa.array(~judged(shared.value, piece.column(text_col))[2]))
+        for piece in chunks(batches, "_text", PIECE):
+            yield piece.filter(pa.array(~judged(shared.value, piece.column("_text"))[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    kept = rows.mapInArrow(run, rows.schema)
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

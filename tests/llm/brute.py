@@ -142,3 +142,24 @@ def cut_slots(pages, slots):
         if tag["chars"] and len(tag["pages"]) >= 3 and (2 * fixed >= tag["chars"] or 2 * tag["linked"] >= tag["chars"] or 2 * len(tag["texts"]) < len(tag["pages"])):
             out.setdefault(host, set()).add(path)
     return out
+
+
+class KneserNey:
+    """One language's interpolated 4-gram model, from its 4-grams and their counts."""
+
+    def __init__(self, grams):
+        self.counts = [None, None, None, grams]
+        for k in (2, 1, 0):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+
+    def p(self, gram, alphabet):
+        if not gram:
+            return 1 / alphabet
+        own = self.counts[len(gram) - 1]
+        lower = self.p(gram[1:], alphabet)
+        after = [n for g, n in own.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return lower
+        ones, twos = (sum(n == k for n in own.values()) for k in (1, 2))
+        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+        return max(own.get(gram, 0) - discount, 0) / sum(after) + discount * len(after) / sum(after) * lower

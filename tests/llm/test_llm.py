@@ -492,6 +492,37 @@ def test_language_id(spark, edge, nothing):
     assert language_id.fit(nothing) is None and {r["lang_pred"] for r in language_id.apply(edge, None).collect()} == {"und"}
 
 
+def test_kneser_ney_against_plain():
+    """Interpolated Kneser-Ney by its definition, on a few hundred characters of two languages."""
+    rng = random.Random(3)
+    texts = {lang: [t for x, t in languages(rng, 40, 30) if x == lang] for lang in ("aa", "bb")}
+    arrays = {lang: language_id.characters(pa.array(t)) for lang, t in texts.items()}
+    counts = []
+    for symbols, first, count in arrays.values():
+        grams, n = np.unique(language_id.grams(symbols, 4), return_counts=True)
+        keep = grams & np.uint64(0xFFFF) != 0
+        counts.append((grams[keep], n[keep]))
+    model = language_id.kneser_ney(list(arrays), counts)
+    plain = [brute.KneserNey({tuple(int(g) >> 16 * k & 0xFFFF for k in (3, 2, 1, 0)): int(n) for g, n in zip(*c, strict=True)}) for c in counts]
+    alphabet = len({g[-1] for k in plain for g in k.counts[0]}) + 1
+    for text in (texts["aa"][0], texts["bb"][0][:40], "loka ß zz", "q"):
+        ce, size = model.cross_entropy(pa.array([text]))
+        symbols = language_id.characters(pa.array([text]))[0].astype(int).tolist()
+        for i, k in enumerate(plain):
+            want = -sum(np.log(k.p(tuple(symbols[j - 3 : j + 1]), alphabet)) for j in range(3, 3 + int(size[0]))) / size[0]
+            assert abs(ce[0, i] - want) < 1e-4, (text, i)
+
+
+def test_language_rejection(spark):
+    rng = random.Random(5)
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(languages(rng, 600))]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    clean = [t for _, t in languages(rng, 300)]
+    noise = ["".join(rng.choices("bcdfghjqwxz ", k=n)) for n in (40, 100, 400) for _ in range(30)]
+    got = [model.judge(pa.array(t))[2] for t in (clean, noise)]
+    assert got[0].sum() == 0 and got[1].mean() > 0.95
+
+
 def test_probabilities_sum_to_one():
     model = language_id.kneser_ney(["x"], [tuple(np.unique(language_id.grams(language_id.characters(pa.array(["abracadabra banana bandana cab"]))[0], 4), return_counts=True))])
     symbols = sorted({int(k) for k in "abrcdn".encode()} | {32})
