@@ -7,22 +7,23 @@ some item. Where that suffix is as long as a window, the window occurs and its w
 
 from __future__ import annotations
 
-import hashlib
 import math
+from array import array
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimt.llm.common import table
+from glimt.llm.common import quoted, table
 from glimt.llm.hashtable import HashTable
 from glimt.llm.textbuf import TextBuffer, chunks
 
 WINDOW = 10
 #: Item text that one automaton holds; more items are matched in as many passes as it takes.
-AUTOMATON_BYTES = 16 << 20
+AUTOMATON_BYTES = 4 << 20
 #: The pipeline drops a document of which at least this share of words is hit, and cuts the hit words out of others.
 MAX_COVERAGE = 0.5
 _STRIDE = 256
@@ -43,70 +44,88 @@ class SuffixAutomaton:
 
     def __init__(self, items: list[tuple[str, list[int]]], window: int) -> None:
         self.window = window
-        go: list[dict[int, int]] = [{}]
-        link, longest = [-1], [0]
+        # edges by (state, word); the words of a state are a linked list, as most states have one edge
+        edges: dict[int, int] = {}
+        first, word_of, following = array("q", [-1]), array("q"), array("q")
+        link, longest = array("q", [-1]), array("q", [0])
 
-        def state(length: int, edges: dict[int, int], up: int) -> int:
-            go.append(edges)
+        def state(length: int, up: int) -> int:
+            first.append(-1)
             link.append(up)
             longest.append(length)
-            return len(go) - 1
+            return len(link) - 1
+
+        def join(at: int, word: int, to: int) -> None:
+            if (at << 32 | word) not in edges:
+                word_of.append(word)
+                following.append(first[at])
+                first[at] = len(word_of) - 1
+            edges[at << 32 | word] = to
 
         def split(at: int, word: int, to: int) -> int:
             """The state for the shorter substrings of ``to`` that ``at`` leads to by ``word``."""
             if longest[to] == longest[at] + 1:
                 return to
-            new = state(longest[at] + 1, dict(go[to]), link[to])
+            new, edge = state(longest[at] + 1, link[to]), first[to]
+            while edge >= 0:
+                join(new, word_of[edge], edges[to << 32 | word_of[edge]])
+                edge = following[edge]
             link[to] = new
-            while at >= 0 and go[at].get(word) == to:
-                go[at][word] = new
+            while at >= 0 and edges.get(at << 32 | word) == to:
+                edges[at << 32 | word] = new
                 at = link[at]
             return new
 
         for _, tokens in items:
             last = 0
             for word in tokens:
-                if word in go[last]:
-                    last = split(last, word, go[last][word])
+                if (to := edges.get(last << 32 | word)) is not None:
+                    last = split(last, word, to)
                     continue
-                new, at = state(longest[last] + 1, {}, 0), last
-                while at >= 0 and word not in go[at]:
-                    go[at][word] = new
+                new, at = state(longest[last] + 1, 0), last
+                while at >= 0 and (at << 32 | word) not in edges:
+                    join(at, word, new)
                     at = link[at]
                 if at >= 0:
-                    link[new] = split(at, word, go[at][word])
+                    link[new] = split(at, word, edges[at << 32 | word])
                 last = new
 
         self.link, self.longest = np.array(link), np.array(longest)
-        edges = [(a, w, b) for a, out in enumerate(go) for w, b in out.items()]
-        keys = np.array([(a << 32) | w for a, w, _ in edges], np.uint64)
-        self.edges = HashTable(keys, np.array([b for *_, b in edges], np.int64), np.int64)
+        keys = np.fromiter(edges.keys(), np.uint64, len(edges))
+        self.edges = HashTable(keys, np.fromiter(edges.values(), np.int64, len(edges)), np.int64)
         # the ancestor whose substrings include the one of exactly `window` words
-        self.at_window = np.zeros(len(go), np.int64)
-        for v in np.argsort(self.longest, kind="stable"):
-            if self.longest[v] >= window:
-                self.at_window[v] = v if self.longest[link[v]] < window else self.at_window[link[v]]
-        self.owners: dict[int, set[str]] = defaultdict(set)
-        own_short: dict[int, list[tuple[int, str]]] = defaultdict(list)
-        for name, tokens in items:
+        self.at_window = np.zeros(len(link), np.int64)
+        for v in np.argsort(self.longest, kind="stable").tolist():
+            if longest[v] >= window:
+                self.at_window[v] = v if longest[link[v]] < window else self.at_window[link[v]]
+        self.names = [name for name, _ in items]
+        owned: set[int] = set()  # state and item in one number
+        own_short: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, (_, tokens) in enumerate(items):
             at = 0
             for k, word in enumerate(tokens):
-                at = go[at][word]
+                at = edges[at << 32 | word]
                 while longest[link[at]] >= k + 1:
                     at = link[at]
                 if k + 1 >= window:
-                    self.owners[int(self.at_window[at])].add(name)
+                    owned.add(int(self.at_window[at]) << 32 | i)
             if 0 < len(tokens) < window:
-                own_short[at].append((len(tokens), name))
+                own_short[at].append((len(tokens), i))
+        self._owned = np.sort(np.fromiter(owned, np.int64, len(owned)))
         # short items that end wherever a state's longest substring ends
-        self.short: dict[int, list[tuple[int, str]]] = {}
+        self.short: dict[int, list[tuple[int, int]]] = {}
         for v in np.argsort(self.longest, kind="stable")[1:]:
             if both := [*own_short.get(int(v), []), *self.short.get(link[v], [])]:
                 self.short[int(v)] = both
-        self.has_short = np.zeros(len(go), bool)
+        self.has_short = np.zeros(len(link), bool)
         self.has_short[list(self.short)] = True
         self.least = min([window, *(len(t) for _, t in items if t)], default=window)
 
+    def owners(self, state: int) -> list[str]:
+        """The items that hold the window of a state."""
+        a, b = np.searchsorted(self._owned, [state << 32, (state + 1) << 32])
+        return [self.names[i] for i in (self._owned[a:b] & 0xFFFFFFFF).tolist()]
+
     def step(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """The next state, or -1."""
         row = self.edges.find((states.astype(np.uint64) << np.uint64(32)) | tokens.astype(np.uint64))
@@ -171,34 +190,37 @@ class Matcher:
         for p in np.flatnonzero(length >= a.window):
             hit[p - a.window + 1] += 1
             hit[p + 1] -= 1
-            found[int(owner[p])] |= a.owners[int(a.at_window[state[p]])]
+            found[int(owner[p])].update(a.owners(int(a.at_window[state[p]])))
         for p in np.flatnonzero(a.has_short[state] & (length > 0)):
-            for size, name in a.short[int(state[p])]:
+            for size, item in a.short[int(state[p])]:
                 if size <= length[p]:
                     hit[p - size + 1] += 1
                     hit[p + 1] -= 1
-                    found[int(owner[p])].add(name)
+                    found[int(owner[p])].add(a.names[item])
         return np.cumsum(hit[:-1]) > 0, found
 
 
-def matchers(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, limit: int = AUTOMATON_BYTES) -> list[Matcher]:
-    """One matcher for each ``limit`` bytes of items, so that none that is broadcast grows with the table."""
+def matchers(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, limit: int = AUTOMATON_BYTES) -> list[Broadcast]:
+    """One matcher for each ``limit`` bytes of items, so that none that is broadcast grows with the table.
+
+    They are built one after the other; the driver keeps none after it is broadcast.
+    """
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.col(text_col).alias("text")).where("text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / limit))
     part = F.pmod(F.xxhash64("name", "text"), F.lit(blocks))
-    return [Matcher(sorted((r["name"], r["text"]) for r in rows.where(part == k).collect()), window) for k in range(blocks)]
+    context = items.sparkSession.sparkContext
+    return [context.broadcast(Matcher(sorted((r["name"], r["text"]) for r in rows.where(part == k).collect()), window)) for k in range(blocks)]
 
 
 _FOUND = "n_words long, items array<string>, spans array<struct<first:long,end:long>>"
 
 
-def passes(rows: DataFrame, found: list[Matcher]) -> DataFrame:
+def passes(rows: DataFrame, found: list[Broadcast]) -> DataFrame:
     """The rows, of columns ``_text`` and others, with n_words, items (names in order) and spans of the maximal hit runs over all passes.
 
     Every pass looks at the whole text and adds to what the passes before it found.
     """
-    context = rows.sparkSession.sparkContext
     kept = [c for c, _ in rows.dtypes]
     schema = "".join(f"{c} {kind}, " for c, kind in rows.dtypes) + _FOUND
     rows = rows.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<first:long,end:long>>").alias("spans"))
@@ -226,11 +248,11 @@ def passes(rows: DataFrame, found: list[Matcher]) -> DataFrame:
         return run
 
     for m in found:
-        rows = rows.mapInArrow(one_pass(context.broadcast(m)), schema)
+        rows = rows.mapInArrow(one_pass(m), schema)
     return rows
 
 
-def find(docs: DataFrame, found: list[Matcher], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, found: list[Broadcast], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, n_hit, items (names in order) and spans (first word, end word) of the maximal hit runs.
 
     A null or empty text has no words. Repeated rows give repeated results; other columns are left out.
@@ -240,14 +262,14 @@ def find(docs: DataFrame, found: list[Matcher], id_col: str = "doc_id", text_col
     return rows.select(F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
-def clean(docs: DataFrame, found: list[Matcher], max_coverage: float = MAX_COVERAGE, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, found: list[Broadcast], max_coverage: float = MAX_COVERAGE, text_col: str = "text") -> DataFrame:
     """The rows with all their columns, hit runs cut out of their texts; rows hit over ``max_coverage`` or more are dropped.
 
     A hit run goes from its first word's first byte to its last word's last; a column ``n_chars`` follows the new text.
     Coverage is judged and runs are cut once, after all passes.
     """
     names = ["_text" if c == text_col else f"_{i}" for i, c in enumerate(docs.columns)]
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    rows = docs.select(*(quoted(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
 
     def cut(batches):
         for piece in chunks(batches, "_text"):
@@ -274,7 +296,7 @@ def clean(docs: DataFrame, found: list[Matcher], max_coverage: float = MAX_COVER
     out = passes(rows, found).select(*names, "spans").mapInArrow(cut, rows.schema)
     out = out.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+        out = out.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"])).select(*map(quoted, docs.columns))
     return out
 
 
