@@ -21,13 +21,13 @@ _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 def powers(n: int, base: int, modulus: int) -> np.ndarray:
-    """base^0 .. base^(n-1); a modulus of 0 stands for 2^64."""
+    """base^0 .. base^(n-1); a modulus of 0 stands for 2^64, others are below 2^32."""
     if len(_powers.get((base, modulus), ())) < n:
         size, p = max(n, CHUNK + 1024), np.ones(1, np.uint64)
         while len(p) < size:  # the powers known, times the next one
-            step = np.uint64(pow(base, len(p), modulus or 1 << 64))
-            p = np.concatenate([p, p * step % np.uint64(modulus) if modulus else p * step])
-        _powers[base, modulus] = p[:size]
+            step, more = np.uint64(pow(base, len(p), modulus or 1 << 64)), p[: size - len(p)]
+            p = np.concatenate([p, more * step % np.uint64(modulus) if modulus else more * step])
+        _powers[base, modulus] = p.astype(np.uint32) if modulus else p
     return _powers[base, modulus][:n]
 
 
