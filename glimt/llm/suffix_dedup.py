@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ GRAM = 64
 #: Anchors found more often than this are hot: their contexts are first counted, then those of MOST different ones or fewer are
 #: sorted like any other group, and wider groups are settled by counting the strings themselves, in PIECES for each context.
 HOT, MOST, PIECES = 4_000, 4_000, 8
+#: Up to so many hot anchors (8 bytes each) are broadcast and looked up in a scan; beyond it the texts that hold them are joined.
+BROADCAST_ANCHORS = 1_000_000
 #: Contexts sorted at once, about; a group is never split.
 _BATCH = 4_096
 #: Bytes in which anchors are picked at once.
@@ -272,13 +275,28 @@ def covered(length: int):
     return in_groups(("anchor", "lead", "bytes", "places"), work)
 
 
-def hot_contexts(length: int, gram: int):
-    """The bytes around each place of a hot anchor, equal ones of a text once: (anchor, c1, c2: of the context, lead, bytes, n, t1, t2, at)."""
+def hot_contexts(length: int, gram: int, hot: Broadcast | None):
+    """The bytes around each place of a hot anchor, equal ones of a text once: (anchor, c1, c2: of the context, lead, bytes, n, t1, t2, at).
+
+    Rows have _t1, _t2, _text and, where the anchors are not given, _at.
+    """
+
+    def placed(piece: pa.RecordBatch) -> pa.RecordBatch:
+        buf = TextBuffer(piece.column("_text"))
+        pos, h = pick_anchors(buf, length, gram)
+        known = hot.value
+        use = known[np.minimum(np.searchsorted(known, h.view(np.int64)), len(known) - 1)] == h.view(np.int64)
+        pos, h = pos[use], h[use].view(np.int64)
+        own = buf.owner(pos)
+        cuts = np.searchsorted(own, np.arange(buf.n + 1))
+        pairs = pa.StructArray.from_arrays([pa.array(pos - buf.offsets[own]), pa.array(h)], ["pos", "anchor"])
+        piece = piece.append_column("_at", pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs))
+        return piece.filter(pa.array(np.diff(cuts) > 0))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches, "_text"):
             found: dict[tuple, list[int]] = {}
-            for t1, t2, pos, *key in _around(piece, length - gram, length):
+            for t1, t2, pos, *key in _around(piece if hot is None else placed(piece), length - gram, length):
                 found.setdefault((t1, t2, *key), []).append(pos)
             rows = [(anchor, *_hash(data, anchor, lead), lead, data, len(at), t1, t2, at) for (t1, t2, anchor, lead, data), at in found.items()]
             if rows:
@@ -347,14 +365,36 @@ def single_strings(length: int):
     return run
 
 
-def hot_spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(t1, t2, spans) for rows (_t1, _t2, _text, _at) of hot anchors. No group is whole in one task beyond MOST different contexts."""
+def merged_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c1, c2, runs) with runs that overlap or follow each other as one."""
+    for batch in batches:
+        runs = [[{"a": a, "b": b - 1} for a, b in _joined([(r["a"], r["b"] + 1) for r in own])] for own in batch.column("runs").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("c1"), batch.column("c2"), pa.array(runs, _RUN)], names=["c1", "c2", "runs"])
+
+
+def placed_runs(length: int):
+    """Spans of bytes (t1, t2, spans) of the runs of a context at each of a text's places of it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"start": a, "end": b} for a, b in _joined([(p - r["b"], p - r["a"] + length) for p in at for r in runs])] for at, runs in zip(batch.column("at").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), pa.array(spans, _SPANS)], names=["t1", "t2", "spans"])
+
+    return run
+
+
+def hot_spans(found: DataFrame, length: int, gram: int) -> DataFrame:
+    """(t1, t2, spans) from the rows of ``hot_contexts``. No group is whole in one task beyond MOST different contexts."""
     longs = lambda *names: ", ".join(f"{c} long" for c in names)
-    all_at = written(texts.mapInArrow(hot_contexts(length, gram), f"{longs('anchor', 'c1', 'c2', 'lead')}, bytes binary, {longs('n', 't1', 't2')}, at array<long>"))
-    each = written(all_at.groupBy("anchor", "c1", "c2").agg(F.first("lead").alias("lead"), F.first("bytes").alias("bytes"), F.sum("n").alias("n")))
+    run_type = "array<struct<a:long,b:long>>"
+    found = written(found)
+    # copies of a text are one text
+    at = written(found.groupBy("anchor", "c1", "c2", "t1", "t2").agg(F.first("at").alias("at")))
+    many = at.groupBy("c1", "c2").agg(F.sum(F.size("at").cast("long")).alias("n"))
+    each = found.groupBy("anchor", "c1", "c2").agg(F.first("lead").alias("lead"), F.first("bytes").alias("bytes")).join(many, ["c1", "c2"])
+    each = written(each)
     wide = stable(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > MOST).select("anchor"))
     narrow = each.join(wide, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    run_type = "array<struct<a:long,b:long>>"
     runs = narrow.mapInArrow(sorted_contexts(length), f"c1 long, c2 long, runs {run_type}")
     if wide.limit(1).count():
         wide_each = each.join(wide, "anchor", "left_semi")
@@ -369,11 +409,9 @@ def hot_spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
         twice = strings.groupBy("w1", "w2").agg(F.sum("n").alias("_n")).where("_n > 1").select("w1", "w2")
         single = strings.join(twice, ["w1", "w2"]).groupBy("e1", "e2").agg(F.collect_set(F.struct(F.col("j").alias("a"), F.col("j").alias("b"))).alias("runs"))
         of_piece = whole.unionByName(single).groupBy("e1", "e2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-        of_wide = parts.join(of_piece, ["e1", "e2"]).groupBy("c1", "c2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-        runs = runs.unionByName(of_wide)
-    at = all_at.select("c1", "c2", "t1", "t2", "at").join(stable(runs), ["c1", "c2"])
-    span = lambda p, r: F.struct((p - r["b"]).alias("start"), (p - r["a"] + length).alias("end"))
-    return at.select("t1", "t2", F.flatten(F.transform("at", lambda p: F.transform("runs", lambda r: span(p, r)))).alias("spans"))
+        of_wide = parts.select("c1", "c2", "e1", "e2").join(of_piece, ["e1", "e2"]).groupBy("c1", "c2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        runs = runs.unionByName(of_wide.mapInArrow(merged_runs, f"c1 long, c2 long, runs {run_type}"))
+    return at.select("c1", "c2", "t1", "t2", "at").join(written(runs), ["c1", "c2"]).select("t1", "t2", "at", "runs").mapInArrow(placed_runs(length), f"t1 long, t2 long, spans {_SPANS_SQL}")
 
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
@@ -417,8 +455,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     around = texts_of(twice.where("not hot")).mapInArrow(contexts(length, gram), _CONTEXT)
     spans = around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(covered(length), f"t1 long, t2 long, spans {_SPANS_SQL}")
     hot = twice.where("hot").select("anchor")
-    if hot.limit(1).count():
-        spans = spans.unionByName(hot_spans(texts_of(hot), length, gram))
+    if many := hot.count():
+        wanted = "anchor long, c1 long, c2 long, lead long, bytes binary, n long, t1 long, t2 long, at array<long>"
+        if many <= BROADCAST_ANCHORS:
+            known = docs.sparkSession.sparkContext.broadcast(np.sort(hot.toArrow().column("anchor").to_numpy()))
+            places = rows.where(F.octet_length("_text") >= length).select("_text", "_t1", "_t2").mapInArrow(hot_contexts(length, gram, known), wanted)
+        else:
+            places = texts_of(hot).mapInArrow(hot_contexts(length, gram, None), wanted)
+        spans = spans.unionByName(hot_spans(places, length, gram))
     spans = spans.groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
     known = alike.join(spans, ["_t1", "_t2"], "left")
 

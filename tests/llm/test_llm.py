@@ -71,7 +71,8 @@ def test_url_filter(spark):
 def test_suffix_dedup(spark, seed, monkeypatch):
     rng = random.Random(seed)
     monkeypatch.setattr(suffix_dedup, "HOT", (1, 2, 4000)[seed % 3])  # hot groups, sorted or (all beyond MOST) counted
-    monkeypatch.setattr(suffix_dedup, "MOST", (1, 3, 4000)[seed // 3])
+    monkeypatch.setattr(suffix_dedup, "MOST", (1, 3)[seed // 3])
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ANCHORS", (9999, 0)[seed % 2])
     letters = ["ab", "abcdefgh é", "a"][seed % 3]
     parts = ["".join(rng.choices(letters, k=rng.randint(5, 90))) for _ in range(6)]
     texts = ["".join(rng.choice(parts) if rng.random() < 0.6 else "".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(rng.randint(0, 7))) for _ in range(25)] + [None, "", parts[0] * 3, "a" * 150]
