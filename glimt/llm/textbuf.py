@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Primes below 2^31 and a base for each. Modulo 2^64 some strings collide for every base (Thue-Morse); modulo a prime none do.
 _PRIMES = ((2147483647, 1289706101), (2147483629, 1807369081))
