@@ -89,14 +89,14 @@ def red_series(spans: DataFrame, where: Column, start: int, end: int, n: int, th
     return out.withColumn("start_nanos", bucket_label(F.col("bucket"), start, end, n, floored=True))
 
 
-def dependencies(spans: DataFrame, where: Column, by_caller: bool = False) -> DataFrame:
-    """Client spans by what they call: a database, else an external host or peer; nearest-rank p50, p95, p99."""
+def dependencies(spans: DataFrame, where: Column, by_caller: bool = False, exact: bool = False) -> DataFrame:
+    """Client spans by what they call: a database, else an external host or peer; p50, p95, p99 by sketch, or ``exact`` by nearest rank."""
     value = lambda name: F.nullif(resolve(spans, "spans", name), F.lit(""))
     system, database = value("db.system"), value("db.name")
     key = F.when(system.isNotNull(), F.concat_ws(".", system, database)).otherwise(F.coalesce(value("server.address"), value("net.peer.name"), value("peer.service")))
     rows = spans.where(where).where("kind = 3").select(quoted("service.name").alias("service"), F.when(system.isNotNull(), "database").otherwise("external").alias("kind"), key.alias("name"), "status_code", "duration_nanos").where("name is not null")
     keys = (["service"] if by_caller else []) + ["kind", "name"]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("status_code") == 2).alias("errors"), *(c.cast("long").alias(n) for c, n in zip(percentiles("duration_nanos", (0.5, 0.95, 0.99), True), ("p50", "p95", "p99"), strict=True)))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("status_code") == 2).alias("errors"), *(c.cast("long").alias(n) for c, n in zip(percentiles("duration_nanos", (0.5, 0.95, 0.99), exact), ("p50", "p95", "p99"), strict=True)))
 
 
 def health(services: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glimt.functions.buckets import bucket_index
 from glimt.functions.fields import CUMULATIVE, quoted
 from glimt.functions.terms import metric_filter, number_of
-from glimt.operators.metrics import _finish, _keys, increases, labelled
+from glimt.operators.metrics import _finish, _keys, increases, labelled, raw_series
 
 QUANTILES = {"p50": 0.5, "median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 INFINITY = float("inf")
@@ -58,15 +58,15 @@ def _value(agg: str, ranges: Column) -> Column:
     return quantile(ranges, QUANTILES[agg])
 
 
-def histogram_series(points: DataFrame, name: str, start: int, end: int, n: int, agg: str = "p99", labels: Sequence[str] = (), terms: Sequence[Column] = ()) -> DataFrame:
+def histogram_series(points: DataFrame, name: str, start: int, end: int, n: int, agg: str = "p99", labels: Sequence[str] = (), terms: Sequence[Column] = (), series_key: str = "attributes") -> DataFrame:
     """Explicit histograms: delta points add up element by element, cumulative ones by their reset-aware growth.
 
     A cumulative series starts anew where its count falls, its start moves on, or its bounds change; its first sample counts 0.
-    Buckets are laid out by the first point with bounds; points of other bounds add to count and sum only.
+    ``series_key``: `attributes` follows every raw series, `group` takes the rows of the labels as one. Buckets are laid out by the first point with bounds; points of other bounds add to count and sum only.
     """
     rows = _rows(points, name, "histogram", start, end, n, labels, terms)
     keys, h = _keys(labels), F.col("histogram")
-    order = Window.partitionBy(*keys).orderBy("timestamp_nanos", F.asc_nulls_first("start_nanos"), h["count"])
+    order = Window.partitionBy(*keys, *(raw_series(points) if series_key == "attributes" else ())).orderBy("timestamp_nanos", F.asc_nulls_first("start_nanos"), h["count"])
     old = F.lag("histogram").over(order)
     restart = (h["count"] < old["count"]) | F.coalesce(F.col("start_nanos") > F.lag("start_nanos").over(order), F.lit(False)) | ~h["explicit_bounds"].eqNullSafe(old["explicit_bounds"])
     rows = rows.withColumns({"_old": old, "_restart": restart, "_counted": F.coalesce(F.col("temporality") == CUMULATIVE, F.lit(False))})
@@ -75,7 +75,9 @@ def histogram_series(points: DataFrame, name: str, start: int, end: int, n: int,
     counts = F.when(~F.col("_counted"), h["bucket_counts"]).when(F.col("_old").isNull(), zeros).when(F.col("_restart"), h["bucket_counts"]).otherwise(F.zip_with(h["bucket_counts"], F.col("_old.bucket_counts"), lambda a, b: F.greatest(a - F.coalesce(b, F.lit(0)), F.lit(0))))
     rows = rows.withColumns({"_c": counts, "_n": grown(h["count"], F.col("_old.count"), F.lit(0)), "_s": grown(F.coalesce(h["sum"], F.lit(0.0)), F.coalesce(F.col("_old.sum"), F.lit(0.0)), F.lit(0.0))})
     first = F.min_by(F.when(F.size(h["bucket_counts"]) > 0, h["explicit_bounds"]), F.when(F.size(h["bucket_counts"]) > 0, F.col("timestamp_nanos")))
-    rows = rows.withColumn("_bounds", first.over(Window.partitionBy(*keys)))
+    names = [f"label.{x}" for x in labels]
+    layout = rows.groupBy(*keys).agg(first.alias("_bounds"))
+    rows = _join(rows, layout, names) if names else rows.withColumn("_one", F.lit(1)).join(F.broadcast(layout.withColumn("_one", F.lit(1))), "_one").drop("_one")  # one row
     totals = rows.groupBy(*keys, "bucket").agg(F.sum("_n").alias("count"), F.sum("_s").alias("sum"))
     cells = rows.where(h["explicit_bounds"].eqNullSafe(F.col("_bounds"))).select(*keys, "bucket", "_bounds", F.posexplode("_c").alias("pos", "c"))
     cells = cells.groupBy(*keys, "bucket", "_bounds", "pos").agg(F.sum("c").alias("c"))
@@ -95,22 +97,24 @@ def _join(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "l
     return joined.select(*(quoted(c) for c in joined.columns if not c.startswith("_r.")))
 
 
-def exponential_series(points: DataFrame, name: str, start: int, end: int, n: int, agg: str = "p99", labels: Sequence[str] = (), terms: Sequence[Column] = (), delta_buckets: bool = False) -> DataFrame:
+def exponential_series(points: DataFrame, name: str, start: int, end: int, n: int, agg: str = "p99", labels: Sequence[str] = (), terms: Sequence[Column] = (), delta_buckets: bool = False, series_key: str = "attributes") -> DataFrame:
     """Exponential histograms, merged to the coarsest scale of each bucket of time.
 
+    A cumulative series starts anew where its count falls, its start moves on, or its scale changes; its first sample adds nothing.
     Cumulative points give growing count and sum, but merge their full buckets unless ``delta_buckets`` asks for the growth of
     those of equal scale.
     """
     rows = _rows(points, name, "exp_histogram", start, end, n, labels, terms)
     keys, h = _keys(labels), F.col("exp_histogram")
-    order = Window.partitionBy(*keys).orderBy("timestamp_nanos", F.asc_nulls_first("start_nanos"), h["count"])
+    order = Window.partitionBy(*keys, *(raw_series(points) if series_key == "attributes" else ())).orderBy("timestamp_nanos", F.asc_nulls_first("start_nanos"), h["count"])
     old = F.lag("exp_histogram").over(order)
     counted = F.coalesce(F.col("temporality") == CUMULATIVE, F.lit(False))
-    restart = (h["count"] < old["count"]) | F.coalesce(F.col("start_nanos") > F.lag("start_nanos").over(order), F.lit(False))
+    restart = (h["count"] < old["count"]) | F.coalesce(F.col("start_nanos") > F.lag("start_nanos").over(order), F.lit(False)) | (h["scale"] != old["scale"])
     rows = rows.withColumns({"_old": old, "_restart": restart, "_counted": counted})
+    adds = ~F.col("_counted") | F.col("_old").isNotNull()
     grown = lambda new, before: F.when(~F.col("_counted"), new).when(F.col("_old").isNull(), new * 0).when(F.col("_restart"), new).otherwise(F.greatest(new - before, new * 0))
     rows = rows.withColumns({"_n": grown(h["count"], F.col("_old.count")), "_s": grown(F.coalesce(h["sum"], F.lit(0.0)), F.coalesce(F.col("_old.sum"), F.lit(0.0)))})
-    totals = rows.groupBy(*keys, "bucket").agg(F.sum("_n").alias("count"), F.sum("_s").alias("sum"), F.min("exp_histogram.scale").alias("_scale"))
+    totals = rows.groupBy(*keys, "bucket").agg(F.sum("_n").alias("count"), F.sum("_s").alias("sum"), F.min(F.when(adds, F.col("exp_histogram.scale"))).alias("_scale"))
 
     def cells(sign: int, side: str) -> Column:
         counts, offset = F.coalesce(h[side]["bucket_counts"], F.array().cast("array<bigint>")), F.coalesce(h[side]["offset"], F.lit(0))
@@ -118,11 +122,11 @@ def exponential_series(points: DataFrame, name: str, start: int, end: int, n: in
             before, shift = F.col("_old")[side], offset - F.coalesce(F.col("_old")[side]["offset"], F.lit(0))
             same = F.col("_counted") & F.col("_old").isNotNull() & ~F.coalesce(F.col("_restart"), F.lit(False)) & (F.col("_old.scale") == h["scale"])
             less = F.transform(counts, lambda c, i: F.greatest(c - F.coalesce(F.get(before["bucket_counts"], F.when(i + shift >= 0, i + shift).otherwise(2_000_000_000)), F.lit(0)), F.lit(0)))
-            counts = F.when(F.col("_counted") & F.col("_old").isNull(), F.transform(counts, lambda c: c * 0)).when(same, less).otherwise(counts)
+            counts = F.when(same, less).otherwise(counts)
         return F.transform(counts, lambda c, i: F.named_struct(F.lit("sign"), F.lit(sign), F.lit("index"), offset + i, F.lit("c"), c))
 
     zero = F.array(F.named_struct(F.lit("sign"), F.lit(0), F.lit("index"), F.lit(0), F.lit("c"), F.coalesce(h["zero_count"], F.lit(0))))
-    exploded = rows.select(*keys, "bucket", h["scale"].alias("own"), F.explode(F.concat(cells(-1, "negative"), zero, cells(1, "positive"))).alias("x"))
+    exploded = rows.where(adds).select(*keys, "bucket", h["scale"].alias("own"), F.explode(F.concat(cells(-1, "negative"), zero, cells(1, "positive"))).alias("x"))
     names = [f"label.{x}" for x in labels] + ["bucket"]
     aligned = _join(exploded, totals.select(*keys, "bucket", "_scale"), names)
     coarse = F.call_function("shiftright", F.col("x.index"), F.col("own") - F.col("_scale"))
@@ -149,13 +153,14 @@ def summary_series(points: DataFrame, name: str, start: int, end: int, n: int, a
     return _finish(last.select(*keys, "bucket", value.alias("v")), labels, start, end, n)
 
 
-def _grown(points: DataFrame, name: str, start: int, end: int, n: int, labels: Sequence[str], terms: Sequence[Column], le: Column | None = None) -> DataFrame:
+def _grown(points: DataFrame, name: str, start: int, end: int, n: int, labels: Sequence[str], terms: Sequence[Column], le: Column | None = None, series_key: str = "attributes") -> DataFrame:
     """(labels, bucket, up), and le where it is given: reset-aware growth of a counter by bucket."""
     rows = labelled(points.where(metric_filter(name, start, end, terms)), labels).where("value is not null")
     rows = rows if le is None else rows.withColumn("le", le)
     rows = rows.withColumn("bucket", bucket_index(F.col("timestamp_nanos"), start, end, n))
     keys = [*_keys(labels), *([] if le is None else [F.col("le")])]
-    return rows.withColumn("_up", increases(rows, keys)).groupBy(*keys, "bucket").agg(F.sum("_up").alias("up"))
+    own = raw_series(points) if series_key == "attributes" else []
+    return rows.withColumn("_up", increases(rows, [*keys, *own])).groupBy(*keys, "bucket").agg(F.sum("_up").alias("up"))
 
 
 def bound_of(text: Column) -> Column:
@@ -163,20 +168,20 @@ def bound_of(text: Column) -> Column:
     return F.when(text.isin("+Inf", "+inf", "Inf", "inf"), F.lit(INFINITY)).otherwise(number_of(text))
 
 
-def classic_series(points: DataFrame, base: str, start: int, end: int, n: int, agg: str = "p99", labels: Sequence[str] = (), terms: Sequence[Column] = ()) -> DataFrame:
+def classic_series(points: DataFrame, base: str, start: int, end: int, n: int, agg: str = "p99", labels: Sequence[str] = (), terms: Sequence[Column] = (), series_key: str = "attributes") -> DataFrame:
     """Prometheus histograms: quantiles from base_bucket{le}, count and sum from base_count and base_sum, avg of both."""
     labels = [x for x in labels if x != "le"]
     names = [f"label.{x}" for x in labels] + ["bucket"]
     keys = _keys(labels)
     if agg in ("count", "sum"):
-        found = _grown(points, f"{base}_{agg}", start, end, n, labels, terms)
+        found = _grown(points, f"{base}_{agg}", start, end, n, labels, terms, series_key=series_key)
         return _finish(found.select(*keys, "bucket", F.col("up").alias("v")), labels, start, end, n)
     if agg == "avg":
-        many, total = (_grown(points, f"{base}_{x}", start, end, n, labels, terms) for x in ("count", "sum"))
+        many, total = (_grown(points, f"{base}_{x}", start, end, n, labels, terms, series_key=series_key) for x in ("count", "sum"))
         both = _join(total.withColumnRenamed("up", "s"), many, names)
         return _finish(both.select(*keys, "bucket", F.when(F.col("up") > 0, F.col("s") / F.col("up")).alias("v")), labels, start, end, n)
     le = bound_of(F.col("attributes").getItem("le"))
-    cumulative = _grown(points, f"{base}_bucket", start, end, n, labels, terms, le).where("le is not null")
+    cumulative = _grown(points, f"{base}_bucket", start, end, n, labels, terms, le, series_key).where("le is not null")
     order = Window.partitionBy(*keys, "bucket").orderBy("le")
     cells = cumulative.withColumns({"c": F.greatest(F.col("up") - F.coalesce(F.lag("up").over(order), F.lit(0.0)), F.lit(0.0)), "lo": F.coalesce(F.lag("le").over(order), F.lit(0.0))})
     cells = cells.select(*keys, "bucket", F.struct("lo", F.col("le").alias("hi"), "c").alias("r"))

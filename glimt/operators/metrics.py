@@ -44,11 +44,17 @@ def increases(rows: DataFrame, keys: Sequence[Column], value: str = "value") ->
     return F.when(before.isNull(), F.lit(0.0)).when(reset, F.col(value)).otherwise(F.col(value) - before)
 
 
-def series(points: DataFrame, name: str, start: int, end: int, n: int, agg: str = "avg", labels: Sequence[str] = (), terms: Sequence[Column] = (), cumulative: bool | None = None, series_key: str = "group") -> DataFrame:
+def raw_series(points: DataFrame, leave_out: Sequence[str] = ()) -> list[Column]:
+    """Columns that tell every raw series apart: the promoted attributes and the rest as text in order of keys."""
+    rest = F.map_filter("attributes", lambda k, _: ~k.isin(list(leave_out))) if leave_out else F.col("attributes")
+    return [*(quoted(p) for p in PROMOTED if p in points.columns and p not in leave_out), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(rest))))]
+
+
+def series(points: DataFrame, name: str, start: int, end: int, n: int, agg: str = "avg", labels: Sequence[str] = (), terms: Sequence[Column] = (), cumulative: bool | None = None, series_key: str = "attributes") -> DataFrame:
     """A metric's bucketed series: avg, min, max, sum, count, last, or a sum's increase or rate.
 
-    ``cumulative``: whether increase and rate follow a counter (by default what each point says). ``series_key``: `group` takes the
-    labels as one series, `attributes` follows every raw series and adds up.
+    ``cumulative``: whether increase and rate follow a counter (by default what each point says). ``series_key``: `attributes` follows every
+    raw series and adds up, so no window is larger than a series; `group` takes the rows of the labels as one series.
     """
     rows = labelled(points.where(metric_filter(name, start, end, terms)), labels).where("value is not null")
     rows = rows.withColumn("bucket", bucket_index(F.col("timestamp_nanos"), start, end, n))
@@ -60,7 +66,7 @@ def series(points: DataFrame, name: str, start: int, end: int, n: int, agg: str
     elif agg == "last":
         value = F.max_by("value", F.struct("timestamp_nanos", "value"))
     elif agg in ("increase", "rate"):
-        own = keys if series_key == "group" else [*keys, *(quoted(p) for p in PROMOTED if p in points.columns), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attributes"))))]
+        own = keys if series_key == "group" else [*keys, *raw_series(points)]
         counted = F.lit(cumulative) if cumulative is not None else F.coalesce(F.col("temporality") == CUMULATIVE, F.lit(False))
         rows = rows.withColumn("_counted", counted).withColumn("_up", F.when(F.col("_counted"), increases(rows.withColumn("_counted", counted), [*own, F.col("_counted")])).otherwise(F.col("value")))
         value = F.sum("_up") / F.lit((end - start) / n / 1e9 if agg == "rate" else 1.0)

@@ -162,12 +162,17 @@ def _forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(rest)
 
 
+def span_end() -> Column:
+    """The end of a span, by its duration where it is missing, and never before its start."""
+    return F.greatest(F.col("start_time_nanos"), F.coalesce("end_time_nanos", F.col("start_time_nanos") + F.coalesce("duration_nanos", F.lit(0))))
+
+
 def trace_tree(spans: DataFrame) -> DataFrame:
     """Per span: pre-order position, depth, offset from the trace's start, clock skew, error in its subtree, on the critical path.
 
     A trace is bounded and is worked on whole; traces run in parallel, many to a batch.
     """
-    rows = spans.select("trace_id", "span_id", "parent_span_id", F.col("start_time_nanos").alias("start"), F.coalesce("end_time_nanos", F.col("start_time_nanos") + F.coalesce("duration_nanos", F.lit(0))).alias("end"), F.coalesce("status_code", F.lit(0)).alias("status_code"))
+    rows = spans.select("trace_id", "span_id", "parent_span_id", F.col("start_time_nanos").alias("start"), span_end().alias("end"), F.coalesce("status_code", F.lit(0)).alias("status_code"))
     return rows.repartition("trace_id").sortWithinPartitions("trace_id").mapInArrow(_forests, "trace_id string, span_id string, position long, depth long, offset_nanos long, clock_skew boolean, subtree_has_error boolean, critical boolean")
 
 
@@ -178,8 +183,7 @@ def critical_path(spans: DataFrame) -> DataFrame:
 
 def self_time(spans: DataFrame) -> DataFrame:
     """Per span: duration less the union of its children's intervals, cut to its own."""
-    end = F.coalesce("end_time_nanos", F.col("start_time_nanos") + F.coalesce("duration_nanos", F.lit(0)))
-    rows = spans.select("trace_id", "span_id", "parent_span_id", quoted("service.name").alias("service"), F.col("start_time_nanos").alias("start"), end.alias("end"))
+    rows = spans.select("trace_id", "span_id", "parent_span_id", quoted("service.name").alias("service"), F.col("start_time_nanos").alias("start"), span_end().alias("end"))
     child = rows.where(F.col("parent_span_id").isNotNull() & (F.col("parent_span_id") != F.col("span_id"))).select("trace_id", F.col("parent_span_id").alias("span_id"), F.col("start").alias("c_start"), F.col("end").alias("c_end"), F.col("span_id").alias("c_id"))
     both = child.join(rows.select("trace_id", "span_id", "start", "end"), ["trace_id", "span_id"])
     both = both.select("trace_id", "span_id", "c_id", F.greatest("c_start", "start").alias("s"), F.least("c_end", "end").alias("e")).where("e > s")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glimt.functions.buckets import bucket_index
@@ -49,6 +51,19 @@ def sample(stats: DataFrame, signal: str, at_ms: int, ingest_rows: int = 0, hot_
     return stats.select(F.lit(at_ms).cast("long").alias("ts_ms"), F.lit(signal).alias("signal"), F.lit(hot_bytes).cast("long").alias("hot_bytes"), F.col("bytes").alias("durable_bytes"), "total_rows", "file_count", F.lit(ingest_rows).cast("long").alias("ingest_rows"))
 
 
+def record(spark: SparkSession, samples: DataFrame, folder: str, now_ms: int, keep_days: int = 30) -> None:
+    """Append usage rows to the sample table, a folder for each day, and drop the days that are wholly older than ``keep_days``."""
+    day = F.date_from_unix_date(F.call_function("div", F.col("ts_ms"), F.lit(86_400_000)).cast("int"))
+    samples.withColumn("day", day).write.mode("append").partitionBy("day").parquet(folder)
+    oldest = now_ms // 86_400_000 - keep_days
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(path(folder)):
+        name = status.getPath().getName()
+        if name.startswith("day=") and (date.fromisoformat(name[4:]) - date(1970, 1, 1)).days < oldest:
+            system.delete(status.getPath(), True)
+
+
 def tenant_summary(points: DataFrame, now: int, window: int, n: int = 30, up: str = "tenant.up", rows: str = "tenant.ingest.rows", hot: str = "tenant.hot.bytes", open_incidents: str = "tenant.incidents.open") -> DataFrame:
     """All tenants in one pass: status by age of the last point, mode of it, rows a second between the first and last bucket, a sparkline of rates, open incidents, hot bytes."""
     own = points.where(F.col("timestamp_nanos").between(now - window, now) & F.col("tenant").isNotNull()).withColumn("bucket", bucket_index(F.col("timestamp_nanos"), now - window, now, n))

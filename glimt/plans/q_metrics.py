@@ -146,7 +146,7 @@ for _agg, _value in (("p50", quantile_sql(_CCELLS, 0.5)), ("p90", quantile_sql(_
 
     @query(f"{'m10' if _agg[0] == 'p' else 'm11'}_classic_histogram_{_agg}", _series(f"SELECT CAST(u AS VARCHAR) AS \"user\", b, {_value} AS v FROM g", '"user"', view="e", body=_CLASSIC, g=_CGROUP))
     def _m10(spark, d, agg=_agg):
-        return distributions.classic_series(v.classic_buckets(spark, d), "value", S, E, N, agg, ["user"])
+        return distributions.classic_series(v.classic_buckets(spark, d), "value", S, E, N, agg, ["user"], series_key="group")
 
 
 _CATALOG = """SELECT metric_name, metric_type, CASE metric_name WHEN 'queue.depth' THEN NULL WHEN 'bytes.sent' THEN 1 ELSE 2 END AS temporality, CASE WHEN metric_name <> 'queue.depth' THEN true END AS is_monotonic, max(timestamp_nanos) AS last_seen, count(DISTINCT service || host || tenant) AS series_count, CASE metric_type WHEN 0 THEN 'avg' ELSE 'rate' END AS default_aggregation FROM points GROUP BY 1, 2"""

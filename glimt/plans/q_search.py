@@ -321,7 +321,7 @@ _DEPENDENCY = """SELECT service, CASE WHEN db_system IS NOT NULL THEN 'database'
 
 @query("a8_dependencies", _spans("SELECT service, kind, name, count(*) AS count, count(*) FILTER (status_code = 2) AS errors, " + ", ".join(f"CAST(quantile_disc(duration_nanos, {q}) AS BIGINT) AS {n}" for q, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))) + f" FROM ({_DEPENDENCY}) WHERE name IS NOT NULL GROUP BY 1, 2, 3"))
 def a8(spark, d):
-    return apm.dependencies(v.spans(spark, d), F.lit(True), by_caller=True)
+    return apm.dependencies(v.spans(spark, d), F.lit(True), by_caller=True, exact=True)
 
 
 @query("a9_health", _spans(f"SELECT service, tenant, {_STATUS} AS status, concat_ws(',', CASE WHEN count > 0 AND error_rate >= 0.01 THEN 'error_rate' END, CASE WHEN count > 0 AND coalesce(apdex, 1) < 0.85 THEN 'apdex' END) AS reasons FROM ({_DERIVED})"))

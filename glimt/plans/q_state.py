@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,10 @@ def query(name: str, sql: str | None = None):
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="glimt-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or tempfile.mkdtemp(prefix="glimt-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -383,26 +387,58 @@ def s2(spark, d):
     return tables.sql(spark, "SELECT `service.name` AS service, count(*) AS n, max(duration_nanos) AS longest FROM spans WHERE status_code = 2 GROUP BY 1", {"spans": v.spans(spark, d)})
 
 
-@query("s13_consolidation", v.sql(f"SELECT CAST(make_date(1970, 1, 1) + CAST(timestamp_nanos // {DAY} AS INT) AS VARCHAR) AS date, count(*) AS rows FROM logs GROUP BY 1", logs=v.LOGS))
+_QUARTER = f"timestamp_nanos // {DAY // 4} % 4"
+
+
+def small_files(spark: SparkSession, d: str) -> str:
+    """The logs as a table to which each quarter of the days was appended alone: a file for each quarter of a date with rows."""
+    out = f"{folder(spark, 'tables')}/data"
+    rows = tables.with_date(v.logs(spark, d), "logs")
+    for k in range(4):
+        quarter = F.call_function("div", F.col("timestamp_nanos"), F.lit(DAY // 4)) % 4
+        rows.where(quarter == k).coalesce(1).write.mode("append").partitionBy("date").parquet(out)
+    return out
+
+
+@query("s13_consolidation", v.sql(f"SELECT CAST(make_date(1970, 1, 1) + CAST(timestamp_nanos // {DAY} AS INT) AS VARCHAR) AS date, count(DISTINCT {_QUARTER}) AS files_before, CAST(1 AS BIGINT) AS files_after, count(*) AS rows, count(*) AS rows_left FROM logs GROUP BY 1 HAVING count(DISTINCT {_QUARTER}) > 1", logs=v.LOGS))
 def s13(spark, d):
-    root = folder(spark, "tables")
-    tables.with_date(v.logs(spark, d), "logs").repartition(4).write.partitionBy("date").parquet(f"{root}/data")
-    tables.consolidate(spark, f"{root}/data", "logs", f"{root}/staging", 100_000_000)
-    return spark.read.parquet(f"{root}/data").groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("rows"))
+    """Every date that has several files has one afterwards, with the same rows."""
+    out = small_files(spark, d)
+    report = tables.consolidate(spark, out, "logs", folder(spark, "staging"), 100_000_000)
+    left = tables.files(spark, out, "logs").groupBy("date").agg(F.count(F.lit(1)).alias("files_after"), F.sum("rows").alias("rows_left"))
+    return report.drop("files_after").join(left, "date").select(F.col("date").cast("string").alias("date"), "files_before", "files_after", "rows", "rows_left")
+
+
+_OLD = f"timestamp_nanos // {DAY} < {(S + 10 * DAY) // DAY}"
 
 
-@query("s14_retention", v.sql(f"SELECT count(*) AS rows_removed FROM logs WHERE timestamp_nanos // {DAY} < {(S + 10 * DAY) // DAY}", logs=v.LOGS))
+@query("s14_retention", v.sql(f"SELECT count(*) FILTER ({_OLD}) AS rows_removed, count(*) FILTER (NOT {_OLD}) AS rows_left, min(timestamp_nanos) FILTER (NOT {_OLD}) AS oldest FROM logs", logs=v.LOGS))
 def s14(spark, d):
-    root = folder(spark, "tables")
-    out = tables.sink(v.logs(spark, d), root, "logs", "overwrite", 4)
-    return tables.retention_report(tables.files(spark, out, "logs"), S + 10 * DAY).select("rows_removed")
+    out = tables.sink(v.logs(spark, d), folder(spark, "tables"), "logs", "overwrite", 4)
+    removed = tables.purge(spark, out, "logs", S + 10 * DAY)
+    left = spark.read.parquet(out).agg(F.count(F.lit(1)).alias("rows_left"), F.min("timestamp_nanos").alias("oldest"))
+    return removed.select("rows_removed").join(left)  # one row each
 
 
-@query("s15_d2_statistics", v.sql(f"SELECT count(*) AS total_rows, min(timestamp_nanos) AS min_ts, max(timestamp_nanos) AS max_ts FROM logs", logs=v.LOGS))
+@query("s15_statistics", v.sql(f"SELECT count(DISTINCT (timestamp_nanos // {DAY}, {_QUARTER})) AS file_count, count(*) AS total_rows, min(timestamp_nanos) AS min_ts, max(timestamp_nanos) AS max_ts, true AS has_bytes FROM logs", logs=v.LOGS))
 def s15(spark, d):
-    root = folder(spark, "tables")
-    out = tables.sink(v.logs(spark, d), root, "logs", "overwrite", 4)
-    return tables.statistics(spark, out, "logs").select("total_rows", "min_ts", "max_ts")
+    stats = tables.statistics(spark, small_files(spark, d), "logs")
+    return stats.select("file_count", "total_rows", "min_ts", "max_ts", (F.col("bytes") > 0).alias("has_bytes"))
+
+
+@query("d2_usage_samples", v.sql(f"SELECT day * 86400000 AS ts_ms, 'logs' AS signal, total_rows, ingest_rows FROM (SELECT timestamp_nanos // {DAY} AS day, CAST(sum(count(*)) OVER (ORDER BY timestamp_nanos // {DAY}) AS BIGINT) AS total_rows, count(*) AS ingest_rows FROM logs GROUP BY 1) WHERE day >= (SELECT max(timestamp_nanos) // {DAY} - 12 FROM logs)", logs=v.LOGS))
+def d2(spark, d):
+    """A sample for each day of the log table as it grew, appended in two turns; days older than twelve are pruned."""
+    day = F.call_function("div", F.col("timestamp_nanos"), F.lit(DAY))
+    daily = v.logs(spark, d).groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    grown = daily.withColumn("total_rows", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("day")))  # a row a day
+    zero = F.lit(0).cast("long")
+    rows = grown.select((F.col("day") * 86_400_000).alias("ts_ms"), F.lit("logs").alias("signal"), zero.alias("hot_bytes"), zero.alias("durable_bytes"), "total_rows", zero.alias("file_count"), F.col("n").alias("ingest_rows"))
+    out = folder(spark, "usage")
+    last = rows.agg(F.max("ts_ms")).first()[0]
+    for part in (rows.where(F.col("ts_ms") < last), rows.where(F.col("ts_ms") == last)):
+        usage.record(spark, part, out, last, 12)
+    return spark.read.parquet(out).select("ts_ms", "signal", "total_rows", "ingest_rows")
 
 
 # ---- streams over the same rows ------------------------------------------------------------------------------
@@ -414,17 +450,30 @@ def _stream(spark: SparkSession, rows: DataFrame, files: int = 4) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
+@contextmanager
+def _state_store(spark: SparkSession):
+    """Streams with state of their own need this store; the session is left as it was."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, live.STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def _all(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream yields once all is read."""
-    name = "s" + uuid.uuid4().hex
-    out = folder(spark, "out")
-    check = folder(spark, "check")
-    if mode == "append":
-        stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(out)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
-    stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """What a stream yields once all is read. A complete result is written anew by each batch, and the last is read."""
+    out, check, last = folder(spark, "out"), folder(spark, "check"), []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        last.append(number)
+
+    with _state_store(spark):
+        writing = stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True)
+        (writing.format("parquet").option("path", out) if mode == "append" else writing.foreachBatch(keep)).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out if mode == "append" else f"{out}/{last[-1]}")
 
 
 _W = "date_trunc('day', make_timestamp(timestamp_nanos // 1000))"
@@ -442,17 +491,53 @@ def w3(spark, d):
     return _all(spark, rows, "complete").select(F.unix_micros("start").alias("start_us"), "service", "count", "errors", "satisfied")
 
 
-def _in_order(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """A stream of one batch: state machines need their rows in order of time."""
+def _in_order(spark: SparkSession, rows: DataFrame, time: str, batches: int = 3) -> DataFrame:
+    """A stream of several batches in order of time, each a file: state goes from one to the next."""
+    first, last = rows.agg(F.min(time), F.max(time)).first()
+    return _batches(spark, [rows.where((F.col(time) >= first + k * (last - first + 1) // batches) & (F.col(time) < first + (k + 1) * (last - first + 1) // batches)) for k in range(batches)])
+
+
+def _batches(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
     path = folder(spark, "stream")
-    rows.write.parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_LATE = [(0, 10), (20, 26), (26, 31), (10, 16)]  # days of the month, in the order in which they come
+
+
+@query("w7_late_rows", v.sql(f"SELECT CAST(epoch_us({_W}) AS BIGINT) AS start_us, count(*) AS count FROM logs WHERE (timestamp_nanos < {S + 10 * DAY} OR timestamp_nanos >= {S + 20 * DAY}) AND epoch_us({_W}) + 86400000000 <= (SELECT max(timestamp_nanos) // 1000 - 3 * 86400000000 FROM logs) GROUP BY 1", logs=v.LOGS))
+def w7(spark, d):
+    """Logs by day where the last file comes ten days late: the watermark, three days behind, is past its days, so its rows are dropped."""
+    rows = v.logs(spark, d)
+    parts = [rows.where((F.col("timestamp_nanos") >= S + a * DAY) & (F.col("timestamp_nanos") < S + b * DAY)) for a, b in _LATE]
+    counted = live.continuous_log_volume(_batches(spark, parts), "1 day", "3 days")
+    return _all(spark, counted).groupBy(F.unix_micros("start").alias("start_us")).agg(F.sum("count").alias("count"))
+
+
+@query("w2_continuous_span_volume", v.sql("SELECT CAST(epoch_us(date_trunc('day', make_timestamp(start_time_nanos // 1000))) AS BIGINT) AS start_us, CASE status_code WHEN 1 THEN 'ok' WHEN 2 THEN 'error' ELSE 'unset' END AS status, count(*) AS count FROM spans GROUP BY 1, 2", spans=v.SPANS))
+def w2b(spark, d):
+    rows = live.continuous_span_volume(_stream(spark, v.spans(spark, d)), "1 day", "5000 days")
+    return _all(spark, rows, "complete").select(F.unix_micros("start").alias("start_us"), "status", "count")
+
+
+_GONE = 90 * 60_000
+_GAPS = f"""SELECT rule_id, series_key, "at", value FROM s UNION ALL SELECT rule_id, series_key, "at" + {_GONE}, NULL FROM (SELECT *, lead("at") OVER (PARTITION BY rule_id, series_key ORDER BY "at") AS nxt, max("at") OVER () AS last FROM s) WHERE coalesce(nxt, 9e18) > "at" + {_GONE} AND (nxt IS NOT NULL OR "at" + {_GONE} < last - 3600000)"""
+_TIMED = f"""SELECT *, CASE WHEN state = 'triggered' AND p <> 'triggered' THEN 'triggered' WHEN state = 'ok' AND p = 'triggered' THEN 'resolved' WHEN state = 'pending' AND p = 'ok' THEN 'pending' END AS transition FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY rule_id, series_key ORDER BY "at"), 'ok') AS p FROM
+ (SELECT rule_id, series_key, "at", CASE WHEN NOT breach THEN 'ok' WHEN "at" - min(CASE WHEN breach THEN "at" END) OVER (PARTITION BY rule_id, series_key, run) >= for_secs * 1000 THEN 'triggered' ELSE 'pending' END AS state FROM
+ (SELECT *, count(*) FILTER (NOT breach) OVER (PARTITION BY rule_id, series_key ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT g.rule_id, series_key, "at", value, for_secs, {_BREACH} AS breach FROM ({_GAPS}) g JOIN r ON g.rule_id = r.rule_id))))"""
+
+
+@query("w4_vanished_series", v.sql(f"SELECT rule_id, series_key, \"at\", transition FROM ({_TIMED}) WHERE transition IS NOT NULL", points=v.POINTS, s=_SAMPLES, r=_RULES))
+def w4c(spark, d):
+    """Samples alone, in several batches; a series without one for 90 minutes is gone, by a timer of event time."""
+    return _all(spark, live.alert_transitions(_in_order(spark, samples(spark, d), "at"), rules(spark), _GONE)).select("rule_id", "series_key", "at", "transition")
 
 
 @query("w4_streaming_uptime", v.sql(f"SELECT monitor_id, ts, transition FROM ({_STATES}) WHERE transition IS NOT NULL", beats=v.BEATS))
 def w4(spark, d):
-    return _all(spark, live.uptime_transitions(_in_order(spark, v.heartbeats(spark, d)), 2)).select("monitor_id", "ts", "transition")
+    return _all(spark, live.uptime_transitions(_in_order(spark, v.heartbeats(spark, d), "ts"), 2)).select("monitor_id", "ts", "transition")
 
 
 @query("w4_streaming_alerts", v.sql(f"SELECT rule_id, series_key, \"at\", transition FROM ({_MACHINE}) WHERE transition IS NOT NULL", points=v.POINTS, s=_SAMPLES, r=_RULES))
@@ -460,13 +545,13 @@ def w4b(spark, d):
     rows = samples(spark, d)
     seen = rows.groupBy("rule_id", "series_key").agg(F.min("at").alias("_first"))
     gone = rows.select("rule_id", "at").distinct().join(seen, "rule_id").where("at >= _first").join(rows, ["rule_id", "series_key", "at"], "left").select("rule_id", "series_key", "at", "value")
-    return _all(spark, live.alert_transitions(_in_order(spark, gone), rules(spark))).select("rule_id", "series_key", "at", "transition")
+    return _all(spark, live.alert_transitions(_in_order(spark, gone, "at"), rules(spark))).select("rule_id", "series_key", "at", "transition")
 
 
 @query("w5_streaming_counter", v.sql(f"SELECT \"user\" AS series, timestamp_nanos, CAST({q_metrics._UP} AS DOUBLE) AS increase FROM points WHERE metric_name = 'requests_total' WINDOW w AS (PARTITION BY \"user\" ORDER BY timestamp_nanos, value)", points=v.POINTS))
 def w5(spark, d):
     rows = v.points(spark, d).where("metric_name = 'requests_total'").select("metric_name", F.col("attributes").getItem("user").alias("series"), "timestamp_nanos", "start_nanos", "value")
-    return _all(spark, live.counter_increases(_in_order(spark, rows))).select("series", "timestamp_nanos", "increase")
+    return _all(spark, live.counter_increases(_in_order(spark, rows, "timestamp_nanos"))).select("series", "timestamp_nanos", "increase")
 
 
 @query("w6_streaming_ingest", v.sql("SELECT timestamp_nanos, body, trace_id, service FROM logs", logs=v.LOGS))

@@ -44,14 +44,22 @@ def number_text(value: Column) -> Column:
     return F.when(whole, value.cast("long").cast("string")).otherwise(value.cast("string"))
 
 
-def any_text(value: Column) -> Column:
-    """A typed value as text; lists as [a,b] and maps as {k=v}, one level deep."""
-    scalar = lambda x: F.coalesce(x["stringValue"], x["boolValue"].cast("string"), x["intValue"], number_text(x["doubleValue"]), x["bytesValue"], F.lit(""))
-    items = F.from_json(value["arrayValue"], f"struct<values:array<{_ANY}>>")["values"]
-    pairs = F.from_json(value["kvlistValue"], f"struct<values:{_KEYS}>")["values"]
-    listed = F.concat(F.lit("["), F.array_join(F.transform(items, scalar), ","), F.lit("]"))
-    mapped = F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), scalar(p["value"]))), ","), F.lit("}"))
-    return F.when(value["arrayValue"].isNotNull(), listed).when(value["kvlistValue"].isNotNull(), mapped).otherwise(scalar(value))
+#: Levels of lists and maps inside each other that are written out; deeper ones stay as their JSON text.
+DEPTH = 3
+
+
+def any_text(value: Column, depth: int = DEPTH) -> Column:
+    """A typed value as text: lists as [a,b], maps as {k=v}, bytes as hex, nothing as the empty text."""
+    raw = F.lower(F.hex(F.unbase64(value["bytesValue"])))
+    scalar = F.coalesce(value["stringValue"], value["boolValue"].cast("string"), value["intValue"], number_text(value["doubleValue"]), raw, F.lit(""))
+    if depth == 0:
+        return F.coalesce(value["arrayValue"], value["kvlistValue"], scalar)
+    inner = lambda x: F.coalesce(any_text(x, depth - 1), F.lit(""))
+    items = F.coalesce(F.from_json(value["arrayValue"], f"struct<values:array<{_ANY}>>")["values"], F.array().cast(f"array<{_ANY}>"))
+    pairs = F.coalesce(F.from_json(value["kvlistValue"], f"struct<values:{_KEYS}>")["values"], F.array().cast(_KEYS))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(items, inner), ","), F.lit("]"))
+    mapped = F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), inner(p["value"]))), ","), F.lit("}"))
+    return F.when(value["arrayValue"].isNotNull(), listed).when(value["kvlistValue"].isNotNull(), mapped).otherwise(scalar)
 
 
 def attribute_map(keys: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -19,6 +19,8 @@ SORT = {"logs": ("service.name", "timestamp_nanos"), "spans": ("service.name", "
 BLOOM = {"spans": "trace_id", "logs": "trace_id", "metrics": "metric_name"}
 DAY_NANOS = 86_400_000_000_000
 TARGET_ROWS, MOST_INPUTS = 150_000, 32
+#: Of every file written: zstd level and rows of a row group.
+ZSTD_LEVEL, GROUP_ROWS = 1, 131_072
 
 
 def with_date(rows: DataFrame, signal: str) -> DataFrame:
@@ -40,14 +42,19 @@ def sql(spark: SparkSession, text: str, tables: Mapping[str, DataFrame]) -> Data
     return spark.sql(text)
 
 
+def writer(rows: DataFrame, mode: str = "append") -> DataFrameWriter:
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": ZSTD_LEVEL, "parquet.block.row.count.limit": GROUP_ROWS}
+    return rows.write.mode(mode).options(**options)
+
+
 def sink(rows: DataFrame, root: str, signal: str, mode: str = "append", partitions: int | None = None) -> str:
     """Write sorted, compressed files, a folder for each date; returns the table's folder."""
     keys = [quoted(k) for k in SORT[signal] if k in rows.columns]
     dated = with_date(rows, signal)
     dealt = dated.repartitionByRange(partitions, "date", *keys) if partitions else dated.repartitionByRange("date", *keys)
     out = f"{root}/{FOLDERS[signal]}"
-    bloom = BLOOM[signal]
-    (dealt.sortWithinPartitions("date", *keys).write.mode(mode).partitionBy("date").option("compression", "zstd").option(f"parquet.bloom.filter.enabled#{bloom}", "true").parquet(out))
+    sorted_rows = dealt.sortWithinPartitions("date", *keys)
+    writer(sorted_rows, mode).partitionBy("date").option(f"parquet.bloom.filter.enabled#{BLOOM[signal]}", "true").parquet(out)
     return out
 
 
@@ -80,22 +87,38 @@ def consolidation_plan(listing: DataFrame, target_rows: int = TARGET_ROWS, most_
     return rows.withColumn("inputs", F.count(F.lit(1)).over(Window.partitionBy("date", "grp"))).where("inputs > 1")
 
 
-def consolidate(spark: SparkSession, folder: str, signal: str, staging: str, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Rewrite the dates that hold mergeable small files, sorted, to ``staging``, then swap them in; returns (date, files_before, rows)."""
+def consolidate(spark: SparkSession, folder: str, signal: str, staging: str, target_rows: int = TARGET_ROWS, most_inputs: int = MOST_INPUTS) -> DataFrame:
+    """Merge each planned group of small files into one sorted file; returns (date, files_before, files_after, rows) of the dates touched.
+
+    Only the planned files are read and written, once. New files are made in ``staging``; then, group by group, the inputs are deleted
+    and the new file is moved in, so a reader that lists files in between misses that group for a moment. A group that is left in
+    ``staging`` by a crash can be moved in as it is.
+    """
     listing = files(spark, folder, signal)
-    plan = consolidation_plan(listing, target_rows)
-    report = listing.join(plan.select("date").distinct(), "date", "left_semi").groupBy("date").agg(F.count(F.lit(1)).alias("files_before"), F.sum("rows").alias("rows"))
+    writer(consolidation_plan(listing, target_rows, most_inputs), "overwrite").parquet(f"{staging}/plan")
+    plan = spark.read.parquet(f"{staging}/plan")
+    merged = plan.groupBy("date").agg(F.count(F.lit(1)).alias("_inputs"), F.count_distinct("grp").alias("_groups"))
+    before = listing.groupBy("date").agg(F.count(F.lit(1)).alias("files_before"), F.sum("rows").alias("rows"))
+    report = before.join(merged, "date").select("date", "files_before", (F.col("files_before") - F.col("_inputs") + F.col("_groups")).alias("files_after"), "rows")
     done = report.collect()  # a row a date
     if not done:
         return spark.createDataFrame([], report.schema)
-    dates = [r["date"] for r in done]
-    keys = [quoted(k) for k in SORT[signal]]
-    df = spark.read.parquet(folder).where(F.col("date").isin(dates))
-    keys = [k for k, name in zip(keys, SORT[signal], strict=True) if name in df.columns]
-    parts = max(1, -(-sum(r["rows"] for r in done) // target_rows))
-    df.repartitionByRange(parts, "date", *keys).sortWithinPartitions("date", *keys).write.mode("overwrite").partitionBy("date").option("compression", "zstd").parquet(staging)
-    fresh = spark.read.parquet(staging)
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").option("compression", "zstd").parquet(folder)
+    df = spark.read.parquet(folder)
+    keys = [quoted(k) for k in SORT[signal] if k in df.columns]
+    rows = df.withColumn("_path", F.col("_metadata.file_path")).join(plan.select(F.col("path").alias("_path"), F.col("grp").alias("_grp")), "_path").drop("_path")
+    dealt = rows.repartition("date", "_grp").sortWithinPartitions("date", "_grp", *keys)
+    writer(dealt, "overwrite").partitionBy("date", "_grp").option(f"parquet.bloom.filter.enabled#{BLOOM[signal]}", "true").parquet(f"{staging}/files")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    inputs: dict[tuple[str, int], list[str]] = {}
+    for r in plan.select(F.col("date").cast("string").alias("date"), "grp", "path").collect():  # names of the files that go
+        inputs.setdefault((r["date"], r["grp"]), []).append(r["path"])
+    for (date, grp), old in inputs.items():
+        made = [f.getPath() for f in system.listStatus(path(f"{staging}/files/date={date}/_grp={grp}")) if f.getPath().getName().endswith(".parquet")]
+        for name in old:
+            system.delete(path(name), False)
+        for new in made:
+            system.rename(new, path(f"{folder}/date={date}/{new.getName()}"))
     return spark.createDataFrame(done, report.schema)
 
 

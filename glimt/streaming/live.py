@@ -94,16 +94,24 @@ def uptime_transitions(beats: DataFrame, retries: int = 3) -> DataFrame:
 
 
 class AlertProcessor(StatefulProcessor):
-    """State of a (rule, series): (state, since). Evaluations of the rule without a sample of the series come as null values."""
+    """State of a (rule, series): (state, since, last sample). A null value, or no sample for ``gone_after_ms``, means that the series is gone."""
+
+    def __init__(self, gone_after_ms: int | None = None) -> None:
+        self.gone_after = gone_after_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("alert", "state string, since long")
+        self.state = handle.getValueState("alert", "state string, since long, last long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-        now, since = self.state.get() if self.state.exists() else ("ok", 0)
+        now, since, last = self.state.get() if self.state.exists() else ("ok", 0, None)
         out = []
+        if self.gone_after and last is not None:
+            self.handle.deleteTimer(last + self.gone_after)
         for at, value, breach, for_ms in pd.concat(list(rows)).sort_values("at", kind="stable")[["at", "value", "breach", "for_ms"]].itertuples(index=False):
+            if self.gone_after and last is not None and at - last > self.gone_after:
+                out += self._gone(key, now, last + self.gone_after)
+                now = "ok"
             if not breach:
                 new = "ok"
             else:
@@ -111,19 +119,38 @@ class AlertProcessor(StatefulProcessor):
                 new = "triggered" if at - since >= for_ms else "pending"
             if new != now and (new != "ok" or now == "triggered"):
                 out.append((*key, at, None if pd.isna(value) else value, "resolved" if new == "ok" else new))
-            now = new
-        self.state.update((now, int(since)))
-        yield pd.DataFrame(out, columns=["rule_id", "series_key", "at", "value", "transition"])
+            now, last = new, int(at)
+        self.state.update((now, int(since), last))
+        if self.gone_after and last is not None:
+            self.handle.registerTimer(last + self.gone_after)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now, since, last = self.state.get()
+        self.state.update(("ok", since, last))
+        yield self._frame(self._gone(key, now, expiredTimerInfo.getExpiryTimeInMs()))
+
+    def _gone(self, key: Any, now: str, at: int) -> list[tuple]:
+        return [(*key, at, None, "resolved")] if now == "triggered" else []
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["rule_id", "series_key", "at", "value", "transition"])
 
     def close(self) -> None:
         pass
 
 
-def alert_transitions(samples: DataFrame, rules: DataFrame) -> DataFrame:
-    """Transitions over a stream of samples (rule_id, series_key, at, value); an evaluation in which a series is gone brings it with a null value."""
+def alert_transitions(samples: DataFrame, rules: DataFrame, gone_after_ms: int | None = None, late: str = "1 hour") -> DataFrame:
+    """Transitions over a stream of samples (rule_id, series_key, at, value).
+
+    A series is gone in an evaluation that brings it with a null value; with ``gone_after_ms`` also where no sample has come for so long,
+    by a timer of event time (``at``; the watermark follows ``late`` behind).
+    """
     rows = samples.join(rules.select("rule_id", "op", "threshold", "for_secs"), "rule_id")
-    rows = rows.select("rule_id", "series_key", "at", "value", F.coalesce(breaches(F.col("value"), F.col("op"), F.col("threshold")), F.lit(False)).alias("breach"), (F.col("for_secs") * 1000).cast("long").alias("for_ms"))
-    return rows.groupBy("rule_id", "series_key").transformWithStateInPandas(AlertProcessor(), "rule_id string, series_key string, at long, value double, transition string", "Append", "None")
+    breach = F.coalesce(breaches(F.col("value"), F.col("op"), F.col("threshold")), F.lit(False)).alias("breach")
+    rows = rows.select("rule_id", "series_key", "at", "value", breach, (F.col("for_secs") * 1000).cast("long").alias("for_ms"), F.timestamp_millis("at").alias("_ts"))
+    rows, mode = (rows.withWatermark("_ts", late), "EventTime") if gone_after_ms else (rows, "None")
+    return rows.groupBy("rule_id", "series_key").transformWithStateInPandas(AlertProcessor(gone_after_ms), "rule_id string, series_key string, at long, value double, transition string", "Append", mode)
 
 
 class CounterProcessor(StatefulProcessor):
