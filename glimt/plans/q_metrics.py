@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glimt.functions.fields import quoted
@@ -123,6 +124,22 @@ def m8c(spark, d):
     return distributions.exponential_series(exponential(spark, d), "line.exp", LS, LE, N, "count", ["service"])
 
 
+_EXP_DAYS = "SELECT l_suppkey, l_shipdate, month(l_shipdate) % 2 AS sc, CAST(sum(count(*)) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate) AS DOUBLE) AS cum FROM lineitem GROUP BY 1, 2"
+_EXP_UP = f"""SELECT 'svc-' || (l_suppkey % 10) AS service, {_LB} AS b, sum(up) AS n FROM (SELECT *, CASE WHEN lag(cum) OVER w IS NULL THEN 0 WHEN sc <> lag(sc) OVER w THEN cum ELSE cum - lag(cum) OVER w END AS up
+ FROM ({_EXP_DAYS}) WHERE epoch_us(l_shipdate) * 1000 BETWEEN {LS} AND {LE} WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate)) GROUP BY 1, 2"""
+
+
+@query("m8_cumulative_exponential_count", _series("SELECT service, b, n AS v FROM h", view="h", body=_EXP_UP, start=LS, end=LE))
+def m8u(spark, d):
+    """A supplier's lines counted up day by day; the scale changes with the month, which starts the series anew."""
+    daily = v.read(spark, d, "lineitem").groupBy("l_shipdate", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    cum = F.sum("n").over(Window.partitionBy("l_suppkey").orderBy("l_shipdate"))
+    none = F.lit(None).cast("struct<offset:int,bucket_counts:array<bigint>>")
+    value = F.struct(F.col("cum").alias("count"), F.col("cum").cast("double").alias("sum"), (F.month("l_shipdate") % 2).alias("scale"), F.lit(0).cast("long").alias("zero_count"), F.struct(F.lit(0).alias("offset"), F.array("cum").alias("bucket_counts")).alias("positive"), none.alias("negative"), F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"))
+    points = daily.withColumn("cum", cum).select(F.lit("line.exp").alias("metric_name"), F.lit(3).alias("metric_type"), F.lit(2).alias("temporality"), v.nanos("l_shipdate").alias("timestamp_nanos"), F.lit(None).cast("long").alias("start_nanos"), value.alias("exp_histogram"), F.concat(F.lit("svc-"), F.col("l_suppkey") % 10).alias("service.name"), v.attributes(supplier=F.col("l_suppkey")).alias("attributes"))
+    return distributions.exponential_series(points, "line.exp", LS, LE, N, "count", ["service"])
+
+
 def summaries(spark, d):
     cents = F.round(F.col("value") * 100)
     q = F.array(*(F.struct(F.lit(p).alias("quantile"), (cents + k).alias("value")) for k, p in enumerate((0.5, 0.9, 0.99))))

@@ -90,9 +90,9 @@ def consolidation_plan(listing: DataFrame, target_rows: int = TARGET_ROWS, most_
 def consolidate(spark: SparkSession, folder: str, signal: str, staging: str, target_rows: int = TARGET_ROWS, most_inputs: int = MOST_INPUTS) -> DataFrame:
     """Merge each planned group of small files into one sorted file; returns (date, files_before, files_after, rows) of the dates touched.
 
-    Only the planned files are read and written, once. New files are made in ``staging``; then, group by group, the inputs are deleted
-    and the new file is moved in, so a reader that lists files in between misses that group for a moment. A group that is left in
-    ``staging`` by a crash can be moved in as it is.
+    Only the planned files are read and written, once. New files are made in ``staging``; then, group by group, the new file is moved in
+    under a hidden name, the inputs are deleted, and it is shown, so a reader that lists files in between misses that group for a moment.
+    After a crash a file with a hidden name holds a whole group.
     """
     listing = files(spark, folder, signal)
     writer(consolidation_plan(listing, target_rows, most_inputs), "overwrite").parquet(f"{staging}/plan")
@@ -115,10 +115,15 @@ def consolidate(spark: SparkSession, folder: str, signal: str, staging: str, tar
         inputs.setdefault((r["date"], r["grp"]), []).append(r["path"])
     for (date, grp), old in inputs.items():
         made = [f.getPath() for f in system.listStatus(path(f"{staging}/files/date={date}/_grp={grp}")) if f.getPath().getName().endswith(".parquet")]
+        # in the table first under a name that readers pass over, and only then are the inputs deleted
+        hidden = [path(f"{folder}/date={date}/_{grp}-{new.getName()}") for new in made]
+        if not made or not all(system.rename(new, to) for new, to in zip(made, hidden, strict=True)):
+            raise OSError(f"could not move the merged files of {date}, group {grp}, into {folder}")
         for name in old:
             system.delete(path(name), False)
-        for new in made:
-            system.rename(new, path(f"{folder}/date={date}/{new.getName()}"))
+        for at in hidden:
+            if not system.rename(at, path(f"{folder}/date={date}/merged{at.getName()}")):
+                raise OSError(f"could not show {at}")
     return spark.createDataFrame(done, report.schema)
 
 

@@ -114,6 +114,34 @@ def test_ingest_values(spark):
     assert (row["timestamp_nanos"], row["severity_text"], row["body"], row["service.name"], row["attributes"]) == (7, None, "2", "api", {"a": "5", "l": "[x,true]", "m": "{k=1.5}"})
 
 
+def test_nested_values(spark):
+    deep = '{"arrayValue":{"values":[{"arrayValue":{"values":[{"intValue":"1"},{"kvlistValue":{"values":[{"key":"k","value":{"stringValue":"v"}},{"key":"e"}]}}]}},{"bytesValue":"3q2+7w=="},{}]}}'
+    raw = '{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"timeUnixNano":"3","body":' + deep + ',"attributes":[{"key":"b","value":{"bytesValue":"AP8="}}]}]}]}]}'
+    row = ingest.otlp_logs(spark.createDataFrame([(raw,)], "value string")).first()
+    assert (row["body"], row["attributes"]) == ("[[1,{k=v,e=}],deadbeef,]", {"b": "00ff"})
+
+
+def test_cumulative_exponential(spark):
+    side = "struct<offset:int,bucket_counts:array<bigint>>"
+    kind = f"struct<count:bigint,sum:double,scale:int,zero_count:bigint,positive:{side},negative:{side},min:double,max:double>"
+    schema = f"metric_name string, metric_type int, temporality int, timestamp_nanos long, start_nanos long, exp_histogram {kind}, `service.name` string, attributes map<string,string>"
+    point = lambda t, count, scale, counts, user="a": ("h", 3, 2, t, None, (count, float(count), scale, 0, (0, counts), None, None, None), "api", {"user": user})
+    rows = [point(10, 10, 1, [10]), point(110, 14, 0, [14]), point(120, 20, 0, [20]), point(210, 3, 0, [3]), point(220, 5, 1, [2, 3]), point(15, 100, 0, [100], "b"), point(130, 101, 0, [101], "b")]
+    df = spark.createDataFrame(rows, schema)
+    series = lambda agg, **more: [r["v"] for r in distributions.exponential_series(df, "h", 0, 300, 3, agg, **more).orderBy("bucket").collect()]
+    # first samples add nothing; a new scale and a fall start the series anew
+    assert series("count") == [0.0, 21.0, 8.0] and series("sum") == [0.0, 21.0, 8.0]
+    assert series("p50")[0] is None and 1 < series("p50")[1] < 2
+    assert series("count", series_key="group")[0] == 100.0  # one series of all rows: 100 at another scale starts anew
+    assert distributions.exponential_series(df.where("timestamp_nanos < 50 and attributes['user'] = 'a'"), "h", 0, 300, 3, "p50").where("v is not null").count() == 0
+
+
+def test_spans_that_end_before_they_start(spark):
+    df = spans(spark, [("t", "r", None, "a", "x", 100, 200, 100, 1, 2), ("t", "c", "r", "a", "y", 150, 90, 0, 1, 2)])
+    tree = {r["span_id"]: r for r in traces.trace_tree(df).collect()}
+    assert not tree["c"]["clock_skew"] and tree["c"]["critical"]
+
+
 def test_fingerprints(spark):
     rows = spark.createDataFrame([("TypeError", "chunk 12", "app.js:4"), ("TypeError", "chunk 99", "app.js:4"), ("", "", None)], "t string, m string, f string")
     got = [r[0] for r in rows.select(ingest.fingerprint(F.col("t"), F.col("m"), F.col("f"))).collect()]

@@ -30,6 +30,40 @@ def test_storage_life(spark, tmp_path):
     assert removed["rows_removed"] == 100 and tuple(left) == (200, 2 * DAY)
 
 
+def test_consolidation_keeps_to_its_groups(spark, tmp_path):
+    root = str(tmp_path)
+    tables.with_date(rows_of(spark, 40), "logs").repartition(7).write.partitionBy("date").parquet(f"{root}/data")
+    before = {r["path"]: r["rows"] for r in tables.files(spark, f"{root}/data", "logs").collect()}
+    report = tables.consolidate(spark, f"{root}/data", "logs", f"{root}/staging", 14).collect()
+    after = {r["path"]: r["rows"] for r in tables.files(spark, f"{root}/data", "logs").collect()}
+    assert sum(after.values()) == 40 and max(after.values()) <= 14 and 1 < len(after) < len(before) == 7
+    assert [(r["files_before"], r["files_after"], r["rows"]) for r in report] == [(7, len(after), 40)]
+    import pyarrow.parquet as pq
+
+    for path in set(after) - set(before):
+        file = pq.ParquetFile(path.replace("file://", ""))
+        times = file.read(columns=["timestamp_nanos"]).column(0).to_pylist()
+        assert times == sorted(times) and file.metadata.row_group(0).column(0).compression == "ZSTD"
+    assert tables.consolidate(spark, f"{root}/data", "logs", f"{root}/again", 1).count() == 0
+
+
+def test_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    out = tables.sink(rows_of(spark, 50).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6000)))).drop("k"), str(tmp_path), "logs", partitions=1)
+    groups = [pq.ParquetFile(p).metadata.row_group(i).num_rows for p in map(str, (tmp_path / "data").rglob("*.parquet")) for i in range(pq.ParquetFile(p).metadata.num_row_groups)]
+    assert sum(groups) == 300_000 and max(groups) <= tables.GROUP_ROWS and out
+
+
+def test_usage_samples_are_pruned(spark, tmp_path):
+    from glimt.operators import usage
+
+    sample = lambda day: spark.createDataFrame([(day * 86_400_000 + 5, "logs", day)], "ts_ms long, signal string, total_rows long")
+    for day in (10, 20, 41):
+        usage.record(spark, sample(day), str(tmp_path / "u"), day * 86_400_000 + 6)
+    assert sorted(r["total_rows"] for r in spark.read.parquet(str(tmp_path / "u")).collect()) == [20, 41]
+
+
 def test_plan_groups_neighbours(spark):
     files = [("d1", "a", 40, 0), ("d1", "b", 50, 1), ("d1", "c", 30, 2), ("d1", "big", 500, 3), ("d1", "e", 10, 4), ("d2", "f", 5, 0)]
     listing = spark.createDataFrame(files, "date string, path string, rows long, min_ts long")
