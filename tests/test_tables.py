@@ -42,7 +42,7 @@ def test_consolidation_keeps_to_its_groups(spark, tmp_path):
 
     for path in set(after) - set(before):
         file = pq.ParquetFile(path.replace("file://", ""))
-        times = file.read(columns=["timestamp_nanos"]).column(0).to_pylist()
+        times = [tuple(r.values()) for r in file.read(columns=["service.name", "timestamp_nanos"]).to_pylist()]
         assert times == sorted(times) and file.metadata.row_group(0).column(0).compression == "ZSTD"
     assert tables.consolidate(spark, f"{root}/data", "logs", f"{root}/again", 1).count() == 0
 
