@@ -31,7 +31,7 @@ MARGIN = 0.3
 #: Cross-entropy differences are sharpened by this many characters to give a score.
 SHARPNESS = 40.0
 #: Bytes of text scored at once.
-PIECE = 1 << 19
+PIECE = 1 << 18
 UNKNOWN = "und"
 _TOP = 0x33480  # code points from here on count as no letters
 

@@ -1,6 +1,6 @@
 """A column of texts seen as one buffer of UTF-8 bytes, cut into words and hashed with numpy.
 
-Every Arrow-side operator of this package works on these buffers, a few megabytes at a time, so
+Every Arrow-side operator of this package works on these buffers, half a megabyte at a time, so
 that the memory of a task is bounded by ``CHUNK`` and by its longest single text.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Primes below 2^31 and a base for each. Modulo 2^64 some strings collide for every base (Thue-Morse); modulo a prime none do.
 _PRIMES = ((2147483647, 1289706101), (2147483629, 1807369081))
