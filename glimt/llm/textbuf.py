@@ -52,6 +52,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK) -
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+        pa.default_memory_pool().release_unused()  # what one batch needed is not kept while the next is read
 
 
 class TextBuffer:
