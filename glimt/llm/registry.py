@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimt.llm import decontaminate, html_extract, language_id, mixing, quality_rules, secret_scan, sharding, simhash, suffix_dedup, url_filter
+from glimt.llm import collocations, decontaminate, html_extract, language_id, mixing, nearest, negatives, quality_rules, secret_scan, sharding, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_language_id": language_id.op10_language_id,
+        "op11_nearest": nearest.op11_nearest,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(url_filter.ORACLE)
+    return url_filter.ORACLE | negatives.ORACLE | collocations.ORACLE
