@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
-from itertools import groupby
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimt.functions.buckets import bucket_index, bucket_label, fill
 from glimt.functions.fields import quoted
+from glimt.functions.storage import kept
+from glimt.operators import forest
 from glimt.operators import logs as log_ops
 
 PAD_NANOS = 3_600_000_000_000
+#: Spans of a trace that one task works on at most.
+GIANT_SPANS = 200_000
 SORTS = {
     "recent": [F.desc, "start_time_nanos"],
     "slowest": [F.desc_nulls_last, "duration_nanos"],
@@ -94,86 +96,23 @@ def matched_traces(spans: DataFrame, where: Column) -> DataFrame:
     return spans.where(where).agg(F.count_distinct("trace_id").alias("matched_count"))
 
 
-def _tree(rows: list[tuple]) -> dict[str, list]:
-    """One trace, rows of (trace_id, span_id, parent_span_id, start, end, status_code), as a forest.
-
-    Parents that are absent or the span itself make roots; a pure cycle starts at its earliest span.
-    """
-    rows = list({r[1]: r for r in sorted(rows, key=lambda r: (r[3], r[1]), reverse=True)}.values())[::-1]
-    ids, parents, start, end = ([r[k] for r in rows] for k in (1, 2, 3, 4))
-    bad = [r[5] == 2 for r in rows]
-    at = {s: i for i, s in enumerate(ids)}
-    up = [at.get(p) if p is not None and p != s else None for s, p in zip(ids, parents, strict=True)]
-    children: dict[int | None, list[int]] = {}
-    for i, p in enumerate(up):
-        children.setdefault(p, []).append(i)
-    depth, order, error, skew = [-1] * len(ids), [], list(bad), [False] * len(ids)
-
-    def walk(root: int) -> None:
-        stack = [(root, 0)]
-        while stack:
-            i, d = stack.pop()
-            if depth[i] >= 0:
-                continue
-            depth[i] = d
-            order.append(i)
-            stack.extend((c, d + 1) for c in reversed(children.get(i, [])))
-
-    for i in range(len(ids)):
-        if up[i] is None:
-            walk(i)
-    for i in range(len(ids)):  # cycles, by earliest span
-        if depth[i] < 0:
-            up[i] = None
-            walk(i)
-    for i in reversed(order):
-        if up[i] is not None and error[i]:
-            error[up[i]] = True
-        if up[i] is not None:
-            skew[i] = start[i] < start[up[i]] or end[i] > end[up[i]]
-    critical, level = set(), [i for i in range(len(ids)) if up[i] is None]
-    while level:  # from the root that ends last, always the child that ends last
-        i = max(level, key=lambda k: (end[k], -start[k], ids[k]))
-        critical.add(i)
-        level = [c for c in children.get(i, []) if up[c] == i and c not in critical]
-    rank = {i: k for k, i in enumerate(order)}
-    zero = min(start) if start else 0
-    return {"trace_id": [r[0] for r in rows], "span_id": ids, "position": [rank[i] for i in range(len(ids))], "depth": depth, "offset_nanos": [s - zero for s in start], "clock_skew": skew, "subtree_has_error": error, "critical": [i in critical for i in range(len(ids))]}
-
-
-def _forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Traces of a partition sorted by trace id, whatever batches they come in."""
-    rest: list[tuple] = []
-
-    def work(rows: list[tuple]) -> pa.RecordBatch:
-        out: dict[str, list] = {}
-        for _, own in groupby(rows, key=lambda r: r[0]):
-            for name, values in _tree(list(own)).items():
-                out.setdefault(name, []).extend(values)
-        return pa.RecordBatch.from_pydict(out)
-
-    for batch in batches:
-        rest.extend(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        cut = next((i for i in range(len(rest) - 1, 0, -1) if rest[i][0] != rest[i - 1][0]), 0)  # the last trace may go on
-        if cut:
-            yield work(rest[:cut])
-            rest = rest[cut:]
-    if rest:
-        yield work(rest)
-
-
 def span_end() -> Column:
     """The end of a span, by its duration where it is missing, and never before its start."""
     return F.greatest(F.col("start_time_nanos"), F.coalesce("end_time_nanos", F.col("start_time_nanos") + F.coalesce("duration_nanos", F.lit(0))))
 
 
-def trace_tree(spans: DataFrame) -> DataFrame:
+def trace_tree(spans: DataFrame, giant: int = GIANT_SPANS) -> DataFrame:
     """Per span: pre-order position, depth, offset from the trace's start, clock skew, error in its subtree, on the critical path.
 
-    A trace is bounded and is worked on whole; traces run in parallel, many to a batch.
+    Traces are worked on whole and many at once, in parallel; those of more than ``giant`` spans are spread over all tasks instead.
     """
     rows = spans.select("trace_id", "span_id", "parent_span_id", F.col("start_time_nanos").alias("start"), span_end().alias("end"), F.coalesce("status_code", F.lit(0)).alias("status_code"))
-    return rows.repartition("trace_id").sortWithinPartitions("trace_id").mapInArrow(_forests, "trace_id string, span_id string, position long, depth long, offset_nanos long, clock_skew boolean, subtree_has_error boolean, critical boolean")
+    whole = lambda x: x.repartition("trace_id").sortWithinPartitions("trace_id").mapInArrow(forest.forests, forest.SCHEMA)
+    giants = rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > giant).select("trace_id")
+    if giants.isEmpty():
+        return whole(rows)
+    giants = F.broadcast(kept(giants, "giants"))  # at most a row for each ``giant`` spans
+    return whole(rows.join(giants, "trace_id", "left_anti")).unionByName(forest.giant_forest(rows.join(giants, "trace_id", "left_semi")))
 
 
 def critical_path(spans: DataFrame) -> DataFrame:
