@@ -14,24 +14,24 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glimt.llm.common import quoted, table, written
-from glimt.llm.textbuf import TextBuffer, chunks, mix
+from glimt.llm.textbuf import TextBuffer, chunks, mix, powers
 
 LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
 #: Bits of a bitmap: so many a key, within these bounds.
 KEY_BITS, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 27
 #: Bytes of text worked on at once; counts that a task holds before it hands them on; rows of a batch handed on.
-PIECE, HELD, BATCH = 1 << 20, 1 << 20, 1 << 16
+PIECE, HELD, BATCH = 1 << 19, 1 << 18, 1 << 16
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[list(b".,;:!?\n\x0b\x0c\r")] = True
 _INSIDE = ~_SEPARATOR
 _INSIDE[[0x20, 0x09]] = False
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_CHECK = 0xD6E8FEB86659FD93
 
 
 class Words:
@@ -43,13 +43,20 @@ class Words:
         owner = buf.owner(self.starts)
         lang = batch.column("lang").dictionary_encode()
         self.langs, self.lang = lang.dictionary, lang.indices.to_numpy()[owner]
-        salt = np.array([xxhash.xxh64_intdigest(x.encode(), seed) for x in self.langs.to_pylist()], np.uint64)
-        self.ids = mix(buf.hashes(self.starts, self.ends) ^ salt[self.lang])
+        self.salt = np.array([xxhash.xxh64_intdigest(x.encode(), seed) for x in self.langs.to_pylist()], np.uint64)
+        self.ids = mix(buf.hashes(self.starts, self.ends) ^ self.salt[self.lang])
         self.ids[self.ids == 0] = 1
         breaks = np.concatenate([[0], np.cumsum(_SEPARATOR[buf.data])])
         self.linked = np.zeros(len(owner), bool)
         self.linked[:-1] = (owner[1:] == owner[:-1]) & (breaks[self.starts[1:]] == breaks[self.ends[:-1]])
 
+    def check(self, at: np.ndarray) -> np.ndarray:
+        """Another hash of these words and their languages, by another polynomial, to tell words apart that share an id."""
+        data = self.buf.data
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(7)) * powers(max(1, len(data)), _CHECK, 0)[: len(data)])])
+        down = powers(len(data) + 1, pow(_CHECK, -1, 1 << 64), 0)
+        return mix((sums[self.ends[at]] - sums[self.starts[at]]) * down[self.starts[at]]) + self.salt[self.lang[at]]
+
     def spelled(self, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
         """Languages and texts of the words at these places."""
         size = self.ends[at] - self.starts[at]
@@ -85,7 +92,7 @@ def counted(batches: Iterable[pa.RecordBatch], parts: Callable[[pa.RecordBatch],
             rows += len(more[-1])
             if rows >= HELD:
                 held, more, rows = merged(), [], 0
-                if len(held) >= HELD:
+                if len(held) >= HELD // 2:
                     yield from held.combine_chunks().to_batches(BATCH)
                     held = None
     if held is not None or more:
@@ -101,16 +108,14 @@ def count_words(texts: DataFrame, seed: int) -> DataFrame:
 
     def parts(piece: pa.RecordBatch) -> pa.Table:
         words = Words(piece, seed)
-        at, n = grouped(words.ids, np.ones(len(words.ids), np.int64))
+        at, n = grouped(pair_keys(words.ids, words.check(slice(None))), np.ones(len(words.ids), np.int64))
         lang, text = words.spelled(at)
-        return pa.table({"id": words.ids[at].view(np.int64), "lang": lang.cast(pa.large_string()), "word": text, "n": n})
+        return pa.table({"id": words.ids[at].view(np.int64), "check": words.check(at).view(np.int64), "lang": lang.cast(pa.large_string()), "word": text, "n": n})
 
     def key(whole: pa.Table) -> np.ndarray:  # words that share an id stay apart
-        ids = whole["id"].to_numpy().view(np.uint64)
-        same = TextBuffer(pc.binary_join_element_wise(whole["lang"], whole["word"], pa.scalar("\n", pa.large_string())).combine_chunks())
-        return mix(ids * _ODD + same.hashes(same.offsets[:-1], same.offsets[1:]))
+        return pair_keys(*(whole[c].to_numpy().view(np.uint64) for c in ("id", "check")))
 
-    rows = texts.mapInArrow(lambda batches: counted(batches, parts, key), "id long, lang string, word string, n long")
+    rows = texts.mapInArrow(lambda batches: counted(batches, parts, key), "id long, check long, lang string, word string, n long")
     return rows.groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
 
 
