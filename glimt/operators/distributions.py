@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from glimt.functions.buckets import bucket_index
 from glimt.functions.fields import CUMULATIVE, quoted
+from glimt.functions.spread import previous
 from glimt.functions.terms import metric_filter, number_of
-from glimt.operators.metrics import _finish, _keys, increases, labelled, raw_series
+from glimt.operators.metrics import CHUNK_NANOS, _finish, _keys, labelled, raw_series, with_increases
 
 QUANTILES = {"p50": 0.5, "median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 INFINITY = float("inf")
@@ -47,6 +48,14 @@ def _rows(points: DataFrame, name: str, column: str, start: int, end: int, n: in
     return rows.withColumn("bucket", bucket_index(F.col("timestamp_nanos"), start, end, n))
 
 
+def _followed(rows: DataFrame, column: str, keys: Sequence[Column], points: DataFrame, series_key: str, chunk: int) -> DataFrame:
+    """``_old``: the histogram of the sample before in the same series; series are followed chunk by chunk of time."""
+    own = [*keys, *(raw_series(points) if series_key == "attributes" else ())]
+    at = F.call_function("div", F.col("timestamp_nanos"), F.lit(chunk))
+    seen = previous(rows.withColumn("_count", F.col(column)["count"]), own, ["timestamp_nanos", "start_nanos", "_count"], [column, "start_nanos"], at)
+    return seen.withColumn("_old", F.col("_before")[column]).drop("_count")
+
+
 def _value(agg: str, ranges: Column) -> Column:
     """Of columns count and sum and an array of ranges."""
     if agg == "count":
@@ -58,7 +67,7 @@ def _value(agg: str, ranges: Column) -> Column:
     return quantile(ranges, QUANTILES[agg])
 
 
-def histogram_series(points: DataFrame, name: str, start: int, end: int, n: int, agg: str = "p99", labels: Sequence[str] = (), terms: Sequence[Column] = (), series_key: str = "attributes") -> DataFrame:
+def histogram_series(points: DataFrame, name: str, start: int, end: int, n: int, agg: str = "p99", labels: Sequence[str] = (), terms: Sequence[Column] = (), series_key: str = "attributes", chunk: int = CHUNK_NANOS) -> DataFrame:
     """Explicit histograms: delta points add up element by element, cumulative ones by their reset-aware growth.
 
     A cumulative series starts anew where its count falls, its start moves on, or its bounds change; its first sample counts 0.
@@ -66,10 +75,10 @@ def histogram_series(points: DataFrame, name: str, start: int, end: int, n: int,
     """
     rows = _rows(points, name, "histogram", start, end, n, labels, terms)
     keys, h = _keys(labels), F.col("histogram")
-    order = Window.partitionBy(*keys, *(raw_series(points) if series_key == "attributes" else ())).orderBy("timestamp_nanos", F.asc_nulls_first("start_nanos"), h["count"])
-    old = F.lag("histogram").over(order)
-    restart = (h["count"] < old["count"]) | F.coalesce(F.col("start_nanos") > F.lag("start_nanos").over(order), F.lit(False)) | ~h["explicit_bounds"].eqNullSafe(old["explicit_bounds"])
-    rows = rows.withColumns({"_old": old, "_restart": restart, "_counted": F.coalesce(F.col("temporality") == CUMULATIVE, F.lit(False))})
+    rows = _followed(rows, "histogram", keys, points, series_key, chunk)
+    old, began = F.col("_old"), F.col("_before.start_nanos")
+    restart = (h["count"] < old["count"]) | F.coalesce(F.col("start_nanos") > began, F.lit(False)) | ~h["explicit_bounds"].eqNullSafe(old["explicit_bounds"])
+    rows = rows.withColumns({"_restart": restart, "_counted": F.coalesce(F.col("temporality") == CUMULATIVE, F.lit(False))})
     grown = lambda new, before, zero: F.when(~F.col("_counted"), new).when(F.col("_old").isNull(), zero).when(F.col("_restart"), new).otherwise(F.greatest(new - before, zero))
     zeros = F.transform(h["bucket_counts"], lambda c: c * 0)
     counts = F.when(~F.col("_counted"), h["bucket_counts"]).when(F.col("_old").isNull(), zeros).when(F.col("_restart"), h["bucket_counts"]).otherwise(F.zip_with(h["bucket_counts"], F.col("_old.bucket_counts"), lambda a, b: F.greatest(a - F.coalesce(b, F.lit(0)), F.lit(0))))
@@ -97,7 +106,7 @@ def _join(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "l
     return joined.select(*(quoted(c) for c in joined.columns if not c.startswith("_r.")))
 
 
-def exponential_series(points: DataFrame, name: str, start: int, end: int, n: int, agg: str = "p99", labels: Sequence[str] = (), terms: Sequence[Column] = (), delta_buckets: bool = False, series_key: str = "attributes") -> DataFrame:
+def exponential_series(points: DataFrame, name: str, start: int, end: int, n: int, agg: str = "p99", labels: Sequence[str] = (), terms: Sequence[Column] = (), delta_buckets: bool = False, series_key: str = "attributes", chunk: int = CHUNK_NANOS) -> DataFrame:
     """Exponential histograms, merged to the coarsest scale of each bucket of time.
 
     A cumulative series starts anew where its count falls, its start moves on, or its scale changes; its first sample adds nothing.
@@ -106,11 +115,11 @@ def exponential_series(points: DataFrame, name: str, start: int, end: int, n: in
     """
     rows = _rows(points, name, "exp_histogram", start, end, n, labels, terms)
     keys, h = _keys(labels), F.col("exp_histogram")
-    order = Window.partitionBy(*keys, *(raw_series(points) if series_key == "attributes" else ())).orderBy("timestamp_nanos", F.asc_nulls_first("start_nanos"), h["count"])
-    old = F.lag("exp_histogram").over(order)
+    rows = _followed(rows, "exp_histogram", keys, points, series_key, chunk)
+    old, began = F.col("_old"), F.col("_before.start_nanos")
     counted = F.coalesce(F.col("temporality") == CUMULATIVE, F.lit(False))
-    restart = (h["count"] < old["count"]) | F.coalesce(F.col("start_nanos") > F.lag("start_nanos").over(order), F.lit(False)) | (h["scale"] != old["scale"])
-    rows = rows.withColumns({"_old": old, "_restart": restart, "_counted": counted})
+    restart = (h["count"] < old["count"]) | F.coalesce(F.col("start_nanos") > began, F.lit(False)) | (h["scale"] != old["scale"])
+    rows = rows.withColumns({"_restart": restart, "_counted": counted})
     adds = ~F.col("_counted") | F.col("_old").isNotNull()
     grown = lambda new, before: F.when(~F.col("_counted"), new).when(F.col("_old").isNull(), new * 0).when(F.col("_restart"), new).otherwise(F.greatest(new - before, new * 0))
     rows = rows.withColumns({"_n": grown(h["count"], F.col("_old.count")), "_s": grown(F.coalesce(h["sum"], F.lit(0.0)), F.coalesce(F.col("_old.sum"), F.lit(0.0)))})
@@ -160,7 +169,7 @@ def _grown(points: DataFrame, name: str, start: int, end: int, n: int, labels: S
     rows = rows.withColumn("bucket", bucket_index(F.col("timestamp_nanos"), start, end, n))
     keys = [*_keys(labels), *([] if le is None else [F.col("le")])]
     own = raw_series(points) if series_key == "attributes" else []
-    return rows.withColumn("_up", increases(rows, [*keys, *own])).groupBy(*keys, "bucket").agg(F.sum("_up").alias("up"))
+    return with_increases(rows, [*keys, *own]).groupBy(*keys, "bucket").agg(F.sum("_up").alias("up"))
 
 
 def bound_of(text: Column) -> Column:

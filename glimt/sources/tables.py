@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from glimt.functions.fields import quoted, signal_time
+from glimt.sources import manifest
 
 FOLDERS = {"logs": "data", "spans": "data-spans", "metrics": "data-metrics"}
 SORT = {"logs": ("service.name", "timestamp_nanos"), "spans": ("service.name", "start_time_nanos"), "metrics": ("metric_name", "service.name", "host.name", "timestamp_nanos")}
 BLOOM = {"spans": "trace_id", "logs": "trace_id", "metrics": "metric_name"}
 DAY_NANOS = 86_400_000_000_000
-TARGET_ROWS, MOST_INPUTS = 150_000, 32
+TARGET_ROWS, MOST_INPUTS, MOST_GROUPS = 150_000, 32, 10_000
 #: Of every file written: zstd level and rows of a row group.
 ZSTD_LEVEL, GROUP_ROWS = 1, 131_072
 
@@ -47,23 +48,35 @@ def writer(rows: DataFrame, mode: str = "append") -> DataFrameWriter:
     return rows.write.mode(mode).options(**options)
 
 
-def sink(rows: DataFrame, root: str, signal: str, mode: str = "append", partitions: int | None = None) -> str:
-    """Write sorted, compressed files, a folder for each date; returns the table's folder."""
+def laid_out(rows: DataFrame, signal: str, partitions: int | None = None) -> DataFrame:
+    """The rows with their date, dealt by ranges of the signal's sort key and sorted."""
     keys = [quoted(k) for k in SORT[signal] if k in rows.columns]
     dated = with_date(rows, signal)
     dealt = dated.repartitionByRange(partitions, "date", *keys) if partitions else dated.repartitionByRange("date", *keys)
+    return dealt.sortWithinPartitions("date", *keys)
+
+
+def sink(rows: DataFrame, root: str, signal: str, mode: str = "append", partitions: int | None = None, keys: bool = True) -> str:
+    """Write sorted, compressed files, a folder for each date; returns the table's folder. ``keys``: keep the manifest of attribute keys."""
     out = f"{root}/{FOLDERS[signal]}"
-    sorted_rows = dealt.sortWithinPartitions("date", *keys)
-    writer(sorted_rows, mode).partitionBy("date").option(f"parquet.bloom.filter.enabled#{BLOOM[signal]}", "true").parquet(out)
+    written = writer(laid_out(rows, signal, partitions), mode).partitionBy("date")
+    written.option(f"parquet.bloom.filter.enabled#{BLOOM[signal]}", "true").parquet(out)
+    if keys and "attributes" in rows.columns:
+        manifest.refresh(rows.sparkSession, out, signal)
     return out
 
 
-def files(spark: SparkSession, folder: str, signal: str) -> DataFrame:
-    """Per file: path, bytes, rows, first and last time, date. Only the time column is read."""
+def scanned_files(spark: SparkSession, folder: str, signal: str) -> DataFrame:
+    """As ``files``, by reading the time column: for stores that only Spark's readers can open."""
     df, t = spark.read.parquet(folder), F.col(signal_time(signal))
     return df.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), "date").agg(F.count(F.lit(1)).alias("rows"), F.min(t).alias("min_ts"), F.max(t).alias("max_ts"))
 
 
+def files(spark: SparkSession, folder: str, signal: str) -> DataFrame:
+    """Per file: path, bytes, date, rows, first and last time; from footers, so that what is read does not grow with the rows."""
+    return (manifest.footers if manifest.has_footers(spark, folder) else scanned_files)(spark, folder, signal)
+
+
 def statistics(spark: SparkSession, folder: str, signal: str) -> DataFrame:
     """One row: file_count, total_rows, bytes, min_ts, max_ts."""
     return files(spark, folder, signal).agg(F.count(F.lit(1)).alias("file_count"), F.sum("rows").alias("total_rows"), F.sum("bytes").alias("bytes"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
@@ -87,15 +100,18 @@ def consolidation_plan(listing: DataFrame, target_rows: int = TARGET_ROWS, most_
     return rows.withColumn("inputs", F.count(F.lit(1)).over(Window.partitionBy("date", "grp"))).where("inputs > 1")
 
 
-def consolidate(spark: SparkSession, folder: str, signal: str, staging: str, target_rows: int = TARGET_ROWS, most_inputs: int = MOST_INPUTS) -> DataFrame:
+def consolidate(spark: SparkSession, folder: str, signal: str, staging: str, target_rows: int = TARGET_ROWS, most_inputs: int = MOST_INPUTS, most_groups: int = MOST_GROUPS) -> DataFrame:
     """Merge each planned group of small files into one sorted file; returns (date, files_before, files_after, rows) of the dates touched.
 
-    Only the planned files are read and written, once. New files are made in ``staging``; then, group by group, the new file is moved in
+    Only the planned files are read and written, once, and at most ``most_groups`` groups in a run (the oldest dates first), as the driver moves
+    them one by one; the next run does the rest. New files are made in ``staging``; then, group by group, the new file is moved in
     under a hidden name, the inputs are deleted, and it is shown, so a reader that lists files in between misses that group for a moment.
     After a crash a file with a hidden name holds a whole group.
     """
     listing = files(spark, folder, signal)
-    writer(consolidation_plan(listing, target_rows, most_inputs), "overwrite").parquet(f"{staging}/plan")
+    whole = consolidation_plan(listing, target_rows, most_inputs)
+    some = whole.select("date", "grp").distinct().orderBy("date", "grp").limit(most_groups)
+    writer(whole.join(F.broadcast(some), ["date", "grp"], "left_semi"), "overwrite").parquet(f"{staging}/plan")  # at most ``most_groups`` rows
     plan = spark.read.parquet(f"{staging}/plan")
     merged = plan.groupBy("date").agg(F.count(F.lit(1)).alias("_inputs"), F.count_distinct("grp").alias("_groups"))
     before = listing.groupBy("date").agg(F.count(F.lit(1)).alias("files_before"), F.sum("rows").alias("rows"))
@@ -113,6 +129,7 @@ def consolidate(spark: SparkSession, folder: str, signal: str, staging: str, tar
     inputs: dict[tuple[str, int], list[str]] = {}
     for r in plan.select(F.col("date").cast("string").alias("date"), "grp", "path").collect():  # names of the files that go
         inputs.setdefault((r["date"], r["grp"]), []).append(r["path"])
+    became: dict[str, list[str]] = {}
     for (date, grp), old in inputs.items():
         made = [f.getPath() for f in system.listStatus(path(f"{staging}/files/date={date}/_grp={grp}")) if f.getPath().getName().endswith(".parquet")]
         # in the table first under a name that readers pass over, and only then are the inputs deleted
@@ -122,11 +139,21 @@ def consolidate(spark: SparkSession, folder: str, signal: str, staging: str, tar
         for name in old:
             system.delete(path(name), False)
         for at in hidden:
-            if not system.rename(at, path(f"{folder}/date={date}/merged{at.getName()}")):
+            shown = path(f"{folder}/date={date}/merged{at.getName()}")
+            if not system.rename(at, shown):
                 raise OSError(f"could not show {at}")
+            became[_file_path(system, shown)] = old
+    if manifest.known(spark, folder):
+        manifest.united(spark, folder, became)
     return spark.createDataFrame(done, report.schema)
 
 
+def _file_path(system, path) -> str:
+    """As the column ``_metadata.file_path`` names it."""
+    text = system.makeQualified(path).toUri().toString()
+    return text if "://" in text else text.replace(":/", ":///", 1)
+
+
 def retention_cutoff(now_nanos: int, days: int) -> int:
     return now_nanos - days * DAY_NANOS
 
@@ -148,4 +175,6 @@ def purge(spark: SparkSession, folder: str, signal: str, cutoff: int | None) ->
     for row in retention_plan(listing, cutoff).select("path").toLocalIterator():
         path = jvm.org.apache.hadoop.fs.Path(row["path"])
         path.getFileSystem(conf).delete(path, False)
+    if manifest.known(spark, folder):
+        manifest.refresh(spark, folder, signal)
     return spark.createDataFrame(report, "files_removed long, rows_removed long, bytes_removed long")

@@ -8,7 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from glimt.functions.fields import quoted, signal_time
@@ -57,9 +57,30 @@ def continuous_red(stream: DataFrame, step: str = "1 minute", slide: str | None
     return rows.groupBy(F.window("ts", step, slide or step), "service").agg(*_red(False)).select(F.col("window.start").alias("start"), "service", "count", "errors", "p50", "p90", "p99", "satisfied", "tolerating", "frustrated")
 
 
-def dropped_late(query: StreamingQuery) -> int:
-    """Rows that came after the watermark, over the query's recent progress."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p.get("stateOperators", []))
+class LateRows(StreamingQueryListener):
+    """Counts, for each query of a session, the rows that came after the watermark, over all its batches.
+
+    ``spark.streams.addListener(late)`` before a query starts; ``late.dropped[query.id]`` is complete when its last batch has been reported.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+
+    def onQueryStarted(self, event: Any) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event: Any) -> None:
+        progress = event.progress
+        key = str(progress.id)
+        self.dropped[key] = self.dropped.get(key, 0) + sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        self.batches[key] = max(self.batches.get(key, -1), progress.batchId)
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        pass
 
 
 class UptimeProcessor(StatefulProcessor):
@@ -185,10 +206,45 @@ def counter_increases(points: DataFrame) -> DataFrame:
     return rows.groupBy("metric_name", "series").transformWithStateInPandas(CounterProcessor(), "metric_name string, series string, timestamp_nanos long, increase double", "Append", "None")
 
 
-def ingest(raw: DataFrame, mapping: Callable[[DataFrame], DataFrame], root: str, signal: str, checkpoint: str, **trigger: Any) -> StreamingQuery:
-    """A stream of raw records through one of the ingest mappings into the partitioned table."""
-    rows = tables.with_date(mapping(raw), signal)
-    return rows.writeStream.format("parquet").option("path", f"{root}/{tables.FOLDERS[signal]}").option("checkpointLocation", checkpoint).partitionBy("date").trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+def put_batch(rows: DataFrame, number: int, root: str, signal: str, name: str = "stream", partitions: int | None = None) -> None:
+    """Put a batch into the table exactly once: sorted, compressed files whose names carry the stream's name and the batch's number.
+
+    The files are made in a folder of the batch's own, which a replay writes anew. What an attempt that broke off has already moved in is deleted
+    before the files are moved, so a batch that is replayed after any failure leaves each row once. Names that begin with ``_`` are passed
+    over by readers: the batch is shown by renames alone, when all of it is there.
+    """
+    spark, out = rows.sparkSession, f"{root}/{tables.FOLDERS[signal]}"
+    staged, tag = f"{root}/_staging/{name}/{number}", f"{name}-{number:010}-"
+    written = tables.writer(tables.laid_out(rows, signal, partitions), "overwrite").partitionBy("date")
+    written.option(f"parquet.bloom.filter.enabled#{tables.BLOOM[signal]}", "true").parquet(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for pattern in (f"{out}/date=*/{tag}*", f"{out}/date=*/_{tag}*"):
+        for old in system.globStatus(path(pattern)) or []:
+            system.delete(old.getPath(), False)
+    moved = []
+    for k, made in enumerate(system.globStatus(path(f"{staged}/date=*/*.parquet")) or []):
+        folder = path(f"{out}/{made.getPath().getParent().getName()}")
+        system.mkdirs(folder)
+        hidden = path(folder, f"_{tag}{k:05}.parquet")
+        if not system.rename(made.getPath(), hidden):
+            raise OSError(f"could not move {made.getPath()} into {folder}")
+        moved.append((hidden, path(folder, f"{tag}{k:05}.parquet")))
+    for hidden, shown in moved:
+        if not system.rename(hidden, shown):
+            raise OSError(f"could not show {hidden}")
+    system.delete(path(staged), True)
+
+
+def ingest(raw: DataFrame, mapping: Callable[[DataFrame], DataFrame], root: str, signal: str, checkpoint: str, name: str = "stream", partitions: int | None = None, **trigger: Any) -> StreamingQuery:
+    """A stream of raw records through one of the ingest mappings into the partitioned table, exactly once (see ``put_batch``).
+
+    ``name`` tells streams that write to one table apart. Files are those of ``tables.sink``; consolidation merges small ones.
+    """
+    def flush(batch: DataFrame, number: int) -> None:
+        put_batch(mapping(batch), number, root, signal, name, partitions)
+
+    return raw.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
 def by_service(stream: DataFrame, service: str) -> DataFrame:
