@@ -24,8 +24,8 @@ from glimt.llm.textbuf import TextBuffer, chunks, mix, powers
 LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
 #: Bits of a bitmap: so many a key, within these bounds.
 KEY_BITS, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 27
-#: Bytes of text worked on at once; counts that a task holds before it hands them on; rows of a batch handed on.
-PIECE, HELD, BATCH = 1 << 19, 1 << 18, 1 << 16
+#: Bytes of text worked on at once; counts of words, and of pairs or windows, that a task holds before it hands them on; rows of a batch.
+PIECE, HELD_WORDS, HELD, BATCH = 1 << 19, 1 << 18, 1 << 20, 1 << 16
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[list(b".,;:!?\n\x0b\x0c\r")] = True
 _INSIDE = ~_SEPARATOR
@@ -77,8 +77,8 @@ def grouped(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[edge], np.add.reduceat(count[order], edge) if len(edge) else count[:0]
 
 
-def counted(batches: Iterable[pa.RecordBatch], parts: Callable[[pa.RecordBatch], pa.Table], key: Callable[[pa.Table], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The tables of ``parts`` with the column ``n`` summed over rows of one key, for as many rows as a task may hold."""
+def counted(batches: Iterable[pa.RecordBatch], parts: Callable[[pa.RecordBatch], pa.Table], key: Callable[[pa.Table], np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+    """The tables of ``parts`` with the column ``n`` summed over rows of one key, as far as ``most`` rows held at once allow."""
     held, more, rows = None, [], 0
 
     def merged() -> pa.Table:
@@ -90,9 +90,9 @@ def counted(batches: Iterable[pa.RecordBatch], parts: Callable[[pa.RecordBatch],
         for piece in chunks([batch], "text", PIECE):
             more.append(parts(piece))
             rows += len(more[-1])
-            if rows >= HELD:
+            if rows >= most:
                 held, more, rows = merged(), [], 0
-                if len(held) >= HELD // 2:
+                if len(held) >= most // 2:
                     yield from held.combine_chunks().to_batches(BATCH)
                     held = None
     if held is not None or more:
@@ -115,7 +115,7 @@ def count_words(texts: DataFrame, seed: int) -> DataFrame:
     def key(whole: pa.Table) -> np.ndarray:  # words that share an id stay apart
         return pair_keys(*(whole[c].to_numpy().view(np.uint64) for c in ("id", "check")))
 
-    rows = texts.mapInArrow(lambda batches: counted(batches, parts, key), "id long, check long, lang string, word string, n long")
+    rows = texts.mapInArrow(lambda batches: counted(batches, parts, key, HELD_WORDS), "id long, check long, lang string, word string, n long")
     return rows.groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -146,7 +146,7 @@ def count_pairs(texts: DataFrame, seed: int, frequent) -> DataFrame:
         first, n = grouped(keys, np.ones(len(keys), np.int64))
         return pa.table({"pair": keys[first].view(np.int64), "n": n})
 
-    rows = texts.mapInArrow(lambda batches: counted(batches, parts, lambda whole: whole["pair"].to_numpy()), "pair long, n long")
+    rows = texts.mapInArrow(lambda batches: counted(batches, parts, lambda whole: whole["pair"].to_numpy(), HELD), "pair long, n long")
     return rows.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
@@ -179,7 +179,7 @@ def count_windows(texts: DataFrame, seed: int, pairs, longest: int) -> DataFrame
             return out
         return np.unique(np.column_stack(lead), axis=0, return_inverse=True)[1].ravel()
 
-    rows = texts.mapInArrow(lambda batches: counted(batches, parts, key), "".join(f"{c} long, " for c in columns) + "n long")
+    rows = texts.mapInArrow(lambda batches: counted(batches, parts, key, HELD), "".join(f"{c} long, " for c in columns) + "n long")
     return rows.groupBy(*columns).agg(F.sum("n").alias("n"))
 
 
