@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs
 import pyarrow.parquet
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimt.functions.fields import PROMOTED, signal_time
@@ -57,12 +57,17 @@ def footer(path: str, column: str) -> tuple[int, int | None, int | None]:
         return file.metadata.num_rows, min(ends, default=None), max(ends, default=None)
 
 
+def file_path() -> Column:
+    """The file of a row, local ones always with three slashes."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///")
+
+
 def footers(spark: SparkSession, folder: str, signal: str) -> DataFrame:
     """Per file: path, bytes, date, rows, first and last time. Paths are dealt over the tasks, and no page of data is read."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
     date = F.col("date") if "date" in listed.columns else F.lit(None)
     # only what the listing knows; the files' content is not among the columns
-    rows = listed.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), date.cast("date").alias("date"))
+    rows = listed.select(file_path().alias("path"), F.col("_metadata.file_size").alias("bytes"), date.cast("date").alias("date"))
     column = signal_time(signal)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +118,7 @@ def scanned_keys(rows: DataFrame, signal: str) -> DataFrame:
     """Of rows read from files: the manifest's rows, from the time and map columns alone."""
     time = F.col(signal_time(signal))
     name = F.col("metric_name") if signal == "metrics" else F.lit(None).cast("string")
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), time.alias("t"), name.alias("metric_name"), F.explode_outer(F.map_keys("attributes")).alias("k"))
+    rows = rows.select(file_path().alias("path"), time.alias("t"), name.alias("metric_name"), F.explode_outer(F.map_keys("attributes")).alias("k"))
     each = rows.groupBy("path", "metric_name", "k").agg(F.min("t").alias("min_ts"), F.max("t").alias("max_ts"))
     found = each.groupBy("path", "metric_name").agg(F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.array_sort(F.collect_list("k")).alias("keys"))
     return found.select("path", "min_ts", "max_ts", "metric_name", "keys")
@@ -121,7 +126,7 @@ def scanned_keys(rows: DataFrame, signal: str) -> DataFrame:
 
 def refresh(spark: SparkSession, folder: str, signal: str) -> None:
     """Scan the files that the manifest does not know, and forget those that are gone."""
-    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select(F.col("_metadata.file_path").alias("path"))
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select(file_path().alias("path"))
     before = keys(spark, folder)
     new = [r["path"] for r in there.join(before.select("path").distinct(), "path", "left_anti").collect()]  # names of the files just written
     rows = before.join(there, "path", "left_semi")

@@ -69,7 +69,7 @@ def sink(rows: DataFrame, root: str, signal: str, mode: str = "append", partitio
 def scanned_files(spark: SparkSession, folder: str, signal: str) -> DataFrame:
     """As ``files``, by reading the time column: for stores that only Spark's readers can open."""
     df, t = spark.read.parquet(folder), F.col(signal_time(signal))
-    return df.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), "date").agg(F.count(F.lit(1)).alias("rows"), F.min(t).alias("min_ts"), F.max(t).alias("max_ts"))
+    return df.groupBy(manifest.file_path().alias("path"), F.col("_metadata.file_size").alias("bytes"), "date").agg(F.count(F.lit(1)).alias("rows"), F.min(t).alias("min_ts"), F.max(t).alias("max_ts"))
 
 
 def files(spark: SparkSession, folder: str, signal: str) -> DataFrame:
@@ -121,7 +121,7 @@ def consolidate(spark: SparkSession, folder: str, signal: str, staging: str, tar
         return spark.createDataFrame([], report.schema)
     df = spark.read.parquet(folder)
     keys = [quoted(k) for k in SORT[signal] if k in df.columns]
-    rows = df.withColumn("_path", F.col("_metadata.file_path")).join(plan.select(F.col("path").alias("_path"), F.col("grp").alias("_grp")), "_path").drop("_path")
+    rows = df.withColumn("_path", manifest.file_path()).join(plan.select(F.col("path").alias("_path"), F.col("grp").alias("_grp")), "_path").drop("_path")
     dealt = rows.repartition("date", "_grp").sortWithinPartitions("date", "_grp", *keys)
     writer(dealt, "overwrite").partitionBy("date", "_grp").option(f"parquet.bloom.filter.enabled#{BLOOM[signal]}", "true").parquet(f"{staging}/files")
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -149,9 +149,9 @@ def consolidate(spark: SparkSession, folder: str, signal: str, staging: str, tar
 
 
 def _file_path(system, path) -> str:
-    """As the column ``_metadata.file_path`` names it."""
-    text = system.makeQualified(path).toUri().toString()
-    return text if "://" in text else text.replace(":/", ":///", 1)
+    """As ``manifest.file_path`` names it."""
+    scheme, _, rest = system.makeQualified(path).toUri().toString().partition(":")
+    return f"{scheme}:///{rest.lstrip('/')}" if scheme == "file" else f"{scheme}:{rest}"
 
 
 def retention_cutoff(now_nanos: int, days: int) -> int:

@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from glimt.functions.fields import quoted, signal_time
 from glimt.operators.alerts import breaches
@@ -58,9 +59,9 @@ def continuous_red(stream: DataFrame, step: str = "1 minute", slide: str | None
 
 
 class LateRows(StreamingQueryListener):
-    """Counts, for each query of a session, the rows that came after the watermark, over all its batches.
+    """Counts, for each query of a session, what its operators dropped behind the watermark, over all its batches.
 
-    ``spark.streams.addListener(late)`` before a query starts; ``late.dropped[query.id]`` is complete when its last batch has been reported.
+    Operators see rows after they were summed within a task; ``split_late`` counts and keeps the rows themselves. ``spark.streams.addListener(late)`` before a query starts; ``late.dropped[query.id]`` is complete when its last batch has been reported.
     """
 
     def __init__(self) -> None:
@@ -83,6 +84,43 @@ class LateRows(StreamingQueryListener):
         pass
 
 
+def split_late(stream: DataFrame, signal: str, step_nanos: int, late_nanos: int, root: str, checkpoint: str, **trigger: Any) -> StreamingQuery:
+    """Deal a stream into ``root``: rows in time for their window of ``step_nanos``, and rows that come later, none of which is lost.
+
+    A row is late if its window ended ``late_nanos`` or more before the latest time seen in earlier batches. Windowed aggregations drop rows
+    by the same rule, a batch later. Batches have folders of their own, which a replay writes anew, and the latest time is kept with each, so the split
+    is the same after any failure. Read on with ``in_time`` and ``late_rows``.
+    """
+    time = F.col(signal_time(signal))
+
+    def flush(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = None
+        if number:
+            before = spark.read.schema("seen long").json(f"{root}/seen/batch={number - 1}").first()
+            seen = before["seen"] if before else None
+        ends = (F.call_function("div", time, F.lit(step_nanos)) + 1) * step_nanos
+        is_late = F.lit(False) if seen is None else F.coalesce(ends <= seen - late_nanos, F.lit(False))
+        latest = Observation()
+        marked = batch.observe(latest, F.max(time).alias("latest")).withColumn("late", is_late)
+        marked.write.mode("overwrite").partitionBy("late").parquet(f"{root}/rows/batch={number}")
+        known = [x for x in (seen, latest.get["latest"]) if x is not None]
+        spark.createDataFrame([(max(known, default=None),)], "seen long").coalesce(1).write.mode("overwrite").json(f"{root}/seen/batch={number}")
+
+    return stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+def in_time(spark: SparkSession, root: str, schema: StructType, **options: Any) -> DataFrame:
+    """The rows in time, as a stream: none of them is dropped by an aggregation with the same delay."""
+    return spark.readStream.schema(schema).options(**options).parquet(f"{root}/rows/batch=*/late=false")
+
+
+def late_rows(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The late rows so far, with the number of their batch."""
+    fields = StructType([*schema.fields, StructField("batch", LongType()), StructField("late", BooleanType())])
+    return spark.read.schema(fields).option("basePath", f"{root}/rows").parquet(f"{root}/rows").where("late").drop("late")
+
+
 class UptimeProcessor(StatefulProcessor):
     """State of a monitor: (state, failures in a row); a row for each transition."""
 
