@@ -48,25 +48,34 @@ def number_text(value: Column) -> Column:
 DEPTH = 3
 
 
-def any_text(value: Column, depth: int = DEPTH) -> Column:
-    """A typed value as text: lists as [a,b], maps as {k=v}, bytes as hex, nothing as the empty text."""
+def scalar_text(value: Column) -> Column:
+    """A typed value that is no list or map, as text: bytes as hex, nothing as the empty text."""
     raw = F.lower(F.hex(F.unbase64(value["bytesValue"])))
-    scalar = F.coalesce(value["stringValue"], value["boolValue"].cast("string"), value["intValue"], number_text(value["doubleValue"]), raw, F.lit(""))
+    return F.coalesce(value["stringValue"], value["intValue"], value["boolValue"].cast("string"), number_text(value["doubleValue"]), raw, F.lit(""))
+
+
+def any_text(value: Column, depth: int = DEPTH) -> Column:
+    """A typed value as text: lists as [a,b], maps as {k=v}."""
     if depth == 0:
-        return F.coalesce(value["arrayValue"], value["kvlistValue"], scalar)
+        return F.coalesce(value["arrayValue"], value["kvlistValue"], scalar_text(value))
     inner = lambda x: F.coalesce(any_text(x, depth - 1), F.lit(""))
     items = F.coalesce(F.from_json(value["arrayValue"], f"struct<values:array<{_ANY}>>")["values"], F.array().cast(f"array<{_ANY}>"))
     pairs = F.coalesce(F.from_json(value["kvlistValue"], f"struct<values:{_KEYS}>")["values"], F.array().cast(_KEYS))
     listed = F.concat(F.lit("["), F.array_join(F.transform(items, inner), ","), F.lit("]"))
     mapped = F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), inner(p["value"]))), ","), F.lit("}"))
-    return F.when(value["arrayValue"].isNotNull(), listed).when(value["kvlistValue"].isNotNull(), mapped).otherwise(scalar)
+    return F.when(value["arrayValue"].isNotNull(), listed).when(value["kvlistValue"].isNotNull(), mapped).otherwise(scalar_text(value))
 
 
 def attribute_map(keys: Column) -> Column:
-    """An attribute list as a map; of equal keys the last counts."""
-    entries = F.transform(F.coalesce(keys, F.array().cast(_KEYS)), lambda e: F.struct(e["key"].alias("key"), any_text(e["value"]).alias("value")))
-    later = lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
-    return F.map_from_entries(F.filter(entries, later))
+    """An attribute list as a map; of equal keys the last counts. Lists of scalars without repeated keys, almost all, take a short way."""
+    keys = F.coalesce(keys, F.array().cast(_KEYS))
+    names = F.transform(keys, lambda e: e["key"])
+    nested = F.exists(keys, lambda e: e["value"]["arrayValue"].isNotNull() | e["value"]["kvlistValue"].isNotNull())
+    plain = ~nested & (F.size(F.array_distinct(names)) == F.size(names))
+    short = F.map_from_arrays(names, F.transform(keys, lambda e: scalar_text(e["value"])))
+    last = F.filter(keys, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"]))
+    long = F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"].alias("key"), any_text(e["value"]).alias("value"))))
+    return F.when(plain, short).otherwise(long)
 
 
 def merged(under: Column, over: Column) -> Column:
@@ -98,16 +107,18 @@ def _flat(raw: DataFrame, column: str, schema: str, outer: str, scopes: str, inn
 
 def otlp_logs(raw: DataFrame, column: str = "value", promoted: Sequence[str] = PROMOTED) -> DataFrame:
     flat = _flat(raw, column, LOGS_JSON, "resourceLogs", "scopeLogs", "logRecords")
+    flat = flat.withColumn("own", attribute_map(F.col("x.attributes")))
     x = F.col("x")
     time, seen = _nanos(x["timeUnixNano"]), _nanos(x["observedTimeUnixNano"])
     rows = flat.select(
         F.coalesce(time, seen, F.lit(0)).alias("timestamp_nanos"), seen.alias("observed_nanos"), F.nullif(x["severityNumber"], F.lit(0)).alias("severity_number"), _empty_to_null(x["severityText"]).alias("severity_text"),
-        F.when(x["body"].isNotNull(), any_text(x["body"])).alias("body"), _empty_to_null(F.lower(x["traceId"])).alias("trace_id"), _empty_to_null(F.lower(x["spanId"])).alias("span_id"), _empty_to_null(F.col("scope_name")).alias("scope_name"), merged(F.col("resource"), attribute_map(x["attributes"])).alias("attributes"))
+        F.when(x["body"].isNotNull(), any_text(x["body"])).alias("body"), _empty_to_null(F.lower(x["traceId"])).alias("trace_id"), _empty_to_null(F.lower(x["spanId"])).alias("span_id"), _empty_to_null(F.col("scope_name")).alias("scope_name"), merged(F.col("resource"), F.col("own")).alias("attributes"))
     return promote(rows, promoted)
 
 
 def otlp_traces(raw: DataFrame, column: str = "value", promoted: Sequence[str] = PROMOTED) -> DataFrame:
     flat = _flat(raw, column, TRACES_JSON, "resourceSpans", "scopeSpans", "spans")
+    flat = flat.withColumn("own", attribute_map(F.col("x.attributes")))
     x = F.col("x")
     start, end = F.coalesce(x["startTimeUnixNano"].cast("long"), F.lit(0)), _nanos(x["endTimeUnixNano"])
     text = lambda names, code: F.coalesce(F.get(F.array(*map(F.lit, names)), code), F.lit(names[0]))
@@ -117,7 +128,7 @@ def otlp_traces(raw: DataFrame, column: str = "value", promoted: Sequence[str] =
     rows = flat.select(
         F.lower(x["traceId"]).alias("trace_id"), F.lower(x["spanId"]).alias("span_id"), _empty_to_null(F.lower(x["parentSpanId"])).alias("parent_span_id"), x["name"].alias("name"), kind.alias("kind"), text(_KIND_TEXT, kind).alias("kind_text"),
         start.alias("start_time_nanos"), end.alias("end_time_nanos"), F.when(end.isNotNull(), F.greatest(end - start, F.lit(0))).alias("duration_nanos"), code.alias("status_code"), text(_STATUS_TEXT, code).alias("status_text"), _empty_to_null(x["status"]["message"]).alias("status_message"),
-        _empty_to_null(F.col("scope_name")).alias("scope_name"), events.alias("events"), links.alias("links"), merged(F.col("resource"), attribute_map(x["attributes"])).alias("attributes"))
+        _empty_to_null(F.col("scope_name")).alias("scope_name"), events.alias("events"), links.alias("links"), merged(F.col("resource"), F.col("own")).alias("attributes"))
     return promote(rows, promoted)
 
 
@@ -144,8 +155,8 @@ def otlp_metrics(raw: DataFrame, column: str = "value", promoted: Sequence[str]
         return F.transform(data["dataPoints"], one)
 
     kinds = (("gauge", "GAUGE"), ("sum", "SUM"), ("histogram", "HISTOGRAM"), ("exponentialHistogram", "EXPONENTIAL_HISTOGRAM"), ("summary", "SUMMARY"))
-    parts = [flat.select("resource", "scope_name", F.col("x.name").alias("metric_name"), _empty_to_null(F.col("x.unit")).alias("unit"), F.explode(points(i, n, t)).alias("p")) for i, (n, t) in enumerate(kinds)]
-    rows = reduce(DataFrame.unionByName, parts)
+    every = F.flatten(F.array_compact(F.array(*(points(i, n, t) for i, (n, t) in enumerate(kinds)))))
+    rows = flat.select("resource", "scope_name", F.col("x.name").alias("metric_name"), _empty_to_null(F.col("x.unit")).alias("unit"), F.explode(every).alias("p"))
     plain = [c for c in rows.select("p.*").columns if c != "own"]
     return promote(rows.select("metric_name", "unit", "scope_name", *(F.col(f"p.{c}") for c in plain), merged(F.col("resource"), F.col("p.own")).alias("attributes")), promoted)
 
