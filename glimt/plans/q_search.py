@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from glimt.functions import buckets, terms
 from glimt.functions.fields import quoted
+from glimt.functions.storage import shared_folder
 from glimt.operators import apm, logs, traces
 from glimt.plans import views as v
+from glimt.sources import manifest, tables
 
 S, E = v.MONTH
 YS, YE = v.YEAR
@@ -140,6 +142,17 @@ def l6(spark, d):
     return logs.field_catalog(v.logs(spark, d), F.lit(True))
 
 
+@query("l6_field_manifest", "SELECT * FROM (VALUES ('timestamp_nanos', 'fixed'), ('severity_number', 'fixed'), ('severity_text', 'fixed'), ('body', 'fixed'), ('trace_id', 'fixed'), ('span_id', 'fixed'), ('service.name', 'promoted'), ('host.name', 'promoted')) t(name, kind) UNION ALL SELECT DISTINCT unnest(['user.id', 'k', 'session.id', 'day' || (epoch_us(ts) // 86400000000 % 3)]), 'attribute' FROM events WHERE epoch_us(ts) // 86400000000 BETWEEN 19727 AND 19728")
+def l6m(spark, d):
+    """Fields of two days' files (each day has a key of its own) from the manifest alone, after a merge of small files and a purge."""
+    day = F.call_function("div", F.col("timestamp_nanos"), F.lit(86_400_000_000_000))
+    rows = v.logs(spark, d).withColumn("attributes", F.map_concat("attributes", F.create_map(F.concat(F.lit("day"), day % 3), F.lit("x"))))
+    out = tables.sink(rows, shared_folder(spark, "tables"), "logs", "overwrite", 40)
+    tables.consolidate(spark, out, "logs", shared_folder(spark, "staging"))
+    tables.purge(spark, out, "logs", 19_727 * 86_400_000_000_000)
+    return manifest.field_catalog(spark, out, 19_727 * 86_400_000_000_000, 19_729 * 86_400_000_000_000 - 1, rows.columns)
+
+
 @query("l7_services", _logs("SELECT DISTINCT service FROM logs"))
 def l7(spark, d):
     return logs.services(v.logs(spark, d))
@@ -209,10 +222,24 @@ def t9c(spark, d):
     return traces.matched_traces(v.spans(spark, d), terms.span_filter(YS, YE, [terms.status(["error"])]))
 
 
-@query("t10_trace_tree", _spans("""SELECT c.trace_id, c.span_id, CAST(floor(log2(CAST(split_part(c.span_id, '-', 2) AS DOUBLE))) AS BIGINT) AS depth, c.start_time_nanos - min(c.start_time_nanos) OVER (PARTITION BY c.trace_id) AS offset_nanos,
- coalesce(c.start_time_nanos < p.start_time_nanos OR c.end_time_nanos > p.end_time_nanos, false) AS clock_skew FROM spans c LEFT JOIN spans p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id"""))
+@query("t10_trace_tree", _spans("""SELECT c.trace_id, c.span_id, CAST(floor(log2(c.nth)) AS BIGINT) AS depth, row_number() OVER (PARTITION BY c.trace_id ORDER BY bin(c.nth)) - 1 AS position, c.start_time_nanos - min(c.start_time_nanos) OVER (PARTITION BY c.trace_id) AS offset_nanos,
+ coalesce(c.start_time_nanos < p.start_time_nanos OR c.end_time_nanos > p.end_time_nanos, false) AS clock_skew, EXISTS (SELECT 1 FROM nth k WHERE k.trace_id = c.trace_id AND k.status_code = 2 AND starts_with(bin(k.nth), bin(c.nth))) AS subtree_has_error
+ FROM nth c LEFT JOIN spans p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id""", nth="SELECT *, CAST(split_part(span_id, '-', 2) AS BIGINT) AS nth FROM spans"))
 def t10(spark, d):
-    return traces.trace_tree(v.spans(spark, d)).select("trace_id", "span_id", "depth", "offset_nanos", "clock_skew")
+    """Span n of a trace hangs from span n / 2, so the binary digits of n are its path, and their order is pre-order."""
+    return traces.trace_tree(v.spans(spark, d)).select("trace_id", "span_id", "depth", "position", "offset_nanos", "clock_skew", "subtree_has_error")
+
+
+@query("t10_giant_traces", _spans("""SELECT trace_id, span_id, CAST(CASE WHEN parent_span_id IS NULL THEN 0 WHEN parent_span_id = 'root' THEN 1 ELSE 2 END AS BIGINT) AS depth, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY top, top_id, r) - 1 AS BIGINT) AS position, subtree_has_error FROM placed""",
+    tree="SELECT 'g' || (CAST(trace_id AS BIGINT) % 3) AS trace_id, span_id AS own, CASE WHEN parent_span_id IS NULL THEN trace_id ELSE span_id END AS span_id, CASE WHEN parent_span_id IS NULL THEN 'root' ELSE trace_id END AS parent_span_id, trace_id AS top_id, start_time_nanos AS began, status_code = 2 AS bad, CAST(split_part(span_id, '-', 2) AS BIGINT) AS nth FROM spans UNION ALL SELECT 'g' || k, '', 'root', NULL, '', 0, false, 0 FROM range(3) r(k)",
+    placed="SELECT trace_id, span_id, parent_span_id, top_id, CASE WHEN parent_span_id IS NULL THEN 0 ELSE min(began) OVER (PARTITION BY trace_id, top_id) END AS top, CASE WHEN parent_span_id IS NULL OR parent_span_id = 'root' THEN 0 ELSE nth END AS r, CASE WHEN parent_span_id IS NULL THEN max(bad) OVER (PARTITION BY trace_id) WHEN parent_span_id = 'root' THEN max(bad) OVER (PARTITION BY trace_id, top_id) ELSE bad END AS subtree_has_error FROM tree"))
+def t10g(spark, d):
+    """All spans as three traces, each beyond what one task works on: a root, the first span of each order below it, and its others below that."""
+    top = F.col("parent_span_id").isNull()
+    rows = v.spans(spark, d).select(F.concat(F.lit("g"), F.col("trace_id").cast("long") % 3).alias("trace_id"), F.when(top, F.col("trace_id")).otherwise(F.col("span_id")).alias("span_id"), F.when(top, "root").otherwise(F.col("trace_id")).alias("parent_span_id"), "start_time_nanos", "end_time_nanos", "duration_nanos", "status_code")
+    zero = F.lit(0).cast("long")
+    roots = spark.range(3).select(F.concat(F.lit("g"), "id").alias("trace_id"), F.lit("root").alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"), zero.alias("start_time_nanos"), zero.alias("end_time_nanos"), zero.alias("duration_nanos"), F.lit(0).alias("status_code"))
+    return traces.trace_tree(rows.unionByName(roots), giant=1000).select("trace_id", "span_id", "depth", "position", "subtree_has_error")
 
 
 _SELF = """SELECT s.trace_id, s.span_id, s.service, greatest(s.end_time_nanos - s.start_time_nanos - coalesce(c.covered, 0), 0) AS self_nanos FROM spans s LEFT JOIN

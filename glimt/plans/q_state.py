@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glimt.functions import terms
 from glimt.functions.fields import quoted
+from glimt.functions.storage import shared_folder
 from glimt.functions.terms import in_window
 from glimt.operators import alerts, apm, uptime, usage
 from glimt.plans import q_metrics, q_search
@@ -35,15 +34,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = root or tempfile.mkdtemp(prefix="glimt-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # ---- alerts --------------------------------------------------------------------------------------------------
 
 NOW, WINDOW = S + 20 * DAY, 5 * DAY
@@ -61,6 +51,26 @@ def e2(spark, d):
     return alerts.log_sample(df, NOW, WINDOW, [terms.level(["error"])], True).unionByName(alerts.log_sample(df, NOW, WINDOW, [terms.level(["fatal"])]))
 
 
+_MANY = {f"{agg}-{name}-{days}": {"name": name, "agg": agg, "window": days * DAY, "labels": ["service"]} for name in ("queue.depth", "bytes.sent") for agg in ("avg", "max", "sum", "count") for days in (1, 2, 5, 9)}
+_MANY |= {f"increase-{days}": {"name": "requests_total", "agg": "increase", "window": days * DAY, "labels": []} for days in (3, 7)}
+_MANY_SQL = " UNION ALL ".join(
+    [f"SELECT '{k}' AS rule_id, 'service=' || service AS series_key, CAST({r['agg']}(value) AS DOUBLE) AS value FROM points WHERE metric_name = '{r['name']}' AND timestamp_nanos BETWEEN {NOW - r['window']} AND {NOW} GROUP BY 2" for k, r in _MANY.items() if r["agg"] != "increase"]
+    + [f"SELECT '{k}', '', CAST(sum(up) AS DOUBLE) FROM (SELECT {q_metrics._UP} AS up FROM points WHERE metric_name = 'requests_total' AND timestamp_nanos BETWEEN {NOW - r['window']} AND {NOW} WINDOW w AS (PARTITION BY \"user\" ORDER BY timestamp_nanos, value))" for k, r in _MANY.items() if r["agg"] == "increase"]
+)
+
+
+@query("e1_many_rules", v.sql(f"SELECT rule_id, series_key, round(value, 6) AS value FROM ({_MANY_SQL})", points=v.POINTS))
+def e1m(spark, d):
+    """Thirty-four rules of several metrics, windows and aggregations over one scan of the points."""
+    return alerts.metric_samples(v.points(spark, d), _MANY, NOW).withColumn("value", F.round("value", 6))
+
+
+@query("e2_many_rules", v.sql(" UNION ALL ".join(f"SELECT '{days}-{low}' AS rule_id, {key} AS series_key, CAST(count(*) AS DOUBLE) AS value FROM logs WHERE timestamp_nanos BETWEEN {NOW} - {days * DAY} AND {NOW} AND severity_number >= {low}{group}" for days in (1, 4, 9) for low, key, group in ((9, "'service=' || service", " GROUP BY 2"), (17, "''", ""), (21, "''", ""))), logs=v.LOGS))
+def e2m(spark, d):
+    rules = {f"{days}-{low}": {"window": days * DAY, "terms": [F.col("severity_number") >= low], "by_service": low == 9} for days in (1, 4, 9) for low in (9, 17, 21)}
+    return alerts.log_samples(v.logs(spark, d), rules, NOW)
+
+
 _TN, _TW = v.YEAR[1], v.YEAR[1] - v.YEAR[0]
 
 
@@ -127,6 +137,12 @@ def u8b(spark, d):
     return alerts.counts(alerts.incidents(machine(spark, d)), rules(spark))
 
 
+@query("e3_many_rules", v.sql(" UNION ALL ".join(f"SELECT '{m}-{part}' AS rule_id, 'service=' || service || ',tenant=' || tenant AS series_key, round(CAST({x} AS DOUBLE), 6) AS value FROM spans WHERE start_time_nanos BETWEEN {v.YEAR[1]} - {(v.YEAR[1] - v.YEAR[0]) // part} AND {v.YEAR[1]} GROUP BY 2" for part in (1, 3) for m, x in (("error_rate", "count(*) FILTER (status_code = 2) * 100.0 / count(*)"), ("request_rate", f"count(*) / {(v.YEAR[1] - v.YEAR[0]) // part / 1e9}"), ("p90", "quantile_disc(duration_nanos, 0.9)"))), spans=v.SPANS))
+def e3m(spark, d):
+    rules = {f"{m}-{part}": {"window": (v.YEAR[1] - v.YEAR[0]) // part, "measure": m} for part in (1, 3) for m in ("error_rate", "request_rate", "p90")}
+    return alerts.trace_samples(v.spans(spark, d), rules, v.YEAR[1], exact=True).withColumn("value", F.round("value", 6))
+
+
 # ---- uptime --------------------------------------------------------------------------------------------------
 
 _SINCE = (S + 23 * DAY) // 1000
@@ -190,10 +206,11 @@ def u8(spark, d):
     return uptime.monitor_counts(uptime.latest_states(v.heartbeats(spark, d), 2), monitors(spark, d))
 
 
-@query("a12_overview", v.sql("SELECT round(sum(rate), 12) AS rate, round(sum(rate * error_rate) / sum(rate), 9) AS error_rate, max(p99) AS worst_p99 FROM svc", spans=v.SPANS, svc=q_search._DERIVED))
+@query("a12_overview", v.sql(f"""SELECT round(sum(rate), 12) AS rate, round(sum(rate * error_rate) / sum(rate), 9) AS error_rate, max(p99) AS worst_p99, (SELECT max(p75) FROM (SELECT app, quantile_disc(value, 0.75) AS p75 FROM vitals WHERE metric_name = 'web_vitals.lcp' GROUP BY app)) AS lcp_p75,
+ (SELECT count(*) FILTER (state = 'up') FROM last) AS monitors_up, (SELECT count(*) FROM last) AS monitors FROM svc""", spans=v.SPANS, svc=q_search._DERIVED, vitals=v.VITALS, beats=v.BEATS, last=f"SELECT monitor_id, arg_max(state, ts) AS state FROM ({_STATES}) GROUP BY 1"))
 def a12(spark, d):
     found = apm.overview(q_search._services(spark, d), q_metrics._vsum(spark, d), uptime.latest_states(v.heartbeats(spark, d), 2))
-    return found.select(F.round("rate", 12).alias("rate"), F.round("error_rate", 9).alias("error_rate"), "worst_p99")
+    return found.select(F.round("rate", 12).alias("rate"), F.round("error_rate", 9).alias("error_rate"), "worst_p99", "lcp_p75", "monitors_up", "monitors")
 
 
 # ---- usage and tenants ---------------------------------------------------------------------------------------
@@ -244,12 +261,14 @@ def tenant_points(spark: SparkSession, d: str) -> DataFrame:
     return v.read(spark, d, "events").select(name.alias("metric_name"), v.nanos("ts").alias("timestamp_nanos"), value.alias("value"), F.concat(F.lit("t"), F.col("user_id") % 6).alias("tenant"), v.attributes(mode=F.when(F.col("user_id") % 2 == 0, "agent").otherwise("full")).alias("attributes"))
 
 
-@query("n1_tenant_summary", v.sql(f"""SELECT h.tenant, last_seen, mode, hot_bytes, open_incidents, CASE WHEN ({E} - last_seen) / 1e9 <= 120 THEN 'up' WHEN ({E} - last_seen) / 1e9 <= 600 THEN 'stale' ELSE 'down' END AS status, rows_per_second FROM
+@query("n1_tenant_summary", v.sql(f"""SELECT h.tenant, last_seen, mode, hot_bytes, open_incidents, CASE WHEN ({E} - last_seen) / 1e9 <= 120 THEN 'up' WHEN ({E} - last_seen) / 1e9 <= 600 THEN 'stale' ELSE 'down' END AS status, rows_per_second, points, line FROM
  (SELECT tenant, max(t) FILTER (m = 'tenant.up') AS last_seen, arg_max(mode, t) FILTER (m = 'tenant.up') AS mode, arg_max(val, t) FILTER (m = 'tenant.hot.bytes') AS hot_bytes, arg_max(val, t) FILTER (m = 'tenant.incidents.open') AS open_incidents FROM p GROUP BY 1) h
- LEFT JOIN (SELECT tenant, greatest((arg_max(v, b) - arg_min(v, b)) / ((max(t) - min(t)) / 1e9), 0) AS rows_per_second FROM (SELECT tenant, {index_sql('t', S, E, 30)} AS b, arg_max(val, t) AS v, max(t) AS t FROM p WHERE m = 'tenant.ingest.rows' GROUP BY 1, 2) GROUP BY 1) USING (tenant)""",
+ LEFT JOIN (SELECT tenant, greatest((arg_max(v, b) - arg_min(v, b)) / ((max(t) - min(t)) / 1e9), 0) AS rows_per_second, count(r) AS points, round(sum(r * i), 6) AS line FROM (SELECT *, greatest((v - lag(v) OVER w) / ((t - lag(t) OVER w) / 1e9), 0) AS r, row_number() OVER w - 1 AS i FROM (SELECT tenant, {index_sql('t', S, E, 30)} AS b, arg_max(val, t) AS v, max(t) AS t FROM p WHERE m = 'tenant.ingest.rows' GROUP BY 1, 2) WINDOW w AS (PARTITION BY tenant ORDER BY b)) GROUP BY 1) USING (tenant)""",
     p="SELECT epoch_us(ts) * 1000 AS t, CASE event_type WHEN 'view' THEN 'tenant.up' WHEN 'click' THEN 'tenant.hot.bytes' WHEN 'purchase' THEN 'tenant.incidents.open' ELSE 'tenant.ingest.rows' END AS m, CAST(CASE WHEN event_type IN ('view', 'click', 'purchase') THEN user_id ELSE event_id END AS DOUBLE) AS val, 't' || (user_id % 6) AS tenant, CASE WHEN user_id % 2 = 0 THEN 'agent' ELSE 'full' END AS mode FROM events"))
 def n1(spark, d):
-    return usage.tenant_summary(tenant_points(spark, d), E, E - S).drop("sparkline")
+    found = usage.tenant_summary(tenant_points(spark, d), E, E - S)
+    weighed = F.aggregate(F.transform("sparkline", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)  # tells lines of another order apart
+    return found.withColumns({"points": F.size("sparkline").cast("long"), "line": F.round(weighed, 6)}).drop("sparkline")
 
 
 _N2 = "WITH l AS (SELECT 't' || (user_id % 6) AS tenant, count(*) AS rows, sum(event_id) AS bytes, max(event_id) AS hot, max(user_id) AS open FROM events GROUP BY 1) " + " UNION ALL ".join(f"SELECT '{n}' AS metric_name, CAST({c} AS DOUBLE) AS value, tenant, {2 if 'ingest' in n else 'NULL'} AS temporality FROM l" for n, c in (("tenant.up", "1"), ("tenant.ingest.rows", "rows"), ("tenant.ingest.bytes", "bytes"), ("tenant.hot.bytes", "hot"), ("tenant.incidents.open", "open")))
@@ -285,16 +304,31 @@ def s3(spark, d):
     return rows.select("timestamp_nanos", "severity_number", "severity_text", "body", "trace_id", "span_id", "scope_name", quoted("service.name").alias("service"), quoted("host.name").alias("host"), F.col("attributes").getItem("user.id").alias("user_id"))
 
 
-@query("s4_otlp_traces", v.sql("SELECT trace_id, span_id, parent_span_id, name, kind, start_time_nanos, duration_nanos, status_code, CASE status_code WHEN 2 THEN 'ERROR' WHEN 1 THEN 'OK' ELSE 'UNSET' END AS status_text, service, lines FROM spans", spans=v.SPANS))
-def s4(spark, d):
+def raw_traces(spark: SparkSession, d: str) -> DataFrame:
+    """The span view as OTLP JSON, a batch for each service and hundredth of the traces. Spans in error have an event, inner ones a link to their parent."""
     rows = v.spans(spark, d).select("*", F.col("`service.name`").alias("svc"))
-    span = F.struct(F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.coalesce("parent_span_id", F.lit("")).alias("parentSpanId"), "name", "kind", F.col("start_time_nanos").cast("string").alias("startTimeUnixNano"), F.col("end_time_nanos").cast("string").alias("endTimeUnixNano"), F.struct(F.col("status_code").alias("code")).alias("status"), _typed(lines=F.col("attributes").getItem("lines")).alias("attributes"))
+    event = F.struct(F.lit("exception").alias("name"), F.col("end_time_nanos").cast("string").alias("timeUnixNano"), _typed(exception__type=F.col("name")).alias("attributes"))
+    link = F.struct(F.upper("trace_id").alias("traceId"), F.upper("parent_span_id").alias("spanId"), _typed(kind=F.lit("parent")).alias("attributes"))
+    span = F.struct(F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.coalesce("parent_span_id", F.lit("")).alias("parentSpanId"), "name", "kind", F.col("start_time_nanos").cast("string").alias("startTimeUnixNano"), F.col("end_time_nanos").cast("string").alias("endTimeUnixNano"), F.struct(F.col("status_code").alias("code")).alias("status"), _typed(lines=F.col("attributes").getItem("lines")).alias("attributes"), F.when(F.col("status_code") == 2, F.array(event)).alias("events"), F.when(F.col("parent_span_id").isNotNull(), F.array(link)).alias("links"))
     grouped = rows.groupBy("svc", F.substring("trace_id", -2, 2).alias("part")).agg(F.collect_list(span).alias("spans"))
     batch = F.struct(F.array(F.struct(F.struct(_typed(service__name=F.col("svc")).alias("attributes")).alias("resource"), F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans"))
-    out = ingest.otlp_traces(grouped.select(F.to_json(batch).alias("value")))
+    return grouped.select(F.to_json(batch).alias("value"))
+
+
+@query("s4_otlp_traces", v.sql("SELECT trace_id, span_id, parent_span_id, name, kind, start_time_nanos, duration_nanos, status_code, CASE status_code WHEN 2 THEN 'ERROR' WHEN 1 THEN 'OK' ELSE 'UNSET' END AS status_text, service, lines FROM spans", spans=v.SPANS))
+def s4(spark, d):
+    out = ingest.otlp_traces(raw_traces(spark, d))
     return out.select("trace_id", "span_id", "parent_span_id", "name", "kind", "start_time_nanos", "duration_nanos", "status_code", "status_text", quoted("service.name").alias("service"), F.col("attributes").getItem("lines").alias("lines"))
 
 
+@query("s4_span_events", v.sql("SELECT trace_id, span_id, 'event' AS what, 'exception' AS name, end_time_nanos AS at, name AS attribute FROM spans WHERE status_code = 2 UNION ALL SELECT trace_id, span_id, 'link', trace_id || '/' || parent_span_id, NULL, 'parent' FROM spans WHERE parent_span_id IS NOT NULL", spans=v.SPANS))
+def s4e(spark, d):
+    out = ingest.otlp_traces(raw_traces(spark, d))
+    events = out.select("trace_id", "span_id", F.lit("event").alias("what"), F.explode("events").alias("e")).select("trace_id", "span_id", "what", "e.name", F.col("e.time_unix_nano").alias("at"), F.col("e.attributes").getItem("exception.type").alias("attribute"))
+    links = out.select("trace_id", "span_id", F.lit("link").alias("what"), F.explode("links").alias("e"))
+    return events.unionByName(links.select("trace_id", "span_id", "what", F.concat_ws("/", "e.trace_id", "e.span_id").alias("name"), F.lit(None).cast("long").alias("at"), F.col("e.attributes").getItem("kind").alias("attribute")))
+
+
 @query("s5_otlp_metrics", v.sql("SELECT metric_name, metric_type, temporality, is_monotonic, timestamp_nanos, value, service FROM points", points=v.POINTS))
 def s5(spark, d):
     rows = v.points(spark, d).select("*", F.col("`service.name`").alias("svc"))
@@ -306,6 +340,36 @@ def s5(spark, d):
     return out.select("metric_name", "metric_type", "temporality", "is_monotonic", "timestamp_nanos", "value", quoted("service.name").alias("service"))
 
 
+_ORDER_TIME = "epoch_us(l_shipdate) * 1000"
+
+
+@query("s5_otlp_distributions", f"""WITH h AS (SELECT l_suppkey AS k, {_ORDER_TIME} AS t, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS s, count(*) FILTER (l_quantity <= 10) AS c0, count(*) FILTER (l_quantity > 10 AND l_quantity <= 30) AS c1, count(*) FILTER (l_quantity > 30) AS c2, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1, 2)
+ SELECT 'line.quantity' AS metric_name, 2 AS metric_type, 1 AS temporality, k AS supplier, t AS timestamp_nanos, n AS count, s AS sum, c0 || ',' || c1 || ',' || c2 AS buckets, '10.0,30.0' AS layout, lo AS low, hi AS high FROM h
+ UNION ALL SELECT 'line.spread', 3, 2, k, t, n, s, c1 || ',' || c2, '2/' || c0 || '/3', lo, hi FROM h UNION ALL SELECT 'line.summary', 4, NULL, k, t, n, s, lo || ',' || hi, '0.0,1.0', NULL, NULL FROM h""")
+def s5d(spark, d):
+    """Histogram, exponential and summary points through the mapping, two metrics' worth of each batch in one."""
+    q = F.col("l_quantity")
+    rows = v.read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), v.nanos("l_shipdate").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("double").alias("s"), F.count_if(q <= 10).alias("c0"), F.count_if((q > 10) & (q <= 30)).alias("c1"), F.count_if(q > 30).alias("c2"), F.min(q).cast("double").alias("lo"), F.max(q).cast("double").alias("hi"))
+    text = lambda *names: F.array(*(F.col(c).cast("string") for c in names))
+    base = [F.col("t").cast("string").alias("timeUnixNano"), _typed(supplier=F.col("k").cast("string")).alias("attributes"), F.col("n").cast("string").alias("count"), F.col("s").alias("sum")]
+    ends = [F.col("lo").alias("min"), F.col("hi").alias("max")]
+    plain = F.struct(*base, text("c0", "c1", "c2").alias("bucketCounts"), F.array(F.lit(10.0), F.lit(30.0)).alias("explicitBounds"), *ends)
+    spread = F.struct(*base, F.lit(2).alias("scale"), F.col("c0").cast("string").alias("zeroCount"), F.struct(F.lit(3).alias("offset"), text("c1", "c2").alias("bucketCounts")).alias("positive"), *ends)
+    summary = F.struct(*base, F.array(F.struct(F.lit(0.0).alias("quantile"), F.col("lo").alias("value")), F.struct(F.lit(1.0).alias("quantile"), F.col("hi").alias("value"))).alias("quantileValues"))
+    grouped = rows.groupBy(F.pmod("k", F.lit(64)).alias("part")).agg(F.collect_list(plain).alias("a"), F.collect_list(spread).alias("b"), F.collect_list(summary).alias("c"))
+    kinds = (("line.quantity", "histogram", "a", 1), ("line.spread", "exponentialHistogram", "b", 2), ("line.summary", "summary", "c", None))
+    # a metric has the data of one kind; the others are absent
+    metric = lambda name, kind, *_: F.struct(F.lit(name).alias("name"), *((F.struct(F.lit(t).alias("aggregationTemporality"), F.col(c).alias("dataPoints")) if k == kind else F.lit(None).cast(f"struct<aggregationTemporality:int,dataPoints:{dict(grouped.dtypes)[c]}>")).alias(k) for _, k, c, t in kinds))
+    batch = F.struct(F.array(F.struct(F.array(F.struct(F.array(*(metric(*x) for x in kinds)).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics"))
+    out = ingest.otlp_metrics(grouped.select(F.to_json(batch).alias("value")))
+    h, e, u = F.col("histogram"), F.col("exp_histogram"), F.col("summary")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select(
+        "metric_name", "metric_type", "temporality", F.col("attributes").getItem("supplier").cast("long").alias("supplier"), "timestamp_nanos", F.coalesce(h["count"], e["count"], u["count"]).alias("count"), F.coalesce(h["sum"], e["sum"], u["sum"]).alias("sum"),
+        F.coalesce(joined(h["bucket_counts"]), joined(e["positive"]["bucket_counts"]), joined(F.transform(u["quantiles"], lambda x: x["value"]))).alias("buckets"),
+        F.coalesce(joined(h["explicit_bounds"]), F.when(e.isNotNull(), F.concat_ws("/", e["scale"], e["zero_count"], e["positive"]["offset"])), joined(F.transform(u["quantiles"], lambda x: x["quantile"]))).alias("layout"), F.coalesce(h["min"], e["min"]).alias("low"), F.coalesce(h["max"], e["max"]).alias("high"))
+
+
 @query("s6_remote_write", "SELECT 'events_total' AS metric_name, 1 AS metric_type, 2 AS temporality, true AS is_monotonic, epoch_us(ts) // 1000 * 1000000 AS timestamp_nanos, CAST(event_id AS DOUBLE) AS value, 'svc-' || (user_id % 10) AS service, event_type AS kind FROM events WHERE event_type <> 'view'")
 def s6(spark, d):
     name = F.when(F.col("event_type") != "view", "events_total")
@@ -375,9 +439,24 @@ def s11(spark, d):
     return ingest.app_gate(parsed, apps, F.col("b.key"), F.col("origin"), F.col("b.trace")).groupBy(F.col("b.app").alias("app")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s11_app_sampling", "SELECT 'app' || (user_id % 3) AS app, true AS near_its_rate, true AS same_when_repeated, true AS whole_traces FROM events WHERE user_id % 3 < 2 AND user_id % 4 IN (0, 1) GROUP BY 1")
+def s11s(spark, d):
+    """Of two apps a half and a fifth of the beacons stay, within five standard deviations; the same ones each time, decided by trace."""
+    rates = {0: 0.5, 1: 0.2}
+    apps = spark.createDataFrame([(f"key{i}", ["https://o0", "https://o1"], r) for i, r in rates.items()], "key string, allowed_origins array<string>, sample_rate double")
+    parsed = ingest.beacons(raw_beacons(spark, d).unionByName(raw_beacons(spark, d)))  # each beacon twice, as one that was sent again
+    gate = lambda table: ingest.app_gate(parsed, table, F.col("b.key"), F.col("origin"), F.col("b.trace")).select(F.col("b.app").alias("app"), F.col("b.trace").alias("trace"))
+    every = gate(apps.withColumn("sample_rate", F.lit(1.0))).groupBy("app").agg(F.count_distinct("trace").alias("all"))
+    kept = gate(apps).groupBy("app", "trace").agg(F.count(F.lit(1)).alias("copies"))
+    again = gate(apps).select("app", "trace").distinct().withColumn("_again", F.lit(True))
+    rate = F.when(F.col("app") == "app0", rates[0]).otherwise(rates[1])
+    near = F.abs(F.count(F.lit(1)) - F.first("all") * F.first(rate)) <= 5 * F.sqrt(F.first("all") * F.first(rate) * (1 - F.first(rate))) + 1
+    return kept.join(again, ["app", "trace"], "full").join(every, "app").groupBy("app").agg(near.alias("near_its_rate"), F.bool_and(F.col("_again").isNotNull() & F.col("copies").isNotNull()).alias("same_when_repeated"), F.bool_and(F.col("copies") == 2).alias("whole_traces"))
+
+
 @query("s12_s1_sink_and_scan", v.sql(f"SELECT trace_id, timestamp_nanos, service FROM logs WHERE timestamp_nanos BETWEEN {S + 3 * DAY} AND {S + 5 * DAY + 7}", logs=v.LOGS))
 def s12(spark, d):
-    root = folder(spark, "tables")
+    root = shared_folder(spark, "tables")
     tables.sink(v.logs(spark, d), root, "logs", "overwrite", 8)
     return tables.scan(spark, root, "logs", S + 3 * DAY, S + 5 * DAY + 7).select("trace_id", "timestamp_nanos", quoted("service.name").alias("service"))
 
@@ -392,7 +471,7 @@ _QUARTER = f"timestamp_nanos // {DAY // 4} % 4"
 
 def small_files(spark: SparkSession, d: str) -> str:
     """The logs as a table to which each quarter of the days was appended alone: a file for each quarter of a date with rows."""
-    out = f"{folder(spark, 'tables')}/data"
+    out = f"{shared_folder(spark, 'tables')}/data"
     rows = tables.with_date(v.logs(spark, d), "logs")
     for k in range(4):
         quarter = F.call_function("div", F.col("timestamp_nanos"), F.lit(DAY // 4)) % 4
@@ -404,7 +483,7 @@ def small_files(spark: SparkSession, d: str) -> str:
 def s13(spark, d):
     """Every date that has several files has one afterwards, with the same rows."""
     out = small_files(spark, d)
-    report = tables.consolidate(spark, out, "logs", folder(spark, "staging"), 100_000_000)
+    report = tables.consolidate(spark, out, "logs", shared_folder(spark, "staging"), 100_000_000)
     left = tables.files(spark, out, "logs").groupBy("date").agg(F.count(F.lit(1)).alias("files_after"), F.sum("rows").alias("rows_left"))
     return report.drop("files_after").join(left, "date").select(F.col("date").cast("string").alias("date"), "files_before", "files_after", "rows", "rows_left")
 
@@ -414,7 +493,7 @@ _OLD = f"timestamp_nanos // {DAY} < {(S + 10 * DAY) // DAY}"
 
 @query("s14_retention", v.sql(f"SELECT count(*) FILTER ({_OLD}) AS rows_removed, count(*) FILTER (NOT {_OLD}) AS rows_left, min(timestamp_nanos) FILTER (NOT {_OLD}) AS oldest FROM logs", logs=v.LOGS))
 def s14(spark, d):
-    out = tables.sink(v.logs(spark, d), folder(spark, "tables"), "logs", "overwrite", 4)
+    out = tables.sink(v.logs(spark, d), shared_folder(spark, "tables"), "logs", "overwrite", 4)
     removed = tables.purge(spark, out, "logs", S + 10 * DAY)
     left = spark.read.parquet(out).agg(F.count(F.lit(1)).alias("rows_left"), F.min("timestamp_nanos").alias("oldest"))
     return removed.select("rows_removed").join(left)  # one row each
@@ -434,7 +513,7 @@ def d2(spark, d):
     grown = daily.withColumn("total_rows", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("day")))  # a row a day
     zero = F.lit(0).cast("long")
     rows = grown.select((F.col("day") * 86_400_000).alias("ts_ms"), F.lit("logs").alias("signal"), zero.alias("hot_bytes"), zero.alias("durable_bytes"), "total_rows", zero.alias("file_count"), F.col("n").alias("ingest_rows"))
-    out = folder(spark, "usage")
+    out = shared_folder(spark, "usage")
     last = rows.agg(F.max("ts_ms")).first()[0]
     for part in (rows.where(F.col("ts_ms") < last), rows.where(F.col("ts_ms") == last)):
         usage.record(spark, part, out, last, 12)
@@ -445,7 +524,7 @@ def d2(spark, d):
 
 
 def _stream(spark: SparkSession, rows: DataFrame, files: int = 4) -> DataFrame:
-    path = folder(spark, "stream")
+    path = shared_folder(spark, "stream")
     rows.repartition(files).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
@@ -464,7 +543,7 @@ def _state_store(spark: SparkSession):
 
 def _all(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream yields once all is read. A complete result is written anew by each batch, and the last is read."""
-    out, check, last = folder(spark, "out"), folder(spark, "check"), []
+    out, check, last = shared_folder(spark, "out"), shared_folder(spark, "check"), []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/{number}")
@@ -498,7 +577,7 @@ def _in_order(spark: SparkSession, rows: DataFrame, time: str, batches: int = 3)
 
 
 def _batches(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
-    path = folder(spark, "stream")
+    path = shared_folder(spark, "stream")
     for part in parts:
         part.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -556,16 +635,43 @@ def w5(spark, d):
 
 @query("w6_streaming_ingest", v.sql("SELECT timestamp_nanos, body, trace_id, service FROM logs", logs=v.LOGS))
 def w6(spark, d):
-    root = folder(spark, "tables")
-    live.ingest(_stream(spark, raw_logs(spark, d)), ingest.otlp_logs, root, "logs", folder(spark, "check"), availableNow=True).awaitTermination()
+    root = shared_folder(spark, "tables")
+    live.ingest(_stream(spark, raw_logs(spark, d)), ingest.otlp_logs, root, "logs", shared_folder(spark, "check"), availableNow=True).awaitTermination()
     return spark.read.parquet(f"{root}/data").select("timestamp_nanos", "body", "trace_id", quoted("service.name").alias("service"))
 
 
 @query("w1_s16_live_tail", v.sql("SELECT timestamp_nanos, trace_id FROM logs WHERE severity_number = 17 ORDER BY timestamp_nanos DESC, trace_id LIMIT 300", logs=v.LOGS))
 def w1(spark, d):
     """All flushes' newest rows; the newest of all are among them."""
-    out = folder(spark, "tail")
-    query = live.live_tail(_stream(spark, v.logs(spark, d)), terms.level(["error"]), "logs", lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/flush={n}"), folder(spark, "check"), 300, availableNow=True)
+    out = shared_folder(spark, "tail")
+    query = live.live_tail(_stream(spark, v.logs(spark, d)), terms.level(["error"]), "logs", lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/flush={n}"), shared_folder(spark, "check"), 300, availableNow=True)
     query.awaitTermination()
     return spark.read.parquet(out).orderBy(F.desc("timestamp_nanos"), "trace_id").limit(300).select("timestamp_nanos", "trace_id")
 
+
+@query("w1_span_tail", v.sql("SELECT trace_id, span_id, CAST(NULL AS DOUBLE) AS matched_per_second FROM spans WHERE status_code = 2 AND start_time_nanos >= (SELECT max(start_time_nanos) - 86400000000000 FROM spans) UNION ALL SELECT trace_id, span_id, (SELECT count(*) FROM spans WHERE status_code = 2) / 2.0 FROM (SELECT * FROM spans WHERE status_code = 2 ORDER BY start_time_nanos DESC, trace_id, span_id LIMIT 50)", spans=v.SPANS))
+def w1s(spark, d):
+    """Two flushes of the span tail: the last day's errors, all shown; and all errors, of which the newest fifty stand for a rate."""
+    rows = v.spans(spark, d)
+    last = rows.agg(F.max("start_time_nanos")).first()[0]
+    out, where = shared_folder(spark, "tail"), terms.status(["error"])
+    stream = _batches(spark, [rows.where(F.col("start_time_nanos") >= last - DAY), rows])
+    emit = lambda shown, n: shown.write.mode("overwrite").parquet(f"{out}/flush={n}")
+    for cap, flush in ((1_000_000, 0), (50, 1)):
+        live.live_tail(stream, where, "spans", emit, shared_folder(spark, "check"), cap, 2.0, availableNow=True).awaitTermination()
+        part = spark.read.parquet(f"{out}/flush={flush}").select("trace_id", "span_id", "matched_per_second")
+        part.write.mode("overwrite").parquet(f"{out}-kept/cap={cap}")
+    return spark.read.parquet(f"{out}-kept").select("trace_id", "span_id", "matched_per_second")
+
+
+@query("w7_late_rows_kept", v.sql(f"SELECT CAST(epoch_us({_W}) AS BIGINT) AS start_us, count(*) AS count, timestamp_nanos // {DAY} BETWEEN {(S + 10 * DAY) // DAY} AND {(S + 16 * DAY) // DAY - 1} AS late FROM logs WHERE timestamp_nanos < {S + 16 * DAY} OR timestamp_nanos >= {S + 20 * DAY} GROUP BY ALL", logs=v.LOGS))
+def w7k(spark, d):
+    """The same stream, dealt: the days that come ten days late are kept beside those in time, and nothing is lost."""
+    rows = v.logs(spark, d)
+    parts = [rows.where((F.col("timestamp_nanos") >= S + a * DAY) & (F.col("timestamp_nanos") < S + b * DAY)) for a, b in _LATE]
+    root = shared_folder(spark, "split")
+    live.split_late(_batches(spark, parts), "logs", DAY, 3 * DAY, root, shared_folder(spark, "check"), availableNow=True).awaitTermination()
+    late = live.late_rows(spark, root, rows.schema).withColumn("late", F.lit(True))
+    timely = spark.read.schema(rows.schema).parquet(f"{root}/rows/batch=*/late=false").withColumn("late", F.lit(False))
+    day = F.call_function("div", F.col("timestamp_nanos"), F.lit(DAY)) * (DAY // 1000)
+    return late.drop("batch").unionByName(timely).groupBy(day.alias("start_us"), "late").agg(F.count(F.lit(1)).alias("count"))
