@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from glimt.functions import buckets, terms
 from glimt.functions.fields import quoted
-from glimt.functions.storage import shared_folder
-from glimt.operators import apm, logs, traces
+from glimt.functions.storage import kept, shared_folder
+from glimt.operators import apm, logs, rollups, traces
 from glimt.plans import views as v
 from glimt.sources import manifest, tables
 
@@ -372,3 +372,24 @@ _KPI = f"SELECT start_time_nanos >= {YS} AS now, CAST(count(*) AS DOUBLE) AS req
 @query("a11_fleet_kpis", _spans("SELECT kpi, current, previous, CASE WHEN previous <> 0 THEN (current - previous) / previous END AS delta FROM (SELECT kpi, max(CASE WHEN now THEN value END) AS current, max(CASE WHEN NOT now THEN value END) AS previous FROM kpis UNPIVOT (value FOR kpi IN (requests, rate, error_rate, p99)) GROUP BY kpi)", kpis=_KPI))
 def a11(spark, d):
     return apm.fleet_kpis(v.spans(spark, d), YS, YE, exact=True)
+
+
+# ---- stored sketches -----------------------------------------------------------------------------------------
+
+_WEEK = 7 * 24 * v.HOUR
+_WEEKS = (YS // _WEEK * _WEEK + _WEEK, YS // _WEEK * _WEEK + 41 * _WEEK)
+_ROLLED = f"SELECT service, name AS operation, count(*) AS count, count(*) FILTER (status_code = 2) AS errors, count(*) FILTER (duration_nanos <= {apm.DEFAULT_APDEX_NANOS}) AS satisfied, count(*) FILTER (duration_nanos > {apm.DEFAULT_APDEX_NANOS} AND duration_nanos <= {4 * apm.DEFAULT_APDEX_NANOS}) AS tolerating, true AS p50_near, true AS p90_near, true AS p99_near FROM spans WHERE start_time_nanos >= {_WEEKS[0]} AND start_time_nanos < {_WEEKS[1]} GROUP BY 1, 2"
+
+
+@query("a3_red_from_rollup", _spans(_ROLLED))
+def a3r(spark, d):
+    """RED of forty weeks from a rollup of days, written and merged twice; each quantile's rank is held against the spans themselves."""
+    spans = v.spans(spark, d)
+    days = kept(rollups.span_rollup(spans, 24 * v.HOUR), "rollup")
+    weeks = kept(rollups.coarser(days, ["service", "operation", "tenant"], _WEEK), "rollup")
+    red = rollups.red_by_operation(weeks, *_WEEKS)
+    own = spans.where((F.col("start_time_nanos") >= _WEEKS[0]) & (F.col("start_time_nanos") < _WEEKS[1])).select(quoted("service.name").alias("service"), F.col("name").alias("operation"), "duration_nanos")
+    ranks = own.join(red, ["service", "operation"]).groupBy("service", "operation").agg(*(F.struct(F.avg((F.col("duration_nanos") < F.col(n)).cast("int")).alias("low"), F.avg((F.col("duration_nanos") <= F.col(n)).cast("int")).alias("high")).alias(f"_{n}") for n in rollups.POINTS))
+    error = 2 * rollups.rank_error()
+    near = [((F.col(f"_{n}.low") <= p + error) & (F.col(f"_{n}.high") >= p - error)).alias(f"{n}_near") for n, p in rollups.POINTS.items()]
+    return red.join(ranks, ["service", "operation"]).select("service", "operation", "count", "errors", "satisfied", "tolerating", *near)

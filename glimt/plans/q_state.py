@@ -572,8 +572,13 @@ def w3(spark, d):
 
 def _in_order(spark: SparkSession, rows: DataFrame, time: str, batches: int = 3) -> DataFrame:
     """A stream of several batches in order of time, each a file: state goes from one to the next."""
+    return _batches(spark, [rows.where((F.col(time) >= a) & (F.col(time) < b)) for a, b in _cuts(rows, time, batches)])
+
+
+def _cuts(rows: DataFrame, time: str, parts: int) -> list[tuple[int, int]]:
     first, last = rows.agg(F.min(time), F.max(time)).first()
-    return _batches(spark, [rows.where((F.col(time) >= first + k * (last - first + 1) // batches) & (F.col(time) < first + (k + 1) * (last - first + 1) // batches)) for k in range(batches)])
+    ends = [first + k * (last - first + 1) // parts for k in range(parts + 1)]
+    return list(zip(ends, ends[1:], strict=False))
 
 
 def _batches(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
@@ -614,6 +619,28 @@ def w4c(spark, d):
     return _all(spark, live.alert_transitions(_in_order(spark, samples(spark, d), "at"), rules(spark), _GONE)).select("rule_id", "series_key", "at", "transition")
 
 
+_STEP = 30 * DAY
+_RAW_RULES = [("errors", "error_rate", "gt", 24.0, 60 * 86_400), ("quiet", "request_rate", "lt", 0.000004, 0)]
+_RAW = f"""SELECT rule_id, series_key, "at", CASE WHEN rule_id = 'errors' THEN e * 100.0 / n ELSE n / {_STEP / 1e9} END AS value FROM (SELECT 'service=' || service || ',tenant=' || tenant AS series_key, (start_time_nanos // {_STEP} + 1) * {_STEP // 1_000_000} AS "at", count(*) AS n, count(*) FILTER (status_code = 2) AS e FROM spans WHERE start_time_nanos // {_STEP} % 7 <> 3 OR service <> 'svc-1' GROUP BY 1, 2) CROSS JOIN (VALUES ('errors'), ('quiet')) x(rule_id)"""
+_RAW_R = "SELECT * FROM (VALUES ('errors', 'gt', 24.0::DOUBLE, 5184000::BIGINT), ('quiet', 'lt', 0.000004::DOUBLE, 0::BIGINT)) r(rule_id, op, threshold, for_secs)"
+_RAW_BREACH = "coalesce(CASE op WHEN 'gt' THEN value > threshold WHEN 'lt' THEN value < threshold END, false)"
+
+
+@query("w4_alerts_from_spans", v.sql(f"SELECT rule_id, series_key, \"at\", transition FROM ({_MACHINE.replace(_BREACH, _RAW_BREACH)}) WHERE transition IS NOT NULL", spans=v.SPANS, s=_RAW, r=_RAW_R))
+def w4r(spark, d):
+    """Raw spans in several batches through windowed samples and the state machine in one query; a service goes silent in every seventh window."""
+    rows = v.spans(spark, d).select("start_time_nanos", "status_code", "`service.name`", "tenant")
+    rows = rows.where((F.call_function("div", F.col("start_time_nanos"), F.lit(_STEP)) % 7 != 3) | (quoted("service.name") != "svc-1"))
+    last = rows.agg(F.max("start_time_nanos")).first()[0]
+    # spans of another service move the watermark on, so that the last windows and timers are seen
+    beyond = [spark.createDataFrame([(last + k * 100 * DAY, 0, "beyond", None)], rows.schema) for k in (1, 2, 3)]
+    table = spark.createDataFrame(_RAW_RULES, "rule_id string, measure string, op string, threshold double, for_secs long")
+    parts = [rows.where((F.col("start_time_nanos") >= a) & (F.col("start_time_nanos") < b)) for a, b in _cuts(rows, "start_time_nanos", 3)]
+    found = live.alerts_from_spans(_batches(spark, [*parts, *beyond]), table, "30 days", _STEP // 1_000_000, "1 day")
+    # series still there at the end are not gone
+    return _all(spark, found).where(F.col("series_key").contains("svc-") & (F.col("at") <= (last // _STEP + 1) * (_STEP // 1_000_000))).select("rule_id", "series_key", "at", "transition")
+
+
 @query("w4_streaming_uptime", v.sql(f"SELECT monitor_id, ts, transition FROM ({_STATES}) WHERE transition IS NOT NULL", beats=v.BEATS))
 def w4(spark, d):
     return _all(spark, live.uptime_transitions(_in_order(spark, v.heartbeats(spark, d), "ts"), 2)).select("monitor_id", "ts", "transition")

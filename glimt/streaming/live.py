@@ -212,6 +212,34 @@ def alert_transitions(samples: DataFrame, rules: DataFrame, gone_after_ms: int |
     return rows.groupBy("rule_id", "series_key").transformWithStateInPandas(AlertProcessor(gone_after_ms), "rule_id string, series_key string, at long, value double, transition string", "Append", mode)
 
 
+def span_samples(spans: DataFrame, rules: DataFrame, step: str, late: str) -> DataFrame:
+    """Samples (rule_id, series_key, at, value) of a stream of raw spans: one for each window, service and tenant, once the watermark has passed it.
+
+    ``rules``: rule_id and measure (error_rate in percent, or request_rate a second); ``at``: the window's end in milliseconds.
+    """
+    rows = event_time(spans, "spans").withWatermark("ts", late).where(quoted("service.name").isNotNull())
+    tenant = quoted("tenant") if "tenant" in spans.columns else F.lit(None).cast("string")
+    key = F.concat_ws(",", F.concat(F.lit("service="), quoted("service.name")), F.concat(F.lit("tenant="), tenant))
+    red = rows.groupBy(F.window("ts", step), key.alias("series_key")).agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("status_code") == 2).alias("errors"))
+    seconds = F.unix_seconds("window.end") - F.unix_seconds("window.start")
+    joined = red.join(F.broadcast(rules.select("rule_id", "measure")))  # a row a rule
+    value = F.when(F.col("measure") == "error_rate", F.col("errors") * 100.0 / F.col("count")).when(F.col("measure") == "request_rate", F.col("count") / seconds)
+    return joined.select("rule_id", "series_key", "window", value.alias("value"))
+
+
+def alerts_from_spans(spans: DataFrame, rules: DataFrame, step: str, step_ms: int, late: str) -> DataFrame:
+    """Transitions of alert rules over a stream of raw spans, in one query: windowed samples, then a state for each rule and series.
+
+    Rules: rule_id, measure, op, threshold, for_secs. A window without a span of a series resolves it, by a timer of event time.
+    """
+    samples = span_samples(spans, rules, step, late)
+    rows = samples.join(F.broadcast(rules.select("rule_id", "op", "threshold", "for_secs")), "rule_id")  # a row a rule
+    breach = F.coalesce(breaches(F.col("value"), F.col("op"), F.col("threshold")), F.lit(False)).alias("breach")
+    # the time of a window carries the watermark on to the next operator
+    rows = rows.select("rule_id", "series_key", F.unix_millis("window.end").alias("at"), "value", breach, (F.col("for_secs") * 1000).cast("long").alias("for_ms"), F.window_time("window").alias("_ts"))
+    return rows.groupBy("rule_id", "series_key").transformWithStateInPandas(AlertProcessor(step_ms), "rule_id string, series_key string, at long, value double, transition string", "Append", "EventTime")
+
+
 class CounterProcessor(StatefulProcessor):
     """State of a series: (last value, last start); a row of growth for each sample."""
 

@@ -316,3 +316,42 @@ def test_dropped_groups_are_counted_over_all_batches(spark, tmp_path):
     finally:
         spark.streams.removeListener(late)
         spark.conf.unset(name)
+
+
+# ---- stored sketches -----------------------------------------------------------------------------------------
+
+
+def test_rollups_merge_to_what_the_spans_say(spark):
+    from glimt.operators import apm, rollups
+
+    rng = random.Random(12)
+    rows = [(i * 7_000_000_000, rng.choice(["a", "b", None]), rng.choice(["x", "y"]), rng.choice(["t", None]), rng.choice([None, *range(1, 3_000_000_000, 7_000_001)]), rng.choice([0, 1, 2])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "start_time_nanos long, `service.name` string, name string, tenant string, duration_nanos long, status_code int")
+    start, end = 0, 4000 * 7_000_000_000 // rollups.MINUTE_NANOS * rollups.MINUTE_NANOS
+    window = (F.col("start_time_nanos") >= start) & (F.col("start_time_nanos") < end)
+    minutes = rollups.span_rollup(df)
+    hours = rollups.coarser(minutes, ["service", "operation", "tenant"], 60 * rollups.MINUTE_NANOS)
+    counts = ("service", "operation", "count", "errors", "satisfied", "tolerating", "frustrated")
+    want = found(apm.red_by_operation(df, window, limit=None, exact=True), *counts)
+    assert found(rollups.red_by_operation(minutes, start, end), *counts) == want
+    hour_end = end // (60 * rollups.MINUTE_NANOS) * 60 * rollups.MINUTE_NANOS
+    inside = F.col("start_time_nanos") < hour_end
+    assert found(rollups.red_by_operation(hours, 0, hour_end), *counts) == found(apm.red_by_operation(df, inside, limit=None, exact=True), *counts)
+    assert found(rollups.red_by_service(minutes, start, end), "service", "tenant", "count", "errors") == found(apm.red_by_service(df, window, exact=True), "service", "tenant", "count", "errors")
+    n = 6
+    series = ("bucket", "start_nanos", "count", "errors", "satisfied")
+    assert found(rollups.red_series(minutes, start, start + n * 60 * rollups.MINUTE_NANOS, n), *series) == found(apm.red_series(df, F.col("start_time_nanos") < n * 60 * rollups.MINUTE_NANOS, start, n * 60 * rollups.MINUTE_NANOS, n, exact=True), *series)
+    values = sorted(r[4] for r in rows if r[4] is not None and r[0] < end)
+    got = rollups.latency_percentiles(minutes, start, end).first()
+    for name, p in rollups.POINTS.items():
+        assert abs(sum(x <= got[name] for x in values) / len(values) - p) <= 2 * rollups.rank_error()
+    assert rollups.latency_percentiles(minutes, end + 10**15, end + 10**16).first()["p50"] is None
+
+
+def test_vitals_from_a_rollup(spark):
+    from glimt.operators import rollups
+
+    rows = [(i * 1_000_000_000, "app", "web_vitals.lcp", float(i), {"browser.route": "/"}) for i in range(1200)]
+    df = spark.createDataFrame(rows, "timestamp_nanos long, `service.name` string, metric_name string, value double, attributes map<string,string>")
+    got = rollups.vitals_summary(rollups.vital_rollup(df), 0, 1200 * 1_000_000_000).first()
+    assert got["count"] == 1200 and abs(got["p75"] / 1200 - 0.75) <= 2 * rollups.rank_error()
