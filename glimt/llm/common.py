@@ -40,6 +40,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Delete what ``written`` has kept for these, of which nothing is read any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:  # one folder each, whatever the number of files
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each behind as many underscores as it takes to be no column of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

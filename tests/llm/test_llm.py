@@ -416,6 +416,15 @@ def near_copy_groups(texts):
     return root
 
 
+def test_shingles_of_very_many_texts():
+    """More texts in one piece than their numbers have bits for."""
+    texts = pa.array([f"a b c d {i} e f" if i % 3 else None for i in range(70_000)])
+    offsets, h = near_copies.shingles(texts)
+    few = near_copies.shingles(texts[69_000:69_100])
+    assert len(offsets) == 70_001 and (np.diff(offsets) == np.where(np.arange(70_000) % 3, 3, 0)).all()
+    assert (h[offsets[69_000] : offsets[69_100]] == few[1]).all()
+
+
 @pytest.mark.parametrize("few", [0, 500_000])
 def test_near_copies(spark, edge, nothing, monkeypatch, few):
     rng = random.Random(12)
