@@ -47,6 +47,19 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return reduce(lambda rest, r: F.when(fits(r[1]), F.struct(F.lit(r[1]).alias("rule"), F.lit(r[0]).alias("action"))).otherwise(rest), ranked, none)
 
 
+def vocabulary(terms: DataFrame, most: int = 1_000_000) -> tuple[list[str], dict[str, float]]:
+    """(strict, soft) for ``filter_urls`` from a table (term, weight); a null weight makes a term strict, of repeated soft terms the largest weight counts.
+
+    Terms are lower-cased in A-Z; null and empty ones are left out. The automaton holds them in every task, so more than ``most`` are an error.
+    """
+    word = F.translate("term", _UPPER, _LOWER)
+    rows = terms.where(F.coalesce(F.length("term"), F.lit(0)) > 0).groupBy(word.alias("term")).agg(F.bool_or(F.col("weight").isNull()).alias("strict"), F.max(F.col("weight").cast("double")).alias("weight"))
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} terms")
+    return sorted(r["term"] for r in found if r["strict"]), {r["term"]: r["weight"] for r in sorted(found) if not r["strict"]}
+
+
 def automaton(strict: Sequence[str], soft: dict[str, float]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for term, weight in [*soft.items(), *((t, None) for t in strict)]:

@@ -64,6 +64,18 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_vocabulary_from_a_table(spark):
+    terms = spark.createDataFrame([("Casino", None), ("slots", 0.5), ("slots", 1.0), ("poker", 1.0), ("", None), (None, 1.0), ("poker", None)], "term string, weight double")
+    strict, soft = url_filter.vocabulary(terms)
+    assert (strict, soft) == (["casino", "poker"], {"slots": 1.0})
+    urls = [(1, "http://a.org/slots/x"), (2, "http://a.org/slots-bingo"), (3, "http://poker.org/"), (4, "http://b.org/CASINO"), (None, "http://a.org/" + "x/" * 50_000 + "poker"), (6, "http://a.org/" + "pokers/" * 50_000), (6, None)]
+    df = spark.createDataFrame(urls + urls[:1], "page_id long, url string")
+    got = sorted(((r["page_id"], r["verdict"], r["soft_terms"]) for r in url_filter.filter_urls(df, strict=strict, soft=soft | {"bingo": 0.6}).collect()), key=repr)
+    assert got == sorted([(1, "allow", 1), (1, "allow", 1), (2, "block", 2), (3, "block", 0), (4, "block", 0), (None, "block", 0), (6, "allow", 0), (6, "allow", 0)], key=repr)
+    with pytest.raises(ValueError):
+        url_filter.vocabulary(terms, 2)
+
+
 # ---- 2 ---------------------------------------------------------------------------------------------------------
 
 
