@@ -36,11 +36,18 @@ def span_schema(promoted: Sequence[str] = PROMOTED) -> T.StructType:
     return _schema("trace_id!:s span_id!:s parent_span_id:s name:s kind:i kind_text:s start_time_nanos!:l end_time_nanos:l duration_nanos:l status_code:i status_text:s status_message:s scope_name:s", promoted, extra)
 
 
-_COUNTS, _BOUNDS = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
-HISTOGRAM = T.StructType([T.StructField("count", T.LongType()), T.StructField("sum", T.DoubleType()), T.StructField("bucket_counts", _COUNTS), T.StructField("explicit_bounds", _BOUNDS), T.StructField("min", T.DoubleType()), T.StructField("max", T.DoubleType())])
-_SIDE = T.StructType([T.StructField("offset", T.IntegerType()), T.StructField("bucket_counts", _COUNTS)])
-EXP_HISTOGRAM = T.StructType([T.StructField("count", T.LongType()), T.StructField("sum", T.DoubleType()), T.StructField("scale", T.IntegerType()), T.StructField("zero_count", T.LongType()), T.StructField("positive", _SIDE), T.StructField("negative", _SIDE), T.StructField("min", T.DoubleType()), T.StructField("max", T.DoubleType())])
-SUMMARY = T.StructType([T.StructField("count", T.LongType()), T.StructField("sum", T.DoubleType()), T.StructField("quantiles", T.ArrayType(T.StructType([T.StructField("quantile", T.DoubleType()), T.StructField("value", T.DoubleType())])))])
+_LONG, _DOUBLE = T.LongType(), T.DoubleType()
+_COUNTS, _BOUNDS = T.ArrayType(_LONG), T.ArrayType(_DOUBLE)
+
+
+def _struct(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
+
+HISTOGRAM = _struct(count=_LONG, sum=_DOUBLE, bucket_counts=_COUNTS, explicit_bounds=_BOUNDS, min=_DOUBLE, max=_DOUBLE)
+_SIDE = _struct(offset=T.IntegerType(), bucket_counts=_COUNTS)
+EXP_HISTOGRAM = _struct(count=_LONG, sum=_DOUBLE, scale=T.IntegerType(), zero_count=_LONG, positive=_SIDE, negative=_SIDE, min=_DOUBLE, max=_DOUBLE)
+SUMMARY = _struct(count=_LONG, sum=_DOUBLE, quantiles=T.ArrayType(_struct(quantile=_DOUBLE, value=_DOUBLE)))
 GAUGE, SUM, HISTOGRAM_TYPE, EXP_HISTOGRAM_TYPE, SUMMARY_TYPE = range(5)
 DELTA, CUMULATIVE = 1, 2
 

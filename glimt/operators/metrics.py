@@ -124,7 +124,8 @@ def _matched(points: DataFrame, specs: Mapping[str, Mapping], pack: Callable) ->
     by_name: dict[str, list[Column]] = {}
     for q, s in specs.items():
         width, seconds = max(1, (s["end"] - s["start"]) // s["n"]), (s["end"] - s["start"]) / s["n"] / 1e9
-        values = {"query": q, "start": s["start"], "end": s["end"], "width": width, "n": s["n"], "agg": s["agg"], "set": sets.index(tuple(s["labels"])), "test": at.get(q), "per": seconds if s["agg"] == "rate" else 1.0}
+        values = {"query": q, "start": s["start"], "end": s["end"], "width": width, "n": s["n"], "agg": s["agg"]}
+        values |= {"set": sets.index(tuple(s["labels"])), "test": at.get(q), "per": seconds if s["agg"] == "rate" else 1.0}
         kinds = {"start": "long", "end": "long", "width": "long", "n": "int", "set": "int", "test": "int", "per": "double"}
         by_name.setdefault(s["name"], []).append(F.struct(*(F.lit(x).cast(kinds.get(k, "string")).alias(k) for k, x in values.items())))
     table = F.create_map(*(x for name, own in by_name.items() for x in (F.lit(name), F.array(*own))))
@@ -149,7 +150,9 @@ def _matched(points: DataFrame, specs: Mapping[str, Mapping], pack: Callable) ->
     # a counter's first sample of the spec's own window has nothing before it
     up = F.when(F.col("_counted") & (F.col("_since").isNull() | (F.col("_since") < s["start"])), F.lit(0.0)).otherwise(F.col("_up"))
     keys = [s["query"].alias("query"), F.get("_sets", s["set"]).alias("labels"), bucket.alias("bucket")]
-    measures = [F.avg("value").alias("_avg"), F.min("value").alias("_min"), F.max("value").alias("_max"), F.sum("value").alias("_sum"), F.count(F.lit(1)).cast("double").alias("_count"), F.max_by("value", F.struct("timestamp_nanos", "value")).alias("_last"), (F.sum(up) / F.max(s["per"])).alias("_grown"), F.max(s["agg"]).alias("_agg")]
+    measures = [f("value").alias(f"_{name}") for name, f in GAUGE_AGGS.items()]
+    measures += [F.count(F.lit(1)).cast("double").alias("_count"), F.max_by("value", F.struct("timestamp_nanos", "value")).alias("_last")]
+    measures += [(F.sum(up) / F.max(s["per"])).alias("_grown"), F.max(s["agg"]).alias("_agg")]
     found = rows.groupBy(*keys).agg(*measures)
     value = reduce(lambda w, a: w.when(F.col("_agg") == a, F.col(_OF[a])), sorted({x["agg"] for x in specs.values()}), F.when(F.lit(False), F.lit(None).cast("double")))
     return found.select("query", "labels", "bucket", value.alias("v"))
@@ -173,12 +176,14 @@ def catalog(points: DataFrame, search: str = "", kinds: Sequence[int] = (), prom
     """
     own = [quoted(p) for p in promoted if p in points.columns]
     distinct = F.count_distinct if exact else F.approx_count_distinct
-    rows = points.groupBy("metric_name").agg(F.min("metric_type").alias("metric_type"), F.min("unit").alias("unit"), F.min("temporality").alias("temporality"), F.bool_or("is_monotonic").alias("is_monotonic"), F.max("timestamp_nanos").alias("last_seen"), distinct(F.concat_ws("\x1f", *own)).alias("series_count"))
+    kind = [*(F.min(c).alias(c) for c in ("metric_type", "unit", "temporality")), F.bool_or("is_monotonic").alias("is_monotonic")]
+    rows = points.groupBy("metric_name").agg(*kind, F.max("timestamp_nanos").alias("last_seen"), distinct(F.concat_ws("\x1f", *own)).alias("series_count"))
     base = F.regexp_extract("metric_name", r"^(.+)_(bucket|sum|count)$", 1)
     family = rows.withColumn("_base", base).where("_base <> ''").groupBy("_base").agg(F.count(F.lit(1)).alias("_members"))
     rows = rows.withColumn("_base", base).join(family, "_base", "left")
     is_part = F.coalesce(F.col("_members") == 3, F.lit(False))
-    folded = rows.where(is_part).groupBy(F.col("_base").alias("metric_name")).agg(F.lit(2).alias("metric_type"), F.min("unit").alias("unit"), F.min("temporality").alias("temporality"), F.bool_or("is_monotonic").alias("is_monotonic"), F.max("last_seen").alias("last_seen"), F.max("series_count").alias("series_count"))
+    latest = [F.max(c).alias(c) for c in ("last_seen", "series_count")]
+    folded = rows.where(is_part).groupBy(F.col("_base").alias("metric_name")).agg(F.lit(2).alias("metric_type"), *kind[1:], *latest)
     out = rows.where(~is_part).drop("_base", "_members").unionByName(folded)
     if search:
         out = out.where(F.contains(F.lower("metric_name"), F.lit(search.lower())))
