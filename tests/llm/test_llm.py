@@ -357,6 +357,18 @@ def test_secrets_without_key_words(spark):
     hit = sum(any(len(x) >= 23 and x in texts[i] and "." not in x and not x.isdigit() for x in secret[i]) for i in range(100))
     assert hit >= 90, hit
     assert sum(map(len, secret[100:])) <= 20, secret[100:]
+    numbers = [x for own in secret for x in own if x.isdigit()]
+    assert len(numbers) <= 2, numbers
+    assert net.threshold >= secret_scan.LEAST_SCORE
+
+
+def test_secret_threshold():
+    y = np.array([1, 1, 0, 1, 0, 0, 1])
+    p = np.array([0.9, 0.8, 0.3, 0.7, 0.2, 0.1, 0.05])
+    assert secret_scan.choose_threshold(p, y) == (0.7, 0.75)  # below 0.7 one of four is wrong
+    assert secret_scan.choose_threshold(p / 2, y) == (0.5, 0.0)  # nothing is more likely a secret than not
+    assert secret_scan.choose_threshold(1 - p, y) == (0.95, 0.25)
+    assert secret_scan.choose_threshold(np.full(7, 0.9), y) == (1.1, 0.0)  # ties pass together or not at all
 
 
 def test_network_learns():
