@@ -283,16 +283,21 @@ def n2(spark, d):
 # ---- ingest --------------------------------------------------------------------------------------------------
 
 
+#: What one OTLP document holds at most, whatever the input's size: events' ids, orders, and days of a supplier.
+BATCH_EVENTS, BATCH_TRACES, BATCH_DAYS = 5_000, 500, 100
+
+
 def _typed(**values):
     """An OTLP attribute list."""
     return F.array(*(F.struct(F.lit(k.replace("__", ".")).alias("key"), F.struct(value.alias("stringValue")).alias("value")) for k, value in values.items()))
 
 
 def raw_logs(spark: SparkSession, d: str) -> DataFrame:
-    """The log view as OTLP JSON, a batch for each host and service; the host is an attribute of the resource."""
+    """The log view as OTLP JSON, a batch for each host and service of BATCH_EVENTS events' ids; the host is an attribute of the resource."""
     rows = v.logs(spark, d).select("*", F.col("`service.name`").alias("svc"), F.col("`host.name`").alias("host"))
     record = F.struct(F.col("timestamp_nanos").cast("string").alias("timeUnixNano"), F.col("severity_number").alias("severityNumber"), F.coalesce("severity_text", F.lit("")).alias("severityText"), F.struct(F.col("body").alias("stringValue")).alias("body"), F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), _typed(user__id=F.col("attributes").getItem("user.id"), host__name=F.col("host")).alias("attributes"))
-    grouped = rows.groupBy("svc", "host", F.substring("trace_id", -2, 2).alias("part")).agg(F.collect_list(record).alias("logRecords"))  # a hundred parts of each
+    part = F.call_function("div", F.col("trace_id").cast("long"), F.lit(BATCH_EVENTS))
+    grouped = rows.groupBy("svc", "host", part.alias("part")).agg(F.collect_list(record).alias("logRecords"))
     scope = F.array(F.struct(F.struct(F.lit("app").alias("name")).alias("scope"), "logRecords"))
     batch = F.struct(F.array(F.struct(F.struct(_typed(service__name=F.col("svc"), host__name=F.lit("other")).alias("attributes")).alias("resource"), scope.alias("scopeLogs"))).alias("resourceLogs"))
     return grouped.select(F.to_json(batch).alias("value"))
@@ -356,7 +361,8 @@ def s5d(spark, d):
     plain = F.struct(*base, text("c0", "c1", "c2").alias("bucketCounts"), F.array(F.lit(10.0), F.lit(30.0)).alias("explicitBounds"), *ends)
     spread = F.struct(*base, F.lit(2).alias("scale"), F.col("c0").cast("string").alias("zeroCount"), F.struct(F.lit(3).alias("offset"), text("c1", "c2").alias("bucketCounts")).alias("positive"), *ends)
     summary = F.struct(*base, F.array(F.struct(F.lit(0.0).alias("quantile"), F.col("lo").alias("value")), F.struct(F.lit(1.0).alias("quantile"), F.col("hi").alias("value"))).alias("quantileValues"))
-    grouped = rows.groupBy(F.pmod("k", F.lit(64)).alias("part")).agg(F.collect_list(plain).alias("a"), F.collect_list(spread).alias("b"), F.collect_list(summary).alias("c"))
+    # a batch: a supplier's points of BATCH_DAYS days, so no document grows with the input
+    grouped = rows.groupBy("k", F.call_function("div", "t", F.lit(BATCH_DAYS * DAY)).alias("part")).agg(F.collect_list(plain).alias("a"), F.collect_list(spread).alias("b"), F.collect_list(summary).alias("c"))
     kinds = (("line.quantity", "histogram", "a", 1), ("line.spread", "exponentialHistogram", "b", 2), ("line.summary", "summary", "c", None))
     # a metric has the data of one kind; the others are absent
     metric = lambda name, kind, *_: F.struct(F.lit(name).alias("name"), *((F.struct(F.lit(t).alias("aggregationTemporality"), F.col(c).alias("dataPoints")) if k == kind else F.lit(None).cast(f"struct<aggregationTemporality:int,dataPoints:{dict(grouped.dtypes)[c]}>")).alias(k) for _, k, c, t in kinds))
