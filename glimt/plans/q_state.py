@@ -310,12 +310,13 @@ def s3(spark, d):
 
 
 def raw_traces(spark: SparkSession, d: str) -> DataFrame:
-    """The span view as OTLP JSON, a batch for each service and hundredth of the traces. Spans in error have an event, inner ones a link to their parent."""
+    """The span view as OTLP JSON, a batch for each service of BATCH_TRACES orders. Spans in error have an event, inner ones a link to their parent."""
     rows = v.spans(spark, d).select("*", F.col("`service.name`").alias("svc"))
     event = F.struct(F.lit("exception").alias("name"), F.col("end_time_nanos").cast("string").alias("timeUnixNano"), _typed(exception__type=F.col("name")).alias("attributes"))
     link = F.struct(F.upper("trace_id").alias("traceId"), F.upper("parent_span_id").alias("spanId"), _typed(kind=F.lit("parent")).alias("attributes"))
     span = F.struct(F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.coalesce("parent_span_id", F.lit("")).alias("parentSpanId"), "name", "kind", F.col("start_time_nanos").cast("string").alias("startTimeUnixNano"), F.col("end_time_nanos").cast("string").alias("endTimeUnixNano"), F.struct(F.col("status_code").alias("code")).alias("status"), _typed(lines=F.col("attributes").getItem("lines")).alias("attributes"), F.when(F.col("status_code") == 2, F.array(event)).alias("events"), F.when(F.col("parent_span_id").isNotNull(), F.array(link)).alias("links"))
-    grouped = rows.groupBy("svc", F.substring("trace_id", -2, 2).alias("part")).agg(F.collect_list(span).alias("spans"))
+    part = F.call_function("div", F.col("trace_id").cast("long"), F.lit(BATCH_TRACES))
+    grouped = rows.groupBy("svc", part.alias("part")).agg(F.collect_list(span).alias("spans"))
     batch = F.struct(F.array(F.struct(F.struct(_typed(service__name=F.col("svc")).alias("attributes")).alias("resource"), F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans"))
     return grouped.select(F.to_json(batch).alias("value"))
 
@@ -338,7 +339,9 @@ def s4e(spark, d):
 def s5(spark, d):
     rows = v.points(spark, d).select("*", F.col("`service.name`").alias("svc"))
     point = F.struct(F.col("timestamp_nanos").cast("string").alias("timeUnixNano"), F.col("value").cast("long").cast("string").alias("asInt"))
-    grouped = rows.groupBy("svc", "metric_name", "metric_type", "temporality", "is_monotonic", F.pmod(F.xxhash64("timestamp_nanos"), F.lit(64)).alias("part")).agg(F.collect_list(point).alias("dataPoints"))
+    parts = max(64, v.read(spark, d, "events").count() // BATCH_EVENTS)  # the count is in the footers
+    part = F.pmod(F.xxhash64("timestamp_nanos", F.col("attributes").getItem("user")), F.lit(parts))
+    grouped = rows.groupBy("svc", "metric_name", "metric_type", "temporality", "is_monotonic", part.alias("part")).agg(F.collect_list(point).alias("dataPoints"))
     metric = F.struct(F.col("metric_name").alias("name"), F.when(F.col("metric_type") == 0, F.struct("dataPoints")).alias("gauge"), F.when(F.col("metric_type") == 1, F.struct(F.col("temporality").alias("aggregationTemporality"), F.col("is_monotonic").alias("isMonotonic"), "dataPoints")).alias("sum"))
     batch = F.struct(F.array(F.struct(F.struct(_typed(service__name=F.col("svc")).alias("attributes")).alias("resource"), F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics"))
     out = ingest.otlp_metrics(grouped.select(F.to_json(batch).alias("value")))
