@@ -533,9 +533,11 @@ def d2(spark, d):
 
 
 def _stream(spark: SparkSession, rows: DataFrame, files: int = 4) -> DataFrame:
+    """A stream of two batches, over as many files as the session has shuffle partitions (``files`` at least)."""
     path = shared_folder(spark, "stream")
-    rows.repartition(files).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    rows.repartition(max(files, int(spark.conf.get("spark.sql.shuffle.partitions")))).write.parquet(path)
+    half = -(-len(spark.read.schema(rows.schema).parquet(path).inputFiles()) // 2)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(half, 1)).parquet(path)
 
 
 @contextmanager
