@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glimt.functions import terms
 from glimt.functions.fields import quoted
-from glimt.functions.storage import shared_folder
+from glimt.functions.storage import kept, shared_folder
 from glimt.functions.terms import in_window
 from glimt.operators import alerts, apm, uptime, usage
 from glimt.plans import q_metrics, q_search
@@ -552,8 +553,8 @@ def _state_store(spark: SparkSession):
         spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
-def _all(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream yields once all is read. A complete result is written anew by each batch, and the last is read."""
+def _all(spark: SparkSession, stream: DataFrame, mode: str = "append", later: Sequence[Callable[[], None]] = ()) -> DataFrame:
+    """What a stream yields once all is read, ``later`` parts (see ``_batches``) included. A complete result is written anew by each batch, and the last is read."""
     out, check, last = shared_folder(spark, "out"), shared_folder(spark, "check"), []
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -561,8 +562,11 @@ def _all(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFr
         last.append(number)
 
     with _state_store(spark):
-        writing = stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True)
-        (writing.format("parquet").option("path", out) if mode == "append" else writing.foreachBatch(keep)).start().awaitTermination()
+        for put in (None, *later):
+            if put is not None:
+                put()
+            writing = stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True)
+            (writing.format("parquet").option("path", out) if mode == "append" else writing.foreachBatch(keep)).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out if mode == "append" else f"{out}/{last[-1]}")
 
 
@@ -581,8 +585,9 @@ def w3(spark, d):
     return _all(spark, rows, "complete").select(F.unix_micros("start").alias("start_us"), "service", "count", "errors", "satisfied")
 
 
-def _in_order(spark: SparkSession, rows: DataFrame, time: str, batches: int = 3) -> DataFrame:
-    """A stream of several batches in order of time, each a file: state goes from one to the next."""
+def _in_order(spark: SparkSession, rows: DataFrame, time: str, batches: int = 3) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """A stream of several batches in order of time (see ``_batches``): state goes from one to the next."""
+    rows = kept(rows, "rows")
     return _batches(spark, [rows.where((F.col(time) >= a) & (F.col(time) < b)) for a, b in _cuts(rows, time, batches)])
 
 
@@ -592,11 +597,15 @@ def _cuts(rows: DataFrame, time: str, parts: int) -> list[tuple[int, int]]:
     return list(zip(ends, ends[1:], strict=False))
 
 
-def _batches(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+def _batches(spark: SparkSession, parts: list[DataFrame]) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """A stream that holds the first of ``parts``, and what puts each of the others under it.
+
+    A query that is started anew (one checkpoint, all that is there) after each of them sees every part as one batch, of any number of files.
+    """
     path = shared_folder(spark, "stream")
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+    puts = [lambda part=part: part.write.mode("append").parquet(path) for part in parts]
+    puts[0]()
+    return spark.readStream.schema(parts[0].schema).parquet(path), puts[1:]
 
 
 _LATE = [(0, 10), (20, 26), (26, 31), (10, 16)]  # days of the month, in the order in which they come
@@ -607,8 +616,9 @@ def w7(spark, d):
     """Logs by day where the last file comes ten days late: the watermark, three days behind, is past its days, so its rows are dropped."""
     rows = v.logs(spark, d)
     parts = [rows.where((F.col("timestamp_nanos") >= S + a * DAY) & (F.col("timestamp_nanos") < S + b * DAY)) for a, b in _LATE]
-    counted = live.continuous_log_volume(_batches(spark, parts), "1 day", "3 days")
-    return _all(spark, counted).groupBy(F.unix_micros("start").alias("start_us")).agg(F.sum("count").alias("count"))
+    stream, later = _batches(spark, parts)
+    counted = live.continuous_log_volume(stream, "1 day", "3 days")
+    return _all(spark, counted, later=later).groupBy(F.unix_micros("start").alias("start_us")).agg(F.sum("count").alias("count"))
 
 
 @query("w2_continuous_span_volume", v.sql("SELECT CAST(epoch_us(date_trunc('day', make_timestamp(start_time_nanos // 1000))) AS BIGINT) AS start_us, CASE status_code WHEN 1 THEN 'ok' WHEN 2 THEN 'error' ELSE 'unset' END AS status, count(*) AS count FROM spans GROUP BY 1, 2", spans=v.SPANS))
@@ -627,7 +637,8 @@ _TIMED = f"""SELECT *, CASE WHEN state = 'triggered' AND p <> 'triggered' THEN '
 @query("w4_vanished_series", v.sql(f"SELECT rule_id, series_key, \"at\", transition FROM ({_TIMED}) WHERE transition IS NOT NULL", points=v.POINTS, s=_SAMPLES, r=_RULES))
 def w4c(spark, d):
     """Samples alone, in several batches; a series without one for 90 minutes is gone, by a timer of event time."""
-    return _all(spark, live.alert_transitions(_in_order(spark, samples(spark, d), "at"), rules(spark), _GONE)).select("rule_id", "series_key", "at", "transition")
+    stream, later = _in_order(spark, samples(spark, d), "at")
+    return _all(spark, live.alert_transitions(stream, rules(spark), _GONE), later=later).select("rule_id", "series_key", "at", "transition")
 
 
 _STEP = 30 * DAY
@@ -642,19 +653,22 @@ def w4r(spark, d):
     """Raw spans in several batches through windowed samples and the state machine in one query; a service goes silent in every seventh window."""
     rows = v.spans(spark, d).select("start_time_nanos", "status_code", "`service.name`", "tenant")
     rows = rows.where((F.call_function("div", F.col("start_time_nanos"), F.lit(_STEP)) % 7 != 3) | (quoted("service.name") != "svc-1"))
+    rows = kept(rows, "rows")
     last = rows.agg(F.max("start_time_nanos")).first()[0]
     # spans of another service move the watermark on, so that the last windows and timers are seen
     beyond = [spark.createDataFrame([(last + k * 100 * DAY, 0, "beyond", None)], rows.schema) for k in (1, 2, 3)]
     table = spark.createDataFrame(_RAW_RULES, "rule_id string, measure string, op string, threshold double, for_secs long")
     parts = [rows.where((F.col("start_time_nanos") >= a) & (F.col("start_time_nanos") < b)) for a, b in _cuts(rows, "start_time_nanos", 3)]
-    found = live.alerts_from_spans(_batches(spark, [*parts, *beyond]), table, "30 days", _STEP // 1_000_000, "1 day")
+    stream, later = _batches(spark, [*parts, *beyond])
+    found = live.alerts_from_spans(stream, table, "30 days", _STEP // 1_000_000, "1 day")
     # series still there at the end are not gone
-    return _all(spark, found).where(F.col("series_key").contains("svc-") & (F.col("at") <= (last // _STEP + 1) * (_STEP // 1_000_000))).select("rule_id", "series_key", "at", "transition")
+    return _all(spark, found, later=later).where(F.col("series_key").contains("svc-") & (F.col("at") <= (last // _STEP + 1) * (_STEP // 1_000_000))).select("rule_id", "series_key", "at", "transition")
 
 
 @query("w4_streaming_uptime", v.sql(f"SELECT monitor_id, ts, transition FROM ({_STATES}) WHERE transition IS NOT NULL", beats=v.BEATS))
 def w4(spark, d):
-    return _all(spark, live.uptime_transitions(_in_order(spark, v.heartbeats(spark, d), "ts"), 2)).select("monitor_id", "ts", "transition")
+    stream, later = _in_order(spark, v.heartbeats(spark, d), "ts")
+    return _all(spark, live.uptime_transitions(stream, 2), later=later).select("monitor_id", "ts", "transition")
 
 
 @query("w4_streaming_alerts", v.sql(f"SELECT rule_id, series_key, \"at\", transition FROM ({_MACHINE}) WHERE transition IS NOT NULL", points=v.POINTS, s=_SAMPLES, r=_RULES))
@@ -662,13 +676,15 @@ def w4b(spark, d):
     rows = samples(spark, d)
     seen = rows.groupBy("rule_id", "series_key").agg(F.min("at").alias("_first"))
     gone = rows.select("rule_id", "at").distinct().join(seen, "rule_id").where("at >= _first").join(rows, ["rule_id", "series_key", "at"], "left").select("rule_id", "series_key", "at", "value")
-    return _all(spark, live.alert_transitions(_in_order(spark, gone, "at"), rules(spark))).select("rule_id", "series_key", "at", "transition")
+    stream, later = _in_order(spark, gone, "at")
+    return _all(spark, live.alert_transitions(stream, rules(spark)), later=later).select("rule_id", "series_key", "at", "transition")
 
 
 @query("w5_streaming_counter", v.sql(f"SELECT \"user\" AS series, timestamp_nanos, CAST({q_metrics._UP} AS DOUBLE) AS increase FROM points WHERE metric_name = 'requests_total' WINDOW w AS (PARTITION BY \"user\" ORDER BY timestamp_nanos, value)", points=v.POINTS))
 def w5(spark, d):
     rows = v.points(spark, d).where("metric_name = 'requests_total'").select("metric_name", F.col("attributes").getItem("user").alias("series"), "timestamp_nanos", "start_nanos", "value")
-    return _all(spark, live.counter_increases(_in_order(spark, rows, "timestamp_nanos"))).select("series", "timestamp_nanos", "increase")
+    stream, later = _in_order(spark, rows, "timestamp_nanos")
+    return _all(spark, live.counter_increases(stream), later=later).select("series", "timestamp_nanos", "increase")
 
 
 @query("w6_streaming_ingest", v.sql("SELECT timestamp_nanos, body, trace_id, service FROM logs", logs=v.LOGS))
@@ -690,16 +706,16 @@ def w1(spark, d):
 @query("w1_span_tail", v.sql("SELECT trace_id, span_id, CAST(NULL AS DOUBLE) AS matched_per_second FROM spans WHERE status_code = 2 AND start_time_nanos >= (SELECT max(start_time_nanos) - 86400000000000 FROM spans) UNION ALL SELECT trace_id, span_id, (SELECT count(*) FROM spans WHERE status_code = 2) / 2.0 FROM (SELECT * FROM spans WHERE status_code = 2 ORDER BY start_time_nanos DESC, trace_id, span_id LIMIT 50)", spans=v.SPANS))
 def w1s(spark, d):
     """Two flushes of the span tail: the last day's errors, all shown; and all errors, of which the newest fifty stand for a rate."""
-    rows = v.spans(spark, d)
+    rows = kept(v.spans(spark, d), "rows")
     last = rows.agg(F.max("start_time_nanos")).first()[0]
-    out, where = shared_folder(spark, "tail"), terms.status(["error"])
-    stream = _batches(spark, [rows.where(F.col("start_time_nanos") >= last - DAY), rows])
+    out, check, where = shared_folder(spark, "tail"), shared_folder(spark, "check"), terms.status(["error"])
+    stream, later = _batches(spark, [rows.where(F.col("start_time_nanos") >= last - DAY), rows])
     emit = lambda shown, n: shown.write.mode("overwrite").parquet(f"{out}/flush={n}")
-    for cap, flush in ((1_000_000, 0), (50, 1)):
-        live.live_tail(stream, where, "spans", emit, shared_folder(spark, "check"), cap, 2.0, availableNow=True).awaitTermination()
-        part = spark.read.parquet(f"{out}/flush={flush}").select("trace_id", "span_id", "matched_per_second")
-        part.write.mode("overwrite").parquet(f"{out}-kept/cap={cap}")
-    return spark.read.parquet(f"{out}-kept").select("trace_id", "span_id", "matched_per_second")
+    for cap, put in zip((1_000_000, 50), (None, *later), strict=True):
+        if put is not None:
+            put()
+        live.live_tail(stream, where, "spans", emit, check, cap, 2.0, availableNow=True).awaitTermination()
+    return spark.read.parquet(out).select("trace_id", "span_id", "matched_per_second")
 
 
 @query("w7_late_rows_kept", v.sql(f"SELECT CAST(epoch_us({_W}) AS BIGINT) AS start_us, count(*) AS count, timestamp_nanos // {DAY} BETWEEN {(S + 10 * DAY) // DAY} AND {(S + 16 * DAY) // DAY - 1} AS late FROM logs WHERE timestamp_nanos < {S + 16 * DAY} OR timestamp_nanos >= {S + 20 * DAY} GROUP BY ALL", logs=v.LOGS))
@@ -708,7 +724,12 @@ def w7k(spark, d):
     rows = v.logs(spark, d)
     parts = [rows.where((F.col("timestamp_nanos") >= S + a * DAY) & (F.col("timestamp_nanos") < S + b * DAY)) for a, b in _LATE]
     root = shared_folder(spark, "split")
-    live.split_late(_batches(spark, parts), "logs", DAY, 3 * DAY, root, shared_folder(spark, "check"), availableNow=True).awaitTermination()
+    check = shared_folder(spark, "check")
+    stream, later = _batches(spark, parts)
+    for put in (None, *later):
+        if put is not None:
+            put()
+        live.split_late(stream, "logs", DAY, 3 * DAY, root, check, availableNow=True).awaitTermination()
     late = live.late_rows(spark, root, rows.schema).withColumn("late", F.lit(True))
     timely = spark.read.schema(rows.schema).parquet(f"{root}/rows/batch=*/late=false").withColumn("late", F.lit(False))
     day = F.call_function("div", F.col("timestamp_nanos"), F.lit(DAY)) * (DAY // 1000)
