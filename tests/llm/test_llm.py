@@ -165,6 +165,16 @@ def test_html_template_decides(spark):
     assert alone != made[0][1] and made[0][1].split("\n")[0] in alone
 
 
+@pytest.mark.parametrize("fixed", [60, 70, 3000])
+def test_html_fixed_words_of_any_number(spark, fixed):
+    """A box of fixed words around a changing one goes, however long it is; before, words of boxes beyond 64 were no tokens."""
+    notice, rng = " ".join(f"n{k}" for k in range(fixed)), random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([20, 90]))) for _ in range(6)]
+    rows = [(i, f"http://a.org/{i}", f"<body><div><p>{t}</p></div><section><b>{notice} x{i}</b></section></body>") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == dict(enumerate(texts))
+
+
 def test_names_alone_cut_no_main_part():
     text = lambda page: html_extract.main_text(html_extract.parse(page), frozenset())
     assert text('<body class="no-sidebar"><article><p>Hello world</p></article></body>') == "Hello world"
