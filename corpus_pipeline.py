@@ -27,8 +27,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays, the one of the smallest id.
 
-    Near-copies share a similarity of 0.8 or more of five-word shingles. No radius over fingerprints that anchors can cover holds all of
-    these (see README), so this stage of the near-dedup operator joins the shingle sets themselves.
+    Near-copies share a similarity of 0.8 or more of five-word shingles. The anchors of the SimHash operator propose pairs, which the sets
+    confirm. No radius over fingerprints that anchors can cover holds all near-copies (see README), so the sets are then joined for the rest.
     """
     return near_copies.keep_one(docs)
 

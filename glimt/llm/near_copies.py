@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glimt.llm import simhash
 from glimt.llm.common import bounded, forget, keep_rows, row_keys, stable, written
 from glimt.llm.components import components
 from glimt.llm.textbuf import NOT_SPACE, TextBuffer, chunks, mix
@@ -282,10 +283,19 @@ def nearest_first(rows: DataFrame, stand: DataFrame, rest: DataFrame, links: Dat
     return links
 
 
+def fingerprint_pairs(stand: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that the anchors of the SimHash operator link: stars over the nodes of one fingerprint, and over fingerprints."""
+    head = stand.groupBy("fp").agg(F.min("node").alias("head"))
+    same = stand.select("node", "fp").join(head, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    stars = simhash.link(stand.select("fp")).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    stars = stars.join(head.select(F.col("fp").alias("_a"), F.col("head").alias("a")), "_a").join(head.select(F.col("fp").alias("_b"), F.col("head").alias("b")), "_b")
+    return same.unionByName(stars.select("a", "b"))
+
+
 def link(rows: DataFrame, stand: DataFrame) -> DataFrame:
     """(node, root) of all nodes with links: ``root`` is the smallest node that they reach.
 
-    First each node is compared with the neighbour that it meets most, then up to TRIES pairs of each two groups that are still apart, then all
+    First what SimHash fingerprints link (``fingerprint_pairs``) and each node's most met neighbour are compared, then up to TRIES pairs of each two groups that are still apart, then all
     that meet and are still apart, by ``nearest_first``. The first two rounds only make the third small.
     """
     dealt = prefixes(rows, hot_shingles(rows)).repartition("token").sortWithinPartitions("token", "n", "node")
@@ -294,7 +304,7 @@ def link(rows: DataFrame, stand: DataFrame) -> DataFrame:
     near = met.where("node <> node2").where(f"least(n, n2) * {DOWN} >= greatest(n, n2) * {UP}").groupBy("node", "node2").agg(F.count(F.lit(1)).alias("times"))
     near = written(near)
     most = near.groupBy(F.col("node").alias("a")).agg(F.max_by("node2", F.struct("times", "node2")).alias("b"))
-    links = stable(confirm(rows, stand, most))
+    links = stable(confirm(rows, stand, most.unionByName(fingerprint_pairs(stand))))
     roots = stable(components(links))
 
     groups = [F.least("root", "root2").alias("_a"), F.greatest("root", "root2").alias("_b"), F.pmod(F.xxhash64("node", "node2"), F.lit(TRIES)).alias("_try")]
@@ -333,10 +343,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for piece in chunks(batches, "_text"):
             offsets, h = shingles(piece.column("_text"))
             kept, bits = [piece.column(c) for c in ("_id", "_k1", "_k2")], parities(offsets, h)
-            made = [pa.array(nodes(offsets, h)), pa.array(np.diff(offsets)), *(pa.array(bits[:, k]) for k in range(SIGNS))]
+            prints = pa.array(simhash.fingerprints(piece.column("_text")).view(np.int64))
+            made = [pa.array(nodes(offsets, h)), pa.array(np.diff(offsets)), *(pa.array(bits[:, k]) for k in range(SIGNS)), prints]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=["_id", "_k1", "_k2", "node", *signs])
 
-    signs = ["size", *(f"s{k}" for k in range(SIGNS))]
+    signs = ["size", *(f"s{k}" for k in range(SIGNS)), "fp"]
     prints = rows.mapInArrow(run, f"_id {kind}, _k1 long, _k2 long, node long, {' long, '.join(signs)} long")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_k1", "_k2")).alias("_stay")
     least = written(prints.groupBy("node").agg(first, *(F.min(c).alias(c) for c in signs)))

@@ -479,6 +479,20 @@ def test_near_copies(spark, edge, nothing, monkeypatch, few):
     assert near_copies.keep_one(nothing).count() == 0
 
 
+def test_fingerprints_find_candidates(spark, monkeypatch):
+    """The anchors of the SimHash operator propose pairs: links of fingerprints, and all nodes of one fingerprint."""
+    seen = []
+    plain = simhash.link
+    monkeypatch.setattr(simhash, "link", lambda prints, *more: seen.append(sorted(r["fp"] for r in prints.collect())) or plain(prints, *more))
+    stand = spark.createDataFrame([(1, 0), (2, 0), (3, 7), (4, -1), (5, -2)], "node long, fp long")
+    assert {tuple(sorted(r)) for r in near_copies.fingerprint_pairs(stand).collect()} == {(1, 2), (1, 3), (4, 5)}
+    seen.clear()
+    words = [f"w{k}" for k in range(300)]
+    kept = near_copies.keep_one(table(spark, [" ".join(words), " ".join([*words, "end"]), "another text of six words"]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+    assert seen == [sorted(np.array([brute.simhash(t) for t in (" ".join(words), " ".join([*words, "end"]), "another text of six words")], np.uint64).view(np.int64).tolist())]
+
+
 # ---- 9 ---------------------------------------------------------------------------------------------------------
 
 
