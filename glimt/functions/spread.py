@@ -11,6 +11,8 @@ from glimt.functions.storage import kept
 
 #: Rows of one key that make it hot, and the most hot keys that are sent to all tasks.
 HOT_ROWS, MOST_HOT = 100_000, 100_000
+#: Rows of one series that make it long.
+LONG_ROWS = 20_000
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -46,13 +48,32 @@ def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     return own.join(totals, [*keys, "_part"]).withColumn(name, F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_part")
 
 
-def previous(rows: DataFrame, keys: Sequence[Column], order: Sequence[str], held: Sequence[str], chunk: Column) -> DataFrame:
-    """``_before``: the columns ``held`` of the row before in the same series (null at its first), by ``order``.
+def previous(rows: DataFrame, keys: Sequence[Column], order: Sequence[str], held: Sequence[str], chunk: Column, counted: DataFrame | None = None, long_rows: int | None = None) -> DataFrame:
+    """``_before``: the columns ``held`` of the row before in the same series (null at its first), by ``order``. Null keys are equal.
 
-    A series is cut into chunks, which ``chunk`` numbers in the order of the rows; the last row of each is carried to the next by a table
-    with a row a chunk. So no window is larger than a chunk, however long a series is. Null keys are equal.
+    A count tells series of more than ``long_rows`` rows; ``counted`` is what it counts, where rows that cost less hold all series (and perhaps more
+    rows of them). These are cut into chunks, which ``chunk`` numbers in the order of the rows; all others are one window each.
     """
-    dealt = rows.withColumns({"_series": F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys))) if keys else F.struct(F.lit(0).alias("k0")), "_chunk": chunk})
+    series = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys))) if keys else F.struct(F.lit(0).alias("k0"))
+    hot = (rows if counted is None else counted).groupBy(F.xxhash64(series).alias("_hash")).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = hot.where(F.col("_rows") > (LONG_ROWS if long_rows is None else long_rows)).select("_hash").limit(MOST_HOT)
+    dealt = rows.withColumn("_series", series)
+    if hot.isEmpty():
+        return _before(dealt, order, held).drop("_series")
+    hot = F.broadcast(kept(hot, "hot"))  # at most MOST_HOT rows
+    dealt = dealt.withColumn("_hash", F.xxhash64("_series"))
+    short = _before(dealt.join(hot, "_hash", "left_anti").drop("_hash"), order, held)
+    long = _before_by_chunks(dealt.join(hot, "_hash", "left_semi").drop("_hash").withColumn("_chunk", chunk), order, held)
+    return short.unionByName(long).drop("_series")
+
+
+def _before(dealt: DataFrame, order: Sequence[str], held: Sequence[str]) -> DataFrame:
+    inside = Window.partitionBy("_series").orderBy(*(F.asc_nulls_first(x) for x in order))
+    return dealt.withColumn("_before", F.lag(F.struct(*held)).over(inside))
+
+
+def _before_by_chunks(dealt: DataFrame, order: Sequence[str], held: Sequence[str]) -> DataFrame:
+    """The last row of each chunk is carried to the next by a table with a row a chunk, so no window is larger than a chunk, however long a series is."""
     dealt = dealt.repartition("_series", "_chunk")  # both branches read this exchange
     inside = Window.partitionBy("_series", "_chunk").orderBy(*(F.asc_nulls_first(x) for x in order))
     state = F.struct(*held)
@@ -60,4 +81,4 @@ def previous(rows: DataFrame, keys: Sequence[Column], order: Sequence[str], held
     last = dealt.groupBy("_series", "_chunk").agg(F.max_by(state, F.struct(*order)).alias("_last"))
     carried = last.select("_series", "_chunk", F.lag("_last").over(Window.partitionBy("_series").orderBy("_chunk")).alias("_carried"))  # a row a chunk
     joined = marked.join(carried, ["_series", "_chunk"], "left")
-    return joined.withColumn("_before", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag"))).drop("_lag", "_first", "_carried", "_series", "_chunk")
+    return joined.withColumn("_before", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag"))).drop("_lag", "_first", "_carried", "_chunk")

@@ -39,13 +39,14 @@ def _finish(values: DataFrame, labels: Sequence[str], start: int, end: int, n: i
     return out.select(*(quoted(f"label.{x}").alias(x) for x in labels), "bucket", bucket_label(F.col("bucket"), start, end, n).alias("t"), "v")
 
 
-def with_increases(rows: DataFrame, keys: Sequence[Column], value: str = "value", chunk: int = CHUNK_NANOS) -> DataFrame:
+def with_increases(rows: DataFrame, keys: Sequence[Column], value: str = "value", chunk: int = CHUNK_NANOS, counted: DataFrame | None = None) -> DataFrame:
     """``_up``: what a cumulative counter grew by at each sample: 0 at the first, the new value after a reset (it fell, or its start moved on).
 
-    ``_since``: the time of the sample before. A series is cut into chunks of time, so that none is too long for a task.
+    ``_since``: the time of the sample before. Long series are cut into chunks of time, so that none is too long for a task;
+    ``counted`` as in ``previous``.
     """
     at = F.call_function("div", F.col("timestamp_nanos"), F.lit(chunk))
-    seen = previous(rows, keys, ["timestamp_nanos", "start_nanos", value], [value, "start_nanos", "timestamp_nanos"], at)
+    seen = previous(rows, keys, ["timestamp_nanos", "start_nanos", value], [value, "start_nanos", "timestamp_nanos"], at, counted)
     before = F.col("_before")
     reset = (F.col(value) < before[value]) | F.coalesce(F.col("start_nanos") > before["start_nanos"], F.lit(False))
     up = F.when(before.isNull(), F.lit(0.0)).when(reset, F.col(value)).otherwise(F.col(value) - before[value])

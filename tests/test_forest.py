@@ -142,3 +142,16 @@ def test_previous_over_chunks(spark):
     for k, t, u, v in sorted(rows, key=lambda r: (r[1], r[2] is not None, r[2] or 0, r[3])):
         assert got[v] == last.get(k)
         last[k] = v
+
+
+def test_previous_of_short_and_long_series(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", "b", "b", None]), rng.randrange(100), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t long, v long")
+    last, want = {}, {}
+    for k, t, v in sorted(rows, key=lambda r: r[1:]):
+        want[v], last[k] = last.get(k), v
+    for long_rows in (0, 150, 1000):
+        found = previous(df, [F.col("k")], ["t", "v"], ["v"], F.expr("t div 7"), long_rows=long_rows)
+        assert {r["v"]: (r["_before"]["v"] if r["_before"] else None) for r in found.collect()} == want
+        assert ("_chunk" in found._jdf.queryExecution().executedPlan().toString()) == (long_rows < 1000)  # short series need one sort
