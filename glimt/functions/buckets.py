@@ -38,17 +38,16 @@ def every_bucket(df: DataFrame, n: int) -> DataFrame:
 
 def fill(counts: DataFrame, n: int, keys: Sequence[str] = (), zero: Sequence[str] = ()) -> DataFrame:
     """A row for each of n buckets (for each group of ``keys`` seen), zeros in the columns ``zero``; others stay null."""
-    frame = every_bucket(counts, n)
     if keys:
-        groups = counts.select(*(F.col(f"`{k}`") for k in keys)).distinct()
-        frame = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bucket"))
-        on = F.lit(True)
-        left, right = frame.alias("a"), counts.alias("b")
-        for k in keys:
-            on = on & F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
-        joined = left.join(right, on & (F.col("a.bucket") == F.col("b.bucket")), "left")
+        # one pass: what a group has, and a row of nulls for each bucket that it lacks
         rest = [c for c in counts.columns if c not in (*keys, "bucket")]
-        out = joined.select(*(F.col(f"a.`{k}`") for k in keys), "a.bucket", *(F.col(f"b.`{c}`") for c in rest))
+        kinds = {f.name: f.dataType for f in counts.schema}
+        listed = counts.select(*(F.col(f"`{k}`") for k in keys), F.when(F.col("bucket").between(0, n - 1), F.struct(F.col("bucket").cast("int").alias("bucket"), *(F.col(f"`{c}`") for c in rest))).alias("_cell"))
+        listed = listed.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(F.collect_list("_cell").alias("_cells"))
+        empty = lambda b: F.struct(b.alias("bucket"), *(F.lit(None).cast(kinds[c]).alias(c) for c in rest))
+        lacking = F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), F.transform("_cells", lambda x: x["bucket"]))
+        out = listed.select(*(F.col(f"`{k}`") for k in keys), F.explode(F.concat("_cells", F.transform(lacking, empty))).alias("_cell"))
+        out = out.select(*(F.col(f"`{k}`") for k in keys), "_cell.bucket", *(F.col(f"_cell.`{c}`").alias(c) for c in rest))
     else:
-        out = frame.join(counts, "bucket", "left")
+        out = every_bucket(counts, n).join(counts, "bucket", "left")
     return out.fillna(0, list(zero)) if zero else out

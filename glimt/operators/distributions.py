@@ -49,11 +49,17 @@ def _rows(points: DataFrame, name: str, column: str, start: int, end: int, n: in
 
 
 def _followed(rows: DataFrame, column: str, keys: Sequence[Column], points: DataFrame, series_key: str, chunk: int) -> DataFrame:
-    """``_old``: the histogram of the sample before in the same series; series are followed chunk by chunk of time."""
+    """``_old``: the histogram of the cumulative sample before in the same series, and ``_began``, where that started; series are followed chunk by chunk of time.
+
+    Delta points need no sample before them and are not sorted; both are null there.
+    """
     own = [*keys, *(raw_series(points) if series_key == "attributes" else ())]
     at = F.call_function("div", F.col("timestamp_nanos"), F.lit(chunk))
-    seen = previous(rows.withColumn("_count", F.col(column)["count"]), own, ["timestamp_nanos", "start_nanos", "_count"], [column, "start_nanos"], at)
-    return seen.withColumn("_old", F.col("_before")[column]).drop("_count")
+    counted = F.coalesce(F.col("temporality") == CUMULATIVE, F.lit(False))
+    seen = previous(rows.where(counted).withColumn("_count", F.col(column)["count"]), own, ["timestamp_nanos", "start_nanos", "_count"], [column, "start_nanos"], at)
+    seen = seen.withColumns({"_old": F.col("_before")[column], "_began": F.col("_before.start_nanos")}).drop("_count", "_before")
+    kinds = {f.name: f.dataType for f in seen.schema}
+    return rows.where(~counted).withColumns({c: F.lit(None).cast(kinds[c]) for c in ("_old", "_began")}).unionByName(seen)
 
 
 def _value(agg: str, ranges: Column) -> Column:
@@ -76,24 +82,27 @@ def histogram_series(points: DataFrame, name: str, start: int, end: int, n: int,
     rows = _rows(points, name, "histogram", start, end, n, labels, terms)
     keys, h = _keys(labels), F.col("histogram")
     rows = _followed(rows, "histogram", keys, points, series_key, chunk)
-    old, began = F.col("_old"), F.col("_before.start_nanos")
+    old, began = F.col("_old"), F.col("_began")
     restart = (h["count"] < old["count"]) | F.coalesce(F.col("start_nanos") > began, F.lit(False)) | ~h["explicit_bounds"].eqNullSafe(old["explicit_bounds"])
     rows = rows.withColumns({"_restart": restart, "_counted": F.coalesce(F.col("temporality") == CUMULATIVE, F.lit(False))})
     grown = lambda new, before, zero: F.when(~F.col("_counted"), new).when(F.col("_old").isNull(), zero).when(F.col("_restart"), new).otherwise(F.greatest(new - before, zero))
     zeros = F.transform(h["bucket_counts"], lambda c: c * 0)
     counts = F.when(~F.col("_counted"), h["bucket_counts"]).when(F.col("_old").isNull(), zeros).when(F.col("_restart"), h["bucket_counts"]).otherwise(F.zip_with(h["bucket_counts"], F.col("_old.bucket_counts"), lambda a, b: F.greatest(a - F.coalesce(b, F.lit(0)), F.lit(0))))
     rows = rows.withColumns({"_c": counts, "_n": grown(h["count"], F.col("_old.count"), F.lit(0)), "_s": grown(F.coalesce(h["sum"], F.lit(0.0)), F.coalesce(F.col("_old.sum"), F.lit(0.0)), F.lit(0.0))})
-    first = F.min_by(F.when(F.size(h["bucket_counts"]) > 0, h["explicit_bounds"]), F.when(F.size(h["bucket_counts"]) > 0, F.col("timestamp_nanos")))
-    names = [f"label.{x}" for x in labels]
-    layout = rows.groupBy(*keys).agg(first.alias("_bounds"))
-    rows = _join(rows, layout, names) if names else rows.withColumn("_one", F.lit(1)).join(F.broadcast(layout.withColumn("_one", F.lit(1))), "_one").drop("_one")  # one row
-    totals = rows.groupBy(*keys, "bucket").agg(F.sum("_n").alias("count"), F.sum("_s").alias("sum"))
-    cells = rows.where(h["explicit_bounds"].eqNullSafe(F.col("_bounds"))).select(*keys, "bucket", "_bounds", F.posexplode("_c").alias("pos", "c"))
-    cells = cells.groupBy(*keys, "bucket", "_bounds", "pos").agg(F.sum("c").alias("c"))
-    lines = cells.groupBy(*keys, "bucket").agg(F.first("_bounds").alias("_bounds"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]).alias("_counts"))
-    both = _join(totals, lines, [f"label.{x}" for x in labels] + ["bucket"])
-    value = _value(agg, explicit_ranges(F.col("_bounds"), F.coalesce("_counts", F.array().cast("array<bigint>"))))
-    return _finish(both.select(*keys, "bucket", value.alias("v")), labels, start, end, n)
+    if agg in ("count", "sum", "avg"):
+        totals = rows.groupBy(*keys, "bucket").agg(F.sum("_n").alias("count"), F.sum("_s").alias("sum"))
+        return _finish(totals.select(*keys, "bucket", _value(agg, F.lit(None)).alias("v")), labels, start, end, n)
+    # one pass over the points; from there on, rows are as many as buckets of time, layouts and places
+    place = F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("c"))), F.transform(F.coalesce("_c", F.array().cast("array<bigint>")), lambda c, i: F.struct(i.alias("pos"), c.alias("c")))))
+    cells = rows.select(*keys, "bucket", h["explicit_bounds"].alias("_own"), F.when(F.size(h["bucket_counts"]) > 0, F.col("timestamp_nanos")).alias("_at"), place.alias("_cell"))
+    cells = cells.groupBy(*keys, "bucket", "_own", F.col("_cell.pos").alias("pos")).agg(F.sum("_cell.c").alias("c"), F.min("_at").alias("_at"))
+    counts = F.transform(F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "c")))), lambda x: x["c"])
+    lines = cells.groupBy(*keys, "bucket", "_own").agg(counts.alias("_counts"), F.min("_at").alias("_at"))
+    first = F.min(F.when(F.col("_at").isNotNull(), F.struct("_at", "_own"))).over(Window.partitionBy(*keys))
+    lines = lines.withColumn("_bounds", first["_own"]).withColumn("_fits", F.col("_own").eqNullSafe(F.col("_bounds")))
+    lines = lines.groupBy(*keys, "bucket").agg(F.max_by("_counts", "_fits").alias("_counts"), F.max("_fits").alias("_fits"), F.first("_bounds").alias("_bounds"))
+    value = _value(agg, F.when(F.col("_fits"), explicit_ranges(F.col("_bounds"), F.col("_counts"))).otherwise(explicit_ranges(F.lit(None).cast("array<double>"), F.array().cast("array<bigint>"))))
+    return _finish(lines.select(*keys, "bucket", value.alias("v")), labels, start, end, n)
 
 
 def _join(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "left") -> DataFrame:
@@ -116,14 +125,16 @@ def exponential_series(points: DataFrame, name: str, start: int, end: int, n: in
     rows = _rows(points, name, "exp_histogram", start, end, n, labels, terms)
     keys, h = _keys(labels), F.col("exp_histogram")
     rows = _followed(rows, "exp_histogram", keys, points, series_key, chunk)
-    old, began = F.col("_old"), F.col("_before.start_nanos")
+    old, began = F.col("_old"), F.col("_began")
     counted = F.coalesce(F.col("temporality") == CUMULATIVE, F.lit(False))
     restart = (h["count"] < old["count"]) | F.coalesce(F.col("start_nanos") > began, F.lit(False)) | (h["scale"] != old["scale"])
     rows = rows.withColumns({"_restart": restart, "_counted": counted})
     adds = ~F.col("_counted") | F.col("_old").isNotNull()
     grown = lambda new, before: F.when(~F.col("_counted"), new).when(F.col("_old").isNull(), new * 0).when(F.col("_restart"), new).otherwise(F.greatest(new - before, new * 0))
     rows = rows.withColumns({"_n": grown(h["count"], F.col("_old.count")), "_s": grown(F.coalesce(h["sum"], F.lit(0.0)), F.coalesce(F.col("_old.sum"), F.lit(0.0)))})
-    totals = rows.groupBy(*keys, "bucket").agg(F.sum("_n").alias("count"), F.sum("_s").alias("sum"), F.min(F.when(adds, F.col("exp_histogram.scale"))).alias("_scale"))
+    if agg in ("count", "sum", "avg"):
+        totals = rows.groupBy(*keys, "bucket").agg(F.sum("_n").alias("count"), F.sum("_s").alias("sum"))
+        return _finish(totals.select(*keys, "bucket", _value(agg, F.lit(None)).alias("v")), labels, start, end, n)
 
     def cells(sign: int, side: str) -> Column:
         counts, offset = F.coalesce(h[side]["bucket_counts"], F.array().cast("array<bigint>")), F.coalesce(h[side]["offset"], F.lit(0))
@@ -135,18 +146,20 @@ def exponential_series(points: DataFrame, name: str, start: int, end: int, n: in
         return F.transform(counts, lambda c, i: F.named_struct(F.lit("sign"), F.lit(sign), F.lit("index"), offset + i, F.lit("c"), c))
 
     zero = F.array(F.named_struct(F.lit("sign"), F.lit(0), F.lit("index"), F.lit(0), F.lit("c"), F.coalesce(h["zero_count"], F.lit(0))))
-    exploded = rows.where(adds).select(*keys, "bucket", h["scale"].alias("own"), F.explode(F.concat(cells(-1, "negative"), zero, cells(1, "positive"))).alias("x"))
-    names = [f"label.{x}" for x in labels] + ["bucket"]
-    aligned = _join(exploded, totals.select(*keys, "bucket", "_scale"), names)
-    coarse = F.call_function("shiftright", F.col("x.index"), F.col("own") - F.col("_scale"))
-    merged = aligned.groupBy(*keys, "bucket", "_scale", F.col("x.sign").alias("sign"), F.when(F.col("x.sign") == 0, 0).otherwise(coarse).alias("index")).agg(F.sum("x.c").alias("c"))
+    # one pass over the points; from there on, rows are as many as buckets of time, scales and indexes. An empty cell stands for points that add nothing
+    none = F.array(F.named_struct(F.lit("sign"), F.lit(None).cast("int"), F.lit("index"), F.lit(None).cast("int"), F.lit("c"), F.lit(None).cast("long")))
+    exploded = rows.select(*keys, "bucket", F.when(adds, h["scale"]).alias("own"), F.explode(F.when(adds, F.concat(cells(-1, "negative"), zero, cells(1, "positive"))).otherwise(none)).alias("x"))
+    exploded = exploded.groupBy(*keys, "bucket", "own", "x.sign", "x.index").agg(F.sum("x.c").alias("c"))
+    aligned = exploded.withColumn("_scale", F.min("own").over(Window.partitionBy(*keys, "bucket")))
+    coarse = F.call_function("shiftright", F.col("index"), F.col("own") - F.col("_scale"))
+    merged = aligned.groupBy(*keys, "bucket", "_scale", "sign", F.when(F.col("sign") == 0, 0).otherwise(coarse).alias("index")).agg(F.sum("c").alias("c"))
     base = F.pow(F.lit(2.0), F.pow(F.lit(2.0), -F.col("_scale").cast("double")))
     near, far = F.pow(base, F.col("index").cast("double")), F.pow(base, F.col("index").cast("double") + 1)
     lo = F.when(F.col("sign") == 0, F.lit(0.0)).when(F.col("sign") > 0, near).otherwise(-far)
     hi = F.when(F.col("sign") == 0, F.lit(0.0)).when(F.col("sign") > 0, far).otherwise(-near)
-    lines = merged.select(*keys, "bucket", F.struct(lo.alias("lo"), hi.alias("hi"), F.col("c").cast("double").alias("c")).alias("r")).groupBy(*keys, "bucket").agg(F.array_sort(F.collect_list("r")).alias("_ranges"))
-    both = _join(totals, lines, names)
-    return _finish(both.select(*keys, "bucket", _value(agg, F.col("_ranges")).alias("v")), labels, start, end, n)
+    range_ = F.when(F.col("sign").isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi"), F.col("c").cast("double").alias("c"))).alias("r")
+    lines = merged.select(*keys, "bucket", range_).groupBy(*keys, "bucket").agg(F.array_sort(F.collect_list("r")).alias("_ranges"))
+    return _finish(lines.select(*keys, "bucket", _value(agg, F.col("_ranges")).alias("v")), labels, start, end, n)
 
 
 def summary_series(points: DataFrame, name: str, start: int, end: int, n: int, agg: str = "median", labels: Sequence[str] = (), terms: Sequence[Column] = ()) -> DataFrame:
@@ -164,12 +177,12 @@ def summary_series(points: DataFrame, name: str, start: int, end: int, n: int, a
 
 def _grown(points: DataFrame, name: str, start: int, end: int, n: int, labels: Sequence[str], terms: Sequence[Column], le: Column | None = None, series_key: str = "attributes") -> DataFrame:
     """(labels, bucket, up), and le where it is given: reset-aware growth of a counter by bucket."""
-    rows = labelled(points.where(metric_filter(name, start, end, terms)), labels).where("value is not null")
-    rows = rows if le is None else rows.withColumn("le", le)
-    rows = rows.withColumn("bucket", bucket_index(F.col("timestamp_nanos"), start, end, n))
+    found = labelled(points.where(metric_filter(name, start, end, terms)), labels)
+    found = found if le is None else found.withColumn("le", le)  # with what has no value, which need not be worked out to be counted
+    rows = found.where("value is not null").withColumn("bucket", bucket_index(F.col("timestamp_nanos"), start, end, n))
     keys = [*_keys(labels), *([] if le is None else [F.col("le")])]
     own = raw_series(points) if series_key == "attributes" else []
-    return with_increases(rows, [*keys, *own]).groupBy(*keys, "bucket").agg(F.sum("_up").alias("up"))
+    return with_increases(rows, [*keys, *own], counted=found).groupBy(*keys, "bucket").agg(F.sum("_up").alias("up"))
 
 
 def bound_of(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from glimt.functions import spread
 from glimt.functions.terms import match
 from glimt.operators import alerts, distributions, logs, metrics
 from glimt.sources import manifest, tables
@@ -131,6 +132,28 @@ def test_chunks_of_a_series_change_nothing(spark):
         assert found(distributions.histogram_series(hist, "req", 0, 6000, 5, agg, ["service"], chunk=40), "service", "bucket", "v") == found(distributions.histogram_series(hist, "req", 0, 6000, 5, agg, ["service"], chunk=10**9), "service", "bucket", "v")
 
 
+def test_chunks_of_long_series_change_nothing(spark, monkeypatch):
+    df = random_points(spark)
+    args = (df, "req", 0, 6000, 7, "increase", ["service"])
+    want = found(metrics.series(*args), "service", "bucket", "v")
+    monkeypatch.setattr(spread, "LONG_ROWS", 30)
+    for chunk in (10, 130):
+        assert found(metrics.series(*args, chunk=chunk), "service", "bucket", "v") == want
+
+
+@pytest.mark.parametrize("agg", ["sum", "p90"])
+def test_histograms_read_the_points_once(spark, agg):
+    """Delta points and cumulative ones are read once each."""
+    half = F.struct(F.lit(0).alias("offset"), F.array(F.lit(1).cast("long")).alias("bucket_counts"))
+    value = [F.lit(1).cast("long").alias("count"), F.col("value").alias("sum")]
+    edges = [F.array(F.lit(1).cast("long"), F.lit(0).cast("long")).alias("bucket_counts"), F.array(F.lit(1.0)).alias("explicit_bounds")]
+    powers = [F.lit(0).alias("scale"), F.lit(0).cast("long").alias("zero_count"), half.alias("positive"), half.alias("negative")]
+    df = random_points(spark).withColumns({"histogram": F.struct(*value, *edges), "exp_histogram": F.struct(*value, *powers)})
+    for made in (distributions.histogram_series, distributions.exponential_series):
+        plan = made(df, "req", 0, 6000, 5, agg, ["service"])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan ExistingRDD") <= 2 and "SortMergeJoin" not in plan
+
+
 def test_no_window_is_larger_than_a_chunk(spark):
     """One series of 40,000 samples is the work of many tasks."""
     df = spark.range(40_000).selectExpr("'c' as metric_name", "1 as metric_type", "2 as temporality", "true as is_monotonic", "id as timestamp_nanos", "cast(null as long) as start_nanos", "cast(id % 1000 as double) as value", "'u' as unit", "'a' as `service.name`", "map('k', 'v') as attributes")
