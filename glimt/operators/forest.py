@@ -131,7 +131,7 @@ def _climb(nodes: DataFrame, hot_rows: int, sums: Sequence[str], flags: Sequence
             return state.drop("jump")
         if flags:
             below = going.groupBy("t", F.col("jump").alias("id")).agg(*(F.sum(c).alias(f"_{c}") for c in flags))
-            state = state.join(below, ["t", "id"], "left").withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in flags}).drop(*(f"_{c}" for c in flags))
+            state = kept(state.join(below, ["t", "id"], "left").withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in flags}).drop(*(f"_{c}" for c in flags)), "below")  # read four times
             going = state.where("jump is not null")
         target = state.select("t", F.col("id").alias("jump"), F.col("jump").alias("_next"), *(F.col(c).alias(f"_{c}") for c in sums))
         moved = join_hot(going, target, ["t", "jump"], "left", hot_rows)
@@ -144,7 +144,7 @@ def giant_forest(rows: DataFrame, hot_rows: int = 100_000, parts: int | None = N
     """As ``forest``, for traces of any size: rounds of joins, each kept in the shared folder; no task holds a whole trace."""
     first = Window.partitionBy("t", "id").orderBy("start")
     spans = rows.select(F.col("trace_id").alias("t"), F.col("span_id").alias("id"), F.col("parent_span_id").alias("up"), "start", "end", (F.col("status_code") == 2).cast("long").alias("bad"))
-    spans = spans.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    spans = kept(spans.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth"), "first")  # read by each branch of the join
     above = spans.select("t", F.col("id").alias("up"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
     proper = F.when(F.col("up") != F.col("id"), F.col("up"))
     spans = join_hot(spans.withColumn("up", proper), above, ["t", "up"], "left", hot_rows)
@@ -166,8 +166,8 @@ def giant_forest(rows: DataFrame, hot_rows: int = 100_000, parts: int | None = N
     placed = placed.join(last, ["t", "id"], "left")
     steps = placed.select("t", "id", "up", (F.col("ahead") + F.when(F.col("up").isNull(), zero).otherwise(one)).alias("position"), F.when(F.col("_best"), zero).otherwise(one).alias("astray"))
     paths = _climb(steps, hot_rows, ["position", "astray"])
-    zeros = grown.groupBy("t").agg(F.min("start").alias("_zero"))  # a row a giant trace
-    out = join_hot(grown.join(paths, ["t", "id"]), zeros, ["t"], "left", hot_rows)
+    zeros = grown.groupBy("t").agg(F.min("start").alias("_zero"))  # a row a giant trace, as in ``trace_tree``
+    out = grown.join(paths, ["t", "id"]).join(F.broadcast(zeros), "t")
     skew = F.coalesce((F.col("start") < F.col("p_start")) | (F.col("end") > F.col("p_end")), F.lit(False))
     return out.select(F.col("t").alias("trace_id"), F.col("id").alias("span_id"), "position", "depth", (F.col("start") - F.col("_zero")).alias("offset_nanos"), skew.alias("clock_skew"), (F.col("bad") > 0).alias("subtree_has_error"), (F.col("astray") == 0).alias("critical"))
 

@@ -115,6 +115,21 @@ def test_giant_chain_and_star(spark):
     assert collected(traces.trace_tree(df, giant=500)) == plain(chain + star + small)
 
 
+def test_giant_traces_are_read_once(spark):
+    """However many joins follow, what the spans come from is worked out once."""
+    star = [("star", f"x{i:03}", "x000" if i else None, i % 50, 60 + i % 70, 2 if i == 7 else 1) for i in range(300)]
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(star, SCHEMA)
+    assert collected(forest.giant_forest(df.mapInArrow(count, df.schema), hot_rows=100)) == plain(star)
+    assert passed.value == 300
+
+
 def test_join_with_hot_keys(spark):
     left = spark.range(3000).selectExpr("id", "case when id < 2000 then 7 else id % 40 end as k")
     right = spark.range(0, 40, 2).selectExpr("id as k", "id * 10 as v").unionByName(spark.createDataFrame([(7, 70)], "k long, v long"))
