@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from array import array
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -216,16 +217,17 @@ def matchers(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
 _FOUND = "n_words long, items array<string>, spans array<struct<first:long,end:long>>"
 
 
-def passes(rows: DataFrame, found: list[Broadcast]) -> DataFrame:
+def passes(rows: DataFrame, found: list[Broadcast], then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, then_schema: str = "") -> DataFrame:
     """The rows, of columns ``_text`` and others, with n_words, items (names in order) and spans of the maximal hit runs over all passes.
 
-    Every pass looks at the whole text and adds to what the passes before it found.
+    Every pass looks at the whole text and adds to what the passes before it found. ``then`` turns what the last pass gives into
+    columns of ``then_schema``, in the worker of that pass: a task with one pass more would hold one Python worker more.
     """
     kept = [c for c, _ in rows.dtypes]
     schema = "".join(f"{c} {kind}, " for c, kind in rows.dtypes) + _FOUND
     rows = rows.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<first:long,end:long>>").alias("spans"))
 
-    def one_pass(shared):
+    def one_pass(shared, last):
         def run(batches):
             for piece in chunks(batches, "_text"):
                 buf = TextBuffer(piece.column("_text"))
@@ -243,12 +245,14 @@ def passes(rows: DataFrame, found: list[Broadcast]) -> DataFrame:
                     edge = np.flatnonzero(own[1:] != own[:-1])
                     spans[i] = [{"first": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
                 arrays = [pa.array(np.diff(first_word)), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))]
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), *arrays], names=[*kept, "n_words", "items", "spans"])
+                out = pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), *arrays], names=[*kept, "n_words", "items", "spans"])
+                yield then(out) if last and then else out
 
         return run
 
-    for m in found:
-        rows = rows.mapInArrow(one_pass(m), schema)
+    for k, m in enumerate(found):
+        last = k == len(found) - 1
+        rows = rows.mapInArrow(one_pass(m, last), then_schema if last and then else schema)
     return rows
 
 
@@ -271,29 +275,29 @@ def clean(docs: DataFrame, found: list[Broadcast], max_coverage: float = MAX_COV
     names = ["_text" if c == text_col else f"_{i}" for i, c in enumerate(docs.columns)]
     rows = docs.select(*(quoted(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
 
-    def cut(batches):
-        for piece in chunks(batches, "_text"):
-            column, spans = piece.column("_text"), piece.column("spans").to_pylist()
-            marked = [i for i, s in enumerate(spans) if s]
-            texts, keep = column.to_pylist(), np.ones(piece.num_rows, bool)
-            if marked:
-                buf = TextBuffer(column)
-                raw = buf.data
-                starts, ends, owner, _ = words(buf)
-                first_word = np.searchsorted(owner, np.arange(buf.n + 1))
-            for i in marked:
-                n_hit = sum(s["end"] - s["first"] for s in spans[i])
-                keep[i] = n_hit / (first_word[i + 1] - first_word[i]) < max_coverage
-                at, parts = int(buf.offsets[i]), []
-                for s in spans[i]:
-                    parts.append(raw[at : starts[first_word[i] + s["first"]]])
-                    at = int(ends[first_word[i] + s["end"] - 1])
-                parts.append(raw[at : buf.offsets[i + 1]])
-                texts[i] = np.concatenate(parts).tobytes().decode("utf-8")
-            arrays = [pa.array(texts, column.type) if n == "_text" else piece.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep))
-
-    out = passes(rows, found).select(*names, "spans").mapInArrow(cut, rows.schema)
+    def cut(piece):
+        column, spans = piece.column("_text"), piece.column("spans").to_pylist()
+        marked = [i for i, s in enumerate(spans) if s]
+        texts, keep = column.to_pylist(), np.ones(piece.num_rows, bool)
+        if marked:
+            buf = TextBuffer(column)
+            raw = buf.data
+            starts, ends, owner, _ = words(buf)
+            first_word = np.searchsorted(owner, np.arange(buf.n + 1))
+        for i in marked:
+            n_hit = sum(s["end"] - s["first"] for s in spans[i])
+            keep[i] = n_hit / (first_word[i + 1] - first_word[i]) < max_coverage
+            at, parts = int(buf.offsets[i]), []
+            for s in spans[i]:
+                parts.append(raw[at : starts[first_word[i] + s["first"]]])
+                at = int(ends[first_word[i] + s["end"] - 1])
+            parts.append(raw[at : buf.offsets[i + 1]])
+            texts[i] = np.concatenate(parts).tobytes().decode("utf-8")
+        arrays = [pa.array(texts, column.type) if n == "_text" else piece.column(n) for n in names]
+        return pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep))
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
+    out = passes(rows, found, cut, schema)
     out = out.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"])).select(*map(quoted, docs.columns))

@@ -280,6 +280,18 @@ def test_clean_over_several_passes(spark):
 # ---- 5 ---------------------------------------------------------------------------------------------------------
 
 
+def test_clean_takes_one_worker_a_pass(spark, capsys):
+    bench = spark.createDataFrame([("b1", "a b c d e f g h i j"), ("b2", "p q r s t u v w x y")], "item_id string, text string")
+    df = table(spark, ["keep, a b c d e f g h i j! these words stay here and more and more words too", "a b c d e f g h i j k", None])
+    for limit, passes in ((1 << 24, 1), (20, 2)):
+        found = decontaminate.matchers(bench, limit=limit)
+        assert len(found) == passes
+        capsys.readouterr()
+        decontaminate.clean(df, found).explain()
+        assert capsys.readouterr().out.count("MapInArrow") == passes
+    assert [tuple(r) for r in decontaminate.clean(df, []).select("text").collect()] == [tuple(r) for r in df.select("text").collect()]
+
+
 def test_mixing(spark, nothing):
     rng = random.Random(3)
     texts = [" ".join("w" * rng.randint(1, 60)).strip() if rng.random() < 0.97 else None for _ in range(900)]
