@@ -1,11 +1,12 @@
 """Secret scans: exact base patterns, and a character convolutional network over every candidate.
 
 A candidate is a run of token characters; the network reads all of it and what surrounds it, told apart,
-and takes each filter's maximum over the whole, however long. It is trained in numpy on labelled findings:
-candidates of a bounded sample of texts, labelled by whether a base pattern confirms them. So that it does not
-merely learn the patterns again, confirmed candidates also appear without their key word, and spelled in other
-alphabets; ordinary words also appear joined to names with numbers, in capitals, and beside plain numbers. Its scores are
-calibrated (Platt) out of fold. The threshold is the highest that keeps a given recall of the confirmed ones, raised where
+and takes each filter's maximum over the whole, however long. It is trained on labelled findings: all candidates
+of all texts, labelled by whether a base pattern confirms them, and two ordinary words of each text. Spark deals these
+into parts by hash; in each round every part trains on from the common weights in numpy, and the weights are averaged by
+the parts' rows. So that the network does not merely learn the patterns again, confirmed candidates also appear without their
+key word, and spelled in other alphabets; of the words some are joined to names with numbers or put in capitals, some give
+way to plain numbers. Its scores are calibrated (Platt) out of fold, on counts of all. The threshold is the highest that keeps a given recall of the confirmed ones, raised where
 what it lets through would be less likely a secret than not or too often none; ``recall`` then says what is kept.
 """
 
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimt.llm.common import bounded, stable, table
+from glimt.llm.common import forget, table, written
 from glimt.llm.textbuf import LEAD, TextBuffer, chunks
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -32,8 +32,10 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 WITH_DIGIT, WITHOUT = 8, 16
 #: Bytes of context on either side of a candidate, bytes in one row of the network's input, and what one filter spans.
 BEFORE, AFTER, WIDTH, SPAN = 24, 12, 64, 5
-#: Texts and candidates that the network is fitted on, at most about; longer candidates are scored but not fitted on.
-TRAIN_TEXTS, TRAIN_CANDIDATES, TRAIN_LENGTH = 20_000, 8_000, 256
+#: Findings and bytes of a part, about; rounds of training, and how often each round goes through all findings.
+PART_ROWS, PART_BYTES, ROUNDS, EPOCHS = 8_192, 1 << 22, 3, 2
+#: Logits are rounded to so many decimals, so that counts of them say all there is to know.
+DECIMALS = 3
 RECALL = 0.98
 #: The least calibrated score of a span, and the least precision out of fold of all that reach the threshold.
 LEAST_SCORE, PRECISION = 0.5, 0.95
@@ -77,23 +79,33 @@ class Network:
     threshold: float = 1.1
     recall: float = 0.0
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        e = self.embed[x]
-        span = self.kernel.shape[0] // e.shape[2]
-        cols = np.concatenate([e[:, k : e.shape[1] - span + 1 + k] for k in range(span)], axis=2)
-        h = cols @ self.kernel + self.bias
-        at = h.argmax(axis=1)
-        top = np.maximum(np.take_along_axis(h, at[:, None, :], 1)[:, 0], 0)
-        return cols, at, top, top @ self.out + self.out_bias
+    def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each filter has its maximum in a row, the maximum), rows in blocks."""
+        at, top = (np.zeros((len(x), len(self.out)), kind) for kind in (np.int64, np.float32))
+        for i in range(0, len(x), 512):
+            e = self.embed[x[i : i + 512]]
+            cols = np.concatenate([e[:, k : e.shape[1] - SPAN + 1 + k] for k in range(SPAN)], axis=2)
+            h = cols @ self.kernel + self.bias
+            at[i : i + 512] = h.argmax(axis=1)
+            top[i : i + 512] = np.maximum(np.take_along_axis(h, at[i : i + 512, None, :], 1)[:, 0], 0)
+        return at, top
+
+    def weights(self) -> np.ndarray:
+        return np.concatenate([self.embed.ravel(), self.kernel.ravel(), self.bias, self.out, [self.out_bias]]).astype(np.float64)
+
+    def with_weights(self, w: np.ndarray) -> "Network":
+        cut = np.cumsum([x.size for x in (self.embed, self.kernel, self.bias, self.out)])
+        embed, kernel, bias, out, last = (x.astype(np.float32) for x in np.split(w, cut))
+        return Network(embed.reshape(self.embed.shape), kernel.reshape(self.kernel.shape), bias, out, float(last[0]))
 
     def logits(self, found: list[tuple[bytes, bytes, bytes]]) -> np.ndarray:
         """Of candidates (before, own bytes, after): each filter's maximum is taken over all rows of a candidate."""
         out = np.zeros(len(found))
         for k in range(0, len(found), 256):
             rows, first = layout(found[k : k + 256])
-            top = np.concatenate([self.forward(rows[i : i + 512])[2] for i in range(0, len(rows), 512)])
+            top = self.forward(rows)[1]
             out[k : k + 256] = np.maximum.reduceat(top, first) @ self.out + self.out_bias
-        return out
+        return np.round(out, DECIMALS)
 
     def probability(self, found: list[tuple[bytes, bytes, bytes]]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(found) + self.shift, -40, 40)))
@@ -119,29 +131,40 @@ def layout(found: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndar
     return rows, first
 
 
-def train(found: list[tuple[bytes, bytes, bytes]], y: np.ndarray, epochs: int = 8, filters: int = 24, width: int = 8, seed: int = 7) -> Network:
-    """Adam on the weighted logistic loss, both classes counting alike."""
-    rng, span = np.random.default_rng(seed), SPAN
-    net = Network(rng.normal(0, 0.3, (N_CLASSES, width)).astype(np.float32), rng.normal(0, 0.2, (span * width, filters)).astype(np.float32), np.zeros(filters, np.float32), rng.normal(0, 0.2, filters).astype(np.float32))
-    weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
-    read = [classes_of(*x) for x in found]
+def untrained(filters: int = 24, width: int = 8, seed: int = 7) -> Network:
+    rng = np.random.default_rng(seed)
+    return Network(rng.normal(0, 0.3, (N_CLASSES, width)).astype(np.float32), rng.normal(0, 0.2, (SPAN * width, filters)).astype(np.float32), np.zeros(filters, np.float32), rng.normal(0, 0.2, filters).astype(np.float32))
+
+
+def train(found: list[tuple[bytes, bytes, bytes]], y: np.ndarray, epochs: int = 8, net: Network | None = None, share: float | None = None, seed: int = 7) -> Network:
+    """Adam on the weighted logistic loss, both classes counting alike; on from ``net``. ``share``: of the confirmed ones in all findings, if these are but a part.
+
+    Only the places where filters have their maxima take part in a step, so a candidate of any length fits.
+    """
+    rng, net = np.random.default_rng(seed), untrained() if net is None else net.with_weights(net.weights())
+    share = float(y.mean()) if share is None else share
+    weight = np.where(y > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
+    rows, first = layout(found)
+    count = np.diff(np.append(first, len(rows)))
     names, moments, step = ("embed", "kernel", "bias", "out"), {}, 0
+    filters, width = len(net.out), net.embed.shape[1]
     for _ in range(epochs):
-        order = rng.permutation(len(read))
-        for k in range(0, len(read), 64):
+        order = rng.permutation(len(found))
+        for k in range(0, len(order), 64):
             own = order[k : k + 64]
-            x = np.zeros((len(own), max(len(read[i]) for i in own)), np.uint8)
-            for row, i in enumerate(own):
-                x[row, : len(read[i])] = read[i]
-            cols, at, top, logit = net.forward(x)
+            n = count[own]
+            start = np.cumsum(n) - n
+            x = rows[np.repeat(first[own] - start, n) + np.arange(int(n.sum()))]
+            at, each = net.forward(x)
+            top = np.maximum.reduceat(each, start)
+            logit = top @ net.out + net.out_bias
             delta = ((1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y[own]) * weight[own] / len(own)).astype(np.float32)
             d_top = delta[:, None] * net.out[None, :] * (top > 0)
-            rows = np.arange(len(own))[:, None]
-            picked = cols[rows, at]  # (batch, filters, span * width)
-            grads = {"out": top.T @ delta, "bias": d_top.sum(0), "kernel": np.einsum("bf,bfk->kf", d_top, picked), "embed": np.zeros_like(net.embed)}
-            d_cols = d_top[:, :, None] * net.kernel.T[None]
-            for s in range(span):
-                np.add.at(grads["embed"], x[rows, at + s], d_cols[:, :, s * width : (s + 1) * width])
+            # the row of each filter's maximum, the first of equal ones, and what the filter spans there
+            best = np.minimum.reduceat(np.where(each == np.repeat(top, n, axis=0), np.arange(len(x))[:, None], len(x)), start)
+            seen = x[best[:, :, None], at[best, np.arange(filters)][:, :, None] + np.arange(SPAN)]
+            grads = {"out": top.T @ delta, "bias": d_top.sum(0), "kernel": np.einsum("bf,bfk->kf", d_top, net.embed[seen].reshape(len(own), filters, -1)), "embed": np.zeros_like(net.embed)}
+            np.add.at(grads["embed"], seen, (d_top[:, :, None] * net.kernel.T[None]).reshape(len(own), filters, SPAN, width))
             step += 1
             for name in names:
                 m, v = moments.get(name, (0.0, 0.0))
@@ -202,10 +225,11 @@ def _confirmed(buf: TextBuffer, spans: list[list[tuple[int, int, int]]], owner:
     return np.array([any(s < y and e > x for s, e, _ in spans[i]) for i, x, y in zip(owner, a, b, strict=True)], bool), a, b
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: int = TRAIN_TEXTS, limit: int = TRAIN_CANDIDATES) -> Network | None:
-    """Fit on a bounded sample; None where it lacks confirmed or other candidates."""
-    sample = bounded(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), F.col("_id"), texts)
-    names = ("before", "own", "after")
+_NAMES = ("before", "own", "after")
+
+
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(before, own, after, kind), each once: all candidates of all texts, confirmed (1) or not (0), and of each text the first and the longest ordinary word (2)."""
 
     def gather(batches):
         for piece in chunks(batches, "_text"):
@@ -213,45 +237,87 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
             spans, owner, starts, ends = scan(buf)
             yes, _, _ = _confirmed(buf, spans, owner, starts, ends)
             a, b = buf.spans(_BODY[buf.data])
-            plain = np.flatnonzero((b - a >= 6) & ~np.isin(a, starts))[::64]  # ordinary words, to join and to learn from
+            plain = np.flatnonzero((b - a >= 6) & ~np.isin(a, starts))
+            text, longest = buf.owner(a[plain]), np.lexsort((a[plain], (a - b)[plain], buf.owner(a[plain])))
+            plain = np.unique(np.concatenate([plain[np.unique(text, return_index=True)[1]], plain[longest[np.unique(text[longest], return_index=True)[1]]]]))
             rows = around(buf, np.concatenate([owner, buf.owner(a[plain])]), np.concatenate([starts, a[plain]]), np.concatenate([ends, b[plain]]))
             kind = np.concatenate([np.where(yes, 1, 0), np.full(len(plain), 2)])
-            use = [i for i, r in enumerate(rows) if len(r[1]) <= TRAIN_LENGTH]
-            yield pa.RecordBatch.from_arrays([*(pa.array([rows[i][k] for i in use], pa.binary()) for k in range(3)), pa.array(kind[use], pa.int32())], names=[*names, "kind"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.binary()) for k in range(3)), pa.array(kind, pa.int32())], names=[*_NAMES, "kind"])
 
-    found = stable(sample.mapInArrow(gather, "before binary, own binary, after binary, kind int").groupBy(*names).agg(F.min("kind").alias("kind")))  # read four times
-    parts = [bounded(found.where(F.col("kind") == k), F.xxhash64(*names), limit // (2, 2, 4)[k]).orderBy("own", "before", "after").collect() for k in range(3)]
-    other, confirmed, plain = ([tuple(bytes(r[c]) for c in names) for r in part] for part in parts)
-    if len(confirmed) < 10 or len(other) + len(plain) < 10:
-        return None
+    return docs.select(F.col(text_col).alias("_text")).mapInArrow(gather, "before binary, own binary, after binary, kind int").groupBy(*_NAMES).agg(F.min("kind").alias("kind"))
+
+
+def examples(part: pa.Table) -> tuple[list[tuple[bytes, bytes, bytes]], np.ndarray]:
+    """What one part is trained on, with what is made of its rows; the same for the same rows in any order."""
+    part = part.sort_by([(c, "ascending") for c in ("own", "before", "after")])
+    rows, kind = [*zip(*(part.column(c).to_pylist() for c in _NAMES), strict=True)], part.column("kind").to_numpy()
+    other, confirmed, plain = ([r for r, k in zip(rows, kind, strict=True) if k == own] for own in range(3))
     rng = np.random.default_rng(11)
-    yes, no = confirmed + respelled(confirmed, other + plain, rng), other + plain + joined_words(plain, rng) + look_alikes(plain, rng)
-    rows, y = yes + no, np.concatenate([np.ones(len(yes)), np.zeros(len(no))])
-    # what comes of one finding stays in one fold
-    fold = np.array([zlib.crc32(own[:8]) % 3 for _, own, _ in rows])
-    fold[: len(yes)] = np.tile(np.arange(len(confirmed)) % 3, 2)
-    logit = np.zeros(len(rows))
-    for k in range(3):
-        net = train([r for r, f in zip(rows, fold, strict=True) if f != k], y[fold != k], epochs=4)
-        logit[fold == k] = net.logits([r for r, f in zip(rows, fold, strict=True) if f == k])
-    net = train(rows, y)
-    net.scale, net.shift = _platt(logit, y)
-    net.threshold, net.recall = choose_threshold(1 / (1 + np.exp(-np.clip(net.scale * logit + net.shift, -40, 40))), y)
+    yes = confirmed + (respelled(confirmed, other + plain, rng) if other or plain else [])
+    no = other + plain[::3] + joined_words(plain[1::3], rng) + look_alikes(plain[2::3], rng)  # each word is one of the three
+    return yes + no, np.concatenate([np.ones(len(yes)), np.zeros(len(no))])
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
+    """Fit on the ``findings`` of all rows; None where they lack confirmed or other ones. The driver sees sums of weights and counts of logits alone."""
+    found = written(findings(docs, id_col, text_col))
+    size = sum((F.length(c) for c in _NAMES), F.lit(0)).cast("long")
+    counts = {r["kind"]: r for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()}
+    n = [counts[k]["n"] if k in counts else 0 for k in range(3)]
+    if n[1] < 10 or n[0] + n[2] < 10:
+        return None
+    share, total = 2 * n[1] / (2 * n[1] + n[0] + n[2]), sum(r["bytes"] for r in counts.values())
+    parts = max(1, -(-sum(n) // (2 * PART_ROWS)), -(-total // (2 * PART_BYTES)))  # of each of two folds
+    # one finding in several surroundings is in one fold
+    dealt = found.withColumns({"_fold": F.pmod(F.xxhash64("own"), F.lit(2)).cast("int"), "_part": F.pmod(F.xxhash64(*_NAMES), F.lit(parts)).cast("int")})
+    context, nets = docs.sparkSession.sparkContext, [untrained() for _ in range(3)]  # the third learns from both folds, each other from the other one
+    for turn in range(ROUNDS):
+        shared = context.broadcast(nets)
+
+        def learn(part: pa.Table) -> pa.Table:
+            rows, y = examples(part)
+            use = (1 - part.column("_fold")[0].as_py(), 2)
+            made = [train(rows, y, EPOCHS, shared.value[k], share, turn).weights() * len(rows) for k in use]  # noqa: B023
+            return pa.table({"net": pa.array(use, pa.int32()), "n": pa.array([len(rows)] * 2, pa.int64()), "w": pa.array([w.tolist() for w in made], pa.list_(pa.float64()))})
+
+        each = dealt.groupBy("_fold", "_part").applyInArrow(learn, "net int, n long, w array<double>")
+        # sums of decimals, which come out alike in any order
+        sums = each.select("net", "n", F.posexplode("w").alias("at", "w")).groupBy("net", "at").agg(F.sum("n").alias("n"), F.sum(F.col("w").cast("decimal(28,8)")).alias("w")).collect()
+        for k in range(3):
+            own = sorted((r["at"], float(r["w"]) / r["n"]) for r in sums if r["net"] == k)
+            nets[k] = nets[k].with_weights(np.array([w for _, w in own])) if own else nets[k]
+        shared.unpersist()
+    shared = context.broadcast(nets)
+
+    def held_out(part: pa.Table) -> pa.Table:
+        rows, y = examples(part)
+        return pa.table({"logit": shared.value[part.column("_fold")[0].as_py()].logits(rows), "y": y})
+
+    levels = dealt.groupBy("_fold", "_part").applyInArrow(held_out, "logit double, y double")
+    levels = levels.groupBy(F.round(F.least(F.greatest("logit", F.lit(-40.0)), F.lit(40.0)), DECIMALS).alias("logit"), "y").count().orderBy("logit", "y").toArrow()
+    forget(found)
+    logit, y, times = (levels.column(c).to_numpy() for c in ("logit", "y", "count"))
+    net = nets[2]
+    net.scale, net.shift = _platt(logit, y, times)
+    net.threshold, net.recall = choose_threshold(1 / (1 + np.exp(-np.clip(net.scale * logit + net.shift, -40, 40))), y, times)
     return net
 
 
-def choose_threshold(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def choose_threshold(p: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> tuple[float, float]:
     """(threshold, recall kept): the highest score that keeps RECALL of the confirmed ones, but no lower than LEAST_SCORE, nor
-    than where PRECISION of all above are confirmed ones. Where nothing reaches that precision, no span is added (1.1, 0.0)."""
-    yes = np.sort(p[y > 0])
+    than where PRECISION of all above are confirmed ones. Where nothing reaches that precision, no span is added (1.1, 0.0).
+    ``times``: how often each score with its label occurs."""
+    times = np.ones(len(p), np.int64) if times is None else times
     order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
-    last = np.append(p[order][1:] != p[order][:-1], True)  # equal scores pass together
-    enough = p[order][(right >= PRECISION) & last]
+    p, yes, all_ = p[order], np.cumsum((y * times)[order]), np.cumsum(times[order])
+    last = np.append(p[1:] != p[:-1], True)  # equal scores pass together
+    enough = p[(yes / all_ >= PRECISION) & last]
     if not len(enough):
         return 1.1, 0.0
-    threshold = max(float(yes[int((1 - RECALL) * len(yes))]), float(enough[-1]), LEAST_SCORE)
-    return threshold, float((yes >= threshold).mean())
+    # as many confirmed ones may lie below
+    below = int((1 - RECALL) * yes[-1])
+    threshold = max(float(p[np.searchsorted(yes, yes[-1] - below)]), float(enough[-1]), LEAST_SCORE)
+    return threshold, float((y * times)[order][p >= threshold].sum() / yes[-1])
 
 
 _ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
@@ -299,13 +365,14 @@ def look_alikes(plain: list[tuple[bytes, bytes, bytes]], rng: np.random.Generato
     return out
 
 
-def _platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _platt(logit: np.ndarray, y: np.ndarray, times: np.ndarray) -> tuple[float, float]:
     """Scale and shift that make sigmoid(scale * logit + shift) the rate of confirmed ones, by damped Newton steps."""
     w, x = np.array([1.0, 0.0]), np.column_stack([logit, np.ones(len(logit))])
-    aim = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    yes, no = float((y * times).sum()), float(((1 - y) * times).sum())
+    aim = np.where(y > 0, (yes + 1) / (yes + 2), 1 / (no + 2))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        w = w - 0.5 * np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - aim) + 1e-3 * (w - [1.0, 0.0]))
+        w = w - 0.5 * np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (times * (p - aim)) + 1e-3 * (w - [1.0, 0.0]))
     return float(w[0]), float(w[1])
 
 

@@ -384,6 +384,30 @@ def test_secrets_without_key_words(spark):
     assert net.threshold >= secret_scan.LEAST_SCORE
 
 
+def test_secret_fit_takes_every_finding(spark, monkeypatch):
+    rng = random.Random(5)
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    texts = [f"{pick('abcdefgh', 7)} words {pick('xyz', 11)} x {pick('klmnop', 18)} y token={pick('0123456789abcdef', 30 + 400 * (i % 50 == 0))} z" for i in range(400)]
+    df = table(spark, texts + texts[:9])
+    found = secret_scan.findings(df).collect()
+    size = sorted((r["kind"], len(r["own"])) for r in found)
+    assert size == sorted([(0, 18)] * 400 + [(1, 30)] * 392 + [(1, 430)] * 8 + [(2, 7), (2, 11)] * 400)
+    monkeypatch.setattr(secret_scan, "PART_ROWS", 100)
+    seen = []
+    monkeypatch.setattr(secret_scan, "choose_threshold", lambda p, y, times, f=secret_scan.choose_threshold: seen.append((int((y * times).sum()), int(times.sum()))) or f(p, y, times))
+    one, two = secret_scan.fit(df), secret_scan.fit(df.repartition(7))
+    assert seen == [(800, 2000)] * 2  # the confirmed ones twice; no finding is left out of threshold and scale
+    assert (one.weights() == two.weights()).all() and (one.scale, one.shift, one.threshold, one.recall) == (two.scale, two.shift, two.threshold, two.recall)
+
+
+def test_training_takes_long_candidates():
+    rng = random.Random(8)
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n)).encode()
+    rows = [(b"x ", pick("abcdef0123456789" if i % 2 else "ghijklmnop", 20 if i % 40 > 1 else 5000), b" y") for i in range(400)]
+    y = np.arange(400) % 2
+    assert ((secret_scan.train(rows, y, epochs=4).probability(rows) > 0.5) == (y > 0)).mean() > 0.95
+
+
 def test_secret_threshold():
     y = np.array([1, 1, 0, 1, 0, 0, 1])
     p = np.array([0.9, 0.8, 0.3, 0.7, 0.2, 0.1, 0.05])
