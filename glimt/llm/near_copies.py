@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from glimt.llm import simhash
 from glimt.llm.common import bounded, forget, keep_rows, row_keys, stable, written
-from glimt.llm.components import components
+from glimt.llm.components import contracted
 from glimt.llm.textbuf import NOT_SPACE, TextBuffer, chunks, mix
 
 WORDS = 5
@@ -276,7 +276,7 @@ def nearest_first(rows: DataFrame, stand: DataFrame, rest: DataFrame, links: Dat
         picked = stable(side("root").unionByName(side("root2")).groupBy("_own", "_try").agg(best).select("_pair.*").distinct())
         links = stable(links.unionByName(confirm(rows, stand, picked)))
         untried = rest.select("a", "b", "gap").join(picked, ["a", "b"], "left_anti")
-        before, rest = rest, written(still_apart(untried, stable(components(links)), "a", "b").select("a", "b", "gap", "root", "root2"))
+        before, rest = rest, written(still_apart(untried, contracted(links), "a", "b").select("a", "b", "gap", "root", "root2"))
         forget(before)
     links = stable(links.unionByName(confirm(rows, stand, rest.select("a", "b"))))
     forget(rest)
@@ -305,14 +305,14 @@ def link(rows: DataFrame, stand: DataFrame) -> DataFrame:
     near = written(near)
     most = near.groupBy(F.col("node").alias("a")).agg(F.max_by("node2", F.struct("times", "node2")).alias("b"))
     links = stable(confirm(rows, stand, most.unionByName(fingerprint_pairs(stand))))
-    roots = stable(components(links))
+    roots = contracted(links)
 
     groups = [F.least("root", "root2").alias("_a"), F.greatest("root", "root2").alias("_b"), F.pmod(F.xxhash64("node", "node2"), F.lit(TRIES)).alias("_try")]
     one = F.max_by(F.struct("node", "node2"), F.struct("times", "node", "node2")).alias("_pair")
     tried = still_apart(near, roots, "node", "node2").groupBy(*groups).agg(one).select(F.col("_pair.node").alias("a"), F.col("_pair.node2").alias("b"))
     links = stable(links.unionByName(confirm(rows, stand, tried)))
     forget(near)
-    roots = stable(components(links))
+    roots = contracted(links)
 
     named = written(met.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     forget(met)
@@ -326,7 +326,7 @@ def link(rows: DataFrame, stand: DataFrame) -> DataFrame:
     gap = (apart() / (F.col("n") + F.col("n2"))).alias("gap")
     rest = written(rest.select(F.col("node").alias("a"), F.col("node2").alias("b"), gap, "root", "root2").distinct())
     forget(named)
-    return components(nearest_first(rows, stand, rest, links))
+    return contracted(nearest_first(rows, stand, rest, links))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
