@@ -15,22 +15,24 @@ HOT_ROWS, MOST_HOT = 100_000, 100_000
 LONG_ROWS = 20_000
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS, counted: DataFrame | None = None, mark: str | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has one row a key. No key of ``left`` is gathered in one task.
 
     Keys with more than ``hot_rows`` rows, at most MOST_HOT of them, meet their rows of ``right`` by a broadcast; the rest by a shuffle.
+    ``counted``, where it is at hand, holds the keys of ``left`` with at least their ``_rows``; the column ``mark``, if wanted, tells whether a key was hot.
     """
     keys = list(on)
-    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select(*keys).limit(MOST_HOT)
+    hot = (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")) if counted is None else counted).where(F.col("_rows") > hot_rows).select(*keys).limit(MOST_HOT)
+    marks = lambda x, was: x.withColumn(mark, F.lit(was)) if mark else x
     if hot.isEmpty():
-        return left.join(right, keys, how)
+        return marks(left.join(right, keys, how), False)
     hot = kept(hot.join(right, keys, "left").withColumn("_hot", F.lit(True)), "hot")  # a row a hot key
     marked = left.join(F.broadcast(hot.select(*keys, "_hot")), keys, "left")  # at most MOST_HOT rows
     cold = marked.where("_hot is null").drop("_hot").join(right, keys, how)
     met = marked.where("_hot").drop("_hot").join(F.broadcast(hot.drop("_hot")), keys, "left")
     if how == "inner":
         met = met.join(F.broadcast(hot.join(right.select(*keys), keys, "left_semi").select(*keys)), keys, "left_semi")
-    return cold.unionByName(met)
+    return marks(cold, False).unionByName(marks(met, True))
 
 
 def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, parts: int | None = None) -> DataFrame:

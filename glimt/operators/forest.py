@@ -9,6 +9,7 @@ root. In a cycle a span becomes a root if none above it is earlier (by start, th
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -121,65 +122,138 @@ def forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _climb(nodes: DataFrame, hot_rows: int, sums: Sequence[str], flags: Sequence[str] = (), rounds: int = 64) -> DataFrame | None:
-    """Doubles the pointers of ``nodes`` (t, id, up) until all have left the forest; None if some have not after ``rounds`` (a cycle).
+    """Doubles the pointers of ``nodes`` (n, above) until all have left the forest; None if some have not after ``rounds`` (a cycle).
 
     The columns ``sums`` become sums over each node and all above it, ``flags`` over each and all below.
     """
-    state = kept(nodes.select("t", "id", F.col("up").alias("jump"), *sums, *flags), "climb")
+    state = kept(nodes.select("n", F.col("above").alias("jump"), *sums, *flags), "climb")
     for _ in range(rounds):
         if (going := state.where("jump is not null")).isEmpty():
             return state.drop("jump")
         if flags:
-            below = going.groupBy("t", F.col("jump").alias("id")).agg(*(F.sum(c).alias(f"_{c}") for c in flags))
-            state = kept(state.join(below, ["t", "id"], "left").withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in flags}).drop(*(f"_{c}" for c in flags)), "below")  # read four times
+            below = going.groupBy(F.col("jump").alias("n")).agg(*(F.sum(c).alias(f"_{c}") for c in flags))
+            state = kept(state.join(below, "n", "left").withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in flags}).drop(*(f"_{c}" for c in flags)), "below")  # read four times
             going = state.where("jump is not null")
-        target = state.select("t", F.col("id").alias("jump"), F.col("jump").alias("_next"), *(F.col(c).alias(f"_{c}") for c in sums))
-        moved = join_hot(going, target, ["t", "jump"], "left", hot_rows)
-        moved = moved.select("t", "id", F.col("_next").alias("jump"), *((F.col(c) + F.col(f"_{c}")).alias(c) for c in sums), *flags)
+        target = state.select(F.col("n").alias("jump"), F.col("jump").alias("_next"), *(F.col(c).alias(f"_{c}") for c in sums))
+        moved = join_hot(going, target, ["jump"], "left", hot_rows)
+        moved = moved.select("n", F.col("_next").alias("jump"), *((F.col(c) + F.col(f"_{c}")).alias(c) for c in sums), *flags)
         state = kept(state.where("jump is null").unionByName(moved), "climb")
     return None
 
 
+def _sizes(nodes: DataFrame, hot_rows: int) -> tuple[DataFrame, int, bool] | None:
+    """(n, above, size, bad, level) with ``size`` and ``bad`` of ``nodes`` (n, above, size, bad) summed over each and all below; None if there is a cycle.
+
+    Leaves are stripped level by level and added to what is above them, as long as that leaves at most half of the nodes; the rest, if any, is
+    climbed and becomes the last level. So all levels together cost no more than a few passes over the nodes, however deep they are.
+    """
+    state, rows, levels = nodes, nodes.count(), []
+    while rows or not levels:
+        tops = state.where("above is not null").select(F.col("above").alias("n")).distinct().withColumn("_inner", F.lit(True))
+        marked = kept(state.join(tops, "n", "left"), "marked")
+        inner = marked.where("_inner").drop("_inner")
+        if 2 * (left := inner.count()) > rows:
+            break
+        leaves = marked.where("_inner is null").drop("_inner")
+        levels.append(leaves.withColumn("level", F.lit(len(levels))))
+        below = leaves.where("above is not null").groupBy(F.col("above").alias("n")).agg(F.sum("size").alias("_size"), F.sum("bad").alias("_bad"))
+        state = kept(inner.join(below, "n", "left").select("n", "above", *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("size", "bad"))), "inner")
+        rows = left
+    if rows:
+        if (grown := _climb(state, hot_rows, [], ["size", "bad"], rows.bit_length() + 1)) is None:
+            return None
+        levels.append(state.select("n", "above").join(grown, "n").withColumn("level", F.lit(len(levels))))
+    return kept(reduce(DataFrame.unionByName, levels), "sizes"), len(levels), rows > 0
+
+
+def _places(steps: DataFrame, levels: int, climbed: bool, hot_rows: int) -> DataFrame:
+    """(n, position, depth, astray) of ``steps`` (n, above, level and these), summed over each node and all above it: from the last level of ``_sizes`` down."""
+    sums = ["position", "depth", "astray"]
+    found: list[DataFrame] = []
+    for level in reversed(range(levels)):
+        here = steps.where(F.col("level") == level)
+        if climbed and not found:
+            found.append(_climb(here, hot_rows, sums))
+            continue
+        tops = here.where("above is null").select("n", *sums)
+        if found:
+            above = reduce(DataFrame.unionByName, found).select(F.col("n").alias("above"), *(F.col(c).alias(f"_{c}") for c in sums))
+            met = join_hot(here.where("above is not null"), above, ["above"], "inner", hot_rows)
+            tops = tops.unionByName(met.select("n", *((F.col(c) + F.col(f"_{c}")).alias(c) for c in sums)))
+        found.append(kept(tops, "places"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def giant_forest(rows: DataFrame, hot_rows: int = 100_000, parts: int | None = None) -> DataFrame:
-    """As ``forest``, for traces of any size: rounds of joins, each kept in the shared folder; no task holds a whole trace."""
-    first = Window.partitionBy("t", "id").orderBy("start")
-    spans = rows.select(F.col("trace_id").alias("t"), F.col("span_id").alias("id"), F.col("parent_span_id").alias("up"), "start", "end", (F.col("status_code") == 2).cast("long").alias("bad"))
-    spans = kept(spans.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth"), "first")  # read by each branch of the join
-    above = spans.select("t", F.col("id").alias("up"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    proper = F.when(F.col("up") != F.col("id"), F.col("up"))
-    spans = join_hot(spans.withColumn("up", proper), above, ["t", "up"], "left", hot_rows)
-    spans = kept(spans.withColumns({"up": F.when(F.col("p_start").isNotNull(), F.col("up")), "late": F.lit(False)}), "spans")
-    rounds = max(1, int(spans.groupBy("t").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1)).bit_length()
+    """As ``forest``, for traces of any size: joins, each kept in the shared folder; no task holds a whole trace.
+
+    Spans get a number, and their parent's. Only spans that have children (``inner``) go through the rounds; all others follow from their
+    parents. What is above is found by families: those of up to ``hot_rows`` spans are one window each, larger ones and roots are dealt by ranges.
+    """
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    weighed = lambda: spans.select("t", "id", "up", F.when(F.col("up").isNull(), zero).otherwise(one).alias("depth"), one.alias("size"), "bad")
-    grown = _climb(weighed(), hot_rows, ["depth"], ["size", "bad"], rounds + 1)
-    if grown is None:
+    # ids come first in all keys: they tell rows apart, trace ids hardly do
+    read = rows.select(F.col("trace_id").alias("t"), F.col("span_id").alias("id"), F.when(F.col("parent_span_id") != F.col("span_id"), F.col("parent_span_id")).alias("up"), "start", "end", (F.col("status_code") == 2).cast("long").alias("bad"))
+    read = kept(read, "read")
+    named = kept(read.where("up is not null").groupBy("up", "t").agg(F.count(F.lit(1)).alias("_rows")), "named")
+    first = Window.partitionBy("id", "t").orderBy("start")
+    spans = read.withColumn("_before", F.lag(F.lit(True)).over(first)).where("_before is null").drop("_before")  # a row number would be sorted for twice
+    spans = spans.join(named.select(F.col("up").alias("id"), "t", F.lit(True).alias("inner")), ["id", "t"], "left").withColumn("inner", F.col("inner").isNotNull())
+    spans = kept(spans.withColumn("n", F.monotonically_increasing_id()), "first")
+    above = spans.where("inner").select(F.col("id").alias("up"), "t", F.col("n").alias("above"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+    met = join_hot(spans.where("up is not null"), above, ["up", "t"], "left", hot_rows, named, "wide")
+    skew = F.coalesce((F.col("start") < F.col("p_start")) | (F.col("end") > F.col("p_end")), F.lit(False)).alias("skew")
+    columns = ["n", "t", "id", "start", "end", "bad", "inner"]
+    top = spans.where("up is null").select(*columns, F.lit(None).cast("long").alias("above"), F.lit(True).alias("wide"), F.lit(False).alias("skew"))
+    spans = kept(met.select(*columns, "above", (F.col("wide") | F.col("above").isNull()).alias("wide"), skew).unionByName(top).withColumn("late", F.lit(False)), "spans")
+    if (sizes := _sizes(_weighed(spans), hot_rows)) is None:
+        rounds = max(1, int(spans.groupBy("t").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1)).bit_length()
         broken = _cycle_roots(spans, rounds, hot_rows).withColumn("_root", F.lit(True))
-        spans = spans.join(broken, ["t", "id"], "left")
-        cut = {c: F.when(F.col("_root").isNull(), F.col(c)) for c in ("up", "p_start", "p_end")}
-        spans = kept(spans.withColumns(cut | {"late": F.col("_root").isNotNull()}).drop("_root"), "spans")
-        grown = _climb(weighed(), hot_rows, ["depth"], ["size", "bad"])
-    grown = kept(spans.drop("bad").join(grown, ["t", "id"]), "grown")
+        whole = F.col("_root").isNull()
+        spans = kept(spans.join(broken, "n", "left").withColumns({"above": F.when(whole, F.col("above")), "skew": F.col("skew") & whole, "wide": F.col("wide") | ~whole, "late": ~whole}).drop("_root"), "spans")
+        sizes = _sizes(_weighed(spans), hot_rows)
+    sized, levels, climbed = sizes
+    inner = kept(spans.where("inner").drop("bad").join(sized.drop("above"), "n"), "inner")
+    sized = spans.where("not inner").withColumns({"size": one, "level": F.lit(None).cast("int")}).unionByName(inner)
     # siblings before each span, and the one that ends last of each family
-    placed = running_sum(grown.withColumn("_family", F.coalesce("up", F.lit(""))).withColumn("_rootless", F.col("up").isNull()), ["t", "_rootless", "_family"], ["late", "start", "id"], "size", "ahead", parts)
-    last = grown.groupBy("t", "up").agg(F.max_by("id", F.struct("end", -F.col("start"), "id")).alias("id")).select("t", "id", F.lit(True).alias("_best"))
-    placed = placed.join(last, ["t", "id"], "left")
-    steps = placed.select("t", "id", "up", (F.col("ahead") + F.when(F.col("up").isNull(), zero).otherwise(one)).alias("position"), F.when(F.col("_best"), zero).otherwise(one).alias("astray"))
-    paths = _climb(steps, hot_rows, ["position", "astray"])
-    zeros = grown.groupBy("t").agg(F.min("start").alias("_zero"))  # a row a giant trace, as in ``trace_tree``
-    out = grown.join(paths, ["t", "id"]).join(F.broadcast(zeros), "t")
-    skew = F.coalesce((F.col("start") < F.col("p_start")) | (F.col("end") > F.col("p_end")), F.lit(False))
-    return out.select(F.col("t").alias("trace_id"), F.col("id").alias("span_id"), "position", "depth", (F.col("start") - F.col("_zero")).alias("offset_nanos"), skew.alias("clock_skew"), (F.col("bad") > 0).alias("subtree_has_error"), (F.col("astray") == 0).alias("critical"))
+    wide = sized.where("wide").withColumn("_family", F.coalesce("above", F.lit(-1)))
+    wide = kept(running_sum(wide, ["_family", "t"], ["late", "start", "id"], "size", "ahead", parts), "wide")
+    best = F.struct("end", -F.col("start"), "id")
+    last = kept(wide.groupBy("_family", "t").agg(F.max_by("n", best).alias("n")), "last")  # a row for each family of more than ``hot_rows`` spans, and for each trace's roots
+    wide = wide.drop("_family").join(F.broadcast(last.select("n", F.lit(True).alias("best"))), "n", "left").withColumn("best", F.col("best").isNotNull())
+    family = Window.partitionBy("above").orderBy("start", "id")
+    before, all_of = family.rowsBetween(Window.unboundedPreceding, -1), family.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = lambda x: x.withColumns({"ahead": F.coalesce(F.sum("size").over(before), zero), "best": best == F.max(best).over(all_of)})
+    narrow = sized.where("not wide")
+    # places of spans that have children, from the top; then those of all spans by their parents
+    holders = inner.where("above is not null").select("above").distinct()
+    step = F.when(F.col("above").isNull(), zero).otherwise(one)
+    steps = ranked(narrow.join(holders, "above", "left_semi")).unionByName(wide).where("level is not null")
+    steps = kept(steps.select("n", "above", "level", (F.col("ahead") + step).alias("position"), step.alias("depth"), F.when(F.col("best"), zero).otherwise(one).alias("astray")), "steps")
+    places = _places(steps, levels, climbed, hot_rows)
+    above = places.select(F.col("n").alias("above"), *(F.col(c).alias(f"_{c}") for c in ("position", "depth", "astray")))
+    met = wide.join(F.broadcast(above.join(last.select(F.col("_family").alias("above")), "above", "left_semi")), "above", "left")
+    out = ranked(narrow).join(above, "above").unionByName(met)
+    zeros = spans.groupBy("t").agg(F.min("start").alias("_zero"))  # a row a giant trace, as in ``trace_tree``
+    out = out.join(F.broadcast(zeros), "t")
+    placed = lambda c: F.coalesce(F.col(f"_{c}") + 1, zero)
+    return out.select(F.col("t").alias("trace_id"), F.col("id").alias("span_id"), (placed("position") + F.col("ahead")).alias("position"), placed("depth").alias("depth"), (F.col("start") - F.col("_zero")).alias("offset_nanos"), F.col("skew").alias("clock_skew"), (F.col("bad") > 0).alias("subtree_has_error"), (F.col("best") & (F.coalesce("_astray", zero) == 0)).alias("critical"))
+
+
+def _weighed(spans: DataFrame) -> DataFrame:
+    """(n, above, size, bad) of the spans that have children; the last two count each and those of its children that have none."""
+    alone = spans.where("above is not null and not inner").groupBy(F.col("above").alias("n")).agg(F.count(F.lit(1)).alias("_size"), F.sum("bad").alias("_bad"))
+    nodes = spans.where("inner").select("n", "above", F.lit(1).cast("long").alias("size"), "bad").join(alone, "n", "left")
+    return kept(nodes.select("n", "above", *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("size", "bad"))), "nodes")
 
 
 def _cycle_roots(spans: DataFrame, rounds: int, hot_rows: int) -> DataFrame:
-    """(t, id) of the spans that break cycles: in or below one, with no earlier span above."""
+    """The numbers of the spans that break cycles: in or below one, with no earlier span above."""
     least = F.struct("start", "id")
-    state = kept(spans.select("t", "id", F.col("up").alias("jump"), least.alias("own"), least.alias("least")), "cycles")
+    state = kept(spans.select("n", F.col("above").alias("jump"), least.alias("own"), least.alias("least")), "cycles")
     for _ in range(rounds + 1):
         # what has left by its pointers is in no cycle and is not met by those in one
         going = state.where("jump is not null")
-        target = going.select("t", F.col("id").alias("jump"), F.col("jump").alias("_next"), F.col("least").alias("_least"))
-        moved = join_hot(going, target, ["t", "jump"], "left", hot_rows)
-        state = kept(moved.select("t", "id", F.col("_next").alias("jump"), "own", F.least("least", "_least").alias("least")), "cycles")
-    return state.where("jump is not null and own = least").select("t", "id")
+        target = going.select(F.col("n").alias("jump"), F.col("jump").alias("_next"), F.col("least").alias("_least"))
+        moved = join_hot(going, target, ["jump"], "left", hot_rows)
+        state = kept(moved.select("n", F.col("_next").alias("jump"), "own", F.least("least", "_least").alias("least")), "cycles")
+    return state.where("jump is not null and own = least").select("n")

@@ -6,7 +6,9 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
+from glimt.functions import spread
 from glimt.functions.spread import join_hot, previous, running_sum
+from glimt.functions.storage import kept
 from glimt.operators import forest, traces
 
 SCHEMA = "trace_id string, span_id string, parent_span_id string, start long, end long, status_code int"
@@ -130,6 +132,47 @@ def test_giant_traces_are_read_once(spark):
     assert passed.value == 300
 
 
+def test_giant_traces_keep_few_rows(spark, monkeypatch):
+    """Leaves take no part in the rounds: all that is kept on the way comes to a few rows a span, and a mixture of deep and flat trees stays right."""
+    rng = random.Random(5)
+    flat = [("flat", f"r{i}", None, rng.randrange(9), 9 + rng.randrange(9), i % 3) for i in range(40)]  # no span has children
+    wide = [("wide", "top", None, 0, 90, 1)] + [("wide", f"m{i}", "top", rng.randrange(30), 30 + rng.randrange(60), 1) for i in range(60)]
+    wide += [("wide", f"l{i}", f"m{i % 50}", rng.randrange(50), 50 + rng.randrange(50), 2 if i % 97 == 0 else 1) for i in range(1500)]
+    deep = [("deep", f"d{i}", f"d{i - 1}" if i else None, i, 500 - i, 1) for i in range(40)] + [("deep", f"e{i}", f"d{rng.randrange(40)}", rng.randrange(40), 41 + rng.randrange(9), 2 if i == 8 else 1) for i in range(300)]
+    written = []
+
+    def counted(df, name="kept"):
+        out = kept(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(forest, "kept", counted)
+    monkeypatch.setattr(spread, "kept", counted)
+    rows = flat + wide + deep
+    for some in (flat, rows):
+        written.clear()
+        assert collected(forest.giant_forest(spark.createDataFrame(some, SCHEMA), hot_rows=100)) == plain(some)
+    assert sum(written) < 6 * len(rows)
+
+
+def test_giant_traces_alone(spark):
+    """Where all traces are giants the spans are worked out twice: to count them, and to place them."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    star = [("star", f"x{i:03}", "x000" if i else None, i % 50, 60 + i % 70, 2 if i == 7 else 1) for i in range(300)]
+    few = [("few", "a", None, 0, 5, 1), ("few", "b", "a", 1, 9, 2)]
+    for rows, times in ((star, 2), (star + few, 3)):
+        passed.value = 0
+        df = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"start": "start_time_nanos", "end": "end_time_nanos"}).withColumn("duration_nanos", F.lit(None).cast("long"))
+        assert collected(traces.trace_tree(df.mapInArrow(count, df.schema), giant=100)) == plain(rows)
+        assert passed.value == times * len(rows)
+
+
 def test_join_with_hot_keys(spark):
     left = spark.range(3000).selectExpr("id", "case when id < 2000 then 7 else id % 40 end as k")
     right = spark.range(0, 40, 2).selectExpr("id as k", "id * 10 as v").unionByName(spark.createDataFrame([(7, 70)], "k long, v long"))
