@@ -173,6 +173,14 @@ def test_giant_traces_alone(spark):
         assert passed.value == times * len(rows)
 
 
+def test_giant_traces_beside_spans_without_trace(spark):
+    star = [("star", f"x{i:03}", "x000" if i else None, i % 50, 60 + i % 70, 1) for i in range(30)]
+    stray = [(None, f"y{i:03}", None, i, i + 1, 1) for i in range(30)]
+    df = spark.createDataFrame(star + stray, SCHEMA).withColumnsRenamed({"start": "start_time_nanos", "end": "end_time_nanos"}).withColumn("duration_nanos", F.lit(None).cast("long"))
+    found = traces.trace_tree(df, giant=10).select("trace_id", "span_id").collect()
+    assert sorted(r["span_id"] for r in found) == sorted(r[1] for r in star + stray)
+
+
 def test_join_with_hot_keys(spark):
     left = spark.range(3000).selectExpr("id", "case when id < 2000 then 7 else id % 40 end as k")
     right = spark.range(0, 40, 2).selectExpr("id as k", "id * 10 as v").unionByName(spark.createDataFrame([(7, 70)], "k long, v long"))
